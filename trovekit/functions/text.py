@@ -49,11 +49,14 @@ def truncate_words(c, limit: int = K.CHUNK_WORDS) -> Column:
 
 def chunk_words(c, size: int = K.CHUNK_WORDS) -> Column:
     """Consecutive pieces of at most ``size`` words; empty array for no words."""
-    w = words(c)
-    starts = F.when(
-        F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+
+    def pieces(w):
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size)))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+
+    # Bound once through a one-element array: the text is split once per row.
+    return F.get(F.transform(F.array(words(c)), pieces), F.lit(0))
 
 
 def title_body(title, body) -> Column:

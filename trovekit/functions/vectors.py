@@ -34,8 +34,9 @@ def l2_norm(v) -> Column:
 
 def normalize(v) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = l2_norm(v)
-    return F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n))
+    # Bound once through a one-element array: the norm is taken once per row.
+    scaled = F.transform(F.array(l2_norm(v)), lambda n: F.transform(doubles(v), lambda x: x / F.nullif(n, F.lit(0.0))))
+    return F.when(l2_norm(v) == 0, doubles(v)).otherwise(F.get(scaled, F.lit(0)))
 
 
 def cosine(a, b) -> Column:

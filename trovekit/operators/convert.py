@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trovekit import constants as K
 from trovekit.functions.text import clean_text, contains_answer, doc_key, folder_key, merge_captions
 from trovekit.operators.links import NEG, POS, keep_with_positive
-from trovekit.operators.numbering import assign_ids
+from trovekit.operators.numbering import BUCKET_ROWS, assign_ids
 from trovekit.operators.pools import first_seen
 from trovekit.operators.skew import skew_join
 from trovekit.sources.images import with_valid_image
@@ -205,9 +205,9 @@ def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return keep_with_positive(pairs.select("qid", label.alias("label"), "ord", "did"))
 
 
-def number_queries(queries: DataFrame, dataset, position: str = "pos") -> DataFrame:
+def number_queries(queries: DataFrame, dataset, position: str = "pos", width: int = BUCKET_ROWS) -> DataFrame:
     """Sequential query ids in source order."""
-    return assign_ids(queries, dataset, position, "qid")
+    return assign_ids(queries, dataset, position, "qid", width=width)
 
 
 def extend_by_entity(links: DataFrame, pool: DataFrame, other: DataFrame) -> DataFrame:

@@ -42,8 +42,11 @@ def number_rows(df: DataFrame, order, bucket: Column, out: str = "n", start: int
     )
 
 
-def number_by_position(df: DataFrame, position: str = "pos", out: str = "n", start: int = 1) -> DataFrame:
-    return number_rows(df, position, position_bucket(position), out, start)
+def number_by_position(
+    df: DataFrame, position: str = "pos", out: str = "n", start: int = 1, width: int = BUCKET_ROWS
+) -> DataFrame:
+    """Number rows by an integer position; sparse positions need a larger ``width``."""
+    return number_rows(df, position, position_bucket(position, width), out, start)
 
 
 def number_by_hash(
@@ -82,9 +85,11 @@ def range_bucket(df: DataFrame, key: str, buckets: int = 64, sample_rows: int =
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
 
 
-def assign_ids(df: DataFrame, dataset, position: str, out: str, start: int = 1) -> DataFrame:
+def assign_ids(
+    df: DataFrame, dataset, position: str, out: str, start: int = 1, width: int = BUCKET_ROWS
+) -> DataFrame:
     """Sequential ids ``"<dataset>:<n>"`` in the order of an integer position."""
-    numbered = number_by_position(df, position, "__n", start)
+    numbered = number_by_position(df, position, "__n", start, width)
     return numbered.withColumn(out, make_id(dataset, "__n")).drop("__n")
 
 

@@ -34,9 +34,9 @@ def parse_prompts(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     parts = F.split(F.regexp_replace(F.col(value), r"^\s+|\s+$", ""), "\t")
     return lines.select(
-        parts[3].alias("dataset_id"),
+        F.get(parts, F.lit(3)).alias("dataset_id"),
         parts[0].alias("query_modality"),
-        parts[1].alias("cand_modality"),
+        F.get(parts, F.lit(1)).alias("cand_modality"),
         F.filter(F.slice(parts, 5, F.greatest(F.size(parts) - 4, F.lit(0))), lambda p: p != "").alias("prompts"),
     )
 
