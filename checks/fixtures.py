@@ -155,7 +155,8 @@ def fx_features(d):
     return """
 SELECT e.vec_id AS id, n.vec_id AS next_id, e.embedding AS img, n.embedding AS txt,
        CASE WHEN e.vec_id % 3 = 1 THEN 0 ELSE 1 END AS img_mask, CASE WHEN e.vec_id % 3 = 0 THEN 0 ELSE 1 END AS txt_mask
-FROM embeddings e JOIN embeddings n ON n.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings)
+FROM (SELECT vec_id, embedding, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS nxt FROM embeddings) e
+JOIN embeddings n ON n.vec_id = e.nxt
 """
 
 

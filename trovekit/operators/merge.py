@@ -63,7 +63,7 @@ def merge_soft_targets(rows: DataFrame, order: str = "pos") -> DataFrame:
     entry = F.struct(order, *fields)
     ordered = F.array_sort(F.collect_list(entry))
     lists = rows.groupBy(*keys).agg(ordered.alias("rows")).select(
-        *keys, *[F.transform("rows", lambda r, f=f: r[f]).alias(f"{f}_list") for f in fields]
+        *keys, *[F.col(f"rows.{f}").alias(f"{f}_list") for f in fields]
     )
     latest = soft_target_scores(rows, order)
     maps = latest.groupBy(*keys).agg(

@@ -8,15 +8,25 @@ from pyspark.sql import types as T
 
 SLICE_ROWS = 500_000
 MAX_HOT_KEYS = 4096
+SAMPLE = 32
 
 
-def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def hot_keys(
+    df: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS, spread_by: list[str] | None = None, sample: int = SAMPLE
+) -> DataFrame:
     """The most frequent keys and how many slices each is cut into.
 
-    At most ``MAX_HOT_KEYS`` rows, so it can be broadcast.  Keys beyond that
-    are simply not sliced; no row of the join depends on this table.
+    Frequencies are estimated on one row in ``sample``, picked by the hash of
+    ``spread_by``, so finding hot keys costs a fraction of the input.  At most
+    ``MAX_HOT_KEYS`` rows, so it can be broadcast.  Keys beyond that, or missed
+    by the estimate, are simply not sliced: no row of a join depends on it.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count")).where(F.col("__count") > slice_rows)
+    rows = df
+    if sample > 1 and spread_by:
+        rows = df.where(F.pmod(F.xxhash64(*spread_by, F.lit(7)), F.lit(sample).cast("long")) == 0)
+    scale = sample if rows is not df else 1
+    counted = rows.groupBy(*keys).agg((F.count(F.lit(1)) * scale).alias("__count"))
+    counts = counted.where(F.col("__count") > slice_rows)
     top = counts.orderBy(F.desc("__count")).limit(MAX_HOT_KEYS)
     return top.select(*keys, F.ceil(F.col("__count") / slice_rows).cast("int").alias("__slices"))
 
@@ -28,21 +38,23 @@ def skew_join(
     how: str = "inner",
     slice_rows: int = SLICE_ROWS,
     spread_by: list[str] | None = None,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Join where keys may be hot on the left side.
 
     Left rows of a hot key are spread over slices by their own hash, right rows
     of that key are repeated once per slice.  The result equals the plain join.
-    ``spread_by`` names the left columns to hash (default: the scalar ones).
+    ``spread_by`` names left columns that tell its rows apart (default: the
+    scalar columns outside the key).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = F.broadcast(hot_keys(left, keys, slice_rows))
     if spread_by is None:
         nested = (T.ArrayType, T.MapType, T.VariantType)
-        spread_by = [f.name for f in left.schema.fields if not isinstance(f.dataType, nested)]
-    spread = F.xxhash64(*spread_by)
+        spread_by = [f.name for f in left.schema.fields if f.name not in keys and not isinstance(f.dataType, nested)]
+    hot = F.broadcast(hot_keys(left, keys, slice_rows, spread_by, sample))
+    spread = F.xxhash64(*(spread_by or keys))
     l = left.join(hot, keys, "left").withColumn(
         "__slice", F.pmod(spread, F.coalesce("__slices", F.lit(1)).cast("long")).cast("int")
     )
