@@ -30,6 +30,9 @@ def norm(v):
     return v
 
 
+collect_time = 0.0
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -38,7 +41,10 @@ def rows_of(names, rows):
 
 
 def compare(name, spark_df, con):
+    start = time.time()
     got_names, got = rows_of(spark_df.columns, spark_df.collect())
+    global collect_time
+    collect_time = time.time() - start
     if name not in ORACLES:
         return len(got), "rows only" if got else "NO ROWS"
     rel = con.execute(ORACLES[name])
@@ -86,7 +92,7 @@ def main():
         except Exception as e:  # report and go on
             n, verdict = -1, f"ERROR {type(e).__name__}: {str(e)[:900]}"
         failed += verdict not in ("ok", "rows only")
-        print(f"{name:28s} {n:8d} {time.time() - start:6.2f}s {verdict}", flush=True)
+        print(f"{name:28s} {n:8d} {time.time() - start:6.2f}s (collect {collect_time:6.2f}s) {verdict}", flush=True)
     print(f"{len(names)} queries, {failed} failed")
     spark.stop()
     sys.exit(1 if failed else 0)

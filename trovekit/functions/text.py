@@ -1,7 +1,7 @@
 r"""Text cleaning, word windows and source-content helpers, all JVM-side.
 
-``WS`` is the set of characters that count as white space everywhere in this
-package: Unicode white space plus the four ASCII separators.
+White space everywhere in this package means Unicode white space plus the four
+ASCII separators.
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from trovekit import constants as K
 
+# The 29 characters that count as white space.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WS = r"[\s\x1c-\x1f]"
 
 
@@ -19,7 +24,7 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), rf"(?U)^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c) -> Column:
@@ -29,9 +34,10 @@ def clean_text(c) -> Column:
     character is upper-cased and a missing final mark becomes a full stop.
     """
     s = strip(F.replace(F.coalesce(_col(c), F.lit("")), F.lit("\r"), F.lit("")))
-    s = F.regexp_replace(s, '^"+|"+$', "")
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
-    return F.when(s == "", s).when(s.rlike(r"[.?!]\z"), s).otherwise(F.concat(s, F.lit(".")))
+    s = F.btrim(s, F.lit('"'))
+    upper_first = F.concat(F.upper(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))
+    closed = F.endswith(s, F.lit(".")) | F.endswith(s, F.lit("?")) | F.endswith(s, F.lit("!"))
+    return F.when(s == "", s).when(closed, upper_first).otherwise(F.concat(upper_first, F.lit(".")))
 
 
 def words(c) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trovekit.functions.vectors import normalize, squared_distance, subtract
 from trovekit.operators.blocks import _matrix
 from trovekit.operators.quantize import BROADCAST_BYTES, codebook_bytes
-from trovekit.operators.skew import skew_join
+from trovekit.operators.skew import lookup_join, skew_join
 from trovekit.session import materialize
 
 DIGITS = 6
@@ -73,7 +73,7 @@ def _score_children(expanded: DataFrame, book: np.ndarray, beams: int) -> DataFr
 def _score_by_join(expanded: DataFrame, book: DataFrame) -> DataFrame:
     """The same with the centroids joined, for a level too large to send."""
     options = expanded.select("qid", "prefix", "score", "residual", F.explode("nexts").alias("next"))
-    found = skew_join(options, book.select(F.col("code").alias("next"), "centroid"), "next", spread_by=["qid", "score"])
+    found = lookup_join(options, book.select(F.col("code").alias("next"), "centroid"), "next")
     return found.select(
         "qid",
         F.concat("prefix", F.array("next")).alias("prefix"),
@@ -107,9 +107,10 @@ def beam_search(
     )
     for level in range(levels):
         children = index.where(F.size("prefix") == level).select("prefix", "nexts")
-        # Early levels: few prefixes shared by all queries; the hot ones are
-        # sliced.  Later levels: many prefixes, few beams each.
-        expanded = skew_join(state, children, "prefix", spread_by=["qid"])
+        # One row per prefix on the right, its children in an array.  The first
+        # levels have few prefixes, so their side is measured small and sent to
+        # the beams; later levels have many prefixes with few beams each.
+        expanded = lookup_join(state, children, "prefix")
         book = codebooks.where(F.col("level") == level)
         if codebook_bytes(book) <= limit:
             rows = {r[0]: r[1] for r in book.select("code", "centroid").collect()}

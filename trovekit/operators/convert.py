@@ -15,7 +15,7 @@ from trovekit.functions.text import clean_text, contains_answer, doc_key, folder
 from trovekit.operators.links import NEG, POS, keep_with_positive
 from trovekit.operators.numbering import BUCKET_ROWS, assign_ids
 from trovekit.operators.pools import first_seen
-from trovekit.operators.skew import skew_join
+from trovekit.operators.skew import lookup_join, skew_join
 from trovekit.sources.images import with_valid_image
 
 
@@ -50,7 +50,7 @@ def caption_pairs(raw: DataFrame, pool: DataFrame, manifest: DataFrame | None =
         doc_key(none, "img_path", F.lit(K.IMAGE)).alias("doc_key"),
     )
     queries = rows.select("pos", F.inline(F.array(image_query, text_query)))
-    return skew_join(queries, pool_keys(pool), "doc_key", spread_by=["pos", "part"]).drop("doc_key")
+    return lookup_join(queries, pool_keys(pool), "doc_key").drop("doc_key")
 
 
 def graded_candidates(graded: DataFrame, pool: DataFrame, positive_score: int = 3) -> DataFrame:
@@ -60,7 +60,7 @@ def graded_candidates(graded: DataFrame, pool: DataFrame, positive_score: int =
     ``img_path``, ``modality``, ``score``.  Queries without positive go.
     """
     keyed = graded.select("qid", "ord", "score", doc_key().alias("doc_key"))
-    found = skew_join(keyed, pool_keys(pool), "doc_key", spread_by=["qid", "ord"])
+    found = lookup_join(keyed, pool_keys(pool), "doc_key")
     label = F.when(F.col("score") == positive_score, F.lit(POS)).otherwise(F.lit(NEG))
     return keep_with_positive(found.select("qid", label.alias("label"), "ord", "did"))
 
@@ -98,7 +98,7 @@ def fact_lists(facts: DataFrame, pool: DataFrame) -> DataFrame:
             clean_text("fact.txt"), F.when(F.col("modality") == K.IMAGE_TEXT, F.col("fact.img_path")), "modality"
         ).alias("doc_key"),
     )
-    return skew_join(keyed, pool_keys(pool), "doc_key", spread_by=["qid", "label", "ord"]).drop("doc_key")
+    return lookup_join(keyed, pool_keys(pool), "doc_key").drop("doc_key")
 
 
 def soft_targets(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def soft_targets(queries: DataFrame, images: DataFrame) -> DataFrame:
     and ``did``.  Queries without positive go.
     """
     targets = queries.select("qid", F.posexplode("target_soft").alias("ord", "image_id", "score"))
-    found = skew_join(targets, images, "image_id", spread_by=["qid", "ord"])
+    found = lookup_join(targets, images, "image_id")
     label = F.when(F.col("score") == 1.0, F.lit(POS)).otherwise(F.lit(NEG))
     return keep_with_positive(found.select("qid", label.alias("label"), "ord", "did"))
 
@@ -130,7 +130,7 @@ def votes(triplets: DataFrame, images: DataFrame) -> DataFrame:
     )
     pos = images.select(F.col("image_id").alias("pos_key"), F.col("did").alias("pos_did"))
     neg = images.select(F.col("image_id").alias("neg_key"), F.col("did").alias("neg_did"))
-    found = skew_join(skew_join(keyed, pos, "pos_key", spread_by=["qid"]), neg, "neg_key", spread_by=["qid"])
+    found = lookup_join(lookup_join(keyed, pos, "pos_key"), neg, "neg_key")
     return found.select("qid", "pos_did", "neg_did")
 
 
@@ -149,8 +149,8 @@ def composed_queries(rows: DataFrame, images: DataFrame, concatenate: bool = Tru
     queries = queries.where(F.col("query_txt") != "")
     reference = images.select(F.col("image_id").alias("candidate"), F.col("img_path").alias("query_img_path"))
     target = images.select(F.col("image_id").alias("target"), "did")
-    with_reference = skew_join(queries, reference, "candidate", spread_by=["pos", "part"])
-    return skew_join(with_reference, target, "target", spread_by=["pos", "part"]).select(
+    with_reference = lookup_join(queries, reference, "candidate")
+    return lookup_join(with_reference, target, "target").select(
         "pos", "part", "query_txt", "query_img_path", F.lit(K.IMAGE_TEXT).alias("query_modality"), "did"
     )
 
@@ -166,7 +166,7 @@ def entity_questions(questions: DataFrame, entities: DataFrame, manifest: DataFr
     rows = rows.withColumn("query_txt", clean_text("question")).where(F.col("query_txt") != "")
     if manifest is not None:
         rows = with_valid_image(rows, manifest)
-    return skew_join(rows, entities.select("entity_id", "did"), "entity_id", spread_by=["data_id"])
+    return lookup_join(rows, entities.select("entity_id", "did"), "entity_id")
 
 
 def answerable_questions(
@@ -186,7 +186,7 @@ def answerable_questions(
     linked = rows.join(entity_of, "data_id")
     if question_types is not None:
         linked = linked.join(question_types, "data_id", "left")
-    found = skew_join(linked, articles.select("entity_id", "content"), "entity_id", spread_by=["data_id"])
+    found = lookup_join(linked, articles.select("entity_id", "content"), "entity_id")
     return found.where(contains_answer("content", "answer", "answer_eval")).drop("content")
 
 
@@ -216,23 +216,25 @@ def extend_by_entity(links: DataFrame, pool: DataFrame, other: DataFrame) -> Dat
     """Add the candidates of another pool that share an entity with a positive.
 
     ``pool`` has ``did``, ``entity_id``; ``other`` has ``entity_id``, ``ord``,
-    ``did``.  New candidates follow the existing ones, without repeats.
+    ``did``.  The added candidates follow the existing ones, each added once.
     """
     positives = links.where(F.col("label") == POS)
-    entity = skew_join(positives, pool.select("did", "entity_id"), "did", spread_by=["qid", "ord"]).select("qid", "ord", "entity_id")
+    entity = lookup_join(positives, pool.select("did", "entity_id"), "did").select("qid", "ord", "entity_id")
     more = skew_join(
-        entity.withColumnRenamed("ord", "__base"), other.select("entity_id", F.col("ord").alias("__ord"), "did"), "entity_id"
+        entity.withColumnRenamed("ord", "__base"),
+        other.select("entity_id", F.col("ord").alias("__ord"), "did"),
+        "entity_id",
+        spread_by=["qid", "__base"],
     )
-    new = more.join(positives.select("qid", "did"), ["qid", "did"], "left_anti")
-    new = new.groupBy("qid", "did").agg(F.min(F.struct("__base", "__ord")).alias("__at"))
+    new = more.groupBy("qid", "did").agg(F.min(F.struct("__base", "__ord")).alias("__at"))
     return _appended(links, new)
 
 
 def extend_by_content(links: DataFrame, pool: DataFrame, other: DataFrame) -> DataFrame:
     """Add, per positive, the other pool's candidate with the same content."""
     positives = links.where(F.col("label") == POS)
-    keyed = skew_join(positives, pool.select("did", doc_key().alias("doc_key")), "did", spread_by=["qid", "ord"])
-    found = skew_join(keyed.select("qid", "ord", "doc_key"), pool_keys(other), "doc_key", spread_by=["qid", "ord"])
+    keyed = lookup_join(positives, pool.select("did", doc_key().alias("doc_key")), "did")
+    found = lookup_join(keyed.select("qid", "ord", "doc_key"), pool_keys(other), "doc_key")
     new = found.select("qid", "did", F.struct(F.col("ord").alias("__base"), F.lit(0).alias("__ord")).alias("__at"))
     return _appended(links, new)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovekit.operators.skew import skew_join
+from trovekit.operators.skew import lookup_join
 
 
 def prefix_edges(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -44,7 +44,7 @@ def extend_index(index: DataFrame, codes: DataFrame, code: str = "code") -> Data
 def lookup(prefixes: DataFrame, index: DataFrame, prefix: str = "prefix") -> DataFrame:
     """Next tokens of each asked prefix; unknown and complete ones get none."""
     nexts = index.select(F.col("prefix").alias(prefix), "nexts")
-    joined = skew_join(prefixes, nexts, prefix, "left")
+    joined = lookup_join(prefixes, nexts, prefix, "left")
     return joined.withColumn("nexts", F.coalesce("nexts", F.array().cast("array<int>")))
 
 
@@ -62,7 +62,7 @@ def chained_lookup(prefixes: DataFrame, first: DataFrame, second: DataFrame, bos
     roots = second.where(F.size("prefix") == 0).select(F.col("nexts").alias("roots"), F.lit(1).alias("__root"))
     a = lookup(prefixes, first).withColumnRenamed("nexts", "a")
     b = lookup(a, second).withColumnRenamed("nexts", "b")
-    flagged = skew_join(b, known.withColumn("__known", F.lit(True)), "prefix", "left")
+    flagged = lookup_join(b, known.withColumn("__known", F.lit(True)), "prefix", "left")
     # one row of roots, at most the vocabulary long
     is_root = F.size("prefix") == 0
     joined = flagged.withColumn("__root", is_root.cast("int")).join(F.broadcast(roots), "__root", "left")

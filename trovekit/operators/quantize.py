@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from trovekit.functions.codes import same_levels
 from trovekit.functions.vectors import mean_squared_error, normalize
 from trovekit.operators.blocks import _matrix, _unit, blocked_top_k
-from trovekit.operators.skew import chunked_changes, chunked_running_sum, skew_join
+from trovekit.operators.skew import chunked_changes, chunked_running_sum, lookup_join
 from trovekit.session import materialize
 
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -114,7 +114,7 @@ def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector
         best = blocked_top_k(
             state, book, 1, query_id=key, query_vector="residual", pool_id="choice", pool_vector="centroid", metric="l2"
         ).select(key, "choice")
-        chosen = skew_join(best, book, "choice")
+        chosen = lookup_join(best, book, "choice")
         state = state.join(chosen, key).select(
             key,
             F.zip_with("residual", "centroid", lambda r, c: r - c).alias("residual"),
@@ -172,7 +172,7 @@ def _subtract_nearest(residual: DataFrame, centers: np.ndarray) -> DataFrame:
 def reconstruct(codes: DataFrame, codebooks: DataFrame, key: str = "did") -> DataFrame:
     """(key, quant) from codes: normalised sum of the chosen centroids."""
     chosen = codes.select(key, F.posexplode("code").alias("level", "code"))
-    found = skew_join(chosen, codebooks, ["level", "code"], spread_by=[key])
+    found = lookup_join(chosen, codebooks, ["level", "code"])
     entries = found.select(key, F.posexplode("centroid").alias("i", "x"))
     sums = entries.groupBy(key, "i").agg(F.sum("x").alias("x"))
     total = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
@@ -188,7 +188,7 @@ def unique_codes(
     vector of their code; a vector close to the first takes the current count.
     """
     first = coded.groupBy(code).agg(F.min_by(vector, position).alias("__first"))
-    joined = skew_join(coded, first, code)
+    joined = lookup_join(coded, first, code)
     apart = F.exists(
         F.zip_with("__first", vector, lambda a, b: F.abs(a - b) > tolerance + 1e-5 * F.abs(b)), lambda x: x
     )

@@ -40,7 +40,7 @@ def skew_join(
     spread_by: list[str] | None = None,
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """Join where keys may be hot on the left side.
+    """Many-to-many join where keys may be hot on the left side.
 
     Left rows of a hot key are spread over slices by their own hash, right rows
     of that key are repeated once per slice.  The result equals the plain join.
@@ -64,6 +64,17 @@ def skew_join(
     return l.drop("__slices").join(r.drop("__slices"), [*keys, "__slice"], how).drop("__slice")
 
 
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str] | str, how: str = "inner") -> DataFrame:
+    """Join to a side whose key is unique.
+
+    Every left row meets at most one right row, so a hot key only makes one
+    shuffle partition large; adaptive execution splits such partitions
+    (``spark.sql.adaptive.skewJoin``) or broadcasts a right side it has measured
+    to be small.  No salt is needed, and the left side is computed once.
+    """
+    return left.join(right, keys, how)
+
+
 def chunked_changes(
     df: DataFrame, key: str, position: str, value: str, width: int = 100_000, out: str = "changes"
 ) -> DataFrame:
