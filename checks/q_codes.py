@@ -310,8 +310,8 @@ def code_rerank(t):
     sql=RETRIEVED
     + """
 , tasks AS (SELECT qid, min_by(task_id, pos) AS task_id FROM fx_qrels GROUP BY qid),
-both AS (SELECT 'c' AS stage, qid, did, rank FROM plain UNION ALL SELECT 'r', qid, did, rank FROM reranked),
-first AS (SELECT b.stage, t.qid, t.task_id, min(b.rank) FILTER (WHERE q.did IS NOT NULL) AS fr FROM tasks t JOIN both b ON b.qid = t.qid
+staged AS (SELECT 'c' AS stage, qid, did, rank FROM plain UNION ALL SELECT 'r', qid, did, rank FROM reranked),
+first AS (SELECT b.stage, t.qid, t.task_id, min(b.rank) FILTER (WHERE q.did IS NOT NULL) AS fr FROM tasks t JOIN staged b ON b.qid = t.qid
           LEFT JOIN fx_qrels q ON q.qid = b.qid AND q.did = b.did GROUP BY ALL),
 k AS (SELECT 1 AS k UNION ALL SELECT 5 UNION ALL SELECT 10)
 SELECT task_id::BIGINT AS task_id, k::BIGINT AS k, count(*) FILTER (WHERE stage = 'c' AND fr <= k) AS hits_codes, count(*) FILTER (WHERE stage = 'r' AND fr <= k) AS hits_rerank

@@ -346,7 +346,7 @@ BATCH = f"""
     sql=BATCH
     + """
 , s AS (SELECT a.batch, a.pos, c.pos AS other, list_dot_product(a.q, c.p) / 0.07 AS l FROM b a JOIN b c ON a.batch = c.batch),
-r AS (SELECT batch, pos, ln(sum(exp(l))) - max(l) FILTER (WHERE pos = other) AS loss, arg_max(other, round(l, 6)) = pos AS hit FROM s GROUP BY ALL)
+r AS (SELECT batch, pos, ln(sum(exp(l))) - max(l) FILTER (WHERE pos = other) AS loss, arg_max(other, round(l, 6)) = pos AS hit FROM s GROUP BY batch, pos)
 SELECT batch, count(*) AS n, round(avg(loss), 5) AS loss, round(avg(hit::INT), 6) AS accuracy FROM r GROUP BY batch
 """,
 )

@@ -80,8 +80,8 @@ def _unpack_ids(payload: bytes) -> np.ndarray:
 class _Group:
     """Running top k of one query group over the pool blocks seen so far."""
 
-    def __init__(self, k: int, metric: str, width: str):
-        self.k, self.metric, self.width = k, metric, width
+    def __init__(self, k: int, metric: str, digits: int = DIGITS):
+        self.k, self.metric, self.digits = k, metric, digits
         self.parts, self.names = [], []
         self.q64 = None
 
@@ -131,7 +131,7 @@ class _Group:
                 exact[a : a + step] = -((q - p) ** 2).sum(1)
             else:
                 exact[a : a + step] = np.einsum("ij,ij->i", q, p)
-        self._merge(qi, np.round(exact, DIGITS) + 0.0, ids[pi])
+        self._merge(qi, np.round(exact, self.digits) + 0.0, ids[pi])
 
     def _merge(self, qi, scores, ids):
         q = np.concatenate([self.q, qi])
@@ -160,7 +160,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / norm
 
 
-def _search_batches(k: int, metric: str, width: str, qtype: pa.DataType, dtype: pa.DataType):
+def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.DataType, dtype: pa.DataType):
     def emit(group):
         found = group.result() if group else None
         if found is None:
@@ -182,7 +182,7 @@ def _search_batches(k: int, metric: str, width: str, qtype: pa.DataType, dtype:
                 key = (row["slot"], row["grp"])
                 if key != current:
                     yield from emit(group)
-                    current, group = key, _Group(k, metric, width)
+                    current, group = key, _Group(k, metric, digits)
                 ids = _unpack_ids(row["ids"])
                 mat = np.frombuffer(row["mat"], width).reshape(row["n"], row["dim"])
                 if row["side"] == 0:
@@ -205,11 +205,12 @@ def blocked_top_k(
     metric: str = "cosine",
     slices: int | None = None,
     group_rows: int = GROUP_ROWS,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """(query id, pool id, score, rank): the k best pool rows per query.
 
     ``metric``: ``cosine`` (inner product of unit vectors), ``ip`` or ``l2``
-    (negative squared distance).  Scores are rounded to six digits; ties go to
+    (negative squared distance).  Scores are rounded to ``digits``; ties go to
     the smaller id.  ``slices`` cuts the pool (default: the session's shuffle
     partitions, at least one per core of the cluster's setting).
     """
@@ -243,7 +244,7 @@ def blocked_top_k(
     schema = T.StructType(
         [T.StructField("qid", qt), T.StructField("did", dt), T.StructField("score", T.DoubleType())]
     )
-    partial = met.mapInArrow(_search_batches(k, metric, width, to_arrow_type(qt), to_arrow_type(dt)), schema)
+    partial = met.mapInArrow(_search_batches(k, metric, width, digits, to_arrow_type(qt), to_arrow_type(dt)), schema)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(query_id), F.col("did").alias(pool_id), "score", "rank")

@@ -65,7 +65,7 @@ def _bucket_batches(k: int):
             for a, b in zip(bounds, bounds[1:]):
                 if key[a] != current:
                     yield from emit(group)
-                    current, group = key[a], _Group(k, "cosine", "<f8")
+                    current, group = key[a], _Group(k, "cosine")
                 part = batch.slice(a, b - a)
                 ids = np.array(part.column("id").to_pylist(), object)
                 mat = _matrix(part.column("vec"), "<f8")

@@ -112,7 +112,15 @@ def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector
     for level in levels:
         book = codebooks.where(F.col("level") == level).select(F.col("code").alias("choice"), "centroid")
         best = blocked_top_k(
-            state, book, 1, query_id=key, query_vector="residual", pool_id="choice", pool_vector="centroid", metric="l2"
+            state,
+            book,
+            1,
+            query_id=key,
+            query_vector="residual",
+            pool_id="choice",
+            pool_vector="centroid",
+            metric="l2",
+            digits=12,
         ).select(key, "choice")
         chosen = lookup_join(best, book, "choice")
         state = state.join(chosen, key).select(
