@@ -7,7 +7,7 @@ only for the stored query records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POS = "pos"
@@ -50,8 +50,13 @@ def queries_with_positive(links: DataFrame) -> DataFrame:
 
 
 def keep_with_positive(links: DataFrame) -> DataFrame:
-    """Links of queries that have a positive."""
-    return links.join(queries_with_positive(links), "qid", "left_semi")
+    """Links of queries that have a positive.
+
+    One pass over the links, partitioned by query as the lists built from them
+    are; a query's links are as many as its own candidates.
+    """
+    has = F.max((F.col("label") == POS).cast("int")).over(Window.partitionBy("qid"))
+    return links.withColumn("__has", has).where(F.col("__has") == 1).drop("__has")
 
 
 def first_positive(links: DataFrame) -> DataFrame:

@@ -29,8 +29,9 @@ def first_seen(df: DataFrame, keys, order) -> DataFrame:
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return best.select("__row.*")
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return best.select(*[F.col(f"__row.{c}") if c in rest else F.col(c) for c in df.columns])
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -95,10 +96,17 @@ def text_image_pool(raw: DataFrame, dataset, source_content: Column | None = Non
         _candidate(K.IMAGE, F.lit(None), F.col("img_path"), K.IMAGE),
     )
     rows = raw.select("pos", content.alias("src_content"), F.posexplode(both).alias("part", "c"))
-    rows = rows.select("pos", "part", "src_content", "c.txt", "c.img_path", "c.modality")
-    rows = rows.withColumn("value", F.coalesce("txt", "img_path")).where(F.coalesce("value", F.lit("")) != "")
-    unique = first_seen(rows, ["modality", "value"], ["pos", "part"])
-    return number_candidates(unique, dataset, ["part"]).drop("part", "value")
+    rows = rows.select("pos", "part", "src_content", "c.modality", F.coalesce("c.txt", "c.img_path").alias("value"))
+    unique = first_seen(rows.where(F.col("value") != ""), ["modality", "value"], ["pos", "part"])
+    numbered = number_candidates(unique, dataset, ["part"])
+    return numbered.select(
+        "pos",
+        "did",
+        F.when(F.col("modality") == K.TEXT, F.col("value")).alias("txt"),
+        F.when(F.col("modality") == K.IMAGE, F.col("value")).alias("img_path"),
+        "modality",
+        "src_content",
+    )
 
 
 def split_subpools(raw: DataFrame, dataset) -> tuple[DataFrame, DataFrame]:
