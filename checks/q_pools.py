@@ -258,11 +258,11 @@ def merge_override(t):
 
 @query(
     """
-SELECT 'd:' || (doc_id % 700) AS did, count(DISTINCT lang || '/' || text) AS n_contents FROM documents GROUP BY 1 HAVING count(DISTINCT lang || '/' || text) > 1
+SELECT 'd:' || (doc_id // 2) AS did, count(DISTINCT lang || '/' || text) AS n_contents FROM documents GROUP BY 1 HAVING count(DISTINCT lang || '/' || text) > 1
 """
 )
 def conflict_report(t):
-    rows = t.documents.select(F.concat(F.lit("d:"), (F.col("doc_id") % 700).cast("string")).alias("did"), "lang", "text")
+    rows = t.documents.select(F.concat(F.lit("d:"), F.floor(F.col("doc_id") / 2).cast("string")).alias("did"), "lang", "text")
     return pools.conflicting_candidates(rows)
 
 

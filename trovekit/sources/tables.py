@@ -59,7 +59,7 @@ def read_object_rows(spark: SparkSession, path, value_type: T.DataType | str) ->
 
     The format makes a file the unit of parsing; many files parse in parallel.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return object_rows(text, value_type)
 
 
