@@ -154,6 +154,13 @@ def test_sampling_ignores_partitioning(spark):
     assert a == b and len(a) == 30
 
 
+def test_large_caps_equal_small_caps(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"))
+    window = rows(sampling.cap_per_group(df, "g", "key", 200), "key", "rank")
+    monkeypatch.setattr(sampling, "WINDOW_LIMIT", 10)
+    assert rows(sampling.cap_per_group(df, "g", "key", 200), "key", "rank") == window
+
+
 def test_evaluation_samples_keep_own_dataset(spark):
     q = spark.createDataFrame([("5:1", ["6:1", "5:2"]), ("5:2", ["6:1"])], "qid string, pos_cand_list array<string>")
     assert [r.pos_cand_list for r in samples.same_dataset_positives(q).orderBy("qid").collect()] == [["5:2"], []]

@@ -237,7 +237,9 @@ def blocked_top_k(
         "dim",
         "n",
     )
-    met = q.unionByName(p).repartition(slices * groups, "slot", "grp").sortWithinPartitions("slot", "grp", "side")
+    # One partition per (slice, group): direct ids avoid collisions of a hash.
+    target = F.col("slot") * groups + F.col("grp")
+    met = q.unionByName(p).repartitionById(slices * groups, target).sortWithinPartitions("slot", "grp", "side")
     from pyspark.sql.pandas.types import to_arrow_type
 
     qt, dt = queries.schema[query_id].dataType, pool.schema[pool_id].dataType

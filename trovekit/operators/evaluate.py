@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
@@ -28,11 +28,12 @@ def first_relevant(run: DataFrame, qrels: DataFrame, by: list[str] | None = None
     """
     by = by or []
     scope = [c for c in by if c in qrels.columns]
-    found = run.join(qrels.select(*scope, "qid", "did").distinct(), [*scope, "qid", "did"])
-    best = found.groupBy(*by, "qid").agg(F.min("rank").alias("first_rank"))
+    # The run is read once: judgements are attached, then reduced per query.
+    relevant = qrels.select(*scope, "qid", "did").distinct().withColumn("__hit", F.lit(True))
+    judged = run.select(*by, "qid", "did", "rank").join(relevant, [*scope, "qid", "did"], "left")
+    best = judged.groupBy(*by, "qid").agg(F.min(F.when(F.col("__hit"), F.col("rank"))).alias("first_rank"))
     tasks = qrels.groupBy(*scope, "qid").agg(F.min_by("task_id", "pos").alias("task_id"))
-    asked = run.select(*by, "qid").distinct()
-    return asked.join(tasks, [*scope, "qid"]).join(best, [*by, "qid"], "left")
+    return best.join(tasks, [*scope, "qid"])
 
 
 def unjudged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -104,18 +105,21 @@ def long_results(results: DataFrame, metrics: list[str] | None = None) -> DataFr
         *[F.struct(F.lit(i).alias("MetricOrder"), F.lit(m).alias("Metric"), F.col(f"`{m}`").cast("double").alias("Value")) for i, m in enumerate(metrics)]
     )
     rows = results.select(*key, "CandPool", F.inline(entries))
-    union = rows.where(F.col("CandPool") == "union").select(*key, "Metric", F.col("Value").alias("__union"), F.lit(True).alias("__has"))
-    single = rows.where((F.col("CandPool") != "union") & F.col("Value").isNotNull())
-    joined = single.join(union, [*key, "Metric"], "left")
-    has = F.coalesce("__has", F.lit(False))
-    return joined.select(
+    # A result table has a handful of rows; one window avoids evaluating the
+    # retrieval behind it a second time for a self-join.
+    same = Window.partitionBy(*key, "Metric")
+    is_union = F.col("CandPool") == "union"
+    has = F.max(is_union).over(same)
+    union = F.max(F.when(is_union, F.col("Value"))).over(same)
+    placed = rows.withColumn("__has", has).withColumn("__union", union)
+    return placed.where(~is_union & F.col("Value").isNotNull()).select(
         *key,
         "Metric",
         "MetricOrder",
         "CandPool",
         "Value",
-        F.when(has, "union").otherwise("").alias("UnionPool"),
-        F.when(has, F.coalesce(F.col("__union").cast("string"), F.lit("N/A"))).otherwise("").alias("UnionValue"),
+        F.when(F.col("__has"), "union").otherwise("").alias("UnionPool"),
+        F.when(F.col("__has"), F.coalesce(F.col("__union").cast("string"), F.lit("N/A"))).otherwise("").alias("UnionValue"),
     )
 
 

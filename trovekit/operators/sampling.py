@@ -9,6 +9,7 @@ from trovekit.functions.stable import SEED, cycled, hash_bucket, hash_order, pic
 from trovekit.functions.text import clean_text
 from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows
 from trovekit.operators.pools import chunked_kb_rows, referenced_ids
+from trovekit.operators.skew import lookup_join
 
 
 def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
@@ -16,14 +17,30 @@ def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(hash_order(key, seed), key))
 
 
+# Up to this rank Spark itself limits every task's rows before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+WINDOW_LIMIT = 1000
+
+
 def cap_per_group(df: DataFrame, group: list[str] | str, key: str, limit: int, seed=SEED) -> DataFrame:
-    """At most ``limit`` rows per group, chosen by hash.
+    """At most ``limit`` rows per group, chosen by hash; adds ``rank``.
 
-    The rank limit runs before the shuffle in every task, so a hot group sends
-    at most ``limit`` rows per task.
+    For a small limit the rank filter runs before the shuffle in every task, so
+    a hot group sends at most ``limit`` rows per task.  For a large limit the
+    group is cut into hash buckets: whole buckets beyond the limit are dropped
+    by their counts, the rest is ranked bucket by bucket, so no task ever sorts
+    a whole group.
     """
     group = [group] if isinstance(group, str) else list(group)
-    return df.withColumn("rank", hash_rank(group, key, seed)).where(F.col("rank") <= limit)
+    if limit <= WINDOW_LIMIT:
+        return df.withColumn("rank", hash_rank(group, key, seed)).where(F.col("rank") <= limit)
+    rows = df.withColumn("__b", hash_bucket(key, seed))
+    sizes = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__size")
+    needed = sizes.select(*group, "__b", before.alias("__before")).where(F.col("__before") < limit)
+    kept = lookup_join(rows, needed, [*group, "__b"])
+    ranked = kept.withColumn("rank", (hash_rank([*group, "__b"], key, seed) + F.col("__before")).cast("int"))
+    return ranked.where(F.col("rank") <= limit).drop("__b", "__before")
 
 
 def split_per_group(

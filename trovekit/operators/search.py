@@ -73,9 +73,9 @@ def hard_negatives(run: DataFrame, links: DataFrame, n: int) -> DataFrame:
     fresh = run.select("qid", "did", "rank").join(links.select("qid", "did").distinct(), ["qid", "did"], "left_anti")
     per_query = Window.partitionBy("qid").orderBy("rank")
     placed = fresh.withColumn("at", F.row_number().over(per_query) - 1).where(F.col("at") < n)
-    counts = placed.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("m"))
-    slots = F.sequence(F.col("at"), F.lit(n - 1), F.col("m"))
-    repeated = placed.join(counts, "qid").select("qid", F.explode(slots).alias("ord"), "did")
+    # at most n rows per query are left here
+    counted = placed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("qid")).cast("int"))
+    repeated = counted.select("qid", F.explode(F.sequence(F.col("at"), F.lit(n - 1), F.col("m"))).alias("ord"), "did")
     return repeated.select("qid", F.lit(NEG).alias("label"), "ord", "did")
 
 
