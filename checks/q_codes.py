@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, unit
+from checks.base import query, rate_sql, unit
 from checks.q_search import FUSED, query_vectors
 from trovekit.functions import codes as C
 from trovekit.operators import beam, code_search, evaluate, prefix, quantize
+from trovekit.plans import retrieval
 from trovekit.session import materialize
 
 LEVELS, BEAMS = 3, 5
@@ -361,3 +362,38 @@ def quant_error(t):
 )
 def modality_code(t):
     return t.fx_vectors.select("id", C.modality_code("modality").cast("long").alias("code"))
+
+
+@query(
+    needs=NEED,
+    sql=RETRIEVED
+    + f"""
+, tasks AS (SELECT qid, min_by(task_id, pos) AS task_id FROM fx_qrels GROUP BY qid),
+first AS (SELECT t.qid, t.task_id, min(r.rank) FILTER (WHERE q.did IS NOT NULL) AS fr FROM tasks t JOIN reranked r ON r.qid = t.qid
+          LEFT JOIN fx_qrels q ON q.qid = r.qid AND q.did = r.did GROUP BY ALL),
+hits AS (SELECT task_id, count(*) AS n, count(*) FILTER (WHERE fr <= 1) AS h1, count(*) FILTER (WHERE fr <= 10) AS h10 FROM first GROUP BY task_id)
+SELECT task_id::BIGINT AS task_id, n, {rate_sql('h1', 'n')} AS r1, {rate_sql('h10', 'n')} AS r10 FROM hits
+""",
+)
+def code_eval(t):
+    pool = t.fx_vectors.select(F.col("id").alias("did"), "embedding", "pos")
+    run = retrieval.code_retrieval(query_vectors(t), pool, t.fx_codebooks, LEVELS, BEAMS, 10)
+    rates = evaluate.hit_rates(evaluate.hit_counts(run, t.fx_qrels, [1, 10]), [1, 10])
+    return rates.select(
+        F.col("task_id").cast("long").alias("task_id"), "n", F.col("Recall@1").alias("r1"), F.col("Recall@10").alias("r10")
+    )
+
+
+@query(
+    needs="fx_qrels fx_codebooks",
+    sql=POOL_CODES
+    + f"""
+, x AS (SELECT {unit('a.total')} AS q, {unit('b.total')} AS p FROM fx_qrels r JOIN codes a ON a.did = r.qid JOIN codes b ON b.did = r.did)
+SELECT round(avg(list_distance(q, p) ** 2 / 64), 8) AS mse, count(*) AS n FROM x
+""",
+)
+def pair_quant_error(t):
+    codes = materialize(pool_codes(t).select("did", "quant"), "codes")
+    q = codes.select(F.col("did").alias("qid"), F.col("quant").alias("q"))
+    pairs = t.fx_qrels.select("qid", "did").join(q, "qid").join(codes, "did")
+    return quantize.quantisation_error(pairs, "q", "quant").withColumn("mse", F.round("mse", 8))

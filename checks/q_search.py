@@ -1,5 +1,6 @@
 """Embedding retrieval, evaluation and mining."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import domain_sql, query, rate_sql, task_id_sql, task_name_sql, unit, words
@@ -239,11 +240,14 @@ def results(t):
     needs="fx_features fx_qrels",
     sql=RESULTS
     + f"""
-SELECT task_id::BIGINT AS "TaskID", {task_name_sql('task_id')} AS "Task", 'vectors' AS "Dataset", 'test' AS "Split", pool AS "CandPool", r1, r10 FROM res
+SELECT task_id::BIGINT AS "TaskID", {task_name_sql('task_id')} AS "Task", 'vectors' AS "Dataset", 'test' AS "Split", pool AS "CandPool", r1, r10,
+       row_number() OVER (ORDER BY task_id, CASE pool WHEN 'union' THEN 99 ELSE 0 END) AS place FROM res
 """,
 )
 def result_order(t):
-    rows = results(t)
+    # a result table has two rows per task: numbering it needs one small partition
+    place = F.row_number().over(Window.orderBy(*evaluate.order_columns()))
+    rows = results(t).withColumn("place", place.cast("long"))
     return rows.withColumnRenamed("Recall@1", "r1").withColumnRenamed("Recall@10", "r10").withColumn("TaskID", F.col("TaskID").cast("long"))
 
 

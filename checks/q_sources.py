@@ -306,3 +306,27 @@ def io_roundtrip_results_tsv(t):
     tables.write_tsv(rows, path)
     back = t.spark.read.schema(rows.schema).option("sep", "\t").option("header", True).csv(path)
     return back.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic, count(*) OVER () AS n FROM labels")
+def json_entries(t):
+    # JSON arrays of 100 entries per file, counted and read back
+    path = scratch_path(t.spark, "arrays") + ".json"
+    arrays = t.labels.groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("value")
+    )
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    back = records.read_entries(t.spark, path, "doc_id long, quality long, toxic long").drop("part")
+    return back.withColumn("n", F.lit(back.count()))
+
+
+@query(
+    needs="fx_raw_pairs",
+    sql="SELECT pos, img_path, split FROM fx_raw_pairs WHERE split <> 'train'",
+)
+def rows_by_split(t):
+    # splits are partition folders, so the training files are not read
+    path = scratch_path(t.spark, "splits")
+    t.fx_raw_pairs.select("pos", "img_path", "split").write.partitionBy("split").parquet(path)
+    stored = t.spark.read.schema("pos long, img_path string, split string").parquet(path)
+    return stored.where(F.col("split") != "train")

@@ -206,17 +206,18 @@ def blocked_top_k(
     slices: int | None = None,
     group_rows: int = GROUP_ROWS,
     digits: int = DIGITS,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """(query id, pool id, score, rank): the k best pool rows per query.
 
     ``metric``: ``cosine`` (inner product of unit vectors), ``ip`` or ``l2``
     (negative squared distance).  Scores are rounded to ``digits``; ties go to
     the smaller id.  ``slices`` cuts the pool (default: the session's shuffle
-    partitions, at least one per core of the cluster's setting).
+    partitions).  ``n_queries`` spares the count that sizes the query groups.
     """
     spark = queries.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_queries = queries.count()
+    n_queries = queries.count() if n_queries is None else n_queries
     groups = max(1, -(-n_queries // group_rows))
     width = max(_width(queries, query_vector), _width(pool, pool_vector))
     q = pack_blocks(queries, query_id, query_vector, width, min(BLOCK_ROWS, group_rows)).select(

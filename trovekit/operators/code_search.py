@@ -10,16 +10,21 @@ from pyspark.sql import types as T
 
 from trovekit.functions.codes import code_to_tokens
 from trovekit.operators.blocks import _Group, _matrix
+from trovekit.operators.numbering import position_bucket
 from trovekit.operators.skew import MAX_HOT_KEYS, skew_join
+from trovekit.operators.stats import number_within
 
 POOL_SLICE = 500_000
 QUERY_SLICE = 4_096
 
 
 def code_buckets(codes: DataFrame, position: str = "pos") -> DataFrame:
-    """(code, at, did): members of each code in input order, 0-based place."""
-    at = F.row_number().over(Window.partitionBy("code").orderBy(position)) - 1
-    return codes.select("code", at.alias("at"), "did")
+    """(code, at, did): members of each code in input order, 0-based place.
+
+    A code that holds much of the pool is numbered in position ranges.
+    """
+    numbered = number_within(codes, "code", position_bucket(position), [position], "__n")
+    return numbered.select("code", (F.col("__n") - 1).alias("at"), "did")
 
 
 def retrieve(beams: DataFrame, codes: DataFrame, k: int, dedupe: bool = False, position: str = "pos") -> DataFrame:
