@@ -317,7 +317,7 @@ def json_entries(t):
     )
     arrays.repartition("part").write.partitionBy("part").text(path)
     back = records.read_entries(t.spark, path, "doc_id long, quality long, toxic long").drop("part")
-    return back.withColumn("n", F.lit(back.count()))
+    return back.withColumn("n", F.lit(back.count()).cast("long"))
 
 
 @query(

@@ -40,27 +40,39 @@ def _score_children(expanded: DataFrame, book: np.ndarray, beams: int) -> DataFr
                 continue
             residual = _matrix(batch.column("residual"), "<f8")
             scores = batch.column("score").to_numpy()
-            # fixed-length prefixes: all rows are at the same level
-            prefixes = batch.column("prefix").to_pylist()
-            nexts = batch.column("nexts").to_pylist()
+            lists = batch.column("nexts")
+            ends = lists.offsets.to_numpy()
+            tokens = lists.values.to_numpy()
             qids = batch.column("qid")
+            prefixes = [tuple(p) for p in batch.column("prefix").to_pylist()]
+            by_prefix: dict[tuple, list[int]] = {}
+            for i, p in enumerate(prefixes):
+                by_prefix.setdefault(p, []).append(i)
             take, kids, total = [], [], []
-            for i, options in enumerate(nexts):
-                options = np.asarray(options, "i4")
-                diff = residual[i][None, :] - centroids[options]
-                s = scores[i] - (diff * diff).sum(1)
-                # children of one beam share their prefix: ties go to the token
-                order = np.lexsort((options, -np.round(s, DIGITS)))[:beams]
-                take.append(np.full(len(order), i))
-                kids.append(options[order])
-                total.append(s[order])
+            for members in by_prefix.values():
+                # beams with one prefix share their options: one matrix product
+                first = members[0]
+                options = tokens[ends[first] : ends[first + 1]]
+                book = centroids[options]
+                r = residual[members]
+                s = scores[members][:, None] - ((r * r).sum(1)[:, None] - 2 * (r @ book.T) + (book * book).sum(1)[None, :])
+                rounded = np.round(s, DIGITS)
+                n = len(options)
+                cut = np.partition(rounded, n - beams, axis=1)[:, n - beams] if n > beams else rounded.min(1)
+                for j, i in enumerate(members):
+                    # children of one beam share their prefix: ties go to the token
+                    keep = np.flatnonzero(rounded[j] >= cut[j])
+                    order = keep[np.lexsort((options[keep], -rounded[j, keep]))][:beams]
+                    take.append(np.full(len(order), i))
+                    kids.append(options[order])
+                    total.append(s[j, order])
             take, kids, total = np.concatenate(take), np.concatenate(kids), np.concatenate(total)
             rest = residual[take] - centroids[kids]
             offsets = np.arange(0, rest.size + 1, rest.shape[1], dtype="i4")
             yield pa.record_batch(
                 [
                     qids.take(pa.array(take)),
-                    pa.array([prefixes[i] + [int(c)] for i, c in zip(take, kids)], pa.list_(pa.int32())),
+                    pa.array([[*prefixes[i], int(c)] for i, c in zip(take, kids)], pa.list_(pa.int32())),
                     pa.array(total),
                     pa.ListArray.from_arrays(offsets, pa.array(rest.ravel())),
                 ],

@@ -72,7 +72,7 @@ def pack_blocks(df: DataFrame, key: str, vector: str, width: str, rows: int = BL
     return packed.withColumn("tag", F.xxhash64("ids"))
 
 
-def _unpack_ids(payload: bytes) -> np.ndarray:
+def _unpack_ids(payload) -> np.ndarray:
     with pa.ipc.open_stream(payload) as reader:
         return reader.read_all().column(0).to_numpy()
 
@@ -178,15 +178,17 @@ def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.Data
     def search(batches):
         current, group = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["slot"], row["grp"])
+            side, slot, grp, dim, n = (batch.column(c).to_numpy() for c in ("side", "slot", "grp", "dim", "n"))
+            for i in range(batch.num_rows):
+                key = (slot[i], grp[i])
                 if key != current:
                     yield from emit(group)
                     current, group = key, _Group(k, metric, digits)
-                ids = _unpack_ids(row["ids"])
-                mat = np.frombuffer(row["mat"], width).reshape(row["n"], row["dim"])
-                if row["side"] == 0:
-                    group.add_queries(ids, mat)
+                ids = _unpack_ids(batch.column("ids")[i].as_buffer())
+                mat = np.frombuffer(batch.column("mat")[i].as_buffer(), width).reshape(n[i], dim[i])
+                if side[i] == 0:
+                    # queries outlive their Arrow batch
+                    group.add_queries(ids.copy(), mat.copy())
                 else:
                     group.add_pool(ids, mat)
         yield from emit(group)

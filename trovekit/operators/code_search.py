@@ -61,16 +61,16 @@ def _bucket_batches(k: int):
             n = batch.num_rows
             if not n:
                 continue
-            key = np.array(
-                [f"{a}/{b}/{c}" for a, b, c in zip(*(batch.column(x).to_pylist() for x in ("token", "ps", "qs")))], object
-            )
+            keys = batch.column("key").dictionary_encode()
+            index, names = keys.indices.to_numpy(), keys.dictionary
             side = batch.column("side").to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (side[1:] != side[:-1])) + 1
+            edge = np.flatnonzero((index[1:] != index[:-1]) | (side[1:] != side[:-1])) + 1
             bounds = [0, *edge.tolist(), n]
             for a, b in zip(bounds, bounds[1:]):
-                if key[a] != current:
+                name = names[index[a]].as_py()
+                if name != current:
                     yield from emit(group)
-                    current, group = key[a], _Group(k, "cosine")
+                    current, group = name, _Group(k, "cosine")
                 part = batch.slice(a, b - a)
                 ids = np.array(part.column("id").to_pylist(), object)
                 mat = _matrix(part.column("vec"), "<f8")
@@ -105,24 +105,30 @@ def rerank(
     q = wanted.join(query_vectors.select("qid", "embedding"), "qid").join(F.broadcast(slices), "code", "left")
     p = members.join(pool_vectors.select("did", "embedding"), "did").join(F.broadcast(slices), "code", "left")
     np_, nq = F.coalesce("np", F.lit(1)), F.coalesce("nq", F.lit(1))
-    token = code_to_tokens("code").alias("token")
+    kinds = {d.schema["embedding"].dataType.simpleString() for d in (query_vectors, pool_vectors)}
+    vec = F.col("embedding").cast(kinds.pop() if len(kinds) == 1 else "array<double>").alias("vec")
+
+    def places(key, own_slices, other_slices, arrange):
+        """Keys ``code/pool slice/query slice`` at which a row takes part."""
+        own = F.pmod(F.xxhash64(key), own_slices.cast("long")).cast("string")
+        return F.transform(
+            F.sequence(F.lit(0), other_slices - 1),
+            lambda other: F.concat_ws("/", code_to_tokens("code"), *arrange(own, other.cast("string"))),
+        )
+
     q = q.select(
         F.lit(0).alias("side"),
-        token,
-        F.explode(F.sequence(F.lit(0), np_ - 1)).alias("ps"),
-        F.pmod(F.xxhash64("qid"), nq.cast("long")).cast("int").alias("qs"),
+        F.explode(places("qid", nq, np_, lambda own, other: (other, own))).alias("key"),
         F.col("qid").cast("string").alias("id"),
-        F.col("embedding").cast("array<double>").alias("vec"),
+        vec,
     )
     p = p.select(
         F.lit(1).alias("side"),
-        token,
-        F.pmod(F.xxhash64("did"), np_.cast("long")).cast("int").alias("ps"),
-        F.explode(F.sequence(F.lit(0), nq - 1)).alias("qs"),
+        F.explode(places("did", np_, nq, lambda own, other: (own, other))).alias("key"),
         F.col("did").cast("string").alias("id"),
-        F.col("embedding").cast("array<double>").alias("vec"),
+        vec,
     )
-    met = q.unionByName(p).repartition("token", "ps", "qs").sortWithinPartitions("token", "ps", "qs", "side")
+    met = q.unionByName(p).repartition("key").sortWithinPartitions("key", "side")
     schema = T.StructType(
         [T.StructField("qid", T.StringType()), T.StructField("did", T.StringType()), T.StructField("score", T.DoubleType())]
     )
