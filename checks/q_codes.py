@@ -378,7 +378,7 @@ SELECT task_id::BIGINT AS task_id, n, {rate_sql('h1', 'n')} AS r1, {rate_sql('h1
 def code_eval(t):
     pool = t.fx_vectors.select(F.col("id").alias("did"), "embedding", "pos")
     run = retrieval.code_retrieval(query_vectors(t), pool, t.fx_codebooks, LEVELS, BEAMS, 10)
-    rates = evaluate.hit_rates(evaluate.hit_counts(run, t.fx_qrels, [1, 10]), [1, 10])
+    rates = evaluate.hit_rates(evaluate.hit_counts(run, t.fx_qrels, [1, 10], asked=query_vectors(t).select("qid")), [1, 10])
     return rates.select(
         F.col("task_id").cast("long").alias("task_id"), "n", F.col("Recall@1").alias("r1"), F.col("Recall@10").alias("r10")
     )

@@ -75,6 +75,29 @@ def pool_pairs(t):
     return pair_pool(t).withColumn("txt", F.md5("txt"))
 
 
+@query(
+    needs="fx_pool fx_manifest",
+    sql=f"""
+, f AS (SELECT 0 AS part, pos, 0 AS place, {clean('txt')} AS txt, img_path, lang FROM fx_pool
+        UNION ALL SELECT 1, pos, 1, {clean('source')}, NULL, source FROM fx_pool),
+good AS (SELECT f.* FROM f LEFT JOIN fx_manifest m ON f.img_path = m.img_path WHERE txt <> '' AND (f.img_path IS NULL OR m.valid)),
+uniq AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY txt, img_path ORDER BY part, pos, place) = 1)
+SELECT '2:' || row_number() OVER (ORDER BY part, pos, place) AS did, md5(txt) AS txt, img_path,
+       CASE WHEN img_path IS NULL THEN 'text' ELSE 'image,text' END AS modality, lang AS src_content FROM uniq
+""",
+)
+def pool_facts(t):
+    first = t.fx_pool.select("pos", F.lit(0).alias("place"), F.col("txt").alias("caption"), "img_path", F.col("lang").alias("src_content"))
+    second = t.fx_pool.select(
+        "pos",
+        F.lit(1).alias("place"),
+        F.col("source").alias("caption"),
+        F.lit(None).cast("string").alias("img_path"),
+        F.col("source").alias("src_content"),
+    )
+    return pools.fact_pool([first, second], 2, t.fx_manifest).withColumn("txt", F.md5("txt"))
+
+
 @query(
     needs="fx_pool fx_manifest",
     sql="""

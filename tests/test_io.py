@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trovekit import encoders, schemas
 from trovekit.operators import search
 from trovekit.session import materialize, scratch_path, shared_dir
-from trovekit.sources import catalog, images, records, tables, trec
+from trovekit.sources import catalog, images, records, stores, tables, trec
 
 
 @pytest.fixture()
@@ -109,6 +109,17 @@ def test_catalog_checks_lengths(spark):
         catalog.catalog(spark, config)
 
 
+def test_embedding_store_by_pool(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    for pool, ids in (("a", [1, 2]), ("b", [3])):
+        df = spark.createDataFrame([(i, [float(i)]) for i in ids], "id long, embedding array<double>")
+        stores.write_embeddings(df, path, pool)
+    assert sorted(r.id for r in stores.read_embeddings(spark, path, "a").collect()) == [1, 2]
+    assert stores.read_embeddings(spark, path).count() == 3
+    plan = stores.read_embeddings(spark, path, "a")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(pool" in plan
+
+
 def test_encoder_registry(spark):
     assert "hashed_words" in encoders.names()
     with pytest.raises(KeyError):

@@ -134,6 +134,32 @@ def test_prefix_golden(spark):
     assert tuple(prefix.code_count(codes).first()) == (4, 3)
 
 
+def test_index_grows_with_added_codes(spark):
+    codes = spark.createDataFrame([([1, 2],), ([4, 2],)], "code array<int>")
+    more = spark.createDataFrame([([1, 3],), ([4, 2],)], "code array<int>")
+    grown = prefix.extend_index(prefix.prefix_index(codes), more)
+    whole = prefix.prefix_index(codes.unionByName(more)).select("prefix", "nexts")
+    assert sorted(map(tuple, ((tuple(r.prefix), tuple(r.nexts)) for r in grown.collect()))) == sorted(
+        (tuple(r.prefix), tuple(r.nexts)) for r in whole.collect()
+    )
+
+
+def test_beam_with_a_scorer_that_sees_the_prefix(spark):
+    codes = spark.createDataFrame([([0, 0],), ([0, 1],), ([1, 0],)], "code array<int>")
+    queries = spark.createDataFrame([("q",)], "qid string")
+
+    def scorer(beams, level):
+        # token 1 after prefix [0] is best; token scores depend on the beam
+        options = beams.select("qid", "prefix", F.explode(F.array(F.lit(0), F.lit(1))).alias("next"))
+        best = (F.size("prefix") > 0) & (F.get("prefix", F.lit(0)) == 0) & (F.col("next") == 1)
+        return options.withColumn("logp", F.when(best, -0.1).otherwise(-1.0))
+
+    rows = beam.beam_search_scored(queries, prefix.prefix_index(codes), scorer, 2, 2).orderBy("beam_rank").collect()
+    assert [(r.code, r.score) for r in rows] == [([0, 1], -1.1), ([0, 0], -2.0)]
+    # fewer codes than beams: fewer rows
+    assert beam.beam_search_scored(queries, prefix.prefix_index(codes), scorer, 9, 2).count() == 3
+
+
 def runs(spark, rows):
     return spark.createDataFrame(rows, "qid string, did string, rank int")
 
@@ -144,6 +170,11 @@ def test_hits_golden(spark):
     row = evaluate.hit_counts(run, qrels, [1, 2, 5]).first()
     assert (row.n, row.hits_1, row.hits_2, row.hits_5) == (2, 0, 1, 1)
     assert evaluate.unjudged(run, qrels).first().unjudged == 1
+    # a judged query that retrieved nothing is a miss once it is known
+    asked = spark.createDataFrame([("0:1",), ("0:2",), ("0:4",)], "qid string")
+    more = qrels.unionByName(spark.createDataFrame([("0:4", "0:1", 0, 3)], qrels.schema))
+    row = evaluate.hit_counts(run, more, [5], asked=asked).first()
+    assert (row.n, row.hits_5) == (3, 1)
 
 
 @pytest.mark.parametrize("h, n, want", [(1, 32, 0.0312), (3, 32, 0.0938), (1, 800, 0.0012), (0, 0, None), (1, 1, 1.0), (2, 3, 0.6667)])

@@ -21,10 +21,14 @@ def rate(hits: str, total: str) -> Column:
     return F.when(n > 0, (whole + up.cast("long")) / 10_000.0)
 
 
-def first_relevant(run: DataFrame, qrels: DataFrame, by: list[str] | None = None) -> DataFrame:
+def first_relevant(
+    run: DataFrame, qrels: DataFrame, by: list[str] | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """Per judged query (and ``by``): task id and rank of its first relevant hit.
 
-    Queries without judgement are left out; ``unjudged`` counts them.
+    Queries without judgement are left out; ``unjudged`` counts them.  ``asked``
+    (``by`` columns and qid) adds queries that retrieved nothing at all; without
+    it only queries with a result are known.
     """
     by = by or []
     scope = [c for c in by if c in qrels.columns]
@@ -33,6 +37,8 @@ def first_relevant(run: DataFrame, qrels: DataFrame, by: list[str] | None = None
     judged = run.select(*by, "qid", "did", "rank").join(relevant, [*scope, "qid", "did"], "left")
     best = judged.groupBy(*by, "qid").agg(F.min(F.when(F.col("__hit"), F.col("rank"))).alias("first_rank"))
     tasks = qrels.groupBy(*scope, "qid").agg(F.min_by("task_id", "pos").alias("task_id"))
+    if asked is not None:
+        best = asked.select(*by, "qid").join(best, [*by, "qid"], "left")
     return best.join(tasks, [*scope, "qid"])
 
 
@@ -43,13 +49,15 @@ def unjudged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
-def hit_counts(run: DataFrame, qrels: DataFrame, ks: list[int], by: list[str] | None = None) -> DataFrame:
+def hit_counts(
+    run: DataFrame, qrels: DataFrame, ks: list[int], by: list[str] | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """Per task (and ``by``): queries ``n`` and hits at every depth.
 
     A hit means at least one relevant candidate in the first k.
     """
     by = by or []
-    per_query = first_relevant(run, qrels, by)
+    per_query = first_relevant(run, qrels, by, asked)
     hits = [F.sum(F.coalesce((F.col("first_rank") <= k).cast("long"), F.lit(0))).alias(f"hits_{k}") for k in ks]
     return per_query.groupBy("task_id", *by).agg(F.count(F.lit(1)).alias("n"), *hits)
 

@@ -140,6 +140,28 @@ def pair_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None
     )
 
 
+def fact_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None) -> DataFrame:
+    """Pool of text facts and (image, text) facts from several lists, in order.
+
+    Every part has ``pos``, ``place`` (order inside a source row), ``caption``,
+    ``img_path`` (NULL for a text fact) and ``src_content``.  Facts without
+    text go; texts and pairs are deduplicated separately.
+    """
+    tagged = [
+        p.select(F.lit(i).alias("part"), "pos", "place", clean_text("caption").alias("txt"), "img_path", "src_content")
+        for i, p in enumerate(parts)
+    ]
+    rows = reduce(DataFrame.unionByName, tagged).where(F.col("txt") != "")
+    if manifest is not None:
+        # text facts have no image to check
+        pairs = with_valid_image(rows.where(F.col("img_path").isNotNull()), manifest)
+        rows = rows.where(F.col("img_path").isNull()).unionByName(pairs)
+    modality = F.when(F.col("img_path").isNull(), F.lit(K.TEXT)).otherwise(F.lit(K.IMAGE_TEXT))
+    unique = first_seen(rows.withColumn("modality", modality), ["modality", "txt", "img_path"], ["part", "pos", "place"])
+    numbered = number_rows(unique, ["pos", "place"], F.struct("part", position_bucket("pos")), "__n")
+    return numbered.select(make_id(dataset, "__n").alias("did"), "txt", "img_path", "modality", "src_content")
+
+
 def image_pool(images: DataFrame, dataset, bucket: Column, manifest: DataFrame | None = None) -> DataFrame:
     """Image-only pool in path order; ``bucket`` must follow the path order."""
     rows = images.select("img_path").distinct()
