@@ -45,6 +45,19 @@ def test_blocked_search_equals_brute_force(spark, data, monkeypatch, metric):
         np.testing.assert_allclose([s for _, _, s in rows], [-s for s, _ in want[i]], atol=1.5e-6)
 
 
+def test_search_with_a_third_of_the_pool_being_copies(spark, data):
+    q, p, qids, _, qdf, _ = data
+    copies = p.copy()
+    copies[::3] = q[0]  # the best answer of one query, and a tie for all others
+    pids = [f"2:{i}" for i in range(700)]
+    got = {}
+    for r in blocks.blocked_top_k(qdf, frame(spark, "did", pids, copies), 12, slices=2).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.did))
+    want = brute(q, copies, pids, 12)
+    for i, qid in enumerate(qids):
+        assert [d for _, d in sorted(got[qid])] == [d for _, d in want[i]]
+
+
 def test_search_with_fewer_candidates_than_k(spark, data):
     _, _, _, _, qdf, pdf = data
     assert search.top_k(qdf, pdf.limit(4), 10).count() == 90 * 4

@@ -97,16 +97,16 @@ class _Group:
             self.q64 = _unit(self.q64)
             self.q32 = self.q64.astype("f4")
         n = len(self.q64)
+        self.scores = np.full((n, self.k), -np.inf)
+        self.ids = np.empty((n, self.k), object)
         self.floor = np.full(n, -np.inf)
-        self.q = np.zeros(0, "i8")
-        self.s = np.zeros(0, "f8")
-        self.d = np.zeros(0, object)
 
     def add_pool(self, ids, mat):
         if self.q64 is None:
             if not self.parts:
                 return
             self._start()
+        ids, mat = self._without_spare_copies(ids, mat)
         p64 = mat.astype("f8")
         if self.metric == "cosine":
             p64 = _unit(p64)
@@ -119,10 +119,18 @@ class _Group:
         else:  # negative squared distance
             rough = 2 * (self.q64 @ p64.T) - (p64 * p64).sum(1)[None, :] - (self.q64 * self.q64).sum(1)[:, None]
             margin = 1e-5
+        cut = self.floor - margin
+        hits = rough >= cut[:, None]
+        # Rows that still pass many candidates (the first blocks) get a tighter
+        # cut: the k-th best of this block alone.
         n = rough.shape[1]
-        cut = np.partition(rough, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(rough), -np.inf)
-        cut = np.maximum(cut, self.floor) - margin
-        qi, pi = np.nonzero(rough >= cut[:, None])
+        wide = np.flatnonzero(hits.sum(1) > 2 * self.k)
+        if len(wide) and n > self.k:
+            kth = np.partition(rough[wide], n - self.k, axis=1)[:, n - self.k]
+            hits[wide] = rough[wide] >= np.maximum(cut[wide], kth - margin)[:, None]
+        qi, pi = np.nonzero(hits)
+        if not len(qi):
+            return
         exact = np.empty(len(qi))
         step = 65_536
         for a in range(0, len(qi), step):
@@ -131,27 +139,61 @@ class _Group:
                 exact[a : a + step] = -((q - p) ** 2).sum(1)
             else:
                 exact[a : a + step] = np.einsum("ij,ij->i", q, p)
-        self._merge(qi, np.round(exact, self.digits) + 0.0, ids[pi])
+        exact = np.round(exact, self.digits) + 0.0
+        # The block's own top k per query first, on integer id ranks.
+        _, rank = np.unique(ids, return_inverse=True)
+        order = np.lexsort((rank[pi], -exact, qi))
+        qi, pi, exact = qi[order], pi[order], exact[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < self.k
+        qi, pi, exact = qi[best], pi[best], exact[best]
+        # Ties with the current last place only count for a smaller id.
+        useful = exact > self.floor[qi]
+        tied = np.flatnonzero(exact == self.floor[qi])
+        if len(tied):
+            useful[tied] = (ids[pi[tied]].astype(object) < self.ids[qi[tied], self.k - 1]).astype(bool)
+        if useful.any():
+            self._merge(qi[useful], exact[useful], ids[pi[useful]])
+
+    def _without_spare_copies(self, ids, mat):
+        """Of equal vectors only the k smallest ids can be among the best k.
+
+        All copies score the same for every query and ties go to the smaller
+        id, so this leaves every result unchanged however many copies there are.
+        """
+        rows = np.ascontiguousarray(mat)
+        rows = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+        distinct, same = np.unique(rows, return_inverse=True)
+        if len(rows) - len(distinct) < self.k:
+            return ids, mat
+        _, rank = np.unique(ids, return_inverse=True)
+        order = np.lexsort((rank, same))
+        place = np.arange(len(order)) - np.searchsorted(same[order], same[order], side="left")
+        keep = np.sort(order[place < self.k])
+        return ids[keep], mat[keep]
 
     def _merge(self, qi, scores, ids):
-        q = np.concatenate([self.q, qi])
-        s = np.concatenate([self.s, scores])
-        d = np.concatenate([self.d, ids.astype(object)])
+        """Merge new candidates into the lists of the queries they belong to."""
+        rows = np.unique(qi)
+        old_r, old_c = np.nonzero(np.isfinite(self.scores[rows]))
+        q = np.concatenate([rows[old_r], qi])
+        s = np.concatenate([self.scores[rows[old_r], old_c], scores])
+        d = np.concatenate([self.ids[rows[old_r], old_c], ids.astype(object)])
         _, rank = np.unique(d, return_inverse=True)
         order = np.lexsort((rank, -s, q))
         q, s, d = q[order], s[order], d[order]
-        first = np.searchsorted(q, q, side="left")
-        keep = np.arange(len(q)) - first < self.k
-        self.q, self.s, self.d = q[keep], s[keep], d[keep]
-        last = np.searchsorted(self.q, np.arange(len(self.floor)), side="right") - 1
-        counts = np.bincount(self.q, minlength=len(self.floor))
-        full = counts >= self.k
-        self.floor[full] = self.s[last[full]]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep = place < self.k
+        q, s, d, place = q[keep], s[keep], d[keep], place[keep]
+        self.scores[rows] = -np.inf
+        self.scores[q, place] = s
+        self.ids[q, place] = d
+        self.floor[rows] = self.scores[rows, self.k - 1]
 
     def result(self):
-        if self.q64 is None or not len(self.q):
+        if self.q64 is None:
             return None
-        return self.names[self.q], self.d, self.s
+        q, place = np.nonzero(np.isfinite(self.scores))
+        return (self.names[q], self.ids[q, place], self.scores[q, place]) if len(q) else None
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
