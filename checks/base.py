@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trovekit.session import ship_package
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -41,6 +43,9 @@ class Dialect:
         h = f"substr({self.md5(x, seed)}, 1, 8)"
         return f"cast(conv({h}, 16, 10) AS bigint)" if self.spark else f"cast('0x' || {h} AS bigint)"
 
+    def unnest(self, *items: str) -> str:
+        return f"explode(array({', '.join(items)}))" if self.spark else f"unnest([{', '.join(items)}])"
+
     def no_list(self) -> str:
         return "cast(array() AS array<string>)" if self.spark else "cast([] AS varchar[])"
 
@@ -105,6 +110,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

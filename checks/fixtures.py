@@ -130,13 +130,18 @@ def fx_prompts(d):
     def one(x):
         return f"replace({x}, chr(10), ' ')"
 
-    mods = "SELECT 'text' AS m, 0 AS i UNION ALL SELECT 'image', 1 UNION ALL SELECT 'image,text', 2"
+    def place(m):
+        return f"CASE {m} WHEN 'text' THEN 0 WHEN 'image' THEN 1 ELSE 2 END"
+
+    modalities = d.unnest("'text'", "'image'", "'image,text'")
     return f"""
-SELECT cast(n.ds AS {'string' if d.spark else 'varchar'}) AS dataset_id, q.m AS query_modality, c.m AS cand_modality,
+SELECT cast(n.ds AS {'string' if d.spark else 'varchar'}) AS dataset_id, n.query_modality, n.cand_modality,
        {d.array(one('b1.text'), "''", one('b2.text'), one('b3.text'))} AS raw_prompts
-FROM (SELECT DISTINCT item_id % 11 AS ds FROM benchmark) n
-JOIN ({mods}) q ON q.i >= 0 JOIN ({mods}) c ON c.i >= 0
-JOIN benchmark b1 ON b1.item_id = n.ds JOIN benchmark b2 ON b2.item_id = n.ds + 11 + q.i JOIN benchmark b3 ON b3.item_id = n.ds + 14 + c.i
+FROM (SELECT ds, query_modality, {modalities} AS cand_modality FROM (
+        SELECT ds, {modalities} AS query_modality FROM (SELECT DISTINCT item_id % 11 AS ds FROM benchmark))) n
+JOIN benchmark b1 ON b1.item_id = n.ds
+JOIN benchmark b2 ON b2.item_id = n.ds + 11 + {place('n.query_modality')}
+JOIN benchmark b3 ON b3.item_id = n.ds + 14 + {place('n.cand_modality')}
 """
 
 
@@ -174,11 +179,20 @@ FROM ({' UNION ALL '.join(parts)}) WHERE did IS NOT NULL
 
 @fixture()
 def fx_codebooks(d):
-    # three levels of eight centroids: the vectors 0-7, 8-15 and 16-23
+    # three levels of eight centroids: means over all vectors, grouped three ways
+    eighth = d.div("vec_id", 8)
+    if d.spark:
+        entries = "SELECT level, code, posexplode(v) AS (i, x) FROM grouped"
+    else:
+        entries = "SELECT level, code, unnest(range(len(v))) AS i, unnest(v) AS x FROM grouped"
+    vector = "cast(embedding AS array<double>)" if d.spark else "embedding::DOUBLE[]"
     return f"""
-SELECT cast({d.div('vec_id', 8)} AS int) AS level, cast(vec_id % 8 AS int) AS code,
-       cast(embedding AS {'array<double>' if d.spark else 'double[]'}) AS centroid
-FROM embeddings WHERE vec_id < 24
+SELECT cast(level AS int) AS level, cast(code AS int) AS code, {d.ordered_list('x', 'i')} AS centroid
+FROM (SELECT level, code, i, round(avg(x), 6) AS x FROM ({entries.replace('grouped', f"""(
+        SELECT 0 AS level, label % 8 AS code, {vector} AS v FROM embeddings
+        UNION ALL SELECT 1, vec_id % 8, {vector} FROM embeddings
+        UNION ALL SELECT 2, {eighth} % 8, {vector} FROM embeddings) grouped""")}) entries GROUP BY level, code, i) means
+GROUP BY level, code
 """
 
 

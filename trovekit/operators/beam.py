@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trovekit.functions.vectors import normalize, squared_distance, subtract
 from trovekit.operators.blocks import _matrix
-from trovekit.operators.quantize import BROADCAST_BYTES, codebook_bytes
+from trovekit.operators.quantize import BROADCAST_BYTES, codebook_levels
 from trovekit.operators.skew import lookup_join, skew_join
 from trovekit.session import materialize
 
@@ -124,10 +124,9 @@ def beam_search(
         # the beams; later levels have many prefixes with few beams each.
         expanded = lookup_join(state, children, "prefix")
         book = codebooks.where(F.col("level") == level)
-        if codebook_bytes(book) <= limit:
-            rows = {r[0]: r[1] for r in book.select("code", "centroid").collect()}
-            matrix = np.array([rows[c] for c in range(len(rows))], "f8")
-            scored = _score_children(expanded, matrix, beams)
+        books = codebook_levels(book, limit)
+        if books is not None:
+            scored = _score_children(expanded, books[0], beams)
         else:
             scored = _score_by_join(expanded, book)
         state = _cut(scored, beams)

@@ -27,16 +27,16 @@ def codebook_levels(codebooks: DataFrame, limit: int = BROADCAST_BYTES) -> list[
     """Per level the centroid matrix, row = code; None beyond the size limit."""
     if codebook_bytes(codebooks) > limit:
         return None
-    rows = codebooks.select("level", "code", "centroid").collect()
-    levels: dict[int, dict[int, list[float]]] = {}
-    for level, code, centroid in rows:
-        levels.setdefault(level, {})[code] = centroid
+    table = codebooks.select("level", "code", "centroid").toArrow().combine_chunks()
+    level, code = table["level"].to_numpy(), table["code"].to_numpy()
+    centroids = _matrix(table["centroid"].combine_chunks(), "<f8")
     books = []
-    for level in sorted(levels):
-        book = levels[level]
-        if sorted(book) != list(range(len(book))):
-            raise ValueError(f"codes of level {level} are not 0..{len(book) - 1}")
-        books.append(np.array([book[c] for c in range(len(book))], "f8"))
+    for current in np.unique(level):
+        mine = np.flatnonzero(level == current)
+        mine = mine[np.argsort(code[mine])]
+        if not np.array_equal(code[mine], np.arange(len(mine))):
+            raise ValueError(f"codes of level {current} are not 0..{len(mine) - 1}")
+        books.append(centroids[mine])
     return books
 
 
@@ -153,16 +153,24 @@ def train_codebooks(
 
     spark = vectors.sparkSession
     residual = materialize(vectors.select(normalize(vector).alias("residual")), "residual")
-    rows = []
+    books = []
     for level, size in enumerate(sizes):
         features = residual.select(array_to_vector("residual").alias("features"))
         model = KMeans(k=size, seed=seed + level, maxIter=iterations, initMode="k-means||").fit(features)
         # k-means may return fewer centres than asked for; codes stay dense.
         centers = np.array(model.clusterCenters())
-        rows += [(level, code, [float(x) for x in c]) for code, c in enumerate(centers)]
+        books.append(
+            pa.table(
+                {
+                    "level": pa.array(np.full(len(centers), level, "i4")),
+                    "code": pa.array(np.arange(len(centers), dtype="i4")),
+                    "centroid": _list_array(centers, pa.float64()),
+                }
+            )
+        )
         if level + 1 < len(sizes):
             residual = materialize(_subtract_nearest(residual, centers), "residual")
-    return spark.createDataFrame(rows, schemas.CODEBOOK)
+    return spark.createDataFrame(pa.concat_tables(books), schemas.CODEBOOK)
 
 
 def _subtract_nearest(residual: DataFrame, centers: np.ndarray) -> DataFrame:
