@@ -109,7 +109,8 @@ def mix_up(q, p, key, seed: int | str = 2023) -> Column:
     pairs = F.arrays_zip(doubles(q).alias("q"), doubles(p).alias("p"))
 
     def mix(pair, i):
-        s = _middle(uniform(i, "a"), uniform(i, "b"), uniform(i, "c"))
-        return F.sqrt(s) * pair["q"] + F.sqrt(1 - s) * pair["p"]
+        weight = F.array(_middle(uniform(i, "a"), uniform(i, "b"), uniform(i, "c")))
+        mixed = F.transform(weight, lambda s: F.sqrt(s) * pair["q"] + F.sqrt(1 - s) * pair["p"])
+        return F.get(mixed, F.lit(0))
 
     return normalize(F.transform(pairs, mix))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from trovekit.functions.ids import make_id
 from trovekit.functions.stable import SEED, hash_bucket, hash_order
 
-BUCKET_ROWS = 1_000_000
+# Small enough that a bucket whose rows are exploded a hundredfold still fits a
+# task, large enough that the table of bucket sizes stays small.
+BUCKET_ROWS = 100_000
 
 
 def position_bucket(position, width: int = BUCKET_ROWS) -> Column:

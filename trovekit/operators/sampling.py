@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trovekit.functions.stable import SEED, cycled, hash_bucket, hash_order, pick, shuffled
 from trovekit.functions.text import clean_text
-from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows
+from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows, position_bucket
 from trovekit.operators.pools import chunked_kb_rows, referenced_ids
 from trovekit.operators.skew import lookup_join
 
@@ -103,7 +103,7 @@ def trim_pool(pool: DataFrame, links: DataFrame, others: int, seed=SEED) -> Data
     rows = referenced.withColumn("__part", F.lit(0)).withColumn("__n", F.col("pos")).unionByName(
         sampled.withColumn("__part", F.lit(1))
     )
-    bucket = F.struct("__part", F.floor(F.col("__n") / 1_000_000))
+    bucket = F.struct("__part", position_bucket("__n"))
     return number_rows(rows, ["__n"], bucket, "rank").drop("__part", "__n")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovekit.constants import MODALITY_CODES  # noqa: F401  (re-exported for encoders)
 from trovekit.functions.ids import make_id, task_id
 from trovekit.functions.vectors import normalize
 from trovekit.operators.blocks import blocked_top_k
