@@ -9,8 +9,8 @@ document, leave the scan.
 The table is broadcast while it has at most ``MAX_BROADCAST_WINDOWS`` rows; a
 larger one is joined by shuffle, with the same result.
 
-Edge cases: NULL or wordless texts have no words and no hits; NULL ids are values
-like others; rows that repeat doc_id and text are one document; without items
+Edge cases: NULL or wordless texts have no words and no hits; NULL doc_ids are values
+like others; words of an item with NULL item_id are hit, but it is not listed or counted; rows that repeat doc_id and text are one document; without items
 nothing is hit; other columns are ignored.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from trovekit.llm.common import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: the same in a text that has its capitals
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_WINDOWS = 1_000_000
 
@@ -125,8 +127,8 @@ def cut_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     runs = spans(hits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_runs")
     joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" + SEPARATORS + "*"
-    lead = F.regexp_extract("text", "^" + SEPARATORS + "*", 0)
+    word = RAW_SEPARATORS.replace("[", "[^") + "+" + RAW_SEPARATORS + "*"
+    lead = F.regexp_extract("text", "^" + RAW_SEPARATORS + "*", 0)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(word), 0)
     kept = F.filter(pieces, lambda p, i: ~F.exists("_runs", lambda r: (i >= r["first"]) & (i < r["last"])))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))

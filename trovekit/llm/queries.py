@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovekit.llm import chat, decontaminate, mixing, sharding
-from trovekit.llm.common import table
+from trovekit.llm import bwt_dedup, chat, decontaminate, langid, lattice_dedup, minhash, mixing, quality, sharding, toxicity
+from trovekit.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +74,7 @@ WITH d AS (
   SELECT doc_id, text, count(DISTINCT q) AS n_hit
   FROM (SELECT doc_id, text, unnest(range(p, p + m)) AS q FROM hit) GROUP BY ALL
 ), named AS (
-  SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  SELECT doc_id, text, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, text, item_id::VARCHAR AS item FROM hit) GROUP BY ALL
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
@@ -132,3 +133,65 @@ def op9_mix_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(table(spark, folder, "documents"))
 
 
+
+
+@query()
+def op1_lattice_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_dedup.classify(table(spark, folder, "embeddings"))
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(5, len(ws)) - 1], chr(1)) AS sh
+  FROM (SELECT *, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+  coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+
+@query(MINHASH_SQL)
+def op2_minhash_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.classify(table(spark, folder, "documents"))
+
+
+def _folds(docs: DataFrame, labels: DataFrame, operator, label: str, least: float) -> DataFrame:
+    known = labels.filter(fold("doc_id", 5) != 0)
+    scores = operator.predict(docs, operator.fit(docs, known, label))
+    return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return _folds(table(spark, folder, "documents"), table(spark, folder, "labels"), toxicity, "toxic", 0.5)
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = langid.predict(docs, langid.fit(docs.filter(fold("doc_id", 4) != 2)))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return _folds(table(spark, folder, "documents"), table(spark, folder, "labels"), quality, "quality", 0.3)
+
+
+@query()
+def op10_bwt_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
