@@ -1,5 +1,6 @@
 """Numbering, skewed joins and chunked windows against their plain forms."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,3 +102,35 @@ def test_number_within(spark):
     got = stats.number_within(df, "k", F.floor(F.col("pos") / 100), ["pos"]).select("pos", "n")
     w = Window.partitionBy("k").orderBy("pos")
     assert rows(got) == rows(df.select("pos", F.row_number().over(w).cast("long").alias("n")))
+
+
+def test_numbering_keeps_null_and_sparse_rows(spark):
+    values = [None] * 40 + [i**3 for i in range(3000)] + [10**15 + i for i in range(500)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "p long, i long")
+    got = numbering.number_rows(df, ["p", "i"], bucket_rows=100).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, len(values) + 1))
+    assert [r.i for r in got] == sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+
+
+def test_numbering_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(5000).mapInArrow(count, "id long")
+    numbering.number_rows(df, "id", bucket_rows=500).collect()
+    assert seen.value == 5000
+
+
+def test_number_within_keeps_null_keys(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    got = stats.number_within(df, "k", F.when(F.col("v") > 50, F.floor(F.col("v") / 64)), ["v"])
+    assert got.count() == 300 and got.where("k IS NULL").agg(F.max("n")).first()[0] == 100
+
+
+def test_rolling_meter_wants_long_chunks(spark):
+    with pytest.raises(ValueError):
+        stats.rolling_meter(hot(spark, 10), "k", [], "v", window=20, width=10, position="pos")

@@ -1,6 +1,7 @@
 """Pools, converters, merging and sampling on hand-written rows."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trovekit.operators import convert, links as L, merge, pools, sampling, samples, stats
@@ -154,11 +155,30 @@ def test_sampling_ignores_partitioning(spark):
     assert a == b and len(a) == 30
 
 
-def test_large_caps_equal_small_caps(spark, monkeypatch):
-    df = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"))
-    window = rows(sampling.cap_per_group(df, "g", "key", 200), "key", "rank")
-    monkeypatch.setattr(sampling, "WINDOW_LIMIT", 10)
-    assert rows(sampling.cap_per_group(df, "g", "key", 200), "key", "rank") == window
+def test_caps_equal_a_window_and_keep_null_groups(spark):
+    third = F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2)
+    df = spark.range(9000).select(F.col("id").alias("key"), third.alias("g"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.md5(F.concat(F.lit("2023:"), F.col("key").cast("string"))), "key"))
+    for limit in (200, 999, 1001, 2500, 5000):
+        want = df.withColumn("rank", place).where(F.col("rank") <= limit).na.fill(-1)
+        got = sampling.cap_per_group(df, "g", "key", limit).na.fill(-1)
+        assert rows(got, "g", "key", "rank") == rows(want, "g", "key", "rank"), limit
+        assert got.where("g = -1").count() == min(limit, 3000)
+
+
+def test_training_samples_name_what_is_missing(spark):
+    pool = spark.createDataFrame([("5:1", "A.", None, "text")], "did string, txt string, img_path string, modality string")
+    prompts = spark.createDataFrame([("5", "text", "text", ["Find."])], "dataset_id string, query_modality string, cand_modality string, prompts array<string>")
+    schema = "qid string, query_txt string, query_img_path string, query_modality string, pos_cand_list array<string>, neg_cand_list array<string>"
+
+    def run(pos, neg, **how):
+        queries = spark.createDataFrame([("5:9", "Q.", None, "text", pos, neg)], schema)
+        return samples.training_samples(queries, pool, prompts, **how).collect()
+
+    assert len(run(["5:1"], [])) == 1
+    for pos, neg, how, message in [([], [], {}, "without positive"), (None, [], {}, "without positive"), (["5:1"], [], {"negatives": 2}, "without negative"), (["5:7"], [], {}, "not in the pool")]:
+        with pytest.raises(Exception, match=message):
+            run(pos, neg, **how)
 
 
 def test_evaluation_samples_keep_own_dataset(spark):

@@ -1,7 +1,8 @@
 """In-batch contrastive metrics: accuracy and cross entropy per batch.
 
-A batch is bounded (a few hundred rows), so its score matrix is computed in one
-piece by numpy inside the task; batches spread over the cluster.
+A batch meets itself, so its vectors come to one task; scores are computed block
+by block with a running log-sum-exp, so no score matrix of a whole batch exists.
+Batches spread over the cluster.
 """
 
 from __future__ import annotations
@@ -22,25 +23,44 @@ def _unit(m):
     return m / norm
 
 
-def inbatch_metrics(rows: DataFrame, temperature: float = 0.07, batch_rows: int = 4096) -> DataFrame:
+def _batch_scores(q: np.ndarray, p: np.ndarray, temperature: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query its cross entropy and whether its own positive wins, ``rows`` x ``rows`` scores at a time."""
+    n = len(q)
+    loss, wins = np.empty(n), np.empty(n, bool)
+    for a in range(0, n, rows):
+        mine = q[a : a + rows]
+        m = len(mine)
+        own = np.einsum("ij,ij->i", mine, p[a : a + rows]) / temperature
+        top, total = np.full(m, -np.inf), np.zeros(m)
+        best, place = np.full(m, -np.inf), np.zeros(m, int)
+        for b in range(0, n, rows):
+            logits = mine @ p[b : b + rows].T / temperature
+            high = np.maximum(top, logits.max(1))
+            total = total * np.exp(top - high) + np.exp(logits - high[:, None]).sum(1)
+            top = high
+            rounded = np.round(logits, 6)
+            first = rounded.argmax(1)
+            better = rounded[np.arange(m), first] > best
+            best = np.where(better, rounded[np.arange(m), first], best)
+            place = np.where(better, b + first, place)
+        loss[a : a + m] = top + np.log(total) - own
+        wins[a : a + m] = place == np.arange(a, a + m)
+    return loss, wins
+
+
+def inbatch_metrics(rows: DataFrame, temperature: float = 0.07, block_rows: int = 2048) -> DataFrame:
     """Per batch: the positive of every query against all positives of its batch.
 
-    ``rows`` has ``batch``, ``q`` and ``p`` (vectors) and ``pos``; a batch with
-    more than ``batch_rows`` rows is an error.  ``loss`` is the mean softmax
-    cross entropy, ``accuracy`` the share of queries whose own positive wins.
+    ``rows`` has ``batch``, ``q`` and ``p`` (vectors) and ``pos``.  ``loss`` is the
+    mean softmax cross entropy, ``accuracy`` the share of queries whose own
+    positive wins; ties go to the first.
     """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > batch_rows:
-            raise ValueError(f"a batch of {len(pdf)} rows exceeds {batch_rows}")
         pdf = pdf.sort_values("pos")
         q, p = _unit(np.stack(pdf["q"]).astype("f8")), _unit(np.stack(pdf["p"]).astype("f8"))
-        logits = q @ p.T / temperature
-        top = logits.max(1, keepdims=True)
-        log_sum = top[:, 0] + np.log(np.exp(logits - top).sum(1))
-        loss = (log_sum - np.diag(logits)).mean()
-        accuracy = (np.round(logits, 6).argmax(1) == np.arange(len(pdf))).mean()
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "n": [len(pdf)], "loss": [loss], "accuracy": [accuracy]})
+        loss, wins = _batch_scores(q, p, temperature, block_rows)
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "n": [len(pdf)], "loss": [loss.mean()], "accuracy": [wins.mean()]})
 
     return rows.select("batch", "pos", "q", "p").groupBy("batch").applyInPandas(score, _SCHEMA)
 

@@ -1,9 +1,10 @@
 """Dense numbering in a global order, without a single-partition window.
 
-Rows are cut into buckets that follow the order (position ranges, leading hash
-digits, input blocks).  Only the bucket sizes are summed up globally; ranks
-inside a bucket are computed bucket by bucket.  Nothing depends on how rows
-happen to be partitioned, so a recomputed task yields the same numbers.
+Rows are written once and cut into buckets that follow the order: ranges that
+Spark measures on the written rows, or a bucket column the caller knows (leading
+hash digits).  Only the bucket sizes are summed up globally; ranks inside a bucket
+are computed bucket by bucket.  The input is evaluated once, and nothing depends
+on how its rows happen to be partitioned.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from trovekit.functions.ids import make_id
 from trovekit.functions.stable import SEED, hash_bucket, hash_order
+from trovekit.operators.skew import null_safe_join
+from trovekit.session import materialize, release
 
 # Small enough that a bucket whose rows are exploded a hundredfold still fits a
 # task, large enough that the table of bucket sizes stays small.
@@ -25,20 +28,36 @@ def position_bucket(position, width: int = BUCKET_ROWS) -> Column:
     return F.floor(c / F.lit(width))
 
 
-def number_rows(df: DataFrame, order, bucket: Column, out: str = "n", start: int = 1) -> DataFrame:
-    """Add ``out`` = start, start+1, ... in the order of (bucket, *order).
+def number_rows(
+    df: DataFrame, order, bucket: Column | None = None, out: str = "n", start: int = 1, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Add ``out`` = start, start+1, ... in the order of (bucket, *order); NULL comes first.
 
-    ``bucket`` must be non-null and must not contradict ``order``: a row of a
-    smaller bucket always precedes a row of a larger one.
+    ``bucket`` must not contradict ``order``: a row of a smaller bucket always
+    precedes a row of a larger one.  Without it buckets are ranges of ``order``
+    with about ``bucket_rows`` rows each, whatever the type of the order columns
+    (integers, dense or sparse, text, file positions).
     """
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    rows = df.withColumn("__bucket", bucket)
+    if bucket is None:
+        rows = materialize(df, "number")
+        parts = -(-rows.count() // bucket_rows)
+        if parts > 1:
+            # the number of the range is stored with the row, so a later scan cannot see other ranges
+            ranged = rows.repartitionByRange(parts, *order).withColumn("__bucket", F.spark_partition_id())
+            ranged = materialize(ranged, "ranges")
+            release(rows)
+            rows = ranged
+        else:
+            rows = rows.withColumn("__bucket", F.lit(0))
+    else:
+        rows = materialize(df.withColumn("__bucket", bucket), "number")
     sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     # One row per bucket: the only global ordering, over bucket sizes.
     before = F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")
     offsets = sizes.select("__bucket", before.alias("__before"))
     local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    numbered = rows.withColumn("__local", local).join(offsets, "__bucket")
+    numbered = null_safe_join(rows.withColumn("__local", local), offsets, "__bucket")
     return numbered.withColumn(out, (F.col("__before") + F.col("__local") + F.lit(start - 1)).cast("long")).drop(
         "__bucket", "__local", "__before"
     )
@@ -47,8 +66,8 @@ def number_rows(df: DataFrame, order, bucket: Column, out: str = "n", start: int
 def number_by_position(
     df: DataFrame, position: str = "pos", out: str = "n", start: int = 1, width: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Number rows by an integer position; sparse positions need a larger ``width``."""
-    return number_rows(df, position, position_bucket(position, width), out, start)
+    """Number rows by a position of any orderable type, in ranges of about ``width`` rows."""
+    return number_rows(df, position, None, out, start, width)
 
 
 def number_by_hash(
@@ -73,15 +92,18 @@ def number_by_hash(
     return numbered if limit is None else numbered.where(F.col(out) <= limit)
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = 64, sample_rows: int = 4096) -> Column:
+def range_bucket(df: DataFrame, key: str, buckets: int | None = None, sample_rows: int = 4096) -> Column:
     """Order-preserving bucket of a string key from sampled boundaries.
 
-    Only a bounded sample of keys reaches the driver.
+    The number of buckets follows from the number of rows unless given.  Only a
+    bounded sample of keys reaches the driver.
     """
+    if buckets is None:
+        buckets = min(sample_rows, -(-df.count() // BUCKET_ROWS) or 1)
     picked = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(sample_rows)
     keys = sorted({row[0] for row in picked.collect()})
     step = max(1, len(keys) // buckets)
-    bounds = keys[step::step]
+    bounds = keys[step::step] if buckets > 1 else []
     if not bounds:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
@@ -90,7 +112,7 @@ def range_bucket(df: DataFrame, key: str, buckets: int = 64, sample_rows: int =
 def assign_ids(
     df: DataFrame, dataset, position: str, out: str, start: int = 1, width: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Sequential ids ``"<dataset>:<n>"`` in the order of an integer position."""
+    """Sequential ids ``"<dataset>:<n>"`` in the order of a position."""
     numbered = number_by_position(df, position, "__n", start, width)
     return numbered.withColumn(out, make_id(dataset, "__n")).drop("__n")
 

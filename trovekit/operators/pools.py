@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trovekit import constants as K
 from trovekit.functions.ids import id_number, make_id
 from trovekit.functions.text import chunk_words, clean_text, doc_key, title_body, truncate_words
-from trovekit.operators.numbering import number_rows, position_bucket
+from trovekit.operators.numbering import number_rows
 from trovekit.sources.images import demote_invalid_image, with_valid_image
 
 
@@ -30,8 +30,16 @@ def first_seen(df: DataFrame, keys, order) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-    return best.select(*[F.col(f"__row.{c}") if c in rest else F.col(c) for c in df.columns])
+    # The aggregate sorts its rows by the key: two 64-bit hashes instead of whole
+    # texts.  Equal keys have equal hashes; 128 bits tell different ones apart.
+    hashed = [F.xxhash64(*_marked(keys)).alias("__h"), F.xxhash64(F.lit("second"), *_marked(keys)).alias("__g")]
+    best = df.groupBy(*hashed).agg(F.min_by(F.struct(*keys, *rest), F.struct(*order)).alias("__row"))
+    return best.select(*[F.col(f"__row.{c}") for c in df.columns])
+
+
+def _marked(keys: list[str]) -> list[Column]:
+    """Key columns each with a flag, so a NULL and a shifted value hash differently."""
+    return [c for k in keys for c in (F.col(k), F.col(k).isNull())]
 
 
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
@@ -80,7 +88,7 @@ def _candidate(kind: str, txt: Column, img: Column, modality: str) -> Column:
 
 def number_candidates(rows: DataFrame, dataset, order, position: str = "pos") -> DataFrame:
     """Give candidates sequential ids in the order (position, *order)."""
-    numbered = number_rows(rows, [position, *order], position_bucket(position), "__n")
+    numbered = number_rows(rows, [position, *order], None, "__n")
     return numbered.withColumn("did", make_id(dataset, "__n")).drop("__n")
 
 
@@ -133,8 +141,7 @@ def pair_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None
     if manifest is not None:
         rows = with_valid_image(rows, manifest)
     unique = first_seen(rows, ["txt", "img_path"], ["part", "pos"])
-    bucket = F.struct("part", position_bucket("pos"))
-    numbered = number_rows(unique, ["pos"], bucket, "__n")
+    numbered = number_rows(unique, ["part", "pos"], None, "__n")
     return numbered.select(
         make_id(dataset, "__n").alias("did"), "txt", "img_path", F.lit(K.IMAGE_TEXT).alias("modality"), "src_content"
     )
@@ -158,12 +165,12 @@ def fact_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None
         rows = rows.where(F.col("img_path").isNull()).unionByName(pairs)
     modality = F.when(F.col("img_path").isNull(), F.lit(K.TEXT)).otherwise(F.lit(K.IMAGE_TEXT))
     unique = first_seen(rows.withColumn("modality", modality), ["modality", "txt", "img_path"], ["part", "pos", "place"])
-    numbered = number_rows(unique, ["pos", "place"], F.struct("part", position_bucket("pos")), "__n")
+    numbered = number_rows(unique, ["part", "pos", "place"], None, "__n")
     return numbered.select(make_id(dataset, "__n").alias("did"), "txt", "img_path", "modality", "src_content")
 
 
-def image_pool(images: DataFrame, dataset, bucket: Column, manifest: DataFrame | None = None) -> DataFrame:
-    """Image-only pool in path order; ``bucket`` must follow the path order."""
+def image_pool(images: DataFrame, dataset, bucket: Column | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """Image-only pool in path order; a given ``bucket`` must follow the path order."""
     rows = images.select("img_path").distinct()
     if manifest is not None:
         rows = with_valid_image(rows, manifest)
@@ -273,15 +280,15 @@ def write_pools(pool: DataFrame, path: str) -> None:
 # -- renumbering ---------------------------------------------------------------
 
 
-def renumber_pool(pool: DataFrame, dataset, order, bucket: Column) -> DataFrame:
+def renumber_pool(pool: DataFrame, dataset, order, bucket: Column | None = None) -> DataFrame:
     """New sequential ids; the previous id stays as ``old_did``."""
     numbered = number_rows(pool.withColumnRenamed("did", "old_did"), order, bucket, "__n")
     return numbered.withColumn("did", make_id(dataset, "__n")).drop("__n")
 
 
 def rewrite_links(links: DataFrame, renumbered: DataFrame) -> DataFrame:
-    """Links with new candidate ids; a link to a missing candidate is an error
-    in the data and is dropped here."""
+    """Links with new candidate ids; a link to a missing candidate fails the job."""
     mapping = renumbered.select("old_did", F.col("did").alias("__new"))
-    joined = links.join(mapping, links["did"] == mapping["old_did"])
-    return joined.withColumn("did", F.col("__new")).select(links.columns)
+    joined = links.join(mapping, links["did"] == mapping["old_did"], "left")
+    missing = F.raise_error(F.concat(F.lit("link to a candidate that is not in the pool: "), F.coalesce("did", F.lit("NULL"))))
+    return joined.withColumn("did", F.coalesce("__new", missing)).select(links.columns)

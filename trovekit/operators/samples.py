@@ -48,23 +48,29 @@ def training_samples(
     """Query + chosen positive + instruction, one row per query.
 
     ``neg_dids`` holds the chosen negatives in order; ``sample_negatives``
-    hydrates them.  Queries without positive cannot be sampled and are left
-    out.  In evaluation mode only positives of the same dataset count.
+    hydrates them.  In evaluation mode only positives of the same dataset count.
+    A query without a positive, without a negative where some are asked for, or
+    whose positive is not in the pool fails the job; filter such queries first
+    if they are expected.
     """
     rows = same_dataset_positives(queries) if evaluate else queries
-    rows = rows.where(F.size("pos_cand_list") > 0)
     if negatives and not evaluate:
-        rows = rows.where(F.size("neg_cand_list") > 0).withColumn("neg_dids", pick_negatives(negatives, seed=seed))
+        rows = rows.withColumn("neg_dids", _required("neg_cand_list", "negative", pick_negatives(negatives, seed=seed)))
     else:
         rows = rows.withColumn("neg_dids", F.array().cast("array<string>"))
-    rows = rows.withColumn("did", pick_positive(seed=seed, random=random_positive)).drop("pos_cand_list", "neg_cand_list")
+    chosen = _required("pos_cand_list", "positive", pick_positive(seed=seed, random=random_positive))
+    rows = rows.withColumn("did", chosen).drop("pos_cand_list", "neg_cand_list")
     cand = pool.select(
         "did",
         clean_text("txt").alias("pos_txt"),
         F.col("img_path").alias("pos_img_path"),
         F.col("modality").alias("cand_modality"),
+        F.lit(True).alias("__found"),
     )
-    joined = rows.join(cand, "did").withColumn("dataset_id", id_dataset("qid"))
+    joined = rows.join(cand, "did", "left")
+    absent = F.raise_error(F.concat(F.lit("positive that is not in the pool: "), F.coalesce("did", F.lit("NULL"))))
+    joined = joined.withColumn("cand_modality", F.when(F.col("__found"), F.col("cand_modality")).otherwise(absent))
+    joined = joined.drop("__found").withColumn("dataset_id", id_dataset("qid"))
     prompted = pick_prompt(joined, prompts, "qid", seed)
     return prompted.select(
         "qid",
@@ -81,6 +87,12 @@ def training_samples(
     )
 
 
+def _required(column: str, kind: str, value):
+    """``value`` where the list has entries; an empty or NULL list fails the job."""
+    none = F.raise_error(F.concat(F.lit(f"query without {kind}: "), F.coalesce("qid", F.lit("NULL"))))
+    return F.when(F.size(F.coalesce(column, F.array().cast("array<string>"))) > 0, value).otherwise(none)
+
+
 def sample_negatives(samples: DataFrame, pool: DataFrame) -> DataFrame:
     """Chosen negatives with their text and image, one row per place."""
     places = samples.select("qid", F.posexplode("neg_dids").alias("place", "did"))

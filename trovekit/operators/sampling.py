@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovekit.functions.stable import SEED, cycled, hash_bucket, hash_order, pick, shuffled
+from trovekit.functions.stable import SEED, cycled, hash_order, pick, shuffled
 from trovekit.functions.text import clean_text
-from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows, position_bucket
+from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows
 from trovekit.operators.pools import chunked_kb_rows, referenced_ids
-from trovekit.operators.skew import lookup_join
+from trovekit.operators.skew import null_safe_join
 
 
 def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
@@ -17,28 +17,19 @@ def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(hash_order(key, seed), key))
 
 
-# Up to this rank Spark itself limits every task's rows before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-WINDOW_LIMIT = 1000
-
-
 def cap_per_group(df: DataFrame, group: list[str] | str, key: str, limit: int, seed=SEED) -> DataFrame:
     """At most ``limit`` rows per group, chosen by hash; adds ``rank``.
 
-    For a small limit the rank filter runs before the shuffle in every task, so
-    a hot group sends at most ``limit`` rows per task.  For a large limit the
-    group is cut into hash buckets: whole buckets beyond the limit are dropped
-    by their counts, the rest is ranked bucket by bucket, so no task ever sorts
-    a whole group.
+    A group is cut into hash buckets (up to 4096): whole buckets beyond the limit
+    are dropped by their counts, the rest is ranked bucket by bucket, so no task
+    ever sorts a whole group.  Rows whose group is NULL are a group like others.
     """
     group = [group] if isinstance(group, str) else list(group)
-    if limit <= WINDOW_LIMIT:
-        return df.withColumn("rank", hash_rank(group, key, seed)).where(F.col("rank") <= limit)
-    rows = df.withColumn("__b", hash_bucket(key, seed))
+    rows = df.withColumn("__b", F.substring(hash_order(key, seed), 1, 3))
     sizes = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__size")
     needed = sizes.select(*group, "__b", before.alias("__before")).where(F.col("__before") < limit)
-    kept = lookup_join(rows, needed, [*group, "__b"])
+    kept = null_safe_join(rows, needed, [*group, "__b"])
     ranked = kept.withColumn("rank", (hash_rank([*group, "__b"], key, seed) + F.col("__before")).cast("int"))
     return ranked.where(F.col("rank") <= limit).drop("__b", "__before")
 
@@ -55,8 +46,11 @@ def split_per_group(
 
 
 def hold_out(df: DataFrame, key: str, n: int, seed=SEED, names=("val", "train")) -> DataFrame:
-    """Mark the first ``n`` rows in hash order as held out."""
-    held = number_by_hash(df.select(key), key, seed, limit=n).select(key, F.lit(True).alias("__held"))
+    """Mark the first ``n`` rows in hash order as held out.
+
+    Rows that repeat a key share their fate; they count once for each row.
+    """
+    held = number_by_hash(df.select(key), key, seed, limit=n).select(key, F.lit(True).alias("__held")).distinct()
     joined = df.join(held, key, "left")
     return joined.withColumn("split", F.when(F.col("__held"), names[0]).otherwise(names[1])).drop("__held")
 
@@ -103,8 +97,7 @@ def trim_pool(pool: DataFrame, links: DataFrame, others: int, seed=SEED) -> Data
     rows = referenced.withColumn("__part", F.lit(0)).withColumn("__n", F.col("pos")).unionByName(
         sampled.withColumn("__part", F.lit(1))
     )
-    bucket = F.struct("__part", position_bucket("__n"))
-    return number_rows(rows, ["__n"], bucket, "rank").drop("__part", "__n")
+    return number_rows(rows, ["__part", "__n"], None, "rank").drop("__part", "__n")
 
 
 def augment_pool(

@@ -17,18 +17,29 @@ def hot_keys(
     """The most frequent keys and how many slices each is cut into.
 
     Frequencies are estimated on one row in ``sample``, picked by the hash of
-    ``spread_by``, so finding hot keys costs a fraction of the input.  At most
-    ``MAX_HOT_KEYS`` rows, so it can be broadcast.  Keys beyond that, or missed
-    by the estimate, are simply not sliced: no row of a join depends on it.
+    ``spread_by``, so finding hot keys costs a fraction of the input.  A hot key
+    holds more than one ``MAX_HOT_KEYS``-th of all rows, so there are fewer than
+    ``MAX_HOT_KEYS`` of them and the table can be broadcast.  A key that the
+    estimate misses is not sliced: no row of a join depends on it.
     """
     rows = df
     if sample > 1 and spread_by:
         rows = df.where(F.pmod(F.xxhash64(*spread_by, F.lit(7)), F.lit(sample).cast("long")) == 0)
     scale = sample if rows is not df else 1
     counted = rows.groupBy(*keys).agg((F.count(F.lit(1)) * scale).alias("__count"))
-    counts = counted.where(F.col("__count") > slice_rows)
-    top = counts.orderBy(F.desc("__count")).limit(MAX_HOT_KEYS)
-    return top.select(*keys, F.ceil(F.col("__count") / slice_rows).cast("int").alias("__slices"))
+    share = F.coalesce((rows.agg(F.count(F.lit(1)) * scale)).scalar(), F.lit(0)) / MAX_HOT_KEYS
+    hot = counted.where(F.col("__count") > F.greatest(F.lit(slice_rows), share))
+    return hot.select(*keys, F.ceil(F.col("__count") / slice_rows).cast("int").alias("__slices"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str] | str, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; the result has the keys of ``left`` once."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    other = right.select(*[F.col(c).alias(f"__right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"__right_{k}"])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def skew_join(
@@ -113,7 +124,7 @@ def chunked_running_sum(
     before = totals.select(*keys, "__chunk", (F.sum("__total").over(earlier) - F.col("__total")).alias("__before"))
     inside = Window.partitionBy(*keys, "__chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     running = rows.withColumn("__inside", F.sum("__value").over(inside))
-    joined = running.join(before, [*keys, "__chunk"])
+    joined = null_safe_join(running, before, [*keys, "__chunk"])
     return joined.withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop(
         "__chunk", "__value", "__inside", "__before"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trovekit.functions.text import word_count
 from trovekit.operators.links import explode_links
-from trovekit.operators.skew import chunked_running_sum
+from trovekit.operators.skew import chunked_running_sum, null_safe_join
 
 
 def pool_counts(pool: DataFrame) -> DataFrame:
@@ -105,11 +105,10 @@ def length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def entity_stats(rows: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Rows per entity, overall (modality ``all``) and per modality."""
-    per_entity = rows.groupBy("modality", entity).agg(F.count(F.lit(1)).alias("c"))
-    # An entity has one modality, so the per-entity counts serve both levels.
-    spread = per_entity.select(
-        entity, "c", F.explode(F.array_distinct(F.array(F.lit("all"), "modality"))).alias("modality")
-    ).where(F.col("modality").isNotNull())
+    per_modality = rows.groupBy("modality", entity).agg(F.count(F.lit(1)).alias("c"))
+    whole = per_modality.groupBy(entity).agg(F.sum("c").alias("c")).select(entity, "c", F.lit("all").alias("modality"))
+    named = per_modality.where(F.col("modality").isNotNull() & (F.col("modality") != "all"))
+    spread = whole.unionByName(named.select(entity, "c", "modality"))
     return spread.groupBy("modality").agg(
         F.sum("c").alias("total"),
         F.avg("c").alias("avg_rows"),
@@ -145,6 +144,8 @@ def rolling_meter(
     task has to hold a whole meter.  The median is the lower one.
     """
     halo = window - 1
+    if width < halo:
+        raise ValueError(f"a chunk of {width} rows is shorter than the {halo} rows before a window")
     index = F.col(position) - 1
     chunk = F.floor(index / width)
     spill = F.pmod(index, F.lit(width)) >= width - halo
@@ -173,7 +174,7 @@ def number_within(df: DataFrame, key: str, bucket, order: list[str], out: str =
     before = F.sum("__size").over(Window.partitionBy(key).orderBy("__b")) - F.col("__size")
     offsets = sizes.select(key, "__b", before.alias("__before"))
     local = F.row_number().over(Window.partitionBy(key, "__b").orderBy(*order))
-    return rows.withColumn("__local", local).join(offsets, [key, "__b"]).withColumn(
+    return null_safe_join(rows.withColumn("__local", local), offsets, [key, "__b"]).withColumn(
         out, (F.col("__before") + F.col("__local")).cast("long")
     ).drop("__b", "__local", "__before")
 

@@ -45,9 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "trovekit", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), "trovekit", f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path of this application below the shared folder."""
+    return os.path.join(_scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a path through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything this application has written to the shared folder.
+
+    Call it when the results that read from there have been written elsewhere.
+    """
+    remove_path(spark, _scratch_root(spark))
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -59,7 +77,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files behind a frame that ``materialize`` returned and nothing reads any more."""
+    if getattr(df, "_scratch", None):
+        remove_path(df.sparkSession, df._scratch)
 
 
 _SHIPPED: set[str] = set()
