@@ -230,3 +230,65 @@ def test_long_results(spark):
     )
     got = {(r.TaskID, r.Metric): (r.Value, r.UnionPool, r.UnionValue) for r in evaluate.long_results(df).collect()}
     assert got == {(0, "Recall@1"): (0.5, "union", "0.25"), (1, "Recall@1"): (0.75, "", ""), (1, "Recall@5"): (0.5, "", "")}
+
+
+def test_codebooks_with_gaps_encode_alike_both_ways(spark, data):
+    pdf = data[5]
+    gaps = books(spark, data[1]).withColumn("code", F.col("code") * 3 + 1).where("code != 4")
+    sent = {r.did: (r.code, np.round(r.quant, 9).tolist()) for r in quantize.encode_codes(pdf, gaps).collect()}
+    joined = {r.did: (r.code, np.round(r.quant, 9).tolist()) for r in quantize.encode_codes(pdf, gaps, limit=0).collect()}
+    assert sent == joined and {c % 3 for code, _ in sent.values() for c in code} == {1}
+    codes = quantize.encode_codes(pdf, gaps).select("did", "code")
+    back = {r.did: np.round(r.quant, 9).tolist() for r in quantize.reconstruct(codes, gaps).collect()}
+    assert back == {d: q for d, (_, q) in sent.items()}
+    slow = {r.did: np.round(r.quant, 9).tolist() for r in quantize.reconstruct(codes, gaps, limit=0).collect()}
+    assert slow == back
+
+
+def test_beams_alike_both_ways(spark, data):
+    qdf, pdf = data[4], data[5]
+    cb = books(spark, data[1]).withColumn("code", F.col("code") * 2)
+    index = prefix.prefix_index(quantize.encode_codes(pdf, cb).select("did", "code"))
+    sent = {(r.qid, r.beam_rank): (r.code, r.score) for r in beam.beam_search(qdf, index, cb, 4, 3).collect()}
+    joined = {(r.qid, r.beam_rank): (r.code, r.score) for r in beam.beam_search(qdf, index, cb, 4, 3, limit=0).collect()}
+    assert sent == joined
+
+
+def test_equal_centroids_go_to_the_smaller_code(spark, data):
+    pdf = data[5]
+    one = [float(x) for x in np.ones(16) / 4]
+    cb = spark.createDataFrame([(0, 5, one), (0, 2, one), (0, 9, one)], "level int, code int, centroid array<double>")
+    for limit in (quantize.BROADCAST_BYTES, 0):
+        assert {tuple(r.code) for r in quantize.encode_codes(pdf, cb, limit=limit).collect()} == {(2,)}
+
+
+def test_query_groups_are_bounded(spark):
+    ids = spark.range(30_000).select(F.col("id").cast("string").alias("qid"), F.array(F.col("id").cast("double")).alias("embedding"))
+    packed = blocks.pack_blocks(ids.repartition(9), "qid", "embedding", "<f8", 256)
+    groups, placed = blocks._query_groups(packed.cache(), 1000, packed.count())
+    sizes = [r.n for r in placed.groupBy("grp").agg(F.sum("n").alias("n")).collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 1000 + 256 and len(sizes) == groups
+
+
+def test_hot_code_with_many_results(spark):
+    codes = spark.range(9000).select(F.array(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id").cast("int"))).alias("code"), F.col("id").alias("pos"), F.col("id").cast("string").alias("did"))
+    beams = spark.createDataFrame([("q", 1, [3]), ("q", 2, [0])], "qid string, beam_rank int, code array<int>")
+    got = code_search.retrieve(beams, codes, 1500).orderBy("rank").collect()
+    hot = [str(i) for i in range(9000) if i % 3 > 0 or i == 0]
+    assert [r.did for r in got] == ["3"] + hot[:1499]
+
+
+def test_large_batch_scores(spark):
+    from trovekit.operators.batch_metrics import inbatch_metrics
+
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(5000, 8))
+    p = q + rng.normal(size=q.shape) * 0.3
+    df = spark.createDataFrame([(0, i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(q, p))], "batch long, pos long, q array<double>, p array<double>")
+    got = inbatch_metrics(df).first()
+    q, p = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, p))
+    logits = q @ p.T / 0.07
+    top = logits.max(1)
+    loss = (top + np.log(np.exp(logits - top[:, None]).sum(1)) - np.diag(logits)).mean()
+    assert got.n == 5000 and abs(got.loss - loss) < 1e-9
+    assert got.accuracy == (np.round(logits, 6).argmax(1) == np.arange(5000)).mean()

@@ -24,66 +24,79 @@ def _cut(candidates: DataFrame, beams: int) -> DataFrame:
     return candidates.withColumn("beam_rank", F.row_number().over(best)).where(F.col("beam_rank") <= beams)
 
 
-def _score_children(expanded: DataFrame, book: np.ndarray, beams: int) -> DataFrame:
-    """Score all allowed next tokens of each beam, keep the best per beam.
+def _prefix_matrix(column: pa.Array) -> np.ndarray:
+    """Prefixes of one level, all equally long, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("i8")
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
-    ``book`` (vocabulary x dim) of one level travels with the tasks.  Keeping
-    ``beams`` children per beam never loses one of the query's best ``beams``.
+
+def _residuals(unit: np.ndarray, prefix: np.ndarray, books: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What the centroids of a prefix leave of the query vector."""
+    rest = unit.copy()
+    for level in range(prefix.shape[1]):
+        names, book = books[level]
+        rest -= book[np.searchsorted(names, prefix[:, level])]
+    return rest
+
+
+def _score_children(expanded: DataFrame, books: list[tuple[np.ndarray, np.ndarray]], level: int, beams: int) -> DataFrame:
+    """Score all allowed next tokens of each beam, keep those that can be among the best.
+
+    The centroids of all levels travel with the tasks, so a beam's residual is
+    computed from the query vector where it is needed and never shuffled.  A
+    beam keeps its ``beams`` best children and all within rounding of the last of
+    them; the rounded order, decided in one place, is that of ``_cut``.
     """
-    shared = expanded.sparkSession.sparkContext.broadcast(book)
-    schema = "qid string, prefix array<int>, score double, residual array<double>"
+    shared = expanded.sparkSession.sparkContext.broadcast(books)
+    schema = "qid string, prefix array<int>, score double"
 
     def run(batches):
-        centroids = shared.value
+        names, book = shared.value[level]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            residual = _matrix(batch.column("residual"), "<f8")
+            prefix = _prefix_matrix(batch.column("prefix"))
+            rest = _residuals(_matrix(batch.column("unit"), "<f8"), prefix, shared.value)
             scores = batch.column("score").to_numpy()
             lists = batch.column("nexts")
             ends = lists.offsets.to_numpy()
             tokens = lists.values.to_numpy()
-            qids = batch.column("qid")
-            prefixes = [tuple(p) for p in batch.column("prefix").to_pylist()]
-            by_prefix: dict[tuple, list[int]] = {}
-            for i, p in enumerate(prefixes):
-                by_prefix.setdefault(p, []).append(i)
+            # beams with one prefix share their options: one matrix product each
+            order = np.lexsort(prefix.T[::-1]) if level else np.arange(len(prefix))
+            changed = np.flatnonzero((prefix[order][1:] != prefix[order][:-1]).any(axis=1)) + 1 if level else []
             take, kids, total = [], [], []
-            for members in by_prefix.values():
-                # beams with one prefix share their options: one matrix product
+            for members in np.split(order, changed):
                 first = members[0]
                 options = tokens[ends[first] : ends[first + 1]]
-                book = centroids[options]
-                r = residual[members]
-                s = scores[members][:, None] - ((r * r).sum(1)[:, None] - 2 * (r @ book.T) + (book * book).sum(1)[None, :])
-                rounded = np.round(s, DIGITS)
+                row = np.minimum(np.searchsorted(names, options), len(names) - 1)
+                known = names[row] == options  # a token without a centroid cannot be chosen
+                options, centroids = options[known], book[row[known]]
                 n = len(options)
-                cut = np.partition(rounded, n - beams, axis=1)[:, n - beams] if n > beams else rounded.min(1)
-                for j, i in enumerate(members):
-                    # children of one beam share their prefix: ties go to the token
-                    keep = np.flatnonzero(rounded[j] >= cut[j])
-                    order = keep[np.lexsort((options[keep], -rounded[j, keep]))][:beams]
-                    take.append(np.full(len(order), i))
-                    kids.append(options[order])
-                    total.append(s[j, order])
+                if not n:
+                    continue
+                r = rest[members]
+                rough = (r * r).sum(1)[:, None] - 2 * (r @ centroids.T) + (centroids * centroids).sum(1)[None, :]
+                cut = np.partition(rough, beams - 1, axis=1)[:, beams - 1 : beams] if n > beams else rough.max(1, keepdims=True)
+                i, j = np.nonzero(rough <= cut + 2 * 10.0**-DIGITS)
+                exact = np.concatenate([((r[i[x : x + 65_536]] - centroids[j[x : x + 65_536]]) ** 2).sum(1) for x in range(0, len(i), 65_536)])
+                take.append(members[i])
+                kids.append(options[j])
+                total.append(scores[members[i]] - exact)
+            if not take:
+                continue
             take, kids, total = np.concatenate(take), np.concatenate(kids), np.concatenate(total)
-            rest = residual[take] - centroids[kids]
-            offsets = np.arange(0, rest.size + 1, rest.shape[1], dtype="i4")
+            codes = np.column_stack([prefix[take], kids]).astype("i4")
+            offsets = pa.array(np.arange(0, codes.size + 1, level + 1, dtype="i4"))
             yield pa.record_batch(
-                [
-                    qids.take(pa.array(take)),
-                    pa.array([[*prefixes[i], int(c)] for i, c in zip(take, kids)], pa.list_(pa.int32())),
-                    pa.array(total),
-                    pa.ListArray.from_arrays(offsets, pa.array(rest.ravel())),
-                ],
-                names=["qid", "prefix", "score", "residual"],
+                [batch.column("qid").take(pa.array(take)), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel())), pa.array(total)],
+                names=["qid", "prefix", "score"],
             )
 
-    return expanded.select("qid", "prefix", "score", "residual", "nexts").mapInArrow(run, schema)
+    return expanded.select("qid", "prefix", "score", "unit", "nexts").mapInArrow(run, schema)
 
 
 def _score_by_join(expanded: DataFrame, book: DataFrame) -> DataFrame:
-    """The same with the centroids joined, for a level too large to send."""
+    """The same with the centroids joined, for codebooks too large to send."""
     options = expanded.select("qid", "prefix", "score", "residual", F.explode("nexts").alias("next"))
     found = lookup_join(options, book.select(F.col("code").alias("next"), "centroid"), "next")
     return found.select(
@@ -109,26 +122,26 @@ def beam_search(
     A step scores the next token by the negative squared distance between the
     residual and its centroid.  Only prefixes of the index are followed; a
     query gets fewer codes when fewer exist.  Scores tie on six digits and go
-    to the smaller prefix.
+    to the smaller prefix.  The index is written once and each level reads its
+    own part of it; codebooks are fetched once.
     """
-    state = queries.select(
-        F.col("qid").cast("string").alias("qid"),
-        F.array().cast("array<int>").alias("prefix"),
-        F.lit(0.0).alias("score"),
-        normalize(vector).alias("residual"),
-    )
+    units = queries.select(F.col("qid").cast("string").alias("qid"), normalize(vector).alias("unit"))
+    books = codebook_levels(codebooks, limit)
+    by_level = materialize(index.select("prefix", "nexts", F.size("prefix").alias("__level")), "index")
+    state = units.select("qid", F.array().cast("array<int>").alias("prefix"), F.lit(0.0).alias("score"), F.col("unit").alias("residual"))
+    if books is not None:
+        state = state.drop("residual")
     for level in range(levels):
-        children = index.where(F.size("prefix") == level).select("prefix", "nexts")
+        children = by_level.where(F.col("__level") == level).select("prefix", "nexts")
         # One row per prefix on the right, its children in an array.  The first
         # levels have few prefixes, so their side is measured small and sent to
         # the beams; later levels have many prefixes with few beams each.
-        expanded = lookup_join(state, children, "prefix")
-        book = codebooks.where(F.col("level") == level)
-        books = codebook_levels(book, limit)
         if books is not None:
-            scored = _score_children(expanded, books[0], beams)
+            expanded = lookup_join(lookup_join(state, units, "qid"), children, "prefix")
+            scored = _score_children(expanded, books, level, beams)
         else:
-            scored = _score_by_join(expanded, book)
+            expanded = lookup_join(state, children, "prefix")
+            scored = _score_by_join(expanded, codebooks.where(F.col("level") == level))
         state = _cut(scored, beams)
         if level + 1 < levels:
             state = state.drop("beam_rank")

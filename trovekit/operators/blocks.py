@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trovekit.session import materialize
+
 BLOCK_ROWS = 1024
 GROUP_ROWS = 16_384
+SENT_BYTES = 64 * 1024 * 1024
 DIGITS = 6
 
 _PACKED = "seq long, ids binary, mat binary, dim int, n int"
@@ -202,21 +205,39 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / norm
 
 
-def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.DataType, dtype: pa.DataType):
-    def emit(group):
-        found = group.result() if group else None
-        if found is None:
-            return
-        q, d, s = found
-        for a in range(0, len(q), 50_000):
-            yield pa.record_batch(
-                {
-                    "qid": pa.array(list(q[a : a + 50_000]), qtype),
-                    "did": pa.array(list(d[a : a + 50_000]), dtype),
-                    "score": pa.array(s[a : a + 50_000], pa.float64()),
-                }
-            )
+def _found_rows(group, qtype: pa.DataType, dtype: pa.DataType):
+    found = group.result() if group else None
+    if found is None:
+        return
+    q, d, s = found
+    for a in range(0, len(q), 50_000):
+        yield pa.record_batch(
+            {
+                "qid": pa.array(list(q[a : a + 50_000]), qtype),
+                "did": pa.array(list(d[a : a + 50_000]), dtype),
+                "score": pa.array(s[a : a + 50_000], pa.float64()),
+            }
+        )
+
+
+def _search_sent(k: int, metric: str, width: str, digits: int, qtype: pa.DataType, dtype: pa.DataType, shared):
+    """Search of the pool blocks of a task for one group of queries sent to it."""
+
+    def search(batches):
+        group = _Group(k, metric, digits)
+        for ids, mat in shared.value:
+            group.add_queries(ids, mat)
+        for batch in batches:
+            dim, n = batch.column("dim").to_numpy(), batch.column("n").to_numpy()
+            for i in range(batch.num_rows):
+                ids = _unpack_ids(batch.column("ids")[i].as_buffer())
+                group.add_pool(ids, np.frombuffer(batch.column("mat")[i].as_buffer(), width).reshape(n[i], dim[i]))
+        yield from _found_rows(group, qtype, dtype)
+
+    return search
+
 
+def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.DataType, dtype: pa.DataType):
     def search(batches):
         current, group = None, None
         for batch in batches:
@@ -224,7 +245,7 @@ def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.Data
             for i in range(batch.num_rows):
                 key = (slot[i], grp[i])
                 if key != current:
-                    yield from emit(group)
+                    yield from _found_rows(group, qtype, dtype)
                     current, group = key, _Group(k, metric, digits)
                 ids = _unpack_ids(batch.column("ids")[i].as_buffer())
                 mat = np.frombuffer(batch.column("mat")[i].as_buffer(), width).reshape(n[i], dim[i])
@@ -233,7 +254,7 @@ def _search_batches(k: int, metric: str, width: str, digits: int, qtype: pa.Data
                     group.add_queries(ids.copy(), mat.copy())
                 else:
                     group.add_pool(ids, mat)
-        yield from emit(group)
+        yield from _found_rows(group, qtype, dtype)
 
     return search
 
@@ -256,47 +277,76 @@ def blocked_top_k(
 
     ``metric``: ``cosine`` (inner product of unit vectors), ``ip`` or ``l2``
     (negative squared distance).  Scores are rounded to ``digits``; ties go to
-    the smaller id.  ``slices`` cuts the pool (default: the session's shuffle
-    partitions).  ``n_queries`` spares the count that sizes the query groups.
+    the smaller id.  Up to ``group_rows`` queries of measured size are sent to
+    the pool's own tasks and the pool is not shuffled.  More are cut into groups
+    and the pool into ``slices`` (default: by its size, at most the session's
+    shuffle partitions); a group has fewer than ``group_rows`` rows and one block.
+    ``n_queries`` is kept for callers that know it; the packed blocks are counted.
     """
     spark = queries.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_queries = queries.count() if n_queries is None else n_queries
-    groups = max(1, -(-n_queries // group_rows))
     width = max(_width(queries, query_vector), _width(pool, pool_vector))
-    q = pack_blocks(queries, query_id, query_vector, width, min(BLOCK_ROWS, group_rows)).select(
-        F.lit(0).alias("side"),
-        F.pmod("tag", F.lit(groups)).cast("int").alias("grp"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slot"),
-        "ids",
-        "mat",
-        "dim",
-        "n",
-    )
-    p = pack_blocks(pool, pool_id, pool_vector, width).select(
-        F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
-        F.pmod("tag", F.lit(slices)).cast("int").alias("slot"),
-        "ids",
-        "mat",
-        "dim",
-        "n",
-    )
-    # One partition per (slice, group): direct ids avoid collisions of a hash.
-    target = F.col("slot") * groups + F.col("grp")
-    met = q.unionByName(p).repartitionById(slices * groups, target).sortWithinPartitions("slot", "grp", "side")
     from pyspark.sql.pandas.types import to_arrow_type
 
     qt, dt = queries.schema[query_id].dataType, pool.schema[pool_id].dataType
+    types = (to_arrow_type(qt), to_arrow_type(dt))
     schema = T.StructType(
         [T.StructField("qid", qt), T.StructField("did", dt), T.StructField("score", T.DoubleType())]
     )
-    partial = met.mapInArrow(_search_batches(k, metric, width, digits, to_arrow_type(qt), to_arrow_type(dt)), schema)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
+    packed = materialize(pack_blocks(queries, query_id, query_vector, width, min(BLOCK_ROWS, group_rows)), "query-blocks")
+    blocks, n_queries, entries = packed.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n").cast("long") * F.col("dim"))).first()
+    p = pack_blocks(pool, pool_id, pool_vector, width)
+    if not slices and (n_queries or 0) <= group_rows and (entries or 0) * 8 <= SENT_BYTES:
+        # one group of a measured size travels to the pool, which stays where it is read
+        rows = [(_unpack_ids(r["ids"]).copy(), np.frombuffer(r["mat"], width).reshape(r["n"], r["dim"])) for r in packed.orderBy("tag").collect()]
+        shared = spark.sparkContext.broadcast(rows)
+        partial = p.select("ids", "mat", "dim", "n").mapInArrow(_search_sent(k, metric, width, digits, *types, shared), schema)
+    else:
+        groups, placed = _query_groups(packed, group_rows, blocks or 0)
+        slices = slices or _pool_slices(pool, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        q = placed.select(
+            F.lit(0).alias("side"),
+            "grp",
+            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slot"),
+            "ids",
+            "mat",
+            "dim",
+            "n",
+        )
+        p = p.select(
+            F.lit(1).alias("side"),
+            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
+            F.pmod("tag", F.lit(slices)).cast("int").alias("slot"),
+            "ids",
+            "mat",
+            "dim",
+            "n",
+        )
+        # One partition per (slice, group): direct ids avoid collisions of a hash.
+        target = F.col("slot") * groups + F.col("grp")
+        met = q.unionByName(p).repartitionById(slices * groups, target).sortWithinPartitions("slot", "grp", "side")
+        partial = met.mapInArrow(_search_batches(k, metric, width, digits, *types), schema)
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(query_id), F.col("did").alias(pool_id), "score", "rank")
 
 
+def _query_groups(packed: DataFrame, group_rows: int, blocks: int) -> tuple[int, DataFrame]:
+    """Blocks with their group: consecutive blocks until a group holds ``group_rows`` rows.
+
+    Only (tag, n) of the blocks is ordered globally, one row per block.
+    """
+    before = F.sum("n").over(Window.orderBy("tag").rowsBetween(Window.unboundedPreceding, -1))
+    start = packed.select("tag", "n").withColumn("before", F.coalesce(before, F.lit(0)))
+    grouped = materialize(start.select("tag", F.floor(F.col("before") / group_rows).cast("int").alias("grp")).distinct(), "groups")
+    groups = 1 + (grouped.agg(F.max("grp")).first()[0] or 0)
+    return groups, packed.join(grouped, "tag")
+
+
+def _pool_slices(pool: DataFrame, most: int) -> int:
+    """Slices of a pool: one for a few blocks, at most ``most``."""
+    return max(1, min(most, -(-pool.count() // (8 * BLOCK_ROWS))))
+
+
 def row_dot(a: str, b: str):
     """Inner product of two vector columns on Arrow batches (bulk path)."""
     from pyspark.sql.functions import arrow_udf

@@ -32,10 +32,10 @@ def retrieve(beams: DataFrame, codes: DataFrame, k: int, dedupe: bool = False, p
 
     Without ``dedupe`` a candidate reached through two beams counts twice.
     Only the first ``k`` members of a code can ever be used, so a code that
-    holds much of the pool is cut before the join.
+    holds much of the pool is cut before the join; it is numbered in position
+    ranges, so no task sorts a whole code whatever ``k``.
     """
-    first = Window.partitionBy("code").orderBy(position)
-    members = codes.withColumn("__at", F.row_number().over(first)).where(F.col("__at") <= k)
+    members = code_buckets(codes, position).where(F.col("at") < k).withColumn("__at", (F.col("at") + 1).cast("int"))
     found = skew_join(beams.select("qid", "beam_rank", "code"), members.select("code", "__at", "did"), "code", spread_by=["qid", "beam_rank"])
     if dedupe:
         found = found.groupBy("qid", "did").agg(F.min(F.struct("beam_rank", "__at")).alias("__m")).select(
@@ -140,15 +140,19 @@ def rerank(
 
 
 def _slices(wanted: DataFrame, members: DataFrame, pool_slice: int, query_slice: int) -> DataFrame:
-    """Cuts of hot codes: (code, np, nq), at most ``2 * MAX_HOT_KEYS`` rows."""
+    """Cuts of hot codes: (code, np, nq).
+
+    A hot code holds more than one ``MAX_HOT_KEYS``-th of a side, so there are
+    fewer than ``2 * MAX_HOT_KEYS`` of them.
+    """
     sides = wanted.select("code", F.lit(1).alias("q"), F.lit(0).alias("p")).unionByName(
         members.select("code", F.lit(0).alias("q"), F.lit(1).alias("p"))
     )
     counts = sides.groupBy("code").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    hot = counts.where((F.col("p") > pool_slice) | (F.col("q") > query_slice))
-    heat = F.greatest(F.col("p") / pool_slice, F.col("q") / query_slice)
-    top = hot.orderBy(F.desc(heat)).limit(2 * MAX_HOT_KEYS)
-    return top.select(
+    all_q, all_p = sides.agg(F.sum("q"), F.sum("p")).first()
+    least_p, least_q = max(pool_slice, (all_p or 0) / MAX_HOT_KEYS), max(query_slice, (all_q or 0) / MAX_HOT_KEYS)
+    hot = counts.where((F.col("p") > least_p) | (F.col("q") > least_q))
+    return hot.select(
         "code",
         F.ceil(F.greatest(F.col("p"), F.lit(1)) / pool_slice).cast("int").alias("np"),
         F.ceil(F.greatest(F.col("q"), F.lit(1)) / query_slice).cast("int").alias("nq"),

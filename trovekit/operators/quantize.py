@@ -12,19 +12,22 @@ from trovekit.functions.codes import same_levels
 from trovekit.functions.vectors import mean_squared_error, normalize
 from trovekit.operators.blocks import _matrix, _unit, blocked_top_k
 from trovekit.operators.skew import chunked_changes, chunked_running_sum, lookup_join
-from trovekit.session import materialize
+from trovekit.session import materialize, release
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def codebook_bytes(codebooks: DataFrame) -> int:
-    """Size of the codebooks as a single-precision matrix."""
+    """Size of the codebooks as a double-precision matrix."""
     row = codebooks.agg(F.sum(F.size("centroid").cast("long") * 8 + 8)).first()
     return int(row[0] or 0)
 
 
-def codebook_levels(codebooks: DataFrame, limit: int = BROADCAST_BYTES) -> list[np.ndarray] | None:
-    """Per level the centroid matrix, row = code; None beyond the size limit."""
+def codebook_levels(codebooks: DataFrame, limit: int = BROADCAST_BYTES) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """Per level the codes in order and their centroids; None beyond the size limit.
+
+    Codes need not be 0, 1, ...: a level may have gaps.
+    """
     if codebook_bytes(codebooks) > limit:
         return None
     table = codebooks.select("level", "code", "centroid").toArrow().combine_chunks()
@@ -34,18 +37,30 @@ def codebook_levels(codebooks: DataFrame, limit: int = BROADCAST_BYTES) -> list[
     for current in np.unique(level):
         mine = np.flatnonzero(level == current)
         mine = mine[np.argsort(code[mine])]
-        if not np.array_equal(code[mine], np.arange(len(mine))):
-            raise ValueError(f"codes of level {current} are not 0..{len(mine) - 1}")
-        books.append(centroids[mine])
+        books.append((code[mine], centroids[mine]))
     return books
 
 
+DISTANCE_DIGITS = 12
+
+
 def _nearest(residual: np.ndarray, book: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Row of the nearest centroid: squared distance, rounded to twelve digits, ties to the first row.
+
+    A matrix product finds the rows that can win; where there are several, their
+    directly computed distances decide, as they do in the joined form.
+    """
     norms = (book * book).sum(1)
-    out = np.empty(len(residual), "i4")
+    out = np.empty(len(residual), "i8")
     for a in range(0, len(residual), rows):
         part = residual[a : a + rows]
-        out[a : a + rows] = (norms[None, :] - 2 * (part @ book.T)).argmin(1)
+        rough = norms[None, :] - 2 * (part @ book.T)
+        out[a : a + rows] = rough.argmin(1)
+        close = rough <= rough.min(1, keepdims=True) + 1e-9 * (1 + norms.max(initial=0.0))
+        for i in np.flatnonzero(close.sum(1) > 1):
+            options = np.flatnonzero(close[i])
+            exact = np.round(((part[i] - book[options]) ** 2).sum(1), DISTANCE_DIGITS)
+            out[a + i] = options[exact.argmin()]
     return out
 
 
@@ -80,11 +95,11 @@ def encode_codes(
             residual = _unit(_matrix(batch.column(1), "<f8"))
             total = np.zeros_like(residual)
             codes = []
-            for book in shared.value:
-                code = _nearest(residual, book)
-                total += book[code]
-                residual = residual - book[code]
-                codes.append(code)
+            for names, book in shared.value:
+                row = _nearest(residual, book)
+                total += book[row]
+                residual = residual - book[row]
+                codes.append(names[row])
             yield pa.record_batch(
                 [batch.column(0), _list_array(np.stack(codes, 1), pa.int32()), _list_array(_unit(total), pa.float64())],
                 names=[key, "code", "quant"],
@@ -120,7 +135,7 @@ def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector
             pool_id="choice",
             pool_vector="centroid",
             metric="l2",
-            digits=12,
+            digits=DISTANCE_DIGITS,
         ).select(key, "choice")
         chosen = lookup_join(best, book, "choice")
         state = state.join(chosen, key).select(
@@ -129,7 +144,8 @@ def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector
             F.zip_with("total", "centroid", lambda t, c: t + c).alias("total"),
             F.concat("code", F.array("choice")).alias("code"),
         )
-        state = materialize(state, "encode")
+        done, state = state, materialize(state, "encode")
+        release(done)
     return state.select(key, "code", normalize("total").alias("quant"))
 
 
@@ -169,7 +185,9 @@ def train_codebooks(
             )
         )
         if level + 1 < len(sizes):
-            residual = materialize(_subtract_nearest(residual, centers), "residual")
+            done, residual = residual, materialize(_subtract_nearest(residual, centers), "residual")
+            release(done)
+    release(residual)
     return spark.createDataFrame(pa.concat_tables(books), schemas.CODEBOOK)
 
 
@@ -185,8 +203,15 @@ def _subtract_nearest(residual: DataFrame, centers: np.ndarray) -> DataFrame:
     return residual.mapInArrow(run, residual.schema)
 
 
-def reconstruct(codes: DataFrame, codebooks: DataFrame, key: str = "did") -> DataFrame:
-    """(key, quant) from codes: normalised sum of the chosen centroids."""
+def reconstruct(codes: DataFrame, codebooks: DataFrame, key: str = "did", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, quant) from codes: normalised sum of the chosen centroids.
+
+    Codebooks within ``limit`` bytes travel with the tasks; larger ones are
+    joined by level and code.  A code without a centroid adds nothing.
+    """
+    books = codebook_levels(codebooks, limit)
+    if books:
+        return _reconstruct_with(codes, books, key)
     chosen = codes.select(key, F.posexplode("code").alias("level", "code"))
     found = lookup_join(chosen, codebooks, ["level", "code"])
     entries = found.select(key, F.posexplode("centroid").alias("i", "x"))
@@ -195,6 +220,25 @@ def reconstruct(codes: DataFrame, codebooks: DataFrame, key: str = "did") -> Dat
     return sums.groupBy(key).agg(normalize(total).alias("quant"))
 
 
+def _reconstruct_with(codes: DataFrame, books: list[tuple[np.ndarray, np.ndarray]], key: str) -> DataFrame:
+    shared = codes.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = _matrix(batch.column(1), "i8")
+            total = np.zeros((len(code), shared.value[0][1].shape[1]))
+            for level, (names, book) in enumerate(shared.value[: code.shape[1]]):
+                row = np.minimum(np.searchsorted(names, code[:, level]), len(names) - 1)
+                known = names[row] == code[:, level]
+                total[known] += book[row[known]]
+            yield pa.record_batch([batch.column(0), _list_array(_unit(total), pa.float64())], names=[key, "quant"])
+
+    schema = T.StructType([T.StructField(key, codes.schema[key].dataType), T.StructField("quant", T.ArrayType(T.DoubleType()))])
+    return codes.select(key, "code").mapInArrow(run, schema)
+
+
 def unique_codes(
     coded: DataFrame, position: str = "pos", code: str = "code", vector: str = "embedding", tolerance: float = 1e-5
 ) -> DataFrame:
@@ -202,14 +246,16 @@ def unique_codes(
 
     Counts, in position order, the vectors that are not close to the first
     vector of their code; a vector close to the first takes the current count.
+    Vectors are compared after scaling to unit length.
     """
+    coded = coded.withColumn("__given", F.col(vector)).withColumn(vector, normalize(vector))
     first = coded.groupBy(code).agg(F.min_by(vector, position).alias("__first"))
     joined = lookup_join(coded, first, code)
     apart = F.exists(
         F.zip_with("__first", vector, lambda a, b: F.abs(a - b) > tolerance + 1e-5 * F.abs(b)), lambda x: x
     )
     counted = chunked_running_sum(joined, code, position, apart.cast("int"), "suffix")
-    return counted.withColumn("unique_code", F.concat(code, F.array(F.col("suffix").cast("int")))).drop("__first")
+    return counted.withColumn("unique_code", F.concat(code, F.array(F.col("suffix").cast("int")))).withColumn(vector, F.col("__given")).drop("__first", "__given")
 
 
 # -- diagnostics ---------------------------------------------------------------
