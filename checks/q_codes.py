@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import query, rate_sql, unit
 from checks.q_search import FUSED, query_vectors
 from trovekit.functions import codes as C
+from trovekit.functions.vectors import normalize
 from trovekit.operators import beam, code_search, evaluate, prefix, quantize
 from trovekit.plans import retrieval
 from trovekit.session import materialize
@@ -75,41 +76,54 @@ def decoded(t, codes):
 
 @query(
     needs="fx_vectors fx_codebooks",
-    sql=POOL_CODES + f"SELECT did, array_to_string(code, '-') AS code, round(({unit('total')})[1], 6) AS q1, round(({unit('total')})[64], 6) AS q64 FROM codes",
+    sql=POOL_CODES + f", x AS (SELECT did, code, {unit('total')} AS q FROM codes) SELECT did, array_to_string(code, '-') AS code, unnest(range(64)) AS i, round(unnest(q), 6) AS x FROM x",
 )
 def encode_codes(t):
-    return pool_codes(t).select(
-        "did", joined("code").alias("code"), F.round(F.col("quant")[0], 6).alias("q1"), F.round(F.col("quant")[63], 6).alias("q64")
-    )
+    rows = pool_codes(t).select("did", joined("code").alias("code"), F.posexplode("quant").alias("i", "x"))
+    return rows.select("did", "code", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(
     needs="fx_vectors fx_codebooks",
-    sql=POOL_CODES + f"SELECT did, array_to_string(code, '-') AS code, round(({unit('total')})[1], 6) AS q1 FROM codes",
+    sql=POOL_CODES + f", x AS (SELECT did, code, {unit('total')} AS q FROM codes) SELECT did, array_to_string(code, '-') AS code, unnest(range(64)) AS i, round(unnest(q), 6) AS x FROM x",
 )
 def encode_codes_joined(t):
     # the way for codebooks beyond the broadcast limit
     v = t.fx_vectors.select(F.col("id").alias("did"), "embedding")
     coded = quantize.encode_codes(v, t.fx_codebooks, limit=0)
-    return coded.select("did", joined("code").alias("code"), F.round(F.col("quant")[0], 6).alias("q1"))
+    rows = coded.select("did", joined("code").alias("code"), F.posexplode("quant").alias("i", "x"))
+    return rows.select("did", "code", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(
     needs="fx_vectors fx_codebooks",
     sql=POOL_CODES
     + f"""
-, x AS (SELECT did, {unit('total')} AS q FROM codes) SELECT did, round(q[1], 6) AS q1, round(q[33], 6) AS q33 FROM x
+, x AS (SELECT did, {unit('total')} AS q FROM codes) SELECT did, unnest(range(64)) AS i, round(unnest(q), 6) AS x FROM x
 """,
 )
 def reconstruct(t):
     quant = quantize.reconstruct(pool_codes(t).select("did", "code"), t.fx_codebooks)
-    return quant.select("did", F.round(F.col("quant")[0], 6).alias("q1"), F.round(F.col("quant")[32], 6).alias("q33"))
+    rows = quant.select("did", F.posexplode("quant").alias("i", "x"))
+    return rows.select("did", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query()
+@query("SELECT unnest([0, 1, 2]) AS level, unnest([3, 8, 8]) AS codes, 64 AS dim, true AS closer")
 def train_codebooks(t):
-    books = quantize.train_codebooks(t.embeddings.select("embedding"), [3, 8, 8], iterations=5)
-    return books.select("level", "code", F.size("centroid").alias("dim"))
+    """Sizes of the trained levels, and whether each level brings all vectors nearer to their sums of centroids."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("did"), "embedding")
+    books = materialize(quantize.train_codebooks(vectors, [3, 8, 8], iterations=5), "books")
+    errors = [1e9]
+    for level in range(3):
+        codes = quantize.encode_codes(vectors, books.where(F.col("level") <= level)).select("did", "code")
+        chosen = codes.select("did", F.posexplode("code").alias("level", "code")).join(books, ["level", "code"])
+        entries = chosen.select("did", F.posexplode("centroid").alias("i", "x")).groupBy("did", "i").agg(F.sum("x").alias("x"))
+        units = vectors.select("did", F.posexplode(normalize("embedding")).alias("i", "u"))
+        errors.append(entries.join(units, ["did", "i"]).agg(F.sum((F.col("x") - F.col("u")) ** 2)).first()[0])
+    falls = F.array(*[F.lit(b < a) for a, b in zip(errors, errors[1:])])
+    return books.groupBy("level").agg(F.count(F.lit(1)).alias("codes"), F.max(F.size("centroid")).alias("dim")).select(
+        F.col("level").cast("int"), F.col("codes").cast("int"), "dim", F.get(falls, F.col("level")).alias("closer")
+    )
 
 
 TWICE = """
@@ -154,6 +168,35 @@ def collisions(t):
     return quantize.collisions(rows).withColumn("code", joined("code"))
 
 
+@query(
+    needs="fx_vectors fx_codebooks",
+    sql=POOL_CODES
+    + TWICE
+    + """
+, l AS (SELECT code, split_part(did, ':', 1) AS id, lag(split_part(did, ':', 1)) OVER (PARTITION BY code ORDER BY pos) AS prev FROM twice),
+c AS (SELECT code, count(*) FILTER (WHERE prev <> id) AS changes, count(DISTINCT id) - 1 AS extra_ids FROM l GROUP BY code)
+SELECT sum(changes)::BIGINT AS collisions, sum(extra_ids)::BIGINT AS extra_ids FROM c
+""",
+)
+def collision_totals(t):
+    rows = twice(t).withColumn("did", F.split_part("did", F.lit(":"), F.lit(1)))
+    return quantize.collision_totals(quantize.collisions(rows))
+
+
+@query(
+    needs="fx_vectors fx_codebooks",
+    sql=POOL_CODES
+    + """
+, e AS (SELECT unnest(range(3)) AS level, unnest(code) AS c FROM codes), n AS (SELECT level, c, count(*) AS n FROM e GROUP BY ALL),
+p AS (SELECT level, n / (SELECT count(*) FROM codes) AS p FROM n), x AS (SELECT exp(-sum(p * ln(p + 1e-6))) AS perplexity FROM p GROUP BY level)
+SELECT round(avg(perplexity), 6) AS perplexity FROM x
+""",
+)
+def mean_perplexity(t):
+    per_level = quantize.perplexity(materialize(pool_codes(t).select("code"), "codes"))
+    return quantize.mean_perplexity(per_level).select(F.round("perplexity", 6).alias("perplexity"))
+
+
 @query(
     needs="fx_vectors fx_codebooks",
     sql=POOL_CODES

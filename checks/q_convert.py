@@ -51,7 +51,7 @@ def convert_graded(t):
         F.lit("image,text").alias("modality"),
         score.alias("score"),
     )
-    return convert.graded_candidates(graded, pair_pool(t))
+    return convert.graded_candidates(graded, pair_pool(t), manifest=t.fx_manifest)
 
 
 def _clean(c):
@@ -413,7 +413,9 @@ SELECT pl.qid, pl.place, pl.did, md5({clean('p.txt')}) AS txt, p.img_path FROM p
 """,
 )
 def sample_negatives(t):
-    s = samples.training_samples(t.fx_queries, t.fx_pool, prompt_table(t), negatives=3)
+    # a query without negatives would fail the job
+    some = t.fx_queries.where(F.size("neg_cand_list") > 0)
+    s = samples.training_samples(some, t.fx_pool, prompt_table(t), negatives=3)
     rows = samples.sample_negatives(s, t.fx_pool)
     return rows.select("qid", F.col("place").cast("long").alias("place"), "did", F.md5("txt").alias("txt"), "img_path")
 

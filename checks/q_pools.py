@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import chunks, clean, query
 from trovekit.operators import links as L
 from trovekit.operators import pools
-from trovekit.operators.numbering import number_by_hash, number_rows, range_bucket
+from trovekit.operators.numbering import number_by_hash, number_rows
 from trovekit.functions.stable import hash_bucket, hash_order
 from trovekit.sources.images import demote_invalid_image, with_valid_image
 
@@ -107,7 +107,7 @@ FROM (SELECT DISTINCT img_path FROM fx_pool WHERE img_path IS NOT NULL) p JOIN f
 )
 def pool_images(t):
     paths = t.fx_pool.where(F.col("img_path").isNotNull()).select("img_path")
-    return pools.image_pool(paths, 7, range_bucket(paths, "img_path"), t.fx_manifest).select("did", "img_path")
+    return pools.image_pool(paths, 7, manifest=t.fx_manifest).select("did", "img_path")
 
 
 KB = f"""
@@ -176,8 +176,7 @@ def first_seen_dedup(t):
 
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
 def dense_numbering(t):
-    month = F.date_format("o_orderdate", "yyyy-MM")
-    return number_rows(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], month)
+    return number_rows(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], bucket_rows=2000)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY md5('2023:' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS n FROM lineitem")
@@ -197,11 +196,10 @@ def task_pool_split(t):
 
 @query(
     needs="fx_users",
-    sql="SELECT query_modality, count(*) AS n, sum(pos)::BIGINT AS positions FROM fx_users WHERE query_modality IN ('text', 'image') GROUP BY 1",
+    sql="SELECT query_modality, count(*) AS n, sum(pos)::BIGINT AS positions FROM fx_users GROUP BY 1",
 )
 def query_split_by_modality(t):
-    known = t.fx_users.where(F.col("query_modality").isin("text", "image"))
-    return known.groupBy("query_modality").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
+    return t.fx_users.groupBy("query_modality").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("positions"))
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import query
 from trovekit import schemas
+from trovekit.operators import pools
 from trovekit.operators.pools import ensure_unique
 from trovekit.session import scratch_path
 from trovekit.sources import catalog, images, records, stores, tables, trec
@@ -141,7 +142,9 @@ UNION ALL SELECT 'union', count(*), sum(vec_id)::BIGINT, round(sum(list_sum(embe
 def io_roundtrip_embeddings(t):
     path = scratch_path(t.spark, "embeddings")
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
-    rows.withColumn("pool", F.concat(F.lit("label"), "label")).drop("label").write.partitionBy("pool").parquet(path)
+    labels = [r[0] for r in rows.select("label").distinct().collect()]
+    for label in [*labels, *labels]:  # a job that runs again leaves the same rows
+        stores.write_embeddings(rows.where(F.col("label") == label), path, f"label{label}")
     stored = ensure_unique(stores.read_embeddings(t.spark, path), "id")
     both = stored.unionByName(stored.withColumn("pool", F.lit("union")))
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
@@ -211,10 +214,14 @@ def base64_rows(t):
     return rows.select("image_id", F.md5(body).alias("payload"), images.is_jpeg("content").alias("jpeg"))
 
 
-@query()
+@query("SELECT DISTINCT 'source=' || source AS folder FROM documents")
 def image_listing(t):
-    found = images.list_images(t.spark, t.folder, extensions=("parquet",))
-    return found.select(F.substring_index("path", "/", -1).alias("name"))
+    # a folder tree written from the documents, listed by extension
+    path = scratch_path(t.spark, "images")
+    t.documents.select("source", "text").repartition("source").write.partitionBy("source").text(path, lineSep="\0")
+    found = images.list_images(t.spark, path, extensions=("txt",))
+    assert images.list_images(t.spark, path, extensions=("jpg",)).isEmpty()
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
 
 
 @query(
@@ -270,16 +277,30 @@ def keyed_pool(t):
     return by_id.join(by_content, "did").select("key", "content")
 
 
+@query(
+    needs="fx_pool",
+    sql="""
+, c AS (SELECT did, pos, concat_ws('-', nullif(txt, ''), img_path, modality) AS content FROM fx_pool)
+SELECT md5(content) AS key, min_by(did, pos) AS did FROM c GROUP BY content
+""",
+)
+def keyed_pool_unique(t):
+    first = pools.first_seen(t.fx_pool.select("did", "txt", "img_path", "modality", "pos"), ["txt", "img_path", "modality"], "pos")
+    return records.keyed_pool(first, "content").select(F.md5("key").alias("key"), "did")
+
+
 @query(
     """
-SELECT 'p_' || vec_id AS key, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings
-UNION ALL SELECT 'q_' || vec_id, round(embedding[2]::DOUBLE, 6) FROM embeddings
+WITH e AS (SELECT 'p_' || vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings
+           UNION ALL SELECT 'q_' || vec_id, list_reverse(embedding::DOUBLE[]) FROM embeddings)
+SELECT key, unnest(range(64)) AS i, round(unnest(v), 6) AS x FROM e
 """
 )
 def keyed_vectors(t):
-    p = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"))
-    q = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding")[1].cast("double").alias("x"))
-    return stores.keyed_vectors(q, p).select("key", F.round("x", 6).alias("x"))
+    p = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q = p.withColumn("embedding", F.reverse("embedding"))
+    rows = stores.keyed_vectors(q, p).select("key", F.posexplode("embedding").alias("i", "x"))
+    return rows.select("key", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(
@@ -322,11 +343,12 @@ def json_entries(t):
 
 @query(
     needs="fx_raw_pairs",
-    sql="SELECT pos, img_path, split FROM fx_raw_pairs WHERE split <> 'train'",
+    sql="SELECT pos, img_path, split, 'held out' AS part FROM fx_raw_pairs WHERE split <> 'train' UNION ALL SELECT pos, img_path, split, 'all' FROM fx_raw_pairs",
 )
 def rows_by_split(t):
-    # splits are partition folders, so the training files are not read
+    # splits are partition folders, so the held-out part reads no training file
     path = scratch_path(t.spark, "splits")
     t.fx_raw_pairs.select("pos", "img_path", "split").write.partitionBy("split").parquet(path)
     stored = t.spark.read.schema("pos long, img_path string, split string").parquet(path)
-    return stored.where(F.col("split") != "train")
+    held_out = stored.where(F.col("split") != "train").withColumn("part", F.lit("held out"))
+    return held_out.unionByName(stored.withColumn("part", F.lit("all")))

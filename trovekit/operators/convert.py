@@ -7,7 +7,7 @@ of ``pos``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
@@ -19,9 +19,22 @@ from trovekit.operators.skew import lookup_join, skew_join
 from trovekit.sources.images import with_valid_image
 
 
+KEY = ["__key", "__key2"]
+
+
+def content_key(key: Column) -> list[Column]:
+    """128-bit name of a content key: joins move it instead of whole captions."""
+    return [F.xxhash64(key).alias(KEY[0]), F.xxhash64(F.lit("second"), key).alias(KEY[1])]
+
+
 def pool_keys(pool: DataFrame) -> DataFrame:
-    """(doc_key, did) of a pool."""
-    return pool.select(doc_key().alias("doc_key"), "did")
+    """(key, did) of a pool."""
+    return pool.select(*content_key(doc_key()), "did")
+
+
+def _known(did: str, what: str) -> Column:
+    """The id found for a reference; one that the pool lacks fails the job."""
+    return F.coalesce(F.col(did), F.raise_error(F.concat(F.lit("not in the pool: "), F.coalesce(F.col(what).cast("string"), F.lit("NULL")))))
 
 
 def caption_pairs(raw: DataFrame, pool: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
@@ -50,19 +63,28 @@ def caption_pairs(raw: DataFrame, pool: DataFrame, manifest: DataFrame | None =
         doc_key(none, "img_path", F.lit(K.IMAGE)).alias("doc_key"),
     )
     queries = rows.select("pos", F.inline(F.array(image_query, text_query)))
-    return lookup_join(queries, pool_keys(pool), "doc_key").drop("doc_key")
+    queries = queries.select("*", *content_key(F.col("doc_key"))).drop("doc_key")
+    return lookup_join(queries, pool_keys(pool), KEY).drop(*KEY)
 
 
-def graded_candidates(graded: DataFrame, pool: DataFrame, positive_score: int = 3) -> DataFrame:
+def graded_candidates(
+    graded: DataFrame, pool: DataFrame, positive_score: int = 3, manifest: DataFrame | None = None
+) -> DataFrame:
     """Scored candidates -> positives (best score) and negatives (the rest).
 
     ``graded`` has one row per candidate: ``qid``, ``ord``, ``txt``,
-    ``img_path``, ``modality``, ``score``.  Queries without positive go.
+    ``img_path``, ``modality``, ``score``.  Candidates without text or, given a
+    manifest, with an unreadable image are left out, as they are from the pool;
+    any other candidate that the pool lacks fails the job.  Queries without
+    positive go.
     """
-    keyed = graded.select("qid", "ord", "score", doc_key().alias("doc_key"))
-    found = lookup_join(keyed, pool_keys(pool), "doc_key")
+    graded = graded.where(F.col("txt") != "")
+    if manifest is not None:
+        graded = with_valid_image(graded, manifest)
+    keyed = graded.select("qid", "ord", "score", *content_key(doc_key()))
+    found = lookup_join(keyed, pool_keys(pool), KEY, "left")
     label = F.when(F.col("score") == positive_score, F.lit(POS)).otherwise(F.lit(NEG))
-    return keep_with_positive(found.select("qid", label.alias("label"), "ord", "did"))
+    return keep_with_positive(found.select("qid", label.alias("label"), "ord", _known("did", "qid").alias("did")))
 
 
 FACT_LISTS = [  # (column, label, modality) in list order
@@ -94,11 +116,11 @@ def fact_lists(facts: DataFrame, pool: DataFrame) -> DataFrame:
         "qid",
         "label",
         (F.col("part").cast("long") * 1_000_000_000 + F.col("place")).alias("ord"),
-        doc_key(
-            clean_text("fact.txt"), F.when(F.col("modality") == K.IMAGE_TEXT, F.col("fact.img_path")), "modality"
-        ).alias("doc_key"),
+        *content_key(
+            doc_key(clean_text("fact.txt"), F.when(F.col("modality") == K.IMAGE_TEXT, F.col("fact.img_path")), "modality")
+        ),
     )
-    return lookup_join(keyed, pool_keys(pool), "doc_key").drop("doc_key")
+    return lookup_join(keyed, pool_keys(pool), KEY).drop(*KEY)
 
 
 def soft_targets(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -233,8 +255,8 @@ def extend_by_entity(links: DataFrame, pool: DataFrame, other: DataFrame) -> Dat
 def extend_by_content(links: DataFrame, pool: DataFrame, other: DataFrame) -> DataFrame:
     """Add, per positive, the other pool's candidate with the same content."""
     positives = links.where(F.col("label") == POS)
-    keyed = lookup_join(positives, pool.select("did", doc_key().alias("doc_key")), "did")
-    found = lookup_join(keyed.select("qid", "ord", "doc_key"), pool_keys(other), "doc_key")
+    keyed = lookup_join(positives, pool.select("did", *content_key(doc_key())), "did")
+    found = lookup_join(keyed.select("qid", "ord", *KEY), pool_keys(other), KEY)
     new = found.select("qid", "did", F.struct(F.col("ord").alias("__base"), F.lit(0).alias("__ord")).alias("__at"))
     return _appended(links, new)
 

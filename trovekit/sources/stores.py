@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from trovekit import schemas
 
 
-def write_embeddings(df: DataFrame, path: str, pool: str, mode: str = "append") -> None:
-    """Add (id, embedding) rows as one pool; pools are partition folders."""
-    rows = df.select(
-        F.col("id").cast("long"), F.col("embedding").cast("array<float>"), F.lit(pool).alias("pool")
-    )
-    rows.write.mode(mode).partitionBy("pool").parquet(path)
+def write_embeddings(df: DataFrame, path: str, pool: str) -> None:
+    """Store (id, embedding) rows as one pool; pools are partition folders.
+
+    The pool's own folder is replaced, so a job that is run again leaves the same
+    rows; other pools stay.
+    """
+    rows = df.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
+    rows.write.mode("overwrite").parquet(f"{path}/pool={pool}")
 
 
 def read_embeddings(spark: SparkSession, path: str, pool: str | None = None) -> DataFrame:
