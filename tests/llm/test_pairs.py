@@ -1,9 +1,11 @@
 """Lattice and MinHash near-duplicates against brute force."""
 
 import itertools
+import random
 import re
 
 import numpy as np
+import pytest
 
 from trovekit.llm import lattice_dedup, minhash
 from trovekit.llm.components import components
@@ -128,17 +130,23 @@ def near_copies(passage, rng):
     return rows
 
 
-def test_minhash_against_brute_force(spark, passage):
-    import random
-
+@pytest.mark.parametrize("block", [256, 7])
+def test_minhash_against_brute_force(spark, passage, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(11)
     rows = near_copies(passage, rng)
     shared = passage(999, 60)
     rows += [(500 + i, shared + " " + passage(2000 + i, 80)) for i in range(40)]  # one passage in many documents
     rows += [(600 + i, shared + f" end{i}") for i in range(40)]  # a large group of near copies
+    graded = passage(998, 120).split()
+    for i in range(60):  # copies with up to 14 changes: few are near each other
+        changed = list(graded)
+        for j in rng.sample(range(120), i % 15):
+            changed[j] = f"w{i}x{j}"
+        rows.append((800 + i, " ".join(changed)))
     rows += [(700, None), (701, ""), (702, " \t\n "), (703, "One  two"), (704, "one two"), (705, "ONE two\x0bthree"), (706, "É two"), (707, "é two")]
     rows += [(710, passage(5, 30000)), (711, passage(5, 30000).upper())]
-    for percent in (85, 80):
+    for percent in (85, 80) if block > 7 else (85,):
         want, edges = brute_groups(rows, percent)
         assert len(edges) > 800
         got = {r.doc_id: r for r in minhash.classify(make_docs(spark, rows), percent).collect()}

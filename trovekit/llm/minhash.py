@@ -6,16 +6,18 @@ sketch is the ``k`` smallest hashes.
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
 2. Inverted lists: a sketch value that two classes hold is a list of them.  A pair
    at the threshold shares at least ``need`` sketch values (the estimate of the
-   union sketch, less a margin of 0.3, more than six standard errors at k = 64),
-   so a class enters only the lists of its rarest values, all but need - 1 of
-   those it shares with others, and no list at all when it shares fewer.
+   union sketch, less a margin of 0.3, more than six standard errors at k = 64; the
+   exact bound where sketches are whole sets), so a class enters only the lists of
+   its rarest values, all but need - 1 of those it shares with others, and no list
+   at all when it shares fewer.
 3. Pairs of a list: short lists give all pairs, long ones the pairs with one
    pivot.  The union sketch estimates their similarity and drops the distant ones;
-   exact sizes of full sets decide the rest.  Links that join two members of one
-   component add nothing, so the next round looks only at lists that still hold
-   several components; after ``PIVOT_ROUNDS`` every member outside a list's
-   largest component meets all members of other components, so nothing is lost.
-4. Components of the links; the smallest doc_id of each stays.
+   exact sizes of full sets decide the rest.
+4. Long lists that still hold several components are settled exactly: their
+   members outside the largest component meet all others block by block, and only
+   links between components leave a task.  So no list of pairs is ever built for a
+   large group, and no link between components is lost.
+5. Components of the links; the smallest doc_id of each stays.
 
 Edge cases: texts without words (and NULL) have an empty set and link with
 nothing; fewer words than a shingle make one shingle of all; rows with NULL doc_id
@@ -35,7 +37,7 @@ from trovekit.llm.common import drop, written
 from trovekit.llm.components import components
 from trovekit.llm.textbatch import run_hash, utf8
 
-K, MARGIN, SHORT_LIST, PIVOT_ROUNDS = 64, 0.30, 16, 3
+K, MARGIN, SHORT_LIST, BLOCK = 64, 0.30, 16, 256
 WORDS = 5
 PIECE = 1 << 19
 
@@ -130,46 +132,111 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def _lists(classes: DataFrame, tau: float, k: int) -> DataFrame:
+def _lists(classes: DataFrame, percent: int, tau: float, k: int) -> DataFrame:
     """(value, node, n): each class in the inverted lists of its rarest shared sketch values."""
     post = classes.select("node", "n", F.explode("sketch").alias("value"))
     shared = post.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     post = post.join(shared, "value")
     ranked = post.withColumn("at", F.row_number().over(Window.partitionBy("node", "n").orderBy("df", "value")))
     ranked = ranked.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("node", "n")))
-    need = F.ceil(F.lit(tau) * F.least("n", F.lit(k)))
+    # the sketches of both documents are their whole sets where n is at most percent of k
+    whole = F.floor((F.col("n") * percent + 99) / 100)
+    need = F.when(F.col("n") * 100 <= percent * k, whole).otherwise(F.ceil(F.lit(tau) * F.least("n", F.lit(k))))
     return ranked.filter(F.col("at") <= F.col("held") - need + 1).select("value", "node", "n")
 
 
-def _pairs(lists: DataFrame, found: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of different components."""
-    members = lists.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    stats = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("c", "node", "n")).alias("pivot"))
-    stats = stats.filter("c0 != c1")
-    short = stats.filter(F.col("size") <= SHORT_LIST).select("value")
-    long = stats.filter(F.col("size") > SHORT_LIST)
-    some = members.join(short, "value", "left_semi")
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a < b): all of short lists, those with one pivot of long ones."""
+    stats = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("pivot")).filter("size > 1")
+    some = lists.join(stats.filter(F.col("size") <= SHORT_LIST).select("value"), "value", "left_semi")
     x, y = some.alias("x"), some.alias("y")
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")))
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
-    if not last:
-        star = members.join(long.select("value", "pivot"), "value").filter("c != pivot.c and node != pivot.node")
-        star = star.select(F.col("pivot.node").alias("p"), F.col("pivot.n").alias("np"), "node", "n")
-    else:
-        sizes = members.join(long.select("value"), "value", "left_semi").groupBy("value", "c").agg(F.count(F.lit(1)).alias("m"))
-        main = sizes.groupBy("value").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-        marked = members.join(main, "value")
-        out, all_ = marked.filter("c != main").alias("x"), marked.alias("y")
-        cross = (F.col("x.value") == F.col("y.value")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        star = out.join(all_, cross).select(F.col("x.node").alias("p"), F.col("x.n").alias("np"), F.col("y.node").alias("node"), F.col("y.n").alias("n"))
-    ordered = star.select(
-        F.least("p", "node").alias("a"),
-        F.when(F.col("p") < F.col("node"), F.col("np")).otherwise(F.col("n")).alias("na"),
-        F.greatest("p", "node").alias("b"),
-        F.when(F.col("p") < F.col("node"), F.col("n")).otherwise(F.col("np")).alias("nb"),
-    )
+    star = lists.join(stats.filter(F.col("size") > SHORT_LIST).select("value", "pivot"), "value").filter("node > pivot.node")
+    star = star.select(F.col("pivot.node").alias("a"), F.col("pivot.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.unionByName(ordered).filter(close).select("a", "b").distinct()
+    return pairs.unionByName(star).filter(close).select("a", "b").distinct()
+
+
+def _rest(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a long list: (a, b), one per pair of components and block pair.
+
+    Long lists that share members are one cluster.  Its largest component is cut
+    into blocks, and so are all its other members; every block of others meets all
+    blocks in a task of its own, where full sets are compared by products of
+    incidence matrices.  Blocks of the largest component need not meet.
+    """
+    members = lists.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    stats = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("first"))
+    mixed = stats.filter((F.col("size") > SHORT_LIST) & (F.col("c0") != F.col("c1"))).select("value", "first")
+    inside = written(members.join(mixed, "value").select("node", "c", "first").distinct(), "mixed-lists")
+    cluster = components(inside.select(F.col("first").alias("a"), F.col("node").alias("b")), label="clusters")
+    placed = written(inside.select("node", "c").distinct().join(cluster, "node").select("node", "c", F.col("component").alias("k")), "clusters")
+    sizes = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
+    shape = sizes.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = shape.select("k", "main", blocks(F.col("m")).alias("mains"), blocks(F.col("all") - F.col("m")).alias("others"))
+    rows = placed.join(shape, "k").withColumn("is_main", F.col("c") == F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("own", own)
+    to = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: i)
+    with_main = F.transform(to(F.col("mains")), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side")))
+    with_others = F.transform(
+        to(F.col("others")),
+        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.when(F.col("own") <= j, 0).otherwise(1).alias("side")),
+    )
+    as_main = F.transform(to(F.col("others")), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side")))
+    places = F.when(F.col("is_main"), as_main).otherwise(F.concat(with_main, with_others))
+    spread = rows.filter("others > 0").select("k", "node", "c", F.explode(places).alias("p"))
+    kind = placed.schema["node"].dataType.simpleString()
+    meet = spread.select("k", "p.i", "p.j", "p.side", "node", "c").join(sets, "node")
+    return meet.groupBy("k", "i", "j").applyInArrow(_block_links(percent), f"a {kind}, b {kind}").distinct()
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        side, node, c = (table.column(x).to_numpy() for x in ("side", "node", "c"))
+        column = table.column("set").combine_chunks()
+        size = np.diff(column.offsets.to_numpy())
+        value = np.unique(column.flatten().to_numpy(), return_inverse=True)[1]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if int(table.column("i")[0].as_py()) == int(table.column("j")[0].as_py()):
+            y = x
+        row = np.repeat(np.arange(len(size)), size)
+        both = _overlaps(row, value, x, y, len(size))
+        union = size[x][:, None] + size[y][None, :] - both
+        hit = (100 * both >= percent * union) & (c[x][:, None] != c[y][None, :])
+        i, j = np.nonzero(hit)
+        a, b = x[i], y[j]
+        # one link joins two components; the others between them add nothing
+        low, high = np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
+        _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
+        a, b = a[first], b[first]
+        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return run
+
+
+def _overlaps(row: np.ndarray, value: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows ``x`` and ``y``, ``columns`` values at a time."""
+    in_x, in_y = np.full(n, -1), np.full(n, -1)
+    in_x[x], in_y[y] = np.arange(len(x)), np.arange(len(y))
+    seen_x, seen_y = (np.bincount(value[p[row] >= 0], minlength=value.max(initial=0) + 1) > 0 for p in (in_x, in_y))
+    shared = seen_x & seen_y
+    place = np.cumsum(shared) - 1
+    keep = shared[value]
+    row, value = row[keep], place[value[keep]]
+    out = np.zeros((len(x), len(y)))
+    for first in range(0, int(shared.sum()), columns):
+        part = (value >= first) & (value < first + columns)
+        sides = []
+        for p, count in ((in_x, len(x)), (in_y, len(y))):
+            m = np.zeros((count, columns), np.float32)
+            mine = part & (p[row] >= 0)
+            m[p[row[mine]], value[mine] - first] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
 
 
 def links(docs: DataFrame, percent: int = 85, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,7 +254,7 @@ def links(docs: DataFrame, percent: int = 85, k: int = K) -> tuple[DataFrame, Da
     members = written(joined.select("doc_id", "node").distinct(), "members")
     classes = joined.filter(F.col("doc_id") == F.col("node")).select("node", *ident, "sketch").dropDuplicates(["node", *ident])
     classes = written(classes.select("node", "n", "sketch"), "classes")
-    lists = written(_lists(classes, tau, k), "lists")
+    lists = written(_lists(classes, percent, tau, k), "lists")
     active = lists.select("node").distinct()
     bits = written(classes.join(active, "node", "left_semi"), "active")
     texts = docs.select("doc_id", "text").join(active, F.col("doc_id") == F.col("node"), "left_semi")
@@ -196,19 +263,14 @@ def links(docs: DataFrame, percent: int = 85, k: int = K) -> tuple[DataFrame, Da
     # a doc_id with several texts joins their classes
     first = members.groupBy("doc_id").agg(F.min("node").alias("a"))
     edges = written(members.join(first, "doc_id").filter("a != node").select("a", F.col("node").alias("b")).distinct(), "links")
+    pairs = written(_pairs(lists, percent), "pairs")
+    edges = edges.unionByName(written(_verified(pairs, bits, sets, percent, tau, k), "links"))
     found = written(components(edges), "components")
-    tested: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        pairs = _pairs(lists, found, percent, turn == PIVOT_ROUNDS)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue  # the pivots have met everyone; the last turn looks at the rest
-        edges = edges.unionByName(written(_verified(pairs, bits, sets, percent, tau, k), "links"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        old, found = found, written(components(edges), "components")
+    more = written(_rest(lists, found, sets, percent), "links")
+    if not more.isEmpty():
+        old, found = found, written(components(edges.unionByName(more)), "components")
         drop(old)
+    drop(pairs, lists, bits, sets)
     return every.select("doc_id", "n"), members, found
 
 
