@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovekit import constants as K
 from trovekit.functions.vectors import normalize, squared_distance, subtract
 from trovekit.operators.blocks import _matrix
 from trovekit.operators.quantize import BROADCAST_BYTES, codebook_levels
@@ -111,8 +112,8 @@ def beam_search(
     queries: DataFrame,
     index: DataFrame,
     codebooks: DataFrame,
-    beams: int,
-    levels: int,
+    beams: int = K.BEAMS,
+    levels: int = K.CODE_LEVELS + 1,
     vector: str = "embedding",
     limit: int = BROADCAST_BYTES,
     checkpoint_levels: int = CHECKPOINT_LEVELS,

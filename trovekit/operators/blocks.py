@@ -272,6 +272,7 @@ def blocked_top_k(
     group_rows: int = GROUP_ROWS,
     digits: int = DIGITS,
     n_queries: int | None = None,
+    packed_pool: DataFrame | None = None,
 ) -> DataFrame:
     """(query id, pool id, score, rank): the k best pool rows per query.
 
@@ -282,6 +283,7 @@ def blocked_top_k(
     and the pool into ``slices`` (default: by its size, at most the session's
     shuffle partitions); a group has fewer than ``group_rows`` rows and one block.
     ``n_queries`` is kept for callers that know it; the packed blocks are counted.
+    ``packed_pool`` holds the pool's blocks where ``pack_pool`` has stored them.
     """
     spark = queries.sparkSession
     width = max(_width(queries, query_vector), _width(pool, pool_vector))
@@ -295,7 +297,7 @@ def blocked_top_k(
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
     packed = materialize(pack_blocks(queries, query_id, query_vector, width, min(BLOCK_ROWS, group_rows)), "query-blocks")
     blocks, n_queries, entries = packed.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n").cast("long") * F.col("dim"))).first()
-    p = pack_blocks(pool, pool_id, pool_vector, width)
+    p = packed_pool if packed_pool is not None else pack_blocks(pool, pool_id, pool_vector, width)
     if not slices and (n_queries or 0) <= group_rows and (entries or 0) * 8 <= SENT_BYTES:
         # one group of a measured size travels to the pool, which stays where it is read
         rows = [(_unpack_ids(r["ids"]).copy(), np.frombuffer(r["mat"], width).reshape(r["n"], r["dim"])) for r in packed.orderBy("tag").collect()]
@@ -330,6 +332,14 @@ def blocked_top_k(
     return ranked.select(F.col("qid").alias(query_id), F.col("did").alias(pool_id), "score", "rank")
 
 
+def pack_pool(
+    pool: DataFrame, queries: DataFrame, pool_id: str = "did", pool_vector: str = "embedding", query_vector: str = "embedding"
+) -> DataFrame:
+    """Blocks of a pool, written once, for many searches by vectors like those of ``queries``."""
+    width = max(_width(queries, query_vector), _width(pool, pool_vector))
+    return materialize(pack_blocks(pool, pool_id, pool_vector, width), "pool-blocks")
+
+
 def _query_groups(packed: DataFrame, group_rows: int, blocks: int) -> tuple[int, DataFrame]:
     """Blocks with their group: consecutive blocks until a group holds ``group_rows`` rows.
 
@@ -373,4 +383,4 @@ def row_cosine(a: str, b: str):
     return kernel(F.col(a), F.col(b))
 
 
-__all__ = ["blocked_top_k", "pack_blocks", "row_cosine", "row_dot"]
+__all__ = ["blocked_top_k", "pack_blocks", "pack_pool", "row_cosine", "row_dot"]

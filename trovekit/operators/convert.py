@@ -7,7 +7,7 @@ of ``pos``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
@@ -224,9 +224,18 @@ def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     ``entity_id``, ``answer``, ``answer_eval``; ``chunks`` has ``entity_id``,
     ``ord``, ``txt``, ``did``.  Questions without a positive chunk go.
     """
-    pairs = skew_join(questions, chunks, "entity_id", spread_by=["qid"])
-    label = F.when(contains_answer("txt", "answer", "answer_eval"), F.lit(POS)).otherwise(F.lit(NEG))
-    return keep_with_positive(pairs.select("qid", label.alias("label"), "ord", "did"))
+    # Equal answers to one entity are looked up once.  Arrays are named by a 128-bit
+    # hash; a set of answers carries the labels of all chunks of its entity.
+    asked = questions.select(
+        "qid", "entity_id", "answer", "answer_eval", *content_key(F.to_json(F.struct("answer", "answer_eval")))
+    )
+    sets = asked.groupBy("entity_id", *KEY).agg(F.first("answer").alias("answer"), F.first("answer_eval").alias("answer_eval"))
+    pairs = skew_join(sets, chunks, "entity_id", spread_by=KEY)
+    found = pairs.select("entity_id", *KEY, contains_answer("txt", "answer", "answer_eval").alias("hit"), "ord", "did")
+    some = F.max("hit").over(Window.partitionBy("entity_id", *KEY))
+    labelled = found.withColumn("__some", some).where("__some")
+    links = skew_join(asked.select("qid", "entity_id", *KEY), labelled, ["entity_id", *KEY], spread_by=["qid"])
+    return links.select("qid", F.when(F.col("hit"), F.lit(POS)).otherwise(F.lit(NEG)).alias("label"), "ord", "did")
 
 
 def number_queries(queries: DataFrame, dataset, position: str = "pos", width: int = BUCKET_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trovekit import constants as K
 from trovekit.functions.codes import same_levels
 from trovekit.functions.vectors import mean_squared_error, normalize
 from trovekit.operators.blocks import _matrix, _unit, blocked_top_k
@@ -151,15 +152,15 @@ def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector
 
 def train_codebooks(
     vectors: DataFrame,
-    sizes: list[int],
+    sizes: list[int] | None = None,
     vector: str = "embedding",
     seed: int = 2023,
     iterations: int = 20,
 ) -> DataFrame:
     """(level, code, centroid): k-means per level on what the levels before left.
 
-    ``sizes`` is the number of codes per level; the first level usually has one
-    per modality.  Residuals are written once per level, so a lost executor
+    ``sizes`` is the number of codes per level (default: one per modality, then the
+    reported configuration's vocabulary at every level).  Residuals are written once per level, so a lost executor
     never replays earlier levels.
     """
     from pyspark.ml.clustering import KMeans
@@ -168,6 +169,7 @@ def train_codebooks(
     from trovekit import schemas
 
     spark = vectors.sparkSession
+    sizes = sizes or [len(K.MODALITY_CODES)] + [K.CODE_VOCABULARY] * K.CODE_LEVELS
     residual = materialize(vectors.select(normalize(vector).alias("residual")), "residual")
     books = []
     for level, size in enumerate(sizes):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovekit import constants as K
 from trovekit.functions.text import word_count
 from trovekit.operators.links import explode_links
 from trovekit.operators.skew import chunked_running_sum, null_safe_join
@@ -135,7 +136,7 @@ def caption_counts(rows: DataFrame) -> DataFrame:
 
 
 def rolling_meter(
-    df: DataFrame, meter: str, order: list[str], value: str, window: int = 20, width: int = 100_000, position: str = "n"
+    df: DataFrame, meter: str, order: list[str], value: str, window: int = K.METER_WINDOW, width: int = 100_000, position: str = "n"
 ) -> DataFrame:
     """Statistics of the last ``window`` values of each meter.
 

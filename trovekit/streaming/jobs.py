@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trovekit.operators.blocks import pack_pool
 from trovekit.operators.search import top_k
 
 
@@ -14,12 +15,15 @@ def search_stream(
 ) -> StreamingQuery:
     """Stream of query vectors x stored pool -> top k per query.
 
-    Each micro-batch is one exact search.  Results go to ``output`` under
+    Each micro-batch is one exact search; the pool is packed into blocks once, when
+    the stream is defined, and every batch reads those.  Results go to ``output`` under
     ``batch_id=<n>``; a replayed batch overwrites its own folder only.
     """
 
+    packed = pack_pool(pool, queries)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        result = top_k(batch, pool, k, **options)
+        result = top_k(batch, pool, k, packed_pool=packed, **options)
         result.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     writer = queries.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
