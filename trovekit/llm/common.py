@@ -35,7 +35,7 @@ def drop(*frames: DataFrame | None) -> None:
             p.getFileSystem(session._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def split_buckets(rows: int, per_bucket: int = 50_000) -> int:
+def split_buckets(rows: int, per_bucket: int = 8_192) -> int:
     """Number of buckets, a power of two, so that one holds about ``per_bucket`` rows."""
     n = 1
     while n * per_bucket < rows:
