@@ -417,22 +417,31 @@ RANGE = "h1 long, h2 long, anchor int, a int, lo int, hi int, shared binary, who
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(h1, h2, first, last): byte ranges covered by repeated strings, of ``texts`` (h1, h2, text, pos)."""
+    """(h1, h2, first, last): byte ranges covered by repeated strings, of ``texts`` (h1, h2, text, pos).
+
+    Each level is written, used and removed before the next but one begins.
+    """
     source, spans = texts, None
     for level in range(len(RANGES)):
         ranges = written(source.mapInArrow(_ranges(level), RANGE), "ranges")
+        if source is not texts:
+            drop(source)
         alone = F.concat_ws(":", "h1", "h2", "anchor", "a").cast("binary")
         kinds = ranges.select("shared", F.coalesce("whole", alone).alias("whole"), "whole", F.struct("h1", "h2", "anchor", "a", "lo", "hi").alias("at")).toDF("shared", "kind", "whole", "at")
         kinds = kinds.groupBy("shared", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.count("whole").alias("known"))
         kinds = written(kinds, "range-kinds")
         twice = kinds.filter("n > 1 and known > 0").select(F.col("kind").alias("whole"))
         sure = ranges.join(twice, "whole").select("h1", "h2", F.greatest("a", F.lit(0)).alias("first"), (F.col("a") + RANGES[level] - 1 + LENGTH).alias("last"))
+        sure = written(sure, "spans")
+        drop(ranges)
         spans = sure if spans is None else spans.unionByName(sure)
         if level + 1 == len(RANGES):
+            drop(kinds)
             break
         several = kinds.groupBy("shared").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shared")
         parts = kinds.join(several, "shared", "left_semi").groupBy("at.h1", "at.h2").agg(F.collect_list("at").alias("part"))
         source = written(texts.select("h1", "h2", "text").join(parts, ["h1", "h2"]), "range-texts")
+        drop(kinds)
     return spans
 
 
