@@ -158,6 +158,26 @@ def test_toxicity(spark, toxic_corpus, passage):
     assert len(plain) > 200 and all(shown[i] == t for i, t in plain)
 
 
+def test_toxicity_reads_disguises_at_any_place(spark, toxic_corpus, passage):
+    """Look-alikes up to the word's end, long gaps, line breaks and accented letters."""
+    rows, labels = toxic_corpus
+    rows = [(i, t.replace("worthless", "crétin")) for i, t in rows]
+    said = {
+        "id10+": "idiot", "idi07": "idiot", "i   d   i   o   t": "idiot", "i\nd\ni\no\nt": "idiot", "p\n\na\n\nt\n\nh\n\ne\n\nt\n\ni\n\nc": "pathetic",
+        "c r é t i n": "crétin", "crééétin": "crétin", "CRÉÉÉTIN": "crétin", "cré7in": "crétin", "i" + " " * 300 + "d" + " " * 300 + "i" + " " * 300 + "o" + " " * 300 + "t": "idiot", "(idiot)": "idiot", "idiot!": "idiot",
+    }
+    hidden = [(1000 + k, passage(k + 900, 20) + f" of {w} and " + passage(k + 950, 20)) for k, w in enumerate(said)]
+    docs = make_docs(spark, rows + hidden)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text long"))
+    shown = {r.doc_id: r.restored for r in toxicity.restore_texts(docs, model.characters).collect()}
+    missed = {w: shown[1000 + k][100:220] for k, (w, plain) in enumerate(said.items()) if plain not in re.split(r"\W+", shown[1000 + k])}
+    assert not missed, missed
+    score = {r.doc_id: r.score for r in toxicity.predict(docs, model).collect()}
+    assert all(score[i] >= 0.5 for i, _ in hidden), [w for k, w in enumerate(said) if score[1000 + k] < 0.5]
+    # a long word without blanks is read in linear time
+    assert len(toxicity.decode("ab1" * 100_000, model.characters)) >= 200_000
+
+
 def test_decode_is_the_best_path():
     """The Viterbi reading has the largest total of all readings of the lattice."""
     import itertools

@@ -2,9 +2,10 @@
 
 1. Character language model: trigram counts over the words of all documents,
    added up in the tasks.
-2. Deobfuscation: stretches that look disguised (letters mixed with look-alike
-   digits and marks, letters repeated three times or more, letters set apart by
-   blanks or marks) become a lattice: each character gives the letters it may stand
+2. Deobfuscation: stretches that look disguised (words that hold letters and
+   look-alike digits or marks at any place, letters repeated three times or more,
+   letters set apart by any number of blanks, line breaks or marks; letters of any
+   script) become a lattice: each character gives the letters it may stand
    for, a run of one letter may be one or two of it, a mark between letters may
    be nothing or a gap.  A Viterbi search over trigram states takes the likeliest
    reading.  Plain stretches have one reading and are left as they are.
@@ -46,10 +47,15 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a",
 }
-APART = " .-_*~'`/\\,:"
-MIXED = re.compile(r"[a-z0-9@$!|+(*#%&.\-_]*(?:[a-z@$0-9][0-9@$!|+(*#%&]+[a-z]|(?<![^\s\"'(])[0-9@$!|+(]+[a-z])[a-z0-9@$!|+(*#%&.\-_]*", re.I)
-REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*", re.I)
-SPACED = re.compile(r"(?<![a-z0-9@$])[a-z0-9@$!](?:[ .\-_*~`/\\,:]{1,2}[a-z0-9@$!]){2,}(?![a-z0-9@$])", re.I)
+APART = " .-_*~'`/\\,:\t\n\r"
+# letters and digits of any script, look-alikes, marks inside a word
+SOLID, ALIKE, INNER = r"[^\W_]", r"0-9@$!|+(*#%&", r".\-_"
+WORD = rf"(?:{SOLID}|[{ALIKE}{INNER}])"
+#: a whole word that holds a letter and a look-alike, at any place
+MIXED = re.compile(rf"(?<![{ALIKE}{INNER}])(?<!{SOLID})(?=[{ALIKE}{INNER}]*[^\W\d_])(?=(?:[^\W\d_]|[{INNER}])*[{ALIKE}]){WORD}+")
+REPEATED = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*", re.I)
+ALONE = rf"(?:{SOLID}|[@$!|+(#%&])"
+SPACED = re.compile(rf"(?<!{SOLID})(?<![@$]){ALONE}(?:[ .\-_*~'`/\\,:\t\n\r]+{ALONE}){{2,}}(?!{SOLID}|[@$])")
 
 
 @functools.cache
@@ -109,7 +115,11 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
                     choices.append((letter * 2, -1.6 - 0.3 * k))
             if c in APART:
                 choices.append(("", -0.7 if inner else -2.0))
-            choices.append((" ", -1.0 if c not in LOOK_ALIKES else -8.0 if leads else -3.0 if inner else -1.0))
+            # a bracket or a sign before a word is one as often as it is a letter
+            lead = -2.0 if c in "(*#%&" else -8.0
+            # at a word's end only punctuation is as good as nothing; a digit or a sign is there for a letter
+            last = -1.0 if c in "!|(*" else -3.0
+            choices.append((" ", -1.0 if c not in LOOK_ALIKES else lead if leads else -3.0 if inner else last))
         out.append(choices)
         i = j
     return out
@@ -117,23 +127,32 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: np.ndarray) -> str:
     """Likeliest reading of a lower-case token: Viterbi over the states of the two last symbols."""
-    symbol = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # any other letter counts once for each of its bytes, as in the language model
+    symbols = lambda c: (0,) if c == " " else (ord(c) - 96,) if "a" <= c <= "z" else (27,) * len(c.encode())
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*_lattice(token), [(" ", 0.0)]]:
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        read = [(letters, weight, [z for c in letters for z in symbols(c)]) for letters, weight in choices]
         for (a, b), (score, text) in best.items():
-            for letters, weight in choices:
+            for letters, weight, states in read:
                 x, y, total = a, b, score + weight
-                for c in letters:
-                    z = symbol(c)
+                for z in states:
                     if not (y == z == 0):
                         total += model[x, y, z]
                         x, y = y, z
                 have = step.get((x, y))
                 if have is None or total > have[0]:
-                    step[x, y] = (total, text + letters)
+                    step[x, y] = (total, (text, letters))
         best = step
-    return max(best.values())[1].strip()
+    return max((score, _joined(text)) for score, text in best.values())[1].strip()
+
+
+def _joined(text: tuple | None) -> str:
+    out = []
+    while text is not None:
+        text, letters = text
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -160,38 +179,66 @@ class Restorer:
 BEFORE, AFTER = 48, 96
 
 
+LETTER, ALIKE_BIT, APART_BIT, INNER_BIT = 1, 2, 4, 8
+
+
 @functools.cache
-def _marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of letters, look-alikes and characters that set letters apart."""
-    letter, alike, apart = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-    letter[65:91] = letter[97:123] = True
-    alike[[ord(c) for c in LOOK_ALIKES]] = True
-    apart[[ord(c) for c in APART]] = True
-    return letter, alike, apart
+def _marks() -> np.ndarray:
+    """Kinds of bytes: letters, look-alikes, characters that set letters apart, marks inside a word."""
+    kind = np.zeros(256, np.uint8)
+    kind[65:91] |= LETTER
+    kind[97:123] |= LETTER
+    kind[0xC0:] |= LETTER
+    for marks, bit in (("".join(LOOK_ALIKES), ALIKE_BIT), (APART, APART_BIT), (".-_", INNER_BIT)):
+        kind[[ord(c) for c in marks]] |= bit
+    return kind
+
+
+def _characters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for the bytes of each character that begins at ``at``."""
+    code, more = data[at].astype(np.int64), np.ones(len(at), bool)
+    for j in range(1, 4):
+        spot = np.minimum(at + j, len(data) - 1)
+        more &= (at + j < len(data)) & ((data[spot] & 0xC0) == 0x80)
+        code = np.where(more, code << 8 | data[spot], code)
+    return code
 
 
 def _suspects(data: np.ndarray) -> np.ndarray:
-    """Positions where a stretch looks disguised; everything else reads as it is."""
-    letter, alike, apart = (t[data] for t in _marks())
-    n = len(data)
-    if n < 5:
-        return np.flatnonzero(alike | letter)
-    hit = np.zeros(n, bool)
-    hit[:-1] |= alike[:-1] & letter[1:]
-    hit[:-2] |= alike[:-2] & alike[1:-1] & letter[2:]
-    low = np.where(letter, data | 32, data)
-    hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    single = letter | alike
-    alone = single.copy()
-    alone[1:] &= ~single[:-1]
-    alone[:-1] &= ~single[1:]
-    # three characters in a row that stand alone, one or two marks between them
-    near = np.zeros(n, bool)
-    near[:-2] |= alone[:-2] & apart[1:-1] & alone[2:]
-    near[:-3] |= alone[:-3] & apart[1:-2] & apart[2:-1] & alone[3:]
-    hit[:-2] |= near[:-2] & near[2:]
-    hit[:-3] |= near[:-3] & near[3:]
-    return np.flatnonzero(hit)
+    """Positions where a stretch may be disguised; everything else reads as it is."""
+    solid = (data & 0xC0) != 0x80
+    at = np.flatnonzero(solid)
+    if len(at) < 3:
+        return at
+    plain = len(at) == len(data)
+    head = data if plain else data[at]
+    kind = _marks()[head]
+    letter = (kind & LETTER) > 0
+    hit = np.zeros(len(at), bool)
+    # a letter beside a look-alike, marks inside the word aside
+    some = np.flatnonzero((kind & INNER_BIT) == 0)
+    part = kind[some] & (LETTER | ALIKE_BIT)
+    near = np.flatnonzero((part[:-1] | part[1:]) == (LETTER | ALIKE_BIT))
+    near = near[(part[near] > 0) & (part[near + 1] > 0)]
+    hit[some[near]] = hit[some[near + 1]] = True
+    # one letter three times, in upper or lower case; whole characters where lead bytes agree
+    low = np.where(letter, head | 32, head)
+    same = np.flatnonzero(letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]))
+    wide = same[head[same] >= 0xC0]
+    if len(wide):
+        one, two, three = (_characters(data, at[wide + j]) for j in range(3))
+        # Latin letters with accents differ from their capitals in one bit
+        one, two, three = (np.where((c >= 0xC380) & (c <= 0xC39E), c | 32, c) for c in (one, two, three))
+        hit[wide[(one == two) & (two == three)]] = True
+    hit[same[head[same] < 0x80]] = True
+    # three characters in a row that stand alone, any marks between them: the whole stretch
+    some = np.flatnonzero((kind & APART_BIT) == 0)
+    single = (kind[some] & (LETTER | ALIKE_BIT)) > 0
+    joined = (np.diff(some) == 1) & single[:-1] & single[1:]
+    alone = single & ~np.append(False, joined) & ~np.append(joined, False)
+    for i in np.flatnonzero(alone[:-2] & alone[1:-1] & alone[2:]).tolist():
+        hit[some[i] : some[i + 2] + 1] = True
+    return at[hit]
 
 
 def restored(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> tuple[np.ndarray, np.ndarray]:
