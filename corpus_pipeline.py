@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in queue order; a document comes once for each time it is taken."""
-    return mixing.mixed_documents(docs)
+    """The mix in queue order; every row is a document and comes once for each time it is taken."""
+    return mixing.mixed_documents(docs, every_row=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,6 +149,26 @@ def test_mixing(spark, passage):
     assert mixing.mixed_documents(make_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_mixing_counts_every_row(spark, passage):
+    """Repeated rows, two texts of one id and size, and NULL ids each have their words in the budget."""
+    rows = [(i, passage(i, 10), "en", f"s{i % 2}") for i in range(20)]
+    rows += [(100, "same text twice", "en", "s0")] * 3 + [(101, "a b c", "en", "s1"), (101, "d e f", "en", "s1")]
+    rows += [(None, passage(500 + i, 10), "en", "s2") for i in range(40)]
+    words = sum(len(t.split()) for _, t, *_ in rows)
+    seen = []
+    for docs in (make_docs(spark, rows), make_docs(spark, rows[::-1]).repartition(7)):
+        mixed = mixing.mixed_documents(docs, every_row=True)
+        assert mixed.columns == docs.columns
+        seen.append(Counter((r.doc_id, r.text) for r in mixed.collect()))
+    assert seen[0] == seen[1]
+    held = Counter((d, t) for d, t, *_ in rows)
+    assert all(n <= 3 * held[k] for k, n in seen[0].items())
+    took = sum(n * len(t.split()) for (_, t), n in seen[0].items())
+    assert words - 10 <= took <= words
+    weights = water_level({"s0": 109, "s1": 106, "s2": 400}, {"s0": 1, "s1": 2, "s2": 3})
+    assert abs(sum(n * 10 for (d, _), n in seen[0].items() if d is None) - weights["s2"]) <= 10
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
 

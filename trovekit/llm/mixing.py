@@ -8,8 +8,9 @@ at that multiple of its size and the excess goes to the others by weight.
 
 Edge cases: NULL text has size 0 (a document of size 0 is never taken, as it adds
 no words); NULL source is a source of its own, last in order; rows that repeat a
-doc_id, source and size are one document; NULL ids take part like any value; a
-source or table without words has target 0; other columns are ignored.
+doc_id, source and size are one document, or with ``every_row`` as many documents
+as there are rows; NULL ids take part like any value; a source or table without
+words has target 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from trovekit.llm.common import running_total, split_buckets, word_count, writte
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-MAX_SOURCES = 1_000_000
+#: name of the row number that tells rows apart with ``every_row``
+ROW = "_row"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -50,19 +52,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def fair_queue(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` (as ``row``) with what the queue needs of them and a number of their own."""
+    text_hash = F.xxhash64("text")
+    return written(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"), text_hash.alias("_text"), F.monotonically_increasing_id().alias(ROW)),
+        "mix-rows",
+    )
+
+
+def _with_order(rows: DataFrame, seed: str) -> DataFrame:
+    """``rows`` with their place ``ord`` in the shuffle; rows of a NULL or repeated id get one each.
+
+    Their key holds the text's hash and a repeat number, so it does not depend on
+    the row number, and no id, however frequent, fills one bucket.
+    """
+    ident = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    often = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    once = rows.filter(F.col("doc_id").isNotNull()).join(often, "doc_id", "left_anti").withColumn("ord", F.md5(ident))
+    many = rows.filter(F.col("doc_id").isNull()).unionByName(rows.join(often, "doc_id", "left_semi").select(rows.columns))
+    many = written(many.withColumn("_id", F.md5(ident)).withColumn("_part", F.col(ROW) % 1024).withColumn("_one", F.lit(1)), "mix-repeats")
+    many = running_total(many, "_one", ["_id", "_text"], "_part", [ROW], "_n")
+    many = many.withColumn("ord", F.md5(F.concat_ws(":", ident, F.col("_text").cast("string"), F.col("_n").cast("string"))))
+    return once.unionByName(many.select(once.columns))
+
+
+def fair_queue(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", rows: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source).
 
     Returns (documents, copies): one row per document with size, source_size and
     target; and one row per copy taken with epoch, finish (virtual finish time)
-    and upto (words of the mix up to and including it, the global order).
+    and upto (words of the mix up to and including it, the global order).  With
+    ``rows`` (made by ``_numbered``) each of them is a document, told by its number.
     """
-    order_key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count("text").alias("size")).distinct()
-    rows = written(rows.withColumn("ord", order_key), "mix-sizes")
+    own = [] if rows is None else [ROW]
+    if rows is None:
+        order_key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        rows = docs.select("doc_id", "source", word_count("text").alias("size")).distinct().withColumn("ord", order_key)
+    else:
+        rows = _with_order(rows.drop("row"), seed).drop("_text")
+    rows = written(rows, "mix-sizes")
     n = rows.count()
-    if rows.select("source").distinct().count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     # a NULL source gets a non-null key of its own
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit("")))
     per = targets(rows, weights, max_epochs).withColumn("_k", key).drop("source")
@@ -70,8 +102,8 @@ def fair_queue(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, s
     bits = split_buckets(n).bit_length() - 1
     start = F.conv(F.substring("ord", 1, 8), 16, 10).cast("long")
     keyed = keyed.withColumn("_b", F.shiftright(start, 32 - min(bits, 31)))
-    run = running_total(keyed, "size", ["_k"], "_b", ["ord", "doc_id", "size"], "run")
-    documents = written(run.join(per, "_k").select("doc_id", "source", "ord", "size", "source_size", "target", "run"), "mix-runs")
+    run = running_total(keyed, "size", ["_k"], "_b", ["ord", "doc_id", "size", *own], "run")
+    documents = written(run.join(per, "_k").select("doc_id", "source", "ord", "size", "source_size", "target", "run", *own), "mix-runs")
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
     ahead = F.col("epoch") * F.col("source_size") + F.col("run")
     copies = documents.filter("size > 0").withColumn("epoch", epochs).filter(ahead - F.col("size") < F.col("target"))
@@ -81,9 +113,9 @@ def fair_queue(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, s
     copies = copies.withColumn("_f", F.least(F.floor(F.col("finish") * cells), F.lit(2 * cells)).cast("long"))
     copies = written(copies, "mix-copies")
     queue = running_total(
-        copies.withColumn("_one", F.lit(0)), "size", ["_one"], "_f", ["finish", F.asc_nulls_last("source"), "ord", "doc_id", "size", "epoch"], "upto"
+        copies.withColumn("_one", F.lit(0)), "size", ["_one"], "_f", ["finish", F.asc_nulls_last("source"), "ord", "doc_id", "size", *own, "epoch"], "upto"
     )
-    taken = queue.filter(F.col("upto") <= budget).select("doc_id", "source", "size", "epoch", "finish", "upto")
+    taken = queue.filter(F.col("upto") <= budget).select("doc_id", "source", "size", "epoch", "finish", "upto", *own)
     return documents, taken
 
 
@@ -105,10 +137,19 @@ def _same(left: str = "d", right: str = "s"):
     return cond
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of ``docs``, one for each copy, range-sorted by the place in the global queue."""
-    _, taken = fair_queue(docs, weights, max_epochs, seed)
-    copies = written(taken, "mix-taken")
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"))
-    joined = sized.alias("d").join(copies.alias("s"), _same())
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", every_row: bool = False) -> DataFrame:
+    """The mix itself: rows of ``docs``, one for each copy, range-sorted by the place in the global queue.
+
+    With ``every_row`` repeated rows count and are taken one by one, so the budget
+    covers the words of all rows and no row comes more than ``max_epochs`` times.
+    """
+    if every_row:
+        rows = _numbered(docs)
+        _, taken = fair_queue(docs, weights, max_epochs, seed, rows)
+        joined = rows.select("row", ROW).alias("d").join(written(taken, "mix-taken").alias("s"), ROW)
+    else:
+        _, taken = fair_queue(docs, weights, max_epochs, seed)
+        copies = written(taken, "mix-taken")
+        sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"))
+        joined = sized.alias("d").join(copies.alias("s"), _same())
     return joined.select("d.row", "s.finish", "s.upto").repartitionByRange(F.col("upto")).sortWithinPartitions("upto").select("row.*")
