@@ -165,3 +165,16 @@ def test_minhash_repeated_rows_and_null_ids(spark, passage):
     assert kept.columns == make_docs(spark, rows).columns and kept.count() == 5
     assert minhash.classify(make_docs(spark, rows).limit(0)).count() == 0
     assert minhash.keep_one(make_docs(spark, rows).limit(0)).count() == 0
+
+
+def test_minhash_one_row_per_group(spark, passage):
+    """Copies under NULL and repeated ids go as well; rows without words and other texts of an id stay."""
+    near = passage(3, 60)
+    rows = [(1, passage(1, 50)), (1, passage(1, 50)), (1, passage(2, 50)), (2, passage(2, 50)), (None, passage(2, 50)), (None, None), (None, "")]
+    rows += [(None, near), (None, near + " x"), (7, near + " y"), (9, near), (None, passage(4, 40)), (None, passage(4, 40))]
+    for docs in (make_docs(spark, rows), make_docs(spark, rows[::-1]).repartition(5)):
+        kept = minhash.one_row_per_group(docs)
+        assert kept.columns == docs.columns
+        want = [(1, passage(1, 50)), (1, passage(2, 50)), (None, None), (None, ""), (7, near + " y"), (None, passage(4, 40))]
+        assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, want))
+    assert minhash.one_row_per_group(make_docs(spark, rows).limit(0)).count() == 0
