@@ -82,6 +82,25 @@ def test_shards(spark, passage):
     assert set(whole.columns) == set(make_docs(spark, rows).columns) | {"virtual_slot"} and whole.count() == len(rows)
 
 
+def test_shards_level_with_null_and_repeated_ids(spark, passage):
+    """A third of the rows without id, many texts of one id and many equal rows do not fill one shard."""
+    rows = [(i, passage(i, 20)) for i in range(800)] + [(None, passage(5000 + i, 20)) for i in range(800)]
+    rows += [(9000, passage(7000 + i, 20)) for i in range(400)] + [(9001, "equal rows " * 5)] * 1200
+    got = sharding.assign(make_docs(spark, rows), shards=8).collect()
+    assert len(got) == len(rows)
+    size, place = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        place[r.shard].append(r.slot)
+    assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 0.01 * max(size.values())
+    assert all(sorted(p) == list(range(len(p))) for p in place.values())
+    whole = sharding.shard_documents(make_docs(spark, rows), 8)
+    held = Counter()
+    for r in whole.collect():
+        held[r.shard] += len(r.text.encode()) + 16
+    assert whole.count() == len(rows) and max(held.values()) - min(held.values()) <= 0.01 * max(held.values())
+
+
 def test_slot_map_versions(spark, tmp_path):
     weight = {s: 1 + (s * s) % 97 for s in range(512)}
     weight[3] = 4000

@@ -1,16 +1,15 @@
 """Sharding by fixed virtual slots.
 
 A record belongs for ever to one of some thousand slots, chosen by a hash of its
-id.  Bytes are added up per slot, and a small versioned table says which shard
+id and text, so rows of one id (or none) with different texts spread.  Bytes are added up per slot, and a small versioned table says which shard
 holds which slot.  Rebalancing edits that table only: records never change their
 slot, and a new version moves whole slots from heavy to light shards.
 
 Law: ``bytes``; shard sizes are near equal.  Only the table of slots (a fixed
 number of rows) reaches the driver.
 
-Edge cases: NULL text counts 0 bytes and hashes as the empty text; NULL ids are
-records of one slot like any other value; repeated rows stay separate records of
-the same slot; an empty table gives an empty result and the plain map; other
+Edge cases: NULL text counts 0 bytes and hashes as the empty text, a NULL id as
+an empty one; repeated rows stay separate records, REPEATS of them to a slot; an empty table gives an empty result and the plain map; other
 columns are ignored.
 """
 
@@ -21,15 +20,29 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovekit.llm.common import written
+from trovekit.llm.common import drop, running_total, split_buckets, written
 from trovekit.session import scratch_path
 
 SLOTS = 8192
+REPEATS = 64
 
 
-def virtual_slot(doc_id: Column | str = "doc_id", slots: int = SLOTS) -> Column:
-    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+
+
+def _slotted(rows: DataFrame, slots: int) -> DataFrame:
+    """Written ``rows`` (_key, _row and others) with their virtual slot; every REPEATS equal rows get another one."""
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(slots)).cast("int")
+    often = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > REPEATS).select("_key")
+    many = written(rows.select("_key", "_row").join(often, "_key", "left_semi").withColumn("_part", F.col("_row") % 1024).withColumn("_one", F.lit(1)), "repeats")
+    if many.isEmpty():
+        drop(many)
+        return rows.withColumn("virtual_slot", slot("_key"))
+    numbered = running_total(many, "_one", ["_key"], "_part", ["_row"], "_n")
+    blocks = numbered.select("_row", F.floor((F.col("_n") - 1) / REPEATS).alias("_block")).filter("_block > 0")
+    placed = rows.join(blocks, "_row", "left")
+    return placed.withColumn("virtual_slot", F.when(F.col("_block").isNull(), slot("_key")).otherwise(slot("_key", "_block"))).drop("_block")
 
 
 def record_size(text: Column | str = "text") -> Column:
@@ -117,17 +130,20 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(
-        docs.select("doc_id", record_size().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(slots=slots).alias("virtual_slot")),
+        docs.select("doc_id", record_size().alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key().alias("_key"), F.monotonically_increasing_id().alias("_row")),
         "shard-sizes",
     )
+    # a slot's rows are numbered in hash order, a bucket of hashes at a time
+    bits = split_buckets(rows.count() // slots).bit_length() - 1
+    bucket = F.shiftright("_key", 64 - bits) if bits else F.lit(0)
+    rows = written(_slotted(rows, slots).withColumn("_b", bucket.cast("long")).withColumn("_one", F.lit(1)), "shard-slots")
     placed = balanced_map(rows, shards, map_path or scratch_path(spark, "slot-map"), slots)
     counts = rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     # at most one row for each slot: small whatever the data
     offsets = placed.join(counts, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.withColumn("_at", F.row_number().over(inside))
+        running_total(rows, "_one", ["virtual_slot"], "_b", ["_key", "doc_id", "text_crc32", "size", "_row"], "_at")
         .join(F.broadcast(offsets), "virtual_slot")
         .select(
             "doc_id",
@@ -143,8 +159,10 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``virtual_slot`` (columns of these names are replaced); text is not shuffled."""
+    """All columns of ``docs`` with ``shard`` and ``virtual_slot`` (columns of these names are replaced); text is shuffled only where rows repeat."""
     spark = docs.sparkSession
-    sizes = docs.select(record_size().alias("size"), virtual_slot(slots=slots).alias("virtual_slot"))
+    rows = written(docs.drop("shard", "virtual_slot").withColumn("_key", _key()).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    slotted = _slotted(rows, slots)
+    sizes = slotted.select(record_size().alias("size"), "virtual_slot")
     placed = balanced_map(sizes, shards, map_path or scratch_path(spark, "slot-map"), slots)
-    return docs.drop("shard", "virtual_slot").withColumn("virtual_slot", virtual_slot(slots=slots)).join(F.broadcast(placed), "virtual_slot")
+    return slotted.drop("_key", "_row").join(F.broadcast(placed), "virtual_slot")
