@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovekit.llm import bwt_dedup, chat, decontaminate, langid, lattice_dedup, minhash, mixing, quality, sharding, token_alignment, toxicity
+from trovekit.llm import bwt_dedup, chat, decontaminate, interpolated_lm, langid, lattice_dedup, minhash, mixing, quality, sharding, token_alignment, toxicity
 from trovekit.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,8 @@ def op10_bwt_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.report(table(spark, folder, "documents"))
+
+
+@query()
+def op11_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolated_lm.report(table(spark, folder, "documents"))
