@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovekit.llm import bwt_dedup, chat, decontaminate, interpolated_lm, langid, lattice_dedup, minhash, mixing, quality, sharding, token_alignment, toxicity
+from trovekit.llm import bwt_dedup, chat, conversation_repair, decontaminate, interpolated_lm, langid, lattice_dedup, minhash, mixing, quality, sharding, token_alignment, toxicity
 from trovekit.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,84 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op11_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     return interpolated_lm.report(table(spark, folder, "documents"))
+
+
+def _edit(cell: str, cost: str, letter: str) -> str:
+    """A cell (8 digits of cost, then the audit) after one more edit; NULL stays NULL."""
+    return f"lpad((left({cell}, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({cell}, 9) || {letter}"
+
+
+def _insert(cell: str) -> str:
+    return _edit(cell, "5", "'I'")
+
+
+# States: 0 nothing yet, 1 a system row, 2 a user is last, 3 an assistant is last.
+_OPENED = f"""
+  SELECT *, least(c2, {_insert("c0")}, {_insert("c1")}, {_insert("c3")}) AS i2"""
+_KEPT = "+ CASE fault WHEN 'truncated' THEN 5 ELSE 0 END"
+_TAKE = {r: lambda c, r=r: f"CASE WHEN gone THEN NULL WHEN i = '{r}' THEN {_edit(c, '0 ' + _KEPT, repr('K'))} ELSE {_edit(c, '1 ' + _KEPT, repr('R'))} END" for r in "ua"}
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295], [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM conversations, crc
+), rows AS (
+  SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM harmed, (SELECT unnest([0, 1]) AS copy) WHERE harm <> 0 AND (copy = 0 OR harm = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER c AS idx,
+    lag(left(role, 1)) OVER c || left(role, 1) AS pair
+  FROM rows WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN right(regexp_replace(text, '[ 	-
+]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) AS nth FROM placed)
+), coded AS (
+  SELECT conv_id, idx, i, fault, fault IN ('blank', 'duplicate') AS gone FROM faults
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS idx, '00000000' AS c0, NULL::VARCHAR AS c1, NULL::VARCHAR AS c2, NULL::VARCHAR AS c3 FROM conversations
+  UNION ALL
+  SELECT conv_id, next, {_edit("c0", "2", "'D'")},
+    least({_edit("c1", "2", "'D'")}, CASE WHEN NOT gone AND i = 's' THEN {_edit("c0", "0 " + _KEPT, "'K'")} END),
+    least({_edit("i2", "2", "'D'")}, {_TAKE["u"]("c0")}, {_TAKE["u"]("c1")}, {_TAKE["u"]("i3")}),
+    least({_edit("i3", "2", "'D'")}, {_TAKE["a"]("i2")})
+  FROM (SELECT *, least(c3, {_insert("i2")}) AS i3 FROM ({_OPENED} FROM (
+    SELECT w.*, r.idx AS next, r.i, r.fault, r.gone FROM walk w JOIN coded r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.idx = w.idx + 1)))
+), last AS (
+  SELECT conv_id, arg_max(least(c0, c3, {_insert("i2")}), idx) AS cell FROM ({_OPENED} FROM walk) GROUP BY conv_id
+), found AS (
+  SELECT conv_id, left(cell, 8)::BIGINT AS cost, substr(cell, 9) AS audit FROM last
+), edits AS (
+  SELECT conv_id, p, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER o AS idx, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER o AS place
+  FROM (SELECT conv_id, p, substr(audit, p, 1) AS e FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS p FROM found))
+  WINDOW o AS (PARTITION BY conv_id ORDER BY p)
+), edited AS (
+  SELECT e.*, f.role, f.text, max(CASE WHEN e = 'K' AND f.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS opened
+  FROM edits e LEFT JOIN faults f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.idx = f.idx WHERE e <> 'D'
+), shas AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM edited GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT f.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM found f LEFT JOIN counts c ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN shas s ON f.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+@query(REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(turns), turns)
