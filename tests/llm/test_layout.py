@@ -141,11 +141,10 @@ def test_mixing(spark, passage):
             rows.append((s * 100 + i, passage(s * 100 + i, 1 + (i * 13) % 40), "en", None if s == 11 else f"s{s}"))
     rows += [(5000, None, "en", "s1"), (5001, "", "en", "empty"), (None, "a b c", "en", "s2"), (5002, "rep eat", "en", "s3"), (5002, "rep eat", "en", "s3"), (5003, passage(1, 20000), "en", "s9")]
     got = mixing.mix_table(make_docs(spark, rows)).collect()
-    unique = {(d, s, len((t or "").split())) for d, t, _, s in rows}
-    assert len(got) == len(unique)
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((d, s, len((t or "").split())) for d, t, _, s in rows)
     size = Counter()
-    for _, s, n in unique:
-        size[s] += n
+    for _, t, _, s in rows:
+        size[s] += len((t or "").split())
     order = sorted(size, key=lambda s: (s is None, s or ""))
     target = water_level(size, {s: 1 + i % 3 for i, s in enumerate(order)})
     taken, largest = Counter(), Counter()
@@ -162,7 +161,10 @@ def test_mixing(spark, passage):
     mixed = mixing.mixed_documents(make_docs(spark, rows))
     assert mixed.columns == make_docs(spark, rows).columns
     copies = Counter(r.doc_id for r in mixed.collect())
-    want = {r.doc_id: r.taken // r.size * (2 if r.doc_id == 5002 else 1) for r in got if r.taken}
+    want = Counter()
+    for r in got:
+        if r.taken:
+            want[r.doc_id] += r.taken // r.size
     assert copies == want
     assert mixing.mix_table(make_docs(spark, rows).limit(0)).count() == 0
     assert mixing.mixed_documents(make_docs(spark, rows).limit(0)).count() == 0
@@ -176,7 +178,7 @@ def test_mixing_counts_every_row(spark, passage):
     words = sum(len(t.split()) for _, t, *_ in rows)
     seen = []
     for docs in (make_docs(spark, rows), make_docs(spark, rows[::-1]).repartition(7)):
-        mixed = mixing.mixed_documents(docs, every_row=True)
+        mixed = mixing.mixed_documents(docs)
         assert mixed.columns == docs.columns
         seen.append(Counter((r.doc_id, r.text) for r in mixed.collect()))
     assert seen[0] == seen[1]
@@ -188,6 +190,23 @@ def test_mixing_counts_every_row(spark, passage):
     assert abs(sum(n * 10 for (d, _), n in seen[0].items() if d is None) - weights["s2"]) <= 10
 
 
+def test_mixing_keeps_every_row_and_column(spark, passage):
+    """Rows with repeated and NULL ids, equal rows with other columns that differ, and names the operator uses itself."""
+    rows = [(i % 20 if i % 7 else None, passage(i % 30, 5 + i % 9), f"s{i % 3}", i % 2, "a", "b", "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long, row string, ord string, upto string")
+    got = mixing.mix_table(docs).collect()
+    assert len(got) == len(rows)
+    words = Counter()
+    for _, t, s, *_ in rows:
+        words[s] += len(t.split())
+    assert all(r.source_size == words[r.source] for r in got)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    held, copies = Counter(rows), Counter(tuple(r) for r in mixed.collect())
+    assert all(n <= 3 * held[r] for r, n in copies.items())
+    assert sum(n * len(r[1].split()) for r, n in copies.items()) == sum(r.taken for r in got)
+
+
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
 

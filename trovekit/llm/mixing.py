@@ -6,150 +6,158 @@ copies are put in one global order of finish times and taken until the total
 budget is used.  A source is read up to ``max_epochs`` times, so its target stops
 at that multiple of its size and the excess goes to the others by weight.
 
+Every row is a document.  Rows that are equal in all columns the operator returns
+are counted first and numbered from that count, so a frequent row is never
+gathered; texts move once to meet the copies taken and once into the mix's order.
+
 Edge cases: NULL text has size 0 (a document of size 0 is never taken, as it adds
-no words); NULL source is a source of its own, last in order; rows that repeat a
-doc_id, source and size are one document, or with ``every_row`` as many documents
-as there are rows; NULL ids take part like any value; a source or table without
-words has target 0; other columns are ignored.
+no words); NULL source is a source of its own, last in order; repeated rows, ids and
+NULL ids are as many documents as there are rows, each with its own place in the
+shuffle; a source or table without words has target 0; other columns are ignored, or
+handed through by ``mixed_documents`` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovekit.llm.common import running_total, split_buckets, word_count, written
+from trovekit.llm.common import running_total, split_buckets, word_count
+from trovekit.operators.numbering import number_rows
+from trovekit.session import materialize, release
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: name of the row number that tells rows apart with ``every_row``
-ROW = "_row"
+#: rows of one array when a count is turned into rows
+SPREAD = 4_096
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) of ``sizes`` (source, size).
 
     Water level: with sources ordered by cap / weight, the ones below the level
-    are capped and the rest share what is left by weight; one pass of prefix sums
-    over the table of sources, which holds one row per source.
+    are capped and the rest share what is left by weight.  Sources are numbered and
+    summed up bucket by bucket; one row, the first that is not capped, reaches the
+    driver.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
     cycle = F.array(*[F.lit(w) for w in weights])
-    per = per.withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    per = per.withColumn("cap", F.col("source_size") * max_epochs)
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.asc_nulls_last("source"))
-    total = Window.partitionBy()
-    per = per.withColumn("capped", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("open_w", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("budget", F.sum("source_size").over(total))
-    # the first source whose cap is not below its share ends the capped ones
-    fits = F.col("cap") * F.col("open_w") >= F.col("w") * (F.col("budget") - F.col("capped"))
-    per = per.withColumn("rank", F.row_number().over(order)).withColumn("edge", F.min(F.when(fits, F.col("rank"))).over(total))
-    left = F.max(F.when(F.col("rank") == F.col("edge"), F.col("budget") - F.col("capped"))).over(total)
-    share = F.max(F.when(F.col("rank") == F.col("edge"), F.col("open_w"))).over(total)
-    target = F.when(F.col("rank") < F.col("edge"), F.col("cap").cast("double")).otherwise((F.col("w") * left).cast("double") / share)
+    per = number_rows(per, [F.asc_nulls_last("source")], out="place")
+    per = per.withColumn("w", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    per = per.withColumn("cap", F.col("source_size") * max_epochs).withColumn("level", F.col("cap") / F.col("w"))
+    bucket = F.floor(F.log2(F.col("level") + 1) * 64).cast("long")
+    per = materialize(per.withColumn("_b", bucket).withColumn("_one", F.lit(0)), "mix-sources")
+    total = per.agg(F.sum("source_size"), F.sum("w")).first()
+    budget, all_w = total[0] or 0, total[1] or 0
+    order = ["level", "place"]
+    run = running_total(per, "cap", ["_one"], "_b", order, "capped").withColumn("capped", F.col("capped") - F.col("cap"))
+    rise = running_total(per, "w", ["_one"], "_b", order, "below").select("place", (F.lit(all_w) - F.col("below") + F.col("w")).alias("open_w"))
+    fits = F.col("cap") * F.col("open_w") >= F.col("w") * (F.lit(budget) - F.col("capped"))
+    edge = run.join(rise, "place").filter(fits).agg(F.min(F.struct("level", "place", (F.lit(budget) - F.col("capped")).alias("left"), "open_w")).alias("e")).first()[0]
+    if edge is None:
+        return per.select("source", "source_size", F.lit(0.0).alias("target"))
+    capped = (F.col("level") < edge.level) | ((F.col("level") == edge.level) & (F.col("place") < edge.place))
+    share = (F.col("w") * F.lit(edge.left)).cast("double") / F.lit(edge.open_w)
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(share)
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` (as ``row``) with what the queue needs of them and a number of their own."""
-    text_hash = F.xxhash64("text")
-    return written(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"), text_hash.alias("_text"), F.monotonically_increasing_id().alias(ROW)),
-        "mix-rows",
-    )
+def _same_text() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _whole_row(docs: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
 
 
-def _with_order(rows: DataFrame, seed: str) -> DataFrame:
-    """``rows`` with their place ``ord`` in the shuffle; rows of a NULL or repeated id get one each.
+def _entries(docs: DataFrame, row: Column | None) -> DataFrame:
+    """Different rows: doc_id, source, size, ident (of the text), row (of the whole row), n equal ones, and ``first``, the number before theirs.
 
-    Their key holds the text's hash and a repeat number, so it does not depend on
-    the row number, and no id, however frequent, fills one bucket.
+    Rows that share doc_id, source and text are numbered on, so with or without
+    the other columns they have the same places in the shuffle.
     """
-    ident = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    often = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    once = rows.filter(F.col("doc_id").isNotNull()).join(often, "doc_id", "left_anti").withColumn("ord", F.md5(ident))
-    many = rows.filter(F.col("doc_id").isNull()).unionByName(rows.join(often, "doc_id", "left_semi").select(rows.columns))
-    many = written(many.withColumn("_id", F.md5(ident)).withColumn("_part", F.col(ROW) % 1024).withColumn("_one", F.lit(1)), "mix-repeats")
-    many = running_total(many, "_one", ["_id", "_text"], "_part", [ROW], "_n")
-    many = many.withColumn("ord", F.md5(F.concat_ws(":", ident, F.col("_text").cast("string"), F.col("_n").cast("string"))))
-    return once.unionByName(many.select(once.columns))
-
-
-def fair_queue(
-    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", rows: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+    row = F.lit("") if row is None else row
+    keys = ["doc_id", "source", "size", "ident", "row"]
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), _same_text().alias("ident"), row.alias("row"))
+    rows = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "mix-rows")
+    name = F.md5(F.to_json(F.struct("doc_id", "source", "ident")))
+    often = rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("name")
+    often = materialize(often, "mix-often")
+    if often.isEmpty():
+        release(often)
+        return rows.withColumn("first", F.lit(0).cast("long"))
+    named = rows.withColumn("name", name)
+    once = named.join(often, "name", "left_anti").withColumn("first", F.lit(0).cast("long"))
+    many = materialize(named.join(often, "name", "left_semi").withColumn("_b", F.conv(F.substring("row", 1, 4), 16, 10).cast("long")), "mix-many")
+    many = running_total(many, "n", ["name"], "_b", ["row"], "upto").withColumn("first", F.col("upto") - F.col("n"))
+    return once.select(*keys, "n", "first").unionByName(many.select(*keys, "n", "first"))
+
+
+def _numbered(entries: DataFrame, seed: str) -> DataFrame:
+    """One row per document with its place ``ord`` in the shuffle."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPREAD).cast("long")))
+    rows = entries.withColumn("block", block)
+    low = F.col("block") * SPREAD + 1
+    rows = rows.withColumn("number", F.explode(F.sequence(low, F.least(low + SPREAD - 1, F.col("n")))))
+    number = (F.col("first") + F.col("number")).cast("string")
+    ident = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ident", number)
+    return rows.select("doc_id", "source", "size", "row", "n", F.md5(ident).alias("ord"))
+
+
+def fair_queue(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source).
 
-    Returns (documents, copies): one row per document with size, source_size and
-    target; and one row per copy taken with epoch, finish (virtual finish time)
-    and upto (words of the mix up to and including it, the global order).  With
-    ``rows`` (made by ``_numbered``) each of them is a document, told by its number.
+    Returns two written tables: one row per document with ord (its place in the
+    shuffle, which names it), size, source_size and target; and one row per copy taken
+    with ord, epoch, finish (virtual finish time) and upto (words of the mix up to and
+    including it, the global order).  ``row`` names a whole row; both carry it, and n,
+    how many rows are equal to it.
     """
-    own = [] if rows is None else [ROW]
-    if rows is None:
-        order_key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        rows = docs.select("doc_id", "source", word_count("text").alias("size")).distinct().withColumn("ord", order_key)
-    else:
-        rows = _with_order(rows.drop("row"), seed).drop("_text")
-    rows = written(rows, "mix-sizes")
-    n = rows.count()
+    rows = materialize(_numbered(_entries(docs, row), seed), "mix-sizes")
+    n, budget = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     # a NULL source gets a non-null key of its own
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit("")))
     per = targets(rows, weights, max_epochs).withColumn("_k", key).drop("source")
-    keyed = rows.withColumn("_k", key)
     bits = split_buckets(n).bit_length() - 1
     start = F.conv(F.substring("ord", 1, 8), 16, 10).cast("long")
-    keyed = keyed.withColumn("_b", F.shiftright(start, 32 - min(bits, 31)))
-    run = running_total(keyed, "size", ["_k"], "_b", ["ord", "doc_id", "size", *own], "run")
-    documents = written(run.join(per, "_k").select("doc_id", "source", "ord", "size", "source_size", "target", "run", *own), "mix-runs")
+    keyed = rows.withColumn("_k", key).withColumn("_b", F.shiftright(start, 32 - min(bits, 31)))
+    run = running_total(keyed, "size", ["_k"], "_b", ["ord", "doc_id"], "run")
+    documents = materialize(run.join(per, "_k").select("doc_id", "source", "ord", "row", "n", "size", "source_size", "target", "run"), "mix-runs")
+    release(rows)
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
     ahead = F.col("epoch") * F.col("source_size") + F.col("run")
     copies = documents.filter("size > 0").withColumn("epoch", epochs).filter(ahead - F.col("size") < F.col("target"))
     copies = copies.withColumn("finish", ahead.cast("double") / F.col("target"))
-    budget = rows.agg(F.sum("size")).first()[0] or 0
     cells = split_buckets(3 * n)
-    copies = copies.withColumn("_f", F.least(F.floor(F.col("finish") * cells), F.lit(2 * cells)).cast("long"))
-    copies = written(copies, "mix-copies")
-    queue = running_total(
-        copies.withColumn("_one", F.lit(0)), "size", ["_one"], "_f", ["finish", F.asc_nulls_last("source"), "ord", "doc_id", "size", *own, "epoch"], "upto"
-    )
-    taken = queue.filter(F.col("upto") <= budget).select("doc_id", "source", "size", "epoch", "finish", "upto", *own)
+    copies = copies.withColumn("_f", F.least(F.floor(F.col("finish") * cells), F.lit(2 * cells)).cast("long")).withColumn("_one", F.lit(0))
+    copies = materialize(copies.select("source", "ord", "row", "n", "size", "epoch", "finish", "_f", "_one"), "mix-copies")
+    queue = running_total(copies, "size", ["_one"], "_f", ["finish", F.asc_nulls_last("source"), "ord", "epoch"], "upto")
+    taken = materialize(queue.filter(F.col("upto") <= (budget or 0)).select("ord", "row", "n", "size", "epoch", "finish", "upto"), "mix-taken")
+    release(copies)
     return documents, taken
 
 
 def mix_table(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source."""
+    """Per row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source."""
     documents, taken = fair_queue(docs, weights, max_epochs, seed)
-    sums = taken.groupBy("doc_id", "source", "size").agg(F.sum("size").alias("words"))
-    d, s = documents.alias("d"), sums.alias("s")
-    joined = d.join(s, _same(), "left")
-    return joined.select(
-        "d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("s.words", F.lit(0)).cast("long").alias("taken"), "d.source"
+    sums = taken.groupBy("ord").agg(F.sum("size").alias("words"))
+    return documents.join(sums, "ord", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source"
     )
 
 
-def _same(left: str = "d", right: str = "s"):
-    cond = F.lit(True)
-    for k in ("doc_id", "source", "size"):
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
-
-
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", every_row: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """The mix itself: rows of ``docs``, one for each copy, range-sorted by the place in the global queue.
 
-    With ``every_row`` repeated rows count and are taken one by one, so the budget
-    covers the words of all rows and no row comes more than ``max_epochs`` times.
+    No row comes more than ``max_epochs`` times.  ``docs`` is read twice.
     """
-    if every_row:
-        rows = _numbered(docs)
-        _, taken = fair_queue(docs, weights, max_epochs, seed, rows)
-        joined = rows.select("row", ROW).alias("d").join(written(taken, "mix-taken").alias("s"), ROW)
-    else:
-        _, taken = fair_queue(docs, weights, max_epochs, seed)
-        copies = written(taken, "mix-taken")
-        sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count("text").alias("size"))
-        joined = sized.alias("d").join(copies.alias("s"), _same())
-    return joined.select("d.row", "s.finish", "s.upto").repartitionByRange(F.col("upto")).sortWithinPartitions("upto").select("row.*")
+    documents, taken = fair_queue(docs, weights, max_epochs, seed, _whole_row(docs))
+    release(documents)
+    named = docs.select(_whole_row(docs).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    mixed = named.join(taken.filter("n = 1").select("row", "upto"), "row").select("held", "upto")
+    again = taken.filter("n > 1").select("row", "upto")
+    if not again.isEmpty():
+        # equal rows meet in the tasks that read them, before any of them moves
+        one = named.join(again.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("held").alias("held"))
+        mixed = mixed.unionByName(one.join(again, "row").select("held", "upto"))
+    return mixed.repartitionByRange(F.col("upto")).sortWithinPartitions("upto").select("held.*")

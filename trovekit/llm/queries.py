@@ -95,9 +95,12 @@ def op8_shard_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH rows AS (
-  SELECT DISTINCT doc_id, source, len([w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''])::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
+WITH texts AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS ident,
+    len([w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''])::BIGINT AS size FROM documents
+), rows AS (
+  SELECT doc_id, source, size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || ident || ':'
+    || (row_number() OVER (PARTITION BY doc_id, source, ident))::VARCHAR) AS ord FROM texts
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::BIGINT AS w FROM rows GROUP BY source
 ), lev AS (
@@ -113,18 +116,18 @@ WITH rows AS (
   SELECT source, source_size, CASE WHEN rank < edge THEN cap::DOUBLE ELSE (w * rest)::DOUBLE / open END AS target FROM run, edge
 ), streams AS (
   SELECT r.*, g.source_size, coalesce(g.target, 0) AS target,
-    (sum(size) OVER (PARTITION BY r.source ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS run
+    (sum(size) OVER (PARTITION BY r.source ORDER BY ord ROWS UNBOUNDED PRECEDING))::BIGINT AS run
   FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source
 ), copies AS (
   SELECT *, (e * source_size + run)::DOUBLE / target AS finish
   FROM streams, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND e * source_size + run - size < target
 ), queue AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, ord, doc_id, size, e ROWS UNBOUNDED PRECEDING) AS upto FROM copies
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, ord, e ROWS UNBOUNDED PRECEDING) AS upto FROM copies
 ), taken AS (
-  SELECT doc_id, source, size, sum(size) AS words FROM queue WHERE upto <= (SELECT sum(size) FROM rows) GROUP BY ALL
+  SELECT ord, sum(size) AS words FROM queue WHERE upto <= (SELECT sum(size) FROM rows) GROUP BY ord
 )
 SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(t.words, 0)::BIGINT AS taken, s.source
-FROM streams s LEFT JOIN taken t ON s.doc_id IS NOT DISTINCT FROM t.doc_id AND s.source IS NOT DISTINCT FROM t.source AND s.size = t.size
+FROM streams s LEFT JOIN taken t ON s.ord = t.ord
 """
 
 
