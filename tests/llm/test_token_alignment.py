@@ -112,6 +112,21 @@ def test_groups_are_read_back(spark, coder):
         assert a == b == (" " + texts[r["doc_id"]]).encode()
 
 
+def test_quick_library_encodes_like_the_file(coder):
+    """Random Latin-1 texts, rich in blanks of all kinds, digits and apostrophes."""
+    assert coder.ranked is not None
+    rng = np.random.default_rng(11)
+    common = np.array([32, 32, 9, 10, 13, 11, 12, 28, 31, 133, 160, 39, 115, 116, 108, 49, 178, 188, 46, 223, 233, 173, 170, 181])
+    texts = []
+    for k in range(3000):
+        n = int(rng.integers(1, 60))
+        codes = np.where(rng.random(n) < 0.7, rng.choice(common, n), rng.integers(0, 256, n))
+        texts.append("".join(map(chr, codes)))
+    texts += [chr(a) + chr(b) for a in range(256) for b in (32, 39, 48, 97, 10, 160)]
+    want = [e.ids for e in coder.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode_a(texts)] == want
+
+
 def test_stretches_of_random_ends():
     rng = np.random.default_rng(3)
     for _ in range(300):

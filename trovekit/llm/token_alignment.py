@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from trovekit.session import materialize
 
 FOLDER = "/opt/tokenizers"
+# Fixed value: how byte-level BPE cuts a text into words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_MODEL = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 MAX_BROADCAST_PAIRS = 4_000_000
@@ -67,16 +69,19 @@ class Encoder:
         self.a = Tokenizer.from_file(path)
         self.a.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            read = json.load(f)
+        vocab = read["model"]["vocab"]
         letter = byte_letters()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
+        self.ranked = self._ranked(read)
         self.b = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, piece_model))
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.a_spelled, self.b_spelled = np.array(self.a_bytes, object), np.array(self.b_bytes, object)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         most = max(len(self.a_bytes), len(self.b_bytes))
@@ -84,14 +89,44 @@ class Encoder:
         self.written = np.array([f"{i}{sep}" for sep in ",|;" for i in range(most)], object)
         self.most = most
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _ranked(self, read: dict):
+        """The same vocabulary for the quicker library, where merges are ranked as their ids and words are cut by ``WORDS``."""
+        import tiktoken
+
+        pre, model = read.get("pre_tokenizer") or {}, read["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ranks = [model["vocab"].get(x + y) for x, y in pairs]
+        plain = read.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        if not plain or None in ranks or ranks != list(range(256, 256 + len(ranks))):
+            return None
+        table = {self.a_bytes[i]: i for i in range(256 + len(ranks))}
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of blank + text.  Texts beyond Latin-1 go to the file's own library, whose tables of letters may be of another year."""
+        out: list = [None] * len(texts)
+        rest = list(range(len(texts)))
+        if self.ranked is not None:
+            rest = []
+            for k, text in enumerate(texts):
+                try:
+                    text.encode("latin-1")
+                    out[k] = self.ranked.encode_to_numpy(" " + text, disallowed_special=())
+                except UnicodeEncodeError:
+                    rest.append(k)
+        for k, found in zip(rest, self.a.encode_batch_fast([" " + texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = np.array(found.ids, np.uint32)
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and B of each text; none where the joined bytes differ from blank + text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+        a = self.encode_a(texts)
+        b = [np.array(x, np.uint32) for x in self.b.encode(texts, num_threads=1)]
+        nothing = np.zeros(0, np.uint32)
         for k, text in enumerate(texts):
             want = b" " + text.encode()
-            if not text or b"".join([self.a_bytes[i] for i in a[k]]) != want or b"".join([self.b_bytes[i] for i in b[k]]) != want:
-                a[k], b[k] = [], []
+            if not text or any(b"".join(spelled[x].tolist()) != want for spelled, x in zip((self.a_spelled, self.b_spelled), (a[k], b[k]))):
+                a[k], b[k] = nothing, nothing
         return a, b
 
 
@@ -104,7 +139,8 @@ def equal_stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """(i, j, length) of the stretches with a[i + k] = b[j + k]; both lists rise and end with the same value."""
     out = []
     i = j = 0
-    n = len(a)
+    a, b = [*a, -1], [*b, -2]  # no window is equal beyond the ends
+    n = len(a) - 1
     while i < n:
         x, y = a[i], b[j]
         while x != y:  # an irregular group: the side that is behind goes on
@@ -114,22 +150,23 @@ def equal_stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             else:
                 j += 1
                 y = b[j]
-        i0, j0 = i, j
+        i0, shift = i, j - i
         i += 1
-        j += 1
-        window = 1
+        window = 2
         # windows double while they are equal at this shift ...
-        while (w := a[i : i + window]) and w == b[j : j + window]:
-            i += len(w)
-            j += len(w)
+        while a[i : i + window] == b[i + shift : i + shift + window]:
+            i += window
             window *= 2
         # ... and halve to the first difference
-        while window > 1:
+        while window > 2:
             window //= 2
-            if (w := a[i : i + window]) and w == b[j : j + window]:
-                i += len(w)
-                j += len(w)
-        out.append((i0, j0, i - i0))
+            if a[i : i + window] == b[i + shift : i + shift + window]:
+                i += window
+        j = i + shift
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+        out.append((i0, i0 + shift, i - i0))
     return out
 
 
@@ -181,8 +218,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def _align(coder: Encoder, texts: list[str], keep_groups: bool) -> dict[str, list]:
     ids_a, ids_b = coder.encode(texts)
     n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-    a = np.array([i for x in ids_a for i in x], np.int64)
-    b = np.array([i for x in ids_b for i in x], np.int64)
+    a, b = (np.concatenate(x).astype(np.int64) for x in (ids_a, ids_b))
     # texts follow each other: every text's last ends are common
     at_a, at_b = links(np.cumsum(coder.a_size[a]), np.cumsum(coder.b_size[b]))
     last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
