@@ -82,10 +82,29 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Remove the files behind a frame that ``materialize`` returned and nothing reads any more."""
-    if getattr(df, "_scratch", None):
-        remove_path(df.sparkSession, df._scratch)
+def materialize_bucketed(df: DataFrame, key: str, label: str = "stage", buckets: int | None = None) -> DataFrame:
+    """Like ``materialize``, stored in hash buckets of ``key``.
+
+    Joins and groups by ``key`` read the buckets without a shuffle of this side.
+    ``buckets`` is the number of shuffle partitions unless given.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = f"trovekit_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # the plan holds the files from here on; the name is not needed any more
+    spark.sql(f"DROP TABLE {name}")
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the files behind frames that ``materialize`` returned and nothing reads any more."""
+    for df in frames:
+        if getattr(df, "_scratch", None):
+            remove_path(df.sparkSession, df._scratch)
 
 
 _SHIPPED: set[str] = set()
