@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from trovekit.llm import textbatch
 from trovekit.llm.common import fold
-from trovekit.session import materialize, release
+from trovekit.session import materialize, materialize_bucketed, release
 
 ORDER = 3
 BLOCK_BYTES = 8 << 20
+#: bytes of a segment; longer texts have several
+SEGMENT_BYTES = 1 << 20
 #: entries of a hash bucket, about
 BUCKET_ENTRIES = 1 << 19
 #: one training document in so many is set aside for the weights
@@ -87,8 +89,8 @@ def _from_rising(data: bytes) -> np.ndarray:
 # ---- blocks -----------------------------------------------------------------
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[list[tuple[int, int, int, bool, bool]]]:
-    """Blocks of (row, from, to, first of its row, last of its row); long rows are cut after a separator."""
+def _segments(data: np.ndarray, offsets: np.ndarray, block_bytes: int, limit: int) -> Iterator[list[tuple[int, int, int, bool, bool]]]:
+    """Blocks of (row, from, to, first of its row, last of its row); rows over ``limit`` are cut after a separator."""
     block, held = [], 0
     for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         at = lo
@@ -104,7 +106,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[lis
                         if len(gaps):
                             to = far + int(gaps[0]) + 1
                             break
-            if block and held + to - at > limit:
+            if block and held + to - at > block_bytes:
                 yield block
                 block, held = [], 0
             block.append((row, at, to, at == lo, to == hi))
@@ -136,6 +138,19 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return textbatch.run_hash(data, solid, starts, place), np.diff(upto)
 
 
+def _words_of(data: np.ndarray, segments: list[tuple[int, int, int, bool, bool]]) -> Iterator[np.ndarray]:
+    """The words of each segment; about ``SEGMENT_BYTES`` are worked on at once."""
+    first = 0
+    while first < len(segments):
+        last, lo = first + 1, segments[first][1]
+        while last < len(segments) and segments[last][2] - lo <= SEGMENT_BYTES:
+            last += 1
+        bounds = np.array([s[1] for s in segments[first:last]] + [segments[last - 1][2]]) - lo
+        words, sizes = _words(data[lo : lo + int(bounds[-1])], bounds)
+        yield from np.split(words, np.cumsum(sizes)[:-1])
+        first = last
+
+
 def _stored(sequences: list[np.ndarray]) -> tuple[bytes, bytes, list[int]]:
     """(different words rising, word numbers, lengths) of some token sequences with two words of context each."""
     lengths = [len(s) for s in sequences]
@@ -146,7 +161,7 @@ def _stored(sequences: list[np.ndarray]) -> tuple[bytes, bytes, list[int]]:
 
 
 
-def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of ``docs`` (doc_id, text, part: SCORED, BUILD or TUNE).
 
     A row holds the segments' ids, rows, parts and lengths, the block's different
@@ -167,18 +182,14 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
             ids, parts = batch.column(0), batch.column(2).to_numpy()
             data, offsets = textbatch.utf8(batch.column(1))
             before = np.array([BEGIN, BEGIN])
-            for segments in _segments(data, offsets, limit):
-                lo, hi = segments[0][1], segments[-1][2]
-                bounds = np.array([s[1] for s in segments] + [hi]) - lo
-                words, sizes = _words(data[lo:hi], bounds)
-                sequences, upto = [], 0
-                for (_, _, _, first, last), size in zip(segments, sizes.tolist()):
+            for segments in _segments(data, offsets, block_bytes, min(block_bytes, SEGMENT_BYTES)):
+                sequences = []
+                for words, (_, _, _, first, last) in zip(_words_of(data, segments), segments):
                     if first:
                         before = np.array([BEGIN, BEGIN])
-                    mine = np.concatenate((before, words[upto : upto + size], [END] if last else np.zeros(0, np.uint64)))
+                    mine = np.concatenate((before, words, np.array([END] if last else [], np.uint64)))
                     before = mine[-2:]
-                    sequences.append(mine.astype(np.uint64))
-                    upto += size
+                    sequences.append(mine)
                 part = parts[[s[0] for s in segments]]
                 stored = _stored(sequences)
                 tuned = _stored([s for s, p in zip(sequences, part) if p == TUNE])
@@ -231,24 +242,27 @@ class Grams:
         two = np.zeros(len(tokens), np.uint64)
         two[1:] = _mixed(hashes[:-1], hashes[1:])
         two[firsts] = 0
-        three = _mixed(two[self.real - 1], hashes[self.real])
-        self.asked, self.at = [], []
-        for grams in (hashes, two, three):
-            keys, at = np.unique(grams >> np.uint64(64 - bits), return_inverse=True)
-            self.asked.append(keys)
-            self.at.append(at)
+        self.hashes, self.two, self.bits = hashes, two, bits
+
+    def entries(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes asked for, entry of each token's n-gram); of each counted token's for trigrams."""
+        grams = (self.hashes, self.two)[order - 1] if order < 3 else _mixed(self.two[self.real - 1], self.hashes[self.real])
+        keys, at = np.unique(grams >> np.uint64(64 - self.bits), return_inverse=True)
+        return keys, at.astype(np.int32)
 
-    def places(self, order: int) -> np.ndarray:
-        """Entry of the n-gram that ends at each counted token."""
-        return self.at[2] if order == 3 else self.at[order - 1][self.real]
+    def asked(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes asked for, entry of the n-gram that ends at each counted token)"""
+        keys, at = self.entries(order)
+        return keys, at if order == 3 else at[self.real]
 
     def counts(self, answers: list[np.ndarray], docs: int) -> list[np.ndarray]:
         """Per counted token: c(uvw), c(uv), c(vw), c(v), c(w); the beginning counts as often as there are documents."""
-        one, two, three = answers
-        before = self.real - 1
-        v = np.where(self.opens, docs, one[self.at[0][before]])
-        uv = np.where(self.opens, docs, two[self.at[1][before]])
-        return [three[self.at[2]], uv, two[self.places(2)], v, one[self.places(1)]]
+        lower = []
+        for order in (1, 2):
+            counts = answers[order - 1][self.entries(order)[1]]
+            lower += [np.where(self.opens, docs, counts[self.real - 1]), counts[self.real]]
+        v, w, uv, vw = lower
+        return [answers[2][self.entries(3)[1]], uv, vw, v, w]
 
 
 def _asks(stored: DataFrame, bits: int, shift: list[int]) -> DataFrame:
@@ -256,16 +270,17 @@ def _asks(stored: DataFrame, bits: int, shift: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 grams = Grams(r["words"], r["numbers"], r["lengths"], bits)
                 tuned = Grams(**r["tune"], bits=bits)
                 part = np.repeat(np.array(r["parts"]), np.array(r["lengths"]) - 2)
                 for order in (1, 2, 3):
-                    keys, at = grams.asked[order - 1], grams.places(order)
+                    keys, at = grams.asked(order)
                     total = np.bincount(at[part != SCORED], minlength=len(keys))
                     # twice the tuning count, and one where the tuning documents ask
                     tune = 2 * np.bincount(at[part == TUNE], minlength=len(keys))
-                    tune[np.searchsorted(keys, tuned.asked[order - 1])] += 1
+                    tune[np.searchsorted(keys, tuned.asked(order)[0])] += 1
                     bucket = keys >> np.uint64(shift[order - 1])
                     edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64((1 << 64) - 1)))
                     rows = {c: [] for c in ("ord", "bucket", "block", "hashes", "total", "tune")}
@@ -437,7 +452,7 @@ def _scored(stored: DataFrame, answers: DataFrame, bits: int, totals: dict, weig
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
 
 
-def score(docs: DataFrame, training: Column, tune_parts: int = TUNE_PARTS, limit: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+def score(docs: DataFrame, training: Column, tune_parts: int = TUNE_PARTS, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
     """Scores of all ``docs`` (doc_id, text) under a model of those where ``training`` holds, and the weights.
 
     Per row: doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigram) and
@@ -445,7 +460,8 @@ def score(docs: DataFrame, training: Column, tune_parts: int = TUNE_PARTS, limit
     """
     tuned = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("tune")), F.lit(tune_parts)) == 0
     part = F.when(~F.coalesce(training, F.lit(False)), SCORED).when(tuned, TUNE).otherwise(BUILD).cast("int")
-    stored = materialize(blocks(docs.select("doc_id", "text", part.alias("part")), limit), "lm-blocks")
+    # the blocks are read where they lie; only questions and answers move
+    stored = materialize_bucketed(blocks(docs.select("doc_id", "text", part.alias("part")), block_bytes), "block", "lm-blocks")
     sums = {c: x or 0 for c, x in zip(TOTALS, stored.agg(*[F.sum(c) for c in TOTALS]).first())}
     bits = min(64, 8 * math.ceil((max(1, sums["tokens"]).bit_length() + 20) / 8))
     shift = [bits - max(0, math.ceil(sums[f"asked{o}"] / bucket_entries) - 1).bit_length() for o in (1, 2, 3)]
