@@ -36,30 +36,60 @@ def _matrix(column: pa.Array, width: str) -> np.ndarray:
     return flat.reshape(len(column), dim).astype(width, copy=False)
 
 
+def _block(part: pa.RecordBatch, width: str) -> dict[str, pa.Array]:
+    """One packed row of the rows (id, vector) of ``part``."""
+    mat = _matrix(part.column(1), width)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", part.column(0).type)])) as writer:
+        writer.write_batch(pa.record_batch([part.column(0)], names=["id"]))
+    return {
+        "ids": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+        "mat": pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
+        "dim": pa.array([mat.shape[1]], pa.int32()),
+        "n": pa.array([mat.shape[0]], pa.int32()),
+    }
+
+
 def _pack_batches(width: str, rows: int):
     def pack(batches):
         seq = 0
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                mat = _matrix(part.column(1), width)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema([("id", part.column(0).type)])) as writer:
-                    writer.write_batch(pa.record_batch([part.column(0)], names=["id"]))
-                yield pa.record_batch(
-                    {
-                        "seq": pa.array([seq], pa.int64()),
-                        "ids": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                        "mat": pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
-                        "dim": pa.array([mat.shape[1]], pa.int32()),
-                        "n": pa.array([mat.shape[0]], pa.int32()),
-                    }
-                )
+                yield pa.record_batch({"seq": pa.array([seq], pa.int64()), **_block(batch.slice(start, rows), width)})
                 seq += 1
 
     return pack
 
 
+def _pack_by_key(width: str, rows: int):
+    """Blocks of (id, vector, key) that hold one key each; a key's rows are gathered over the batches of a task."""
+
+    def pack(batches):
+        held: dict[str, list[pa.RecordBatch]] = {}
+
+        def blocks(key, least):
+            parts = held.pop(key)
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            for start in range(0, whole.num_rows, rows):
+                part = whole.slice(start, rows)
+                if part.num_rows < least:
+                    held[key] = [part]
+                else:
+                    yield pa.record_batch({"key": pa.array([key], pa.string()), **_block(part, width)})
+
+        for batch in batches:
+            keys = np.array(batch.column(2).to_pylist(), object)
+            data = batch.select([0, 1])
+            for key in dict.fromkeys(keys.tolist()):
+                held.setdefault(key, []).append(data.take(pa.array(np.flatnonzero(keys == key))))
+                if sum(b.num_rows for b in held[key]) >= rows:
+                    yield from blocks(key, rows)
+        for key in list(held):
+            yield from blocks(key, 1)
+
+    return pack
+
+
 def _width(df: DataFrame, vector: str) -> str:
     element = df.schema[vector].dataType.elementType
     return "<f4" if isinstance(element, T.FloatType) else "<f8"
@@ -332,6 +362,136 @@ def blocked_top_k(
     return ranked.select(F.col("qid").alias(query_id), F.col("did").alias(pool_id), "score", "rank")
 
 
+_KEYED = "key string, ids binary, mat binary, dim int, n int"
+
+
+def _search_sent_keyed(searches, metric: str, width: str, digits: int, qtype, dtype, shared):
+    """Pool blocks of a task, each met by the queries of the searches of its pool."""
+
+    def search(batches):
+        groups: dict[str, _Group] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pool, dim, n = (batch.column(c)[row].as_py() for c in ("key", "dim", "n"))
+                ids = _unpack_ids(batch.column("ids")[row].as_buffer())
+                mat = np.frombuffer(batch.column("mat")[row].as_buffer(), width).reshape(n, dim)
+                for name, qset, k in searches.get(pool, ()):
+                    if name not in groups:
+                        groups[name] = _Group(k, metric, digits)
+                        for q in shared.value.get(qset, ()):
+                            groups[name].add_queries(*q)
+                    groups[name].add_pool(ids, mat)
+        for name, group in groups.items():
+            yield from _tagged(_found_rows(group, qtype, dtype), name, group.k)
+
+    return search
+
+
+def _tagged(batches, name: str, k: int):
+    for batch in batches:
+        n = batch.num_rows
+        more = [pa.array([name] * n, pa.string()), pa.array([k] * n, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "search", "k"])
+
+
+def _search_cells(metric: str, width: str, digits: int, qtype, dtype):
+    """Rows sorted by (cell, side): the queries of a cell, then the pool blocks it meets."""
+
+    def search(batches):
+        current, name, group = None, None, None
+        for batch in batches:
+            side, cell, dim, n, k = (batch.column(c).to_numpy() for c in ("side", "cell", "dim", "n", "k"))
+            for i in range(batch.num_rows):
+                if cell[i] != current:
+                    if group:
+                        yield from _tagged(_found_rows(group, qtype, dtype), name, group.k)
+                    current, name, group = cell[i], batch.column("search")[i].as_py(), _Group(int(k[i]), metric, digits)
+                ids = _unpack_ids(batch.column("ids")[i].as_buffer())
+                mat = np.frombuffer(batch.column("mat")[i].as_buffer(), width).reshape(n[i], dim[i])
+                if side[i] == 0:
+                    group.add_queries(ids.copy(), mat.copy())
+                else:
+                    group.add_pool(ids, mat)
+        if group:
+            yield from _tagged(_found_rows(group, qtype, dtype), name, group.k)
+
+    return search
+
+
+def top_k_of_pools(
+    queries: DataFrame,
+    pools: DataFrame,
+    searches: DataFrame,
+    metric: str = "cosine",
+    group_rows: int = GROUP_ROWS,
+    sent_bytes: int = SENT_BYTES,
+    slice_rows: int = 8 * BLOCK_ROWS,
+    digits: int = DIGITS,
+) -> DataFrame:
+    """Exact top k of many (query set, pool) pairs in one job: (search, qid, did, score, rank).
+
+    ``queries`` has qset, qid and embedding, ``pools`` pool, did and embedding,
+    ``searches`` (configuration) search, qset, pool and k.  Blocks carry the name of
+    their set or pool; a pool block meets the query groups of the searches of its
+    pool and no others, so neither the plan nor the number of jobs depends on the
+    number of searches.  Few queries travel to the pools, which are then not
+    shuffled; else every (search, query group, pool slice) is a cell of its own.
+    """
+    spark = queries.sparkSession
+    width = max(_width(queries, "embedding"), _width(pools, "embedding"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qt, dt = queries.schema["qid"].dataType, pools.schema["did"].dataType
+    types = (to_arrow_type(qt), to_arrow_type(dt))
+    fields = [("qid", qt), ("did", dt), ("score", T.DoubleType()), ("search", T.StringType()), ("k", T.IntegerType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    searches = searches.select(F.col("search").cast("string"), "qset", "pool", F.col("k").cast("int"))
+    pack = lambda df, key, row, rows: df.select(row, "embedding", key).mapInArrow(_pack_by_key(width, rows), _KEYED)
+    q = materialize(pack(queries, "qset", "qid", min(BLOCK_ROWS, group_rows)).withColumn("tag", F.xxhash64("ids")), "query-blocks")
+    asked = q.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("long") * F.col("dim")).alias("entries"))
+    used = F.broadcast(searches).join(asked, searches["qset"] == asked["key"])
+    total, entries = used.agg(F.sum("rows"), F.sum("entries")).first()
+    p = pack(pools, "pool", "did", BLOCK_ROWS)
+    if (total or 0) <= group_rows and (entries or 0) * 8 <= sent_bytes:
+        by_pool: dict[str, list] = {}
+        for r in searches.collect():  # configuration
+            by_pool.setdefault(r.pool, []).append((r.search, r.qset, r.k))
+        sent: dict[str, list] = {}
+        for r in q.orderBy("key", "tag").collect():  # of measured size
+            sent.setdefault(r.key, []).append((_unpack_ids(r.ids).copy(), np.frombuffer(r.mat, width).reshape(r.n, r.dim)))
+        shared = spark.sparkContext.broadcast(sent)
+        partial = p.mapInArrow(_search_sent_keyed(by_pool, metric, width, digits, *types, shared), schema)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        before = F.sum("n").over(Window.partitionBy("key").orderBy("tag").rowsBetween(Window.unboundedPreceding, -1))
+        # one row per block: groups of consecutive blocks
+        grouped = q.select("key", "tag", "n").withColumn("grp", F.floor(F.coalesce(before, F.lit(0)) / group_rows).cast("int"))
+        grouped = materialize(grouped.select("key", "tag", "grp").distinct(), "groups")
+        sizes = pools.groupBy("pool").agg(F.count(F.lit(1)).alias("rows"))
+        sizes = sizes.select("pool", F.least(F.lit(parts), F.ceil(F.col("rows") / slice_rows)).cast("int").alias("slices"))
+        sets = grouped.groupBy(F.col("key").alias("qset")).agg((F.max("grp") + 1).alias("groups"))
+        # one row per search
+        cells = searches.join(sets, "qset").join(sizes, "pool").withColumn("cells", F.col("groups") * F.col("slices"))
+        upto = F.sum("cells").over(Window.orderBy("search"))
+        cells = materialize(cells.withColumn("first", upto - F.col("cells")), "cells")
+        n_cells = cells.agg(F.sum("cells")).first()[0] or 1
+        place = (F.col("first") + F.col("slot") * F.col("groups") + F.col("grp")).cast("int").alias("cell")
+        row = ["search", "k", place, "ids", "mat", "dim", "n"]
+        c = F.broadcast(cells)
+        left = q.join(grouped, ["key", "tag"]).join(c, F.col("key") == c["qset"])
+        left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(F.lit(0).alias("side"), *row)
+        right = p.withColumn("tag", F.xxhash64("ids")).join(c, F.col("key") == c["pool"])
+        right = right.withColumn("slot", F.pmod("tag", F.col("slices"))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        met = left.unionByName(right.select(F.lit(1).alias("side"), *row))
+        # cells are numbered through, so they are dealt evenly
+        many = min(int(n_cells), 4 * parts)
+        met = met.repartitionById(many, F.pmod("cell", F.lit(many))).sortWithinPartitions("cell", "side")
+        partial = met.mapInArrow(_search_cells(metric, width, digits, *types), schema)
+    best = Window.partitionBy("search", "qid").orderBy(F.desc("score"), "did")
+    ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k"))
+    return ranked.select("search", "qid", "did", "score", "rank")
+
+
 def pack_pool(
     pool: DataFrame, queries: DataFrame, pool_id: str = "did", pool_vector: str = "embedding", query_vector: str = "embedding"
 ) -> DataFrame:
@@ -383,4 +543,4 @@ def row_cosine(a: str, b: str):
     return kernel(F.col(a), F.col(b))
 
 
-__all__ = ["blocked_top_k", "pack_blocks", "pack_pool", "row_cosine", "row_dot"]
+__all__ = ["blocked_top_k", "pack_blocks", "pack_pool", "row_cosine", "row_dot", "top_k_of_pools"]

@@ -23,6 +23,18 @@ def file_position():
     )
 
 
+def source_name(root: str, depth: int):
+    """Name below ``root`` of the file a row was scanned from, cut to its first ``depth`` parts.
+
+    A name that is a folder of part files stands for all of them.
+    """
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    # the scan may spell the scheme of the root in another way
+    mark = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    below = F.substr(path, F.instr(path, mark) + F.lit(len(mark)))
+    return F.substring_index(below, "/", depth)
+
+
 def read_jsonl(spark: SparkSession, path, schema: T.StructType, position: str | None = None) -> DataFrame:
     """Scan JSON lines; ``position`` names an optional order column."""
     df = spark.read.schema(schema).json(path)
