@@ -7,7 +7,7 @@ of ``pos``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
@@ -16,6 +16,8 @@ from trovekit.operators.links import NEG, POS, keep_with_positive
 from trovekit.operators.numbering import BUCKET_ROWS, assign_ids
 from trovekit.operators.pools import first_seen
 from trovekit.operators.skew import lookup_join, skew_join
+from trovekit.operators.substrings import answer_hits, places_of, whole_slices
+from trovekit.session import materialize
 from trovekit.sources.images import with_valid_image
 
 
@@ -220,13 +222,25 @@ def matched_articles(kept: DataFrame, articles: DataFrame) -> DataFrame:
 def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every chunk of the linked entity as positive or negative.
 
-    A chunk that contains an answer is positive.  ``questions`` has ``qid``,
-    ``entity_id``, ``answer``, ``answer_eval``; ``chunks`` has ``entity_id``,
-    ``ord``, ``txt``, ``did``.  Questions without a positive chunk go.
+    A chunk that contains an answer is positive.  ``questions`` has ``qid`` (one row
+    each), ``entity_id``, ``answer``, ``answer_eval``; ``chunks`` has ``entity_id``,
+    ``ord``, ``txt``, ``did``.  Questions without a positive chunk go.  Answers are
+    searched for once per entity; questions meet slices of chunk ids and the places
+    found, never texts.
     """
-    pairs = skew_join(questions, chunks, "entity_id", spread_by=["qid"])
-    label = F.when(contains_answer("txt", "answer", "answer_eval"), F.lit(POS)).otherwise(F.lit(NEG))
-    return keep_with_positive(pairs.select("qid", label.alias("label"), "ord", "did"))
+    options = F.concat("answer", "answer_eval")
+    answers = questions.select("entity_id", F.explode(options).alias("answer"))
+    hits = materialize(answer_hits(chunks, answers), "answer-hits")
+    met = lookup_join(questions.select("qid", "entity_id", options.alias("options")), whole_slices(hits), "entity_id")
+    met = met.select("qid", "slices", "chunks", places_of(F.col("options")).alias("places"))
+    found = F.size("places") > 0
+    one = met.where((F.col("slices") == 1) & found)
+    # an entity of several slices: a question stays if any of them has a positive
+    anywhere = F.max(found).over(Window.partitionBy("qid"))
+    many = met.where("slices > 1").withColumn("found", anywhere).where("found").drop("found")
+    links = one.unionByName(many).select("qid", "places", F.posexplode("chunks").alias("at", "c"))
+    label = F.when(F.array_contains("places", F.col("at")), F.lit(POS)).otherwise(F.lit(NEG))
+    return links.select("qid", label.alias("label"), F.col("c.ord").alias("ord"), F.col("c.did").alias("did"))
 
 
 def number_queries(queries: DataFrame, dataset, position: str = "pos", width: int = BUCKET_ROWS) -> DataFrame:
