@@ -6,7 +6,7 @@ from checks.base import chunks, clean, query
 from trovekit.operators import links as L
 from trovekit.operators import pools
 from trovekit.operators.numbering import number_by_hash, number_rows
-from trovekit.functions.stable import hash_bucket, hash_order
+from trovekit.functions.stable import hash_order
 from trovekit.sources.images import demote_invalid_image, with_valid_image
 
 TEXT_IMAGE = f"""
@@ -160,7 +160,7 @@ SELECT l.qid, l.label, l.ord::BIGINT AS ord, r.did FROM fx_links l JOIN renum r
 """,
 )
 def pool_renumber(t):
-    renumbered = pools.renumber_pool(t.fx_pool, 1, [hash_order("old_did"), "old_did"], hash_bucket("old_did"))
+    renumbered = pools.renumber_pool(t.fx_pool, 1, [hash_order("old_did"), "old_did"])
     return pools.rewrite_links(t.fx_links, renumbered).withColumn("ord", F.col("ord").cast("long"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trovekit.operators import numbering, skew, stats
+from trovekit.operators import numbering, pools, sampling, skew, stats
 
 
 def hot(spark, n=3000):
@@ -32,11 +32,29 @@ def test_numbering_ignores_partitioning(spark):
     assert first == sorted(r for r in a if r[1] <= 100)
 
 
-def test_range_bucket_follows_the_order(spark):
-    df = spark.range(500).select(F.concat(F.lit("img/"), F.col("id").cast("string")).alias("p"))
-    numbered = numbering.number_rows(df, "p", numbering.range_bucket(df, "p", buckets=8))
-    got = [r.p for r in numbered.orderBy("n").collect()]
-    assert got == sorted(got)
+def test_ties_and_null_positions_spread(spark):
+    """Nine rows of ten have no position: their range is cut by row, and the numbers stay dense."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("pos"), F.col("id").alias("v"))
+    rows = numbering.stored_rows(df)
+    numbered = numbering.number_stored(rows, ["pos"], "n", bucket_rows=4_000)
+    sizes = [r["count"] for r in numbered.groupBy(F.floor((F.col("n") - 1) / 4_000)).count().collect()]
+    assert sizes == [4_000] * 10
+    got = numbering.number_rows(df, "pos", bucket_rows=4_000)
+    assert got.columns == ["pos", "v", "n"]
+    found = got.orderBy("n").collect()
+    assert [r.n for r in found] == list(range(1, 40_001))
+    assert [r.pos for r in found] == [None] * 36_000 + list(range(0, 40_000, 10))
+    # what the ranges hold before they are numbered
+    parts = rows.select(F.col("pos").alias("k"), numbering.ROW).repartitionByRange(10, "k", numbering.ROW)
+    tasks = sorted(r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect())
+    assert len(tasks) == 10 and tasks[-1] <= 3 * tasks[5]
+
+
+def test_only_keys_and_row_numbers_are_sorted(spark):
+    df = spark.range(5_000).select(F.col("id").alias("pos"), F.repeat(F.lit("x"), 50).alias("text"))
+    plan = numbering.number_rows(df, "pos", bucket_rows=500)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan.split("text")[0]
+    assert not any("text" in line for line in plan.splitlines() if "Sort" in line and "SortMergeJoin" not in line)
 
 
 def test_append_ids(spark):
@@ -134,3 +152,33 @@ def test_number_within_keeps_null_keys(spark):
 def test_rolling_meter_wants_long_chunks(spark):
     with pytest.raises(ValueError):
         stats.rolling_meter(hot(spark, 10), "k", [], "v", window=20, width=10, position="pos")
+
+
+def test_caps_of_large_and_small_groups(spark):
+    """Groups above the limit of a task are cut into buckets; the rows chosen are the same."""
+    group = F.when(F.col("id") % 10 < 7, F.lit(None).cast("string")).otherwise(F.concat(F.lit("g"), F.col("id") % 23))
+    df = spark.range(6_000).select(F.col("id").alias("k"), group.alias("g"), (F.col("id") % 2).alias("h"))
+    for limit in (1, 40, 5_000):
+        plain = rows(sampling.cap_per_group(df, ["g", "h"], "k", limit).fillna("none"))
+        cut = rows(sampling.cap_per_group(df, ["g", "h"], "k", limit, large_rows=50).fillna("none"))
+        assert plain == cut and max(r[3] for r in plain) <= limit
+
+
+def test_first_seen_moves_no_text_in_its_aggregate(spark):
+    values = [(i % 40, None if i % 9 == 0 else 100 - i, f"text {i % 7} " * 20, f"rest {i}") for i in range(400)] + [(1, 5, "tie", "a"), (1, 5, "tie", "a")]
+    df = spark.createDataFrame(values, "k long, pos long, txt string, other string")
+    _, first = pools._first_rows(df, ["txt"], "pos")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    exchanged = [line for line in plan.splitlines() if "partial_" in line]
+    assert exchanged and not any("txt" in line or "other" in line for line in exchanged)
+    got = pools.first_seen(df, "txt", "pos")
+    assert got.columns == df.columns
+    want = {}
+    for r in sorted(values, key=lambda r: (r[1] is not None, r[1] or 0)):
+        want.setdefault(r[2], r[1])
+    assert {r.txt: r.pos for r in got.collect()} == want and got.count() == len(want)
+    composite = pools.first_seen_numbered(df, ["txt"], ["k", "pos"], ["k", "pos"])
+    found = composite.orderBy("__n").collect()
+    assert [r["__n"] for r in found] == list(range(1, len(want) + 1))
+    assert [(r.k, r.pos is not None, r.pos or 0) for r in found] == sorted((r.k, r.pos is not None, r.pos or 0) for r in found)

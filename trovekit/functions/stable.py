@@ -25,11 +25,6 @@ def hash_int(key, seed: int | str = SEED) -> Column:
     return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long")
 
 
-def hash_bucket(key, seed: int | str = SEED) -> Column:
-    """Order-preserving bucket of ``hash_order`` (65 536 values)."""
-    return F.substring(hash_order(key, seed), 1, 4)
-
-
 def pick(values, key, seed: int | str = SEED) -> Column:
     """One element of ``values``, chosen by the hash of ``key``."""
     v = _col(values)

@@ -1,10 +1,11 @@
 """Dense numbering in a global order, without a single-partition window.
 
-Rows are written once and cut into buckets that follow the order: ranges that
-Spark measures on the written rows, or a bucket column the caller knows (leading
-hash digits).  Only the bucket sizes are summed up globally; ranks inside a bucket
-are computed bucket by bucket.  The input is evaluated once, and nothing depends
-on how its rows happen to be partitioned.
+Rows are written once with a number of their own.  Above one bucket only the order
+columns and those numbers are sorted: ranges that Spark measures on the written rows,
+cut by the row's number where the order does not tell rows apart, so a value (or NULL)
+that most rows share is spread like any other.  Only range sizes are summed up
+globally; the wide rows meet their numbers in one join.  The input is evaluated once,
+and nothing depends on how its rows happen to be partitioned.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit.functions.ids import make_id
-from trovekit.functions.stable import SEED, hash_bucket, hash_order
-from trovekit.operators.skew import null_safe_join
-from trovekit.session import materialize, release
+from trovekit.functions.stable import SEED, hash_order
+from trovekit.session import materialize
 
 # Small enough that a bucket whose rows are exploded a hundredfold still fits a
 # task, large enough that the table of bucket sizes stays small.
 BUCKET_ROWS = 100_000
+#: the number a stored row is known by
+ROW = "__row"
 
 
 def position_bucket(position, width: int = BUCKET_ROWS) -> Column:
@@ -28,46 +30,54 @@ def position_bucket(position, width: int = BUCKET_ROWS) -> Column:
     return F.floor(c / F.lit(width))
 
 
-def number_rows(
-    df: DataFrame, order, bucket: Column | None = None, out: str = "n", start: int = 1, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Add ``out`` = start, start+1, ... in the order of (bucket, *order); NULL comes first.
+def stored_rows(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` written once, every row with a number ``ROW`` of its own."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
 
-    ``bucket`` must not contradict ``order``: a row of a smaller bucket always
-    precedes a row of a larger one.  Without it buckets are ranges of ``order``
-    with about ``bucket_rows`` rows each, whatever the type of the order columns
-    (integers, dense or sparse, text, file positions).
+def number_stored(
+    rows: DataFrame, order: list, out: str, start: int = 1, bucket_rows: int = BUCKET_ROWS, count: int | None = None
+) -> DataFrame:
+    """(ROW, out) of ``rows``, which have ROW: their numbers start, start+1, ... by ``order``, then ROW."""
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"__k{i}") for i, o in enumerate(order)]
+    narrow = rows.select(ROW, *keys)
+    by = [f"__k{i}" for i in range(len(order))] + [ROW]
+    parts = -(-(rows.count() if count is None else count) // bucket_rows)
+    if parts <= 1:
+        return narrow.select(ROW, (F.row_number().over(Window.orderBy(*by)) + F.lit(start - 1)).cast("long").alias(out))
+    ranged = narrow.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # the high bits of the place are the range, the low ones count its rows
+    placed = materialize(ranged.select(ROW, F.monotonically_increasing_id().alias("__at")), "number")
+    bits = 33
+    inside = F.col("__at").bitwiseAND(F.lit((1 << bits) - 1))
+    ranges = placed.groupBy(F.shiftright("__at", bits).alias("__range")).agg((F.max(inside) + 1).alias("__size"))
+    # one row per range: the only global ordering
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")
+    offsets = ranges.select("__range", before.alias("__before"))
+    numbered = placed.withColumn("__range", F.shiftright("__at", bits)).join(F.broadcast(offsets), "__range")
+    return numbered.select(ROW, (F.col("__before") + inside + F.lit(start)).cast("long").alias(out))
+
+
+def number_rows(df: DataFrame, order, out: str = "n", start: int = 1, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``out`` = start, start+1, ... in the given order; NULL comes first.
+
+    ``order`` names columns or expressions of any orderable type (integers, dense or
+    sparse, text, file positions).
     """
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    if bucket is None:
-        rows = materialize(df, "number")
-        parts = -(-rows.count() // bucket_rows)
-        if parts > 1:
-            # the number of the range is stored with the row, so a later scan cannot see other ranges
-            ranged = rows.repartitionByRange(parts, *order).withColumn("__bucket", F.spark_partition_id())
-            ranged = materialize(ranged, "ranges")
-            release(rows)
-            rows = ranged
-        else:
-            rows = rows.withColumn("__bucket", F.lit(0))
-    else:
-        rows = materialize(df.withColumn("__bucket", bucket), "number")
-    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    # One row per bucket: the only global ordering, over bucket sizes.
-    before = F.sum("__size").over(Window.orderBy("__bucket")) - F.col("__size")
-    offsets = sizes.select("__bucket", before.alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    numbered = null_safe_join(rows.withColumn("__local", local), offsets, "__bucket")
-    return numbered.withColumn(out, (F.col("__before") + F.col("__local") + F.lit(start - 1)).cast("long")).drop(
-        "__bucket", "__local", "__before"
-    )
+    rows = stored_rows(df, "number")
+    count = rows.count()
+    if count <= bucket_rows:
+        number = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
+        return rows.withColumn(out, number.cast("long")).drop(ROW)
+    return rows.join(number_stored(rows, order, out, start, bucket_rows, count), ROW).drop(ROW)
 
 
 def number_by_position(
     df: DataFrame, position: str = "pos", out: str = "n", start: int = 1, width: int = BUCKET_ROWS
 ) -> DataFrame:
     """Number rows by a position of any orderable type, in ranges of about ``width`` rows."""
-    return number_rows(df, position, None, out, start, width)
+    return number_rows(df, position, out, start, width)
 
 
 def number_by_hash(
@@ -75,40 +85,25 @@ def number_by_hash(
 ) -> DataFrame:
     """Number rows in hash order; with ``limit`` only the first rows remain.
 
-    For a limit, buckets that start beyond it are dropped before anything is
-    shuffled by row.
+    For a limit, rows beyond it are told by the first digits of their hash and dropped
+    before anything is sorted or moved.
     """
-    rows = df
+    rows, h = df, hash_order(key, seed)
     if limit is not None:
-        rows = df.withColumn("__b", hash_bucket(key, seed))
-        sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__size"))
-        before = F.sum("__size").over(Window.orderBy("__b")) - F.col("__size")
-        needed = sizes.withColumn("__start", before).where(F.col("__start") < limit).select("__b")
-        # at most 65 536 four-digit buckets exist
-        rows = rows.join(F.broadcast(needed), "__b", "left_semi").drop("__b")
-    h = hash_order(key, seed)
+        head = F.substring(h, 1, 3)
+        # at most 4 096 different heads
+        sizes = sorted((r[0], r[1]) for r in df.groupBy(head).count().collect() if r[0] is not None)
+        last, held = "", 0
+        for last, size in sizes:
+            held += size
+            if held >= limit:
+                break
+        rows = rows.where(h.isNull() | (head <= last))
     key_col = F.col(key) if isinstance(key, str) else key
-    numbered = number_rows(rows, [h, key_col], hash_bucket(key, seed), out)
+    numbered = number_rows(rows, [h, key_col], out)
     return numbered if limit is None else numbered.where(F.col(out) <= limit)
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int | None = None, sample_rows: int = 4096) -> Column:
-    """Order-preserving bucket of a string key from sampled boundaries.
-
-    The number of buckets follows from the number of rows unless given.  Only a
-    bounded sample of keys reaches the driver.
-    """
-    if buckets is None:
-        buckets = min(sample_rows, -(-df.count() // BUCKET_ROWS) or 1)
-    picked = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(sample_rows)
-    keys = sorted({row[0] for row in picked.collect()})
-    step = max(1, len(keys) // buckets)
-    bounds = keys[step::step] if buckets > 1 else []
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
-
-
 def assign_ids(
     df: DataFrame, dataset, position: str, out: str, start: int = 1, width: int = BUCKET_ROWS
 ) -> DataFrame:

@@ -10,11 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trovekit import constants as K
 from trovekit.functions.ids import id_number, make_id
 from trovekit.functions.text import chunk_words, clean_text, doc_key, title_body, truncate_words
-from trovekit.operators.numbering import number_rows
+from trovekit.operators.numbering import ROW, number_rows, number_stored, stored_rows
+from trovekit.session import materialize
 from trovekit.sources.images import demote_invalid_image, with_valid_image
 
 
@@ -24,17 +26,43 @@ from trovekit.sources.images import demote_invalid_image, with_valid_image
 def first_seen(df: DataFrame, keys, order) -> DataFrame:
     """First row per key in the given order.
 
-    An aggregate rather than a window: every task reduces its rows before the
-    shuffle, so a key that holds most of the data costs one row per task.
+    Rows are written once.  Only a 128-bit hash of the key, the order and the row's
+    number are aggregated, every task reducing its rows before the shuffle, so a key
+    that holds most of the data costs one narrow row per task; the first rows are
+    fetched by their numbers.  Of rows that tie one stays.
     """
+    rows, first = _first_rows(df, keys, order)
+    return rows.join(first, ROW).select(*df.columns)
+
+
+def first_seen_numbered(df: DataFrame, keys, order, by, out: str = "__n") -> DataFrame:
+    """``first_seen`` with a number ``out`` from 1 in the order ``by``; whole rows move once."""
+    rows, first = _first_rows(df, keys, order)
+    by = [F.col(o) if isinstance(o, str) else o for o in by]
+    places = rows.select(ROW, *[o.alias(f"__by{i}") for i, o in enumerate(by)]).join(first, ROW)
+    numbers = number_stored(materialize(places, "places"), [f"__by{i}" for i in range(len(by))], out)
+    return rows.join(numbers, ROW).select(*df.columns, out)
+
+
+def _first_rows(df: DataFrame, keys, order) -> tuple[DataFrame, DataFrame]:
+    """(stored rows, ROW of the first row of each key)"""
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    rest = [c for c in df.columns if c not in keys]
-    # The aggregate sorts its rows by the key: two 64-bit hashes instead of whole
-    # texts.  Equal keys have equal hashes; 128 bits tell different ones apart.
+    rows = stored_rows(df, "seen")
+    # Equal keys have equal hashes; 128 bits tell different ones apart.
     hashed = [F.xxhash64(*_marked(keys)).alias("__h"), F.xxhash64(F.lit("second"), *_marked(keys)).alias("__g")]
-    best = df.groupBy(*hashed).agg(F.min_by(F.struct(*keys, *rest), F.struct(*order)).alias("__row"))
-    return best.select(*[F.col(f"__row.{c}") for c in df.columns])
+    place = order[0] if len(order) == 1 else F.struct(*order)
+    place = F.col(place) if isinstance(place, str) else place
+    narrow = rows.select(*hashed, place.alias("__place"), ROW)
+    kind = narrow.schema["__place"].dataType
+    fixed = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) and not isinstance(kind, T.DecimalType)
+    if not fixed:
+        narrow = narrow.withColumn("__place", F.struct("__place"))  # a NULL place comes first
+        return rows, narrow.groupBy("__h", "__g").agg(F.min_by(ROW, "__place").alias(ROW)).select(ROW)
+    # a fixed-width place is aggregated in a hash table
+    lost = F.min(F.when(F.col("__place").isNull(), F.col(ROW)))
+    best = narrow.groupBy("__h", "__g").agg(F.coalesce(lost, F.min_by(ROW, "__place")).alias(ROW))
+    return rows, best.select(ROW)
 
 
 def _marked(keys: list[str]) -> list[Column]:
@@ -88,7 +116,7 @@ def _candidate(kind: str, txt: Column, img: Column, modality: str) -> Column:
 
 def number_candidates(rows: DataFrame, dataset, order, position: str = "pos") -> DataFrame:
     """Give candidates sequential ids in the order (position, *order)."""
-    numbered = number_rows(rows, [position, *order], None, "__n")
+    numbered = number_rows(rows, [position, *order], "__n")
     return numbered.withColumn("did", make_id(dataset, "__n")).drop("__n")
 
 
@@ -105,11 +133,11 @@ def text_image_pool(raw: DataFrame, dataset, source_content: Column | None = Non
     )
     rows = raw.select("pos", content.alias("src_content"), F.posexplode(both).alias("part", "c"))
     rows = rows.select("pos", "part", "src_content", "c.modality", F.coalesce("c.txt", "c.img_path").alias("value"))
-    unique = first_seen(rows.where(F.col("value") != ""), ["modality", "value"], ["pos", "part"])
-    numbered = number_candidates(unique, dataset, ["part"])
-    return numbered.select(
+    # rows of one modality have one part, so the position alone tells the first
+    unique = first_seen_numbered(rows.where(F.col("value") != ""), ["modality", "value"], "pos", ["pos", "part"])
+    return unique.select(
         "pos",
-        "did",
+        make_id(dataset, "__n").alias("did"),
         F.when(F.col("modality") == K.TEXT, F.col("value")).alias("txt"),
         F.when(F.col("modality") == K.IMAGE, F.col("value")).alias("img_path"),
         "modality",
@@ -140,8 +168,7 @@ def pair_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None
     rows = reduce(DataFrame.unionByName, tagged).where(F.col("txt") != "")
     if manifest is not None:
         rows = with_valid_image(rows, manifest)
-    unique = first_seen(rows, ["txt", "img_path"], ["part", "pos"])
-    numbered = number_rows(unique, ["part", "pos"], None, "__n")
+    numbered = first_seen_numbered(rows, ["txt", "img_path"], ["part", "pos"], ["part", "pos"])
     return numbered.select(
         make_id(dataset, "__n").alias("did"), "txt", "img_path", F.lit(K.IMAGE_TEXT).alias("modality"), "src_content"
     )
@@ -164,17 +191,17 @@ def fact_pool(parts: list[DataFrame], dataset, manifest: DataFrame | None = None
         pairs = with_valid_image(rows.where(F.col("img_path").isNotNull()), manifest)
         rows = rows.where(F.col("img_path").isNull()).unionByName(pairs)
     modality = F.when(F.col("img_path").isNull(), F.lit(K.TEXT)).otherwise(F.lit(K.IMAGE_TEXT))
-    unique = first_seen(rows.withColumn("modality", modality), ["modality", "txt", "img_path"], ["part", "pos", "place"])
-    numbered = number_rows(unique, ["part", "pos", "place"], None, "__n")
+    order = ["part", "pos", "place"]
+    numbered = first_seen_numbered(rows.withColumn("modality", modality), ["modality", "txt", "img_path"], order, order)
     return numbered.select(make_id(dataset, "__n").alias("did"), "txt", "img_path", "modality", "src_content")
 
 
-def image_pool(images: DataFrame, dataset, bucket: Column | None = None, manifest: DataFrame | None = None) -> DataFrame:
-    """Image-only pool in path order; a given ``bucket`` must follow the path order."""
+def image_pool(images: DataFrame, dataset, manifest: DataFrame | None = None) -> DataFrame:
+    """Image-only pool in path order."""
     rows = images.select("img_path").distinct()
     if manifest is not None:
         rows = with_valid_image(rows, manifest)
-    numbered = number_rows(rows, ["img_path"], bucket, "__n")
+    numbered = number_rows(rows, ["img_path"], "__n")
     return numbered.select(
         make_id(dataset, "__n").alias("did"),
         F.lit(None).cast("string").alias("txt"),
@@ -280,9 +307,9 @@ def write_pools(pool: DataFrame, path: str) -> None:
 # -- renumbering ---------------------------------------------------------------
 
 
-def renumber_pool(pool: DataFrame, dataset, order, bucket: Column | None = None) -> DataFrame:
+def renumber_pool(pool: DataFrame, dataset, order) -> DataFrame:
     """New sequential ids; the previous id stays as ``old_did``."""
-    numbered = number_rows(pool.withColumnRenamed("did", "old_did"), order, bucket, "__n")
+    numbered = number_rows(pool.withColumnRenamed("did", "old_did"), order, "__n")
     return numbered.withColumn("did", make_id(dataset, "__n")).drop("__n")
 
 

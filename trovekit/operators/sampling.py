@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovekit.functions.stable import SEED, cycled, hash_order, pick, shuffled
+from trovekit.functions.stable import SEED, cycled, hash_int, hash_order, pick, shuffled
 from trovekit.functions.text import clean_text
 from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows
 from trovekit.operators.pools import chunked_kb_rows, referenced_ids
 from trovekit.operators.skew import null_safe_join
+from trovekit.session import materialize, release
+
+#: rows of a group that one task ranks
+LARGE_ROWS = 1_000_000
 
 
 def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
@@ -17,21 +21,33 @@ def hash_rank(partition: list[str], key: str, seed=SEED) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(hash_order(key, seed), key))
 
 
-def cap_per_group(df: DataFrame, group: list[str] | str, key: str, limit: int, seed=SEED) -> DataFrame:
+def cap_per_group(df: DataFrame, group: list[str] | str, key: str, limit: int, seed=SEED, large_rows: int = LARGE_ROWS) -> DataFrame:
     """At most ``limit`` rows per group, chosen by hash; adds ``rank``.
 
-    A group is cut into hash buckets (up to 4096): whole buckets beyond the limit
-    are dropped by their counts, the rest is ranked bucket by bucket, so no task
-    ever sorts a whole group.  Rows whose group is NULL are a group like others.
+    Groups are counted first.  Those of up to ``large_rows`` rows are ranked each by
+    one task, which passes on ``limit`` rows.  A larger one is cut into hash buckets
+    whose number follows from its size: buckets beyond the limit are dropped by
+    their counts, the others ranked one by one.  Rows whose group is NULL are a group
+    like others.
     """
     group = [group] if isinstance(group, str) else list(group)
-    rows = df.withColumn("__b", F.substring(hash_order(key, seed), 1, 3))
+    # fewer than one row for each large_rows rows
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > large_rows)
+    large = materialize(large, "large-groups")
+    whole = lambda rows: rows.withColumn("rank", hash_rank(group, key, seed)).where(F.col("rank") <= limit)
+    if large.isEmpty():
+        release(large)
+        return whole(df)
+    small = whole(null_safe_join(df, F.broadcast(large.select(*group)), group, "left_anti"))
+    parts = F.ceil(2 * F.col("__n") / large_rows)
+    bucket = F.floor(hash_int(key, seed) * parts / F.lit(1 << 32)).alias("__b")
+    rows = null_safe_join(df, F.broadcast(large), group).select(*df.columns, bucket)
     sizes = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__size")
     needed = sizes.select(*group, "__b", before.alias("__before")).where(F.col("__before") < limit)
-    kept = null_safe_join(rows, needed, [*group, "__b"])
+    kept = null_safe_join(rows, F.broadcast(needed), [*group, "__b"])
     ranked = kept.withColumn("rank", (hash_rank([*group, "__b"], key, seed) + F.col("__before")).cast("int"))
-    return ranked.where(F.col("rank") <= limit).drop("__b", "__before")
+    return small.unionByName(ranked.where(F.col("rank") <= limit).drop("__b", "__before"))
 
 
 def split_per_group(
@@ -97,7 +113,7 @@ def trim_pool(pool: DataFrame, links: DataFrame, others: int, seed=SEED) -> Data
     rows = referenced.withColumn("__part", F.lit(0)).withColumn("__n", F.col("pos")).unionByName(
         sampled.withColumn("__part", F.lit(1))
     )
-    return number_rows(rows, ["__part", "__n"], None, "rank").drop("__part", "__n")
+    return number_rows(rows, ["__part", "__n"], "rank").drop("__part", "__n")
 
 
 def augment_pool(

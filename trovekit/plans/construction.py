@@ -242,5 +242,5 @@ def kb_collection(
     links = label_chunks(keyed.select("qid", "entity_id", "answer", "answer_eval"), chunks)
     content = _json(data_id=F.col("data_id").cast("string"), answer=F.col("answer"), answer_eval=F.col("answer_eval"), entity_id=F.col("entity_id").cast("string"))
     queries = attach_lists(keyed.withColumn("query_src_content", content), links, require_positive=True)
-    numbered = number_rows(queries.drop("qid"), "pos", None, "__n")
+    numbered = number_rows(queries.drop("qid"), "pos", "__n")
     return numbered.withColumn("qid", make_id(dataset, "__n")).drop("__n"), pool
