@@ -166,7 +166,7 @@ def faulted(turns: DataFrame) -> DataFrame:
     """
     blank = F.lit(" ")
     rows = turns.select(_key().alias("key"), "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
-    rows = materialize(number_rows(rows, ["key", F.asc_nulls_first("turn"), "role", "text"], out="n"), "turns")
+    rows = materialize(number_rows(rows, ["key", "turn", "role", "text"], "n"), "turns")
     same = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
     marked = rows.withColumn("same", same)
     starts = rows.groupBy("key").agg(F.min("n").alias("start"))

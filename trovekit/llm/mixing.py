@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     cycle = F.array(*[F.lit(w) for w in weights])
-    per = number_rows(per, [F.asc_nulls_last("source")], out="place")
+    per = number_rows(per, [F.col("source").isNull(), "source"], "place")
     per = per.withColumn("w", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long"))
     per = per.withColumn("cap", F.col("source_size") * max_epochs).withColumn("level", F.col("cap") / F.col("w"))
     bucket = F.floor(F.log2(F.col("level") + 1) * 64).cast("long")
