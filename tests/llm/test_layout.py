@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.run import connect, rows_of
-from trovekit.llm import chat, mixing, sharding
+from trovekit.llm import chat, decontaminate, mixing, sharding
 from trovekit.llm.common import fold
 from trovekit.llm.queries import ORACLES, QUERIES
 
@@ -258,6 +258,26 @@ def test_fold(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
 
 
+def test_stages_hand_columns_of_any_name_through(spark, passage, tmp_path):
+    """Names that operators might use inside come through all stages with their values; shards add two."""
+    own = ["_row", "_key", "_d", "_h", "_runs", "held", "id", "hash", "row", "key", "ident", "size", "n", "upto", "block", "times", "at", "a.b"]
+    rows = [(i, passage(i, 30 + i % 20), "en", f"s{i % 3}") for i in range(60)]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(*r, *[-i - r[0] for i in range(len(own))]) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` long" for c in own))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, passage(900, 12))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    held = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        assert now.columns[: len(docs.columns)] == docs.columns
+        found = now.collect()
+        assert found and all(tuple(r)[: len(docs.columns)] == held[r.doc_id] for r in found)
+    assert now.columns[len(docs.columns) :] == ["virtual_slot", "shard"]
+    cut = decontaminate.cut_spans(docs, spark.createDataFrame([(0, rows[3][1])], "item_id long, text string"))
+    assert cut.columns == docs.columns and {r.doc_id: tuple(r)[2:] for r in cut.collect()} == {k: v[2:] for k, v in held.items()}
+
+
 def test_pipeline_against_brute_force(spark, passage, tmp_path):
     """Stages on a small corpus: language, near copies, benchmark leaks, mix and shards, each from its own input."""
     rows = [(i, passage(i, 30 + i % 50), "en", f"s{i % 4}") for i in range(120)]

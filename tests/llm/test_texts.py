@@ -49,6 +49,12 @@ def test_language_id(spark):
     assert kept.columns == make_docs(spark, rows).columns
     ids = [r.doc_id for r in kept.collect()]
     assert not {500, 501, 502} & set(ids) and ids.count(503) == 2 and {i for i, _, _ in rows} <= set(ids)
+    rng = random.Random(8)
+    junk = [(600 + i, " ".join("".join(rng.choice("qxzwjyvp") for _ in range(6)) for _ in range(n)), None) for i, n in enumerate((20, 200, 2000))]
+    junk += [(610, "слово за слово " * 300, None)]
+    sure = {r.doc_id: r.score for r in langid.predict(make_docs(spark, junk), model).collect()}
+    assert min(sure.values()) > 0.5  # the posterior tells nothing here
+    assert langid.keep_identified(make_docs(spark, junk), model).count() == 0
     empty = langid.fit(make_docs(spark, rows).limit(0))
     assert {r.lang_pred for r in langid.predict(make_docs(spark, rows), empty).collect()} == {"und"}
     assert langid.predict(make_docs(spark, rows).limit(0), model).count() == 0

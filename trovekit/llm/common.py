@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovekit.session import scratch_path, ship_package
+from trovekit.session import materialize as written
+from trovekit.session import release as drop
+from trovekit.session import ship_package
+
+__all__ = ["drop", "each_time", "fold", "null_safe", "running_total", "split_buckets", "table", "word_count", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,24 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; see ``drop`` for removal."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop(*frames: DataFrame | None) -> None:
-    """Remove the files of frames made by ``written`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            session = df.sparkSession
-            p = session._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(session._jsc.hadoopConfiguration()).delete(p, True)
+def each_time(df: DataFrame, times: str, number: str | None = None, spread: int = 4_096) -> DataFrame:
+    """Every row as often as its column ``times`` says, which goes; ``number`` names the repeat from 1.
+
+    No array holds more than ``spread`` entries, however often a row comes.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != times]
+    last = F.floor((F.col(times) - 1) / spread).cast("long")
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__block"))
+    low = F.col("__block") * spread + 1
+    rows = blocks.select(*kept, F.explode(F.sequence(low, F.least(low + spread - 1, F.col(times).cast("long")))).alias(number or "__number"))
+    return rows if number else rows.drop("__number")
 
 
 def split_buckets(rows: int, per_bucket: int = 8_192) -> int:

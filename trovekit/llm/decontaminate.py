@@ -10,8 +10,9 @@ The table is broadcast while it has at most ``MAX_BROADCAST_WINDOWS`` rows; a
 larger one is joined by shuffle, with the same result.
 
 Edge cases: NULL or wordless texts have no words and no hits; NULL doc_ids are values
-like others; words of an item with NULL item_id are hit, but it is not listed or counted; rows that repeat doc_id and text are one document; without items
-nothing is hit; other columns are ignored.
+like others; words of an item with NULL item_id are hit, but it is not listed or counted;
+repeated rows are scanned like others and come out as often; without items nothing is
+hit; other columns are ignored, or handed through whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovekit.llm.common import written
+from trovekit.llm.common import each_time
+from trovekit.session import materialize, release
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: the same in a text that has its capitals
@@ -46,10 +48,11 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, Dat
     """Look all document windows up.
 
     Returns (hits, windows).  ``hits`` has one row with ``at`` -1 per document and
-    one per verified window: doc_id, text_hash, n_words, at (0-based word), m, wid.
-    ``windows`` maps wid to item_id.  Both are written tables.
+    one per verified window: doc_id, text_hash, n_words, at (0-based word), m, wid, and
+    times, the number of rows that share doc_id and text.  ``windows`` maps wid to
+    item_id.  Both are written tables.
     """
-    found = written(item_windows(items, n).withColumn("h", F.xxhash64("win")), "bench-windows")
+    found = materialize(item_windows(items, n).withColumn("h", F.xxhash64("win")), "bench-windows")
     known = found.select("m", "win", "h").distinct()
     sizes = [r[0] for r in found.select("m").distinct().collect()] or [n]
     small = known.count() <= MAX_BROADCAST_WINDOWS
@@ -72,8 +75,15 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10) -> tuple[DataFrame, Dat
     same = F.slice("ws", F.col("off") + 1, F.col("m")) == F.col("win")
     looked = looked.filter((F.col("at") == -1) | (F.col("h").isNotNull() & same))
     wid = F.xxhash64("win", F.lit("window"))
-    hits = written(looked.select("doc_id", "text_hash", "n_words", "at", "m", "h", wid.alias("wid")).distinct(), "bench-hits")
-    return hits, found.withColumn("wid", wid).select("h", "wid", "item_id")
+    each = looked.groupBy("doc_id", "text_hash", "n_words", "at", "m", "h", wid.alias("wid")).agg(F.count(F.lit(1)).alias("times"))
+    if len(sizes) > 1:
+        # a document's own row came once for each size of window
+        each = each.withColumn("m", F.when(F.col("at") >= 0, F.col("m")))
+        each = each.groupBy("doc_id", "text_hash", "n_words", "at", "m", "h", "wid").agg(F.max("times").alias("times"))
+    hits = materialize(each, "bench-hits")
+    windows = found.withColumn("wid", wid).select("h", "wid", "item_id")
+    windows._scratch = found._scratch
+    return hits, windows
 
 
 def spans(hits: DataFrame) -> DataFrame:
@@ -87,21 +97,20 @@ def spans(hits: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hits, windows = scan(docs, items, n)
     key = ["doc_id", "text_hash"]
-    base = hits.filter("at = -1").select(*key, "n_words").distinct()
+    base = hits.filter("at = -1").select(*key, "n_words", "times")
     # the rows of one document carry its counts: no join of whole tables, only two grouped unions
     runs = spans(hits).groupBy(*key).agg(F.sum(F.col("last") - F.col("first")).alias("n_hit"))
     by_item = hits.filter("at >= 0").select(*key, "h", "wid").distinct().join(windows, ["h", "wid"])
     by_item = by_item.select(*key, F.col("item_id").cast("string").alias("item_id")).distinct()
     by_item = by_item.groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     merged = (
-        base.select(*key, "n_words", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
-        .unionByName(runs.select(*key, F.lit(None).cast("int").alias("n_words"), "n_hit", F.lit(None).cast("array<string>").alias("items")))
-        .unionByName(by_item.select(*key, F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("long").alias("n_hit"), "items"))
+        base.unionByName(runs, allowMissingColumns=True).unionByName(by_item, allowMissingColumns=True)
     )
-    merged = merged.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.first("items", ignorenulls=True).alias("items"))
+    merged = merged.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("n_words", "times", "n_hit")], F.first("items", ignorenulls=True).alias("items"))
+    merged = each_time(merged, "times")
     hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return merged.select(
@@ -114,24 +123,33 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column beside what names a row, so their column names cannot clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Rows of ``docs`` without any hit window."""
-    hits, _ = scan(docs, items, n)
-    bad = hits.filter("at >= 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    hits, windows = scan(docs, items, n)
+    bad = materialize(hits.filter("at >= 0").select("doc_id", "text_hash").distinct(), "bench-bad")
+    release(hits, windows)
+    held = _held(docs)
+    return held.join(bad, held["id"].eqNullSafe(bad["doc_id"]) & (held["hash"] == bad["text_hash"]), "left_anti").select("held.*")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Rows of ``docs`` with hit words, and the separators after them, cut out of ``text``; other texts stay as they are."""
-    hits, _ = scan(docs, items, n)
-    runs = spans(hits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    runs = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_runs")
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
+    hits, windows = scan(docs, items, n)
+    release(windows)
+    runs = spans(hits).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    held = _held(docs)
+    joined = held.join(runs, held["id"].eqNullSafe(runs["doc_id"]) & (held["hash"] == runs["text_hash"]), "left")
+    old = F.col("held.text")
     word = RAW_SEPARATORS.replace("[", "[^") + "+" + RAW_SEPARATORS + "*"
-    lead = F.regexp_extract("text", "^" + RAW_SEPARATORS + "*", 0)
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(word), 0)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("_runs", lambda r: (i >= r["first"]) & (i < r["last"])))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    lead = F.regexp_extract(old, "^" + RAW_SEPARATORS + "*", 0)
+    pieces = F.regexp_extract_all(old, F.lit(word), 0)
+    kept = F.filter(pieces, lambda p, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i < r["last"])))
+    text = F.when(F.col("runs").isNull(), old).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"held.`{c}`") for c in docs.columns])
 
 

@@ -13,7 +13,8 @@ the id; all other work covers every row and whole texts.
 Edge cases: NULL texts and texts without a letter are ``und`` with score 0; NULL
 languages are not learned from; without any labelled row everything is ``und``;
 equal scores go to the language that sorts first; very long texts are scored in
-pieces whose sums are added; other columns are ignored.
+pieces whose sums are added; more than ``MAX_LANGUAGES`` labels fail the job, as they
+are no languages; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from trovekit.llm.textbatch import PIECE_BYTES, codepoints, pieces, utf8
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 1024
+#: how far a text's mean log-probability per n-gram may lie under what its language
+#: makes one expect, and how much further a text of one n-gram may; the latter falls
+#: with the root of the number of n-grams
+MARGIN, SHORT_MARGIN = 3.0, 8.0
 PER_LANGUAGE = 5000
 UNKNOWN = "und"
 
@@ -40,6 +45,8 @@ class Model:
     #: (buckets + 1, languages); the last row, for positions without an n-gram, is zero
     log_prob: np.ndarray
     prior: np.ndarray
+    #: expected log-probability of an n-gram of each language
+    expected: np.ndarray
 
 
 @functools.cache
@@ -120,7 +127,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), np.zeros(0))
     million = 1_000_000
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(million, million * per_language // n + 1))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")), F.lit(million))
@@ -133,15 +140,20 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     log_prob = np.zeros((BUCKETS + 1, len(languages)), np.float32)
     log_prob[:BUCKETS] = smooth.T
     prior = np.array([sizes[x] for x in languages], float)
-    return Model(languages, log_prob, np.log(prior / prior.sum()))
+    return Model(languages, log_prob, np.log(prior / prior.sum()), (np.exp(smooth) * smooth).sum(axis=1))
 
 
-def score_texts(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text of an Arrow column."""
+def score_texts(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and likeness of each text of an Arrow column.
+
+    The posterior of a long text is near one whatever it holds.  The likeness does not
+    grow with the length: the mean log-probability per n-gram less what the language
+    makes one expect, with the allowance of a text of its length.
+    """
     n, k = len(column), len(model.languages)
     if not k:
-        return [UNKNOWN] * n, np.zeros(n)
-    total, seen = np.zeros((n, k)), np.zeros(n, bool)
+        return [UNKNOWN] * n, np.zeros(n), np.full(n, -np.inf)
+    total, seen, held = np.zeros((n, k)), np.zeros(n, bool), np.zeros(n)
     for rows, data, offsets in pieces(*utf8(column), limit=max(4096, PIECE_BYTES * 4 // max(4, k))):
         grams, at, letters = _grams(data, offsets)
         values = model.log_prob[grams[0]]
@@ -149,11 +161,15 @@ def score_texts(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
             values += model.log_prob[g]
         total[rows] += np.add.reduceat(values, at[:-1], axis=0, dtype=np.float64)
         seen[rows] |= letters
+        for g in grams:
+            held[rows] += np.add.reduceat(g != BUCKETS, at[:-1], dtype=np.int64)
+    fit = total / np.maximum(held, 1)[:, None] - model.expected
     total += model.prior
     best = total.argmax(axis=1)
     share = 1.0 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
     names = np.array(model.languages, object)[best]
-    return [x if s else UNKNOWN for x, s in zip(names, seen)], np.where(seen, np.clip(share, 0, 1), 0.0)
+    likeness = np.where(seen, fit[np.arange(n), best] + SHORT_MARGIN / np.sqrt(np.maximum(held, 1)), -np.inf)
+    return [x if s else UNKNOWN for x, s in zip(names, seen)], np.where(seen, np.clip(share, 0, 1), 0.0), likeness
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -162,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, score = score_texts(batch.column("text"), shared.value)
+            names, score, _ = score_texts(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text")
@@ -171,14 +187,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` with a known language whose posterior is ``least`` or more; all columns stay."""
+    """Rows of ``docs`` in a learned language; all columns stay.
+
+    The posterior must be ``least`` or more and the text as likely as texts of that
+    language are, so letter junk and other scripts go however long they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            names, score = score_texts(batch.column(at), shared.value)
-            ok = [x != UNKNOWN and s >= least for x, s in zip(names, score)]
+            names, score, likeness = score_texts(batch.column(at), shared.value)
+            ok = [x != UNKNOWN and s >= least and f >= -MARGIN for x, s, f in zip(names, score, likeness)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns go by their place: names with dots are none inside
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -299,24 +299,21 @@ def classify(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
-    """Rows of ``docs`` that are the first of their group; rows with NULL doc_id stay."""
-    gone = written(classify(docs, percent, k).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "removed")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
 def one_row_per_group(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
-    """Rows of ``docs``, one of each group of near copies, whatever their ids.
+    """Rows of ``docs``, one of each group of near copies, whatever their ids and column names.
 
     Rows are linked by a number of their own, so NULL and repeated ids count like
     any other row.  The row with the smallest doc_id stays (NULL comes last, then
     the text's hash decides); rows without words link with nothing and stay.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    _, members, found = links(rows.select(F.col("_row").alias("doc_id"), "text"), percent, k)
-    group = members.join(found, "node", "left").select(F.col("doc_id").alias("_row"), F.coalesce("component", "node").alias("c"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("_row").alias("row"))
-    group = written(rows.select("_row", rank.alias("rank")).join(group, "_row"), "groups")
-    first = group.groupBy("c").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("_row"))
-    gone = written(group.select("_row").join(first, "_row", "left_anti"), "removed")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    rows = written(docs.select(held, F.monotonically_increasing_id().alias("row")), "numbered")
+    _, members, found = links(rows.select(F.col("row").alias("doc_id"), F.col("held.text").alias("text")), percent, k)
+    group = members.join(found, "node", "left").select(F.col("doc_id").alias("row"), F.coalesce("component", "node").alias("c"))
+    own = F.col("held.doc_id")
+    rank = F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64("held.text").alias("h"), F.col("row").alias("row"))
+    group = written(rows.select("row", rank.alias("rank")).join(group, "row"), "groups")
+    first = group.groupBy("c").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("row"))
+    gone = written(group.select("row").join(first, "row", "left_anti"), "removed")
+    drop(members, found, group)
+    return rows.join(gone, "row", "left_anti").select("held.*")

@@ -22,14 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovekit.llm.common import running_total, split_buckets, word_count
+from trovekit.llm.common import each_time, running_total, split_buckets, word_count
 from trovekit.operators.numbering import number_rows
 from trovekit.session import materialize, release
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: rows of one array when a count is turned into rows
-SPREAD = 4_096
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -95,10 +93,7 @@ def _entries(docs: DataFrame, row: Column | None) -> DataFrame:
 
 def _numbered(entries: DataFrame, seed: str) -> DataFrame:
     """One row per document with its place ``ord`` in the shuffle."""
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPREAD).cast("long")))
-    rows = entries.withColumn("block", block)
-    low = F.col("block") * SPREAD + 1
-    rows = rows.withColumn("number", F.explode(F.sequence(low, F.least(low + SPREAD - 1, F.col("n")))))
+    rows = each_time(entries.withColumn("times", F.col("n")), "times", "number")
     number = (F.col("first") + F.col("number")).cast("string")
     ident = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ident", number)
     return rows.select("doc_id", "source", "size", "row", "n", F.md5(ident).alias("ord"))

@@ -79,7 +79,8 @@ WITH d AS (
 )
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text IS NOT DISTINCT FROM c.text
+FROM documents r JOIN d ON r.doc_id IS NOT DISTINCT FROM d.doc_id AND r.text IS NOT DISTINCT FROM d.text
+LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text IS NOT DISTINCT FROM c.text
 LEFT JOIN named n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.text IS NOT DISTINCT FROM n.text
 """
 

@@ -9,8 +9,9 @@ Law: ``bytes``; shard sizes are near equal.  Only the table of slots (a fixed
 number of rows) reaches the driver.
 
 Edge cases: NULL text counts 0 bytes and hashes as the empty text, a NULL id as
-an empty one; repeated rows stay separate records, REPEATS of them to a slot; an empty table gives an empty result and the plain map; other
-columns are ignored.
+an empty one; repeated rows stay separate records, REPEATS of them to a slot; an empty table gives an
+empty result and the plain map; other columns are ignored, or handed through by
+``shard_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trovekit.llm.common import drop, running_total, split_buckets, written
+from trovekit.llm.common import drop, each_time, running_total, split_buckets, written
 from trovekit.session import scratch_path
 
 SLOTS = 8192
@@ -159,10 +160,34 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``virtual_slot`` (columns of these names are replaced); text is shuffled only where rows repeat."""
+    """All columns of ``docs`` with ``shard`` and ``virtual_slot`` (columns of these names are replaced).
+
+    Only keys and sizes are gathered to make the map; the texts stay where they are
+    read.  Of a key with more than REPEATS rows every REPEATS equal rows get a slot,
+    and only those rows move.
+    """
     spark = docs.sparkSession
-    rows = written(docs.drop("shard", "virtual_slot").withColumn("_key", _key()).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    slotted = _slotted(rows, slots)
-    sizes = slotted.select(record_size().alias("size"), "virtual_slot")
-    placed = balanced_map(sizes, shards, map_path or scratch_path(spark, "slot-map"), slots)
-    return slotted.drop("_key", "_row").join(F.broadcast(placed), "virtual_slot")
+    docs = docs.drop("shard", "virtual_slot")
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(slots)).cast("int").alias("virtual_slot")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("held"), _key().alias("key"), record_size().alias("size"), F.md5(F.to_json(whole)).alias("ident"))
+    counts = written(rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
+    often = written(counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > REPEATS).select("key"), "shard-often")
+    if often.isEmpty():
+        drop(often)
+        sizes = counts.select((F.col("size") * F.col("n")).alias("size"), slot("key"))
+        placed = rows.select("held", slot("key"))
+    else:
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS).cast("long"))).alias("block")
+        here = F.least(F.lit(REPEATS), F.col("n") - F.col("block") * REPEATS)
+        many = rows.join(often, "key", "left_semi")
+        same = many.groupBy("key", "size", "ident").agg(F.count(F.lit(1)).alias("n")).select("*", blocks)
+        sizes = counts.join(often, "key", "left_anti").select((F.col("size") * F.col("n")).alias("size"), slot("key"))
+        sizes = written(sizes.unionByName(same.select((F.col("size") * here).alias("size"), slot("key", "ident", "block"))), "shard-sizes")
+        drop(counts)
+        one = many.groupBy("key", "ident").agg(F.first("held").alias("held"), F.count(F.lit(1)).alias("n")).select("*", blocks)
+        again = each_time(one.select("held", slot("key", "ident", "block"), here.alias("times")), "times")
+        placed = rows.join(often, "key", "left_anti").select("held", slot("key")).unionByName(again)
+    shard_of = balanced_map(sizes, shards, map_path or scratch_path(spark, "slot-map"), slots)
+    drop(sizes)
+    return placed.join(F.broadcast(shard_of), "virtual_slot").select("held.*", "virtual_slot", "shard")
