@@ -86,6 +86,51 @@ def test_lattice_pairs(spark):
     assert lattice_dedup.classify(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [3, 20])
+def test_crowded_cells_change_nothing(spark, crowded):
+    """Clusters, their neighbours, copies and single vectors: with crowded cells as without."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(12):
+        centre = vectors(rng, 1, 16)[0]
+        spread = rng.choice([0.02, 0.06, 0.1])
+        for v in centre + rng.normal(size=(int(rng.integers(1, 60)), 16)) * spread:
+            rows.append((len(rows), v.astype(np.float32).tolist(), int(c % 3)))
+    rows += [(1000 + i, r[1], r[2]) for i, r in enumerate(rows[::9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    m = np.array([r[1] for r in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (m @ m.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in lattice_dedup.classify(df, crowded=crowded, rows=16).collect()}
+    plain = {r.vec_id: r for r in lattice_dedup.classify(df).collect()}
+    for (vec_id, _, _), n in zip(rows, near.sum(axis=1).tolist()):
+        # blocks find every link that cells find, and none that is not there
+        assert plain[vec_id].n_links <= got[vec_id].n_links <= n and got[vec_id].component_id <= plain[vec_id].component_id
+    found = sum(r.n_links for r in got.values())
+    assert found >= 0.99 * near.sum()
+    # where all links of a group are found it is one component
+    want = group_of([(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(near)))], [r[0] for r in rows])
+    whole = {want[r[0]] for r in rows} - {want[r[0]] for r, n in zip(rows, near.sum(axis=1)) if got[r[0]].n_links < n}
+    assert len(whole) > 5 and all(got[k].component_id == c for k, c in want.items() if c in whole)
+
+
+def test_many_unequal_near_copies_of_one_label(spark):
+    """20,000 near copies: right counts, and rows that do not grow with the square."""
+    n, rng = 20_000, np.random.default_rng(9)
+    v = vectors(rng, 1, 16) + rng.normal(size=(n, 16)) * 0.03
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    _, edges, counts, _ = lattice_dedup.near_links(df)
+    assert edges.count() <= 40 * n
+    m = v.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.concatenate([(m[a : a + 2000] @ m.T >= 0.93).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    found = {r.node: r.linked for r in counts.collect()}
+    linked = np.array([found.get(i, 0) for i in range(n)])
+    assert (linked <= want).all() and linked.sum() >= 0.999 * want.sum()
+
+
 def test_lattice_recall():
     """Pairs at exactly the threshold share a cell of some table."""
     rng = np.random.default_rng(8)
