@@ -214,14 +214,16 @@ def base64_rows(t):
     return rows.select("image_id", F.md5(body).alias("payload"), images.is_jpeg("content").alias("jpeg"))
 
 
-@query("SELECT DISTINCT 'source=' || source AS folder FROM documents")
+@query("SELECT 'source=' || source || '/lang=' || lang AS folder, count(DISTINCT doc_id % 3) AS files, true AS once FROM documents GROUP BY source, lang")
 def image_listing(t):
-    # a folder tree written from the documents, listed by extension
+    # a folder tree written from the documents, up to three files to a folder, listed by extension
     path = scratch_path(t.spark, "images")
-    t.documents.select("source", "text").repartition("source").write.partitionBy("source").text(path, lineSep="\0")
+    rows = t.documents.select("source", "lang", "text", (F.col("doc_id") % 3).cast("int").alias("part"))
+    rows.repartitionById(3, "part").drop("part").write.partitionBy("source", "lang").text(path, lineSep="\0")
     found = images.list_images(t.spark, path, extensions=("txt",))
     assert images.list_images(t.spark, path, extensions=("jpg",)).isEmpty()
-    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    folder = F.array_join(F.slice(F.split("path", "/"), -3, 2), "/").alias("folder")
+    return found.groupBy(folder).agg(F.count_distinct("path").alias("files"), (F.count(F.lit(1)) == F.count_distinct("path")).alias("once"))
 
 
 @query(

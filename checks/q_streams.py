@@ -43,20 +43,37 @@ def stream_code_join_query(t):
     path = scratch_path(t.spark, "beam-source")
     beams.write.parquet(path)
     stream = t.spark.readStream.schema(beams.schema).parquet(path)
-    rows = drain(stream_code_join(stream, codes.select("code", "did")), t, "stream-codes")
+    # few rows to a salt, so frequent codes are dealt over several
+    rows = drain(stream_code_join(stream, codes.select("code", "did"), salt_rows=20), t, "stream-codes")
     return rows.select("qid", F.col("beam_rank").cast("long").alias("beam_rank"), "did", joined("code").alias("code"))
 
 
-@query("SELECT DISTINCT md5(text) AS key FROM documents")
+HOURS = 8
+
+
+@query(
+    f"""
+WITH RECURSIVE arrived AS (
+  SELECT DISTINCT md5(text) AS key, doc_id % {HOURS} AS hour FROM documents
+), admitted AS (
+  SELECT key, min(hour) AS hour FROM arrived GROUP BY key
+  UNION
+  -- a key of hour h is held until a batch ends whose watermark, two hours before its own, has passed h + 1
+  SELECT a.key, min(n.hour) OVER (PARTITION BY a.key, a.hour) FROM admitted a JOIN arrived n ON n.key = a.key AND n.hour - 1 - 1 - 1 >= a.hour + 1
+)
+SELECT key, hour FROM admitted
+"""
+)
 def stream_dedup(t):
-    # four slices arrive one after the other; the watermark keeps all keys of the run
+    # one slice of the documents an hour; a key is held for an hour beyond the watermark and is new again after that
     path = scratch_path(t.spark, "intake")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    timed = t.documents.withColumn("ts", F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), start))
-    timed.repartitionByRange(4, "doc_id").write.parquet(path)
+    hour = (F.col("doc_id") % HOURS).alias("hour")
+    timed = t.documents.select(F.md5("text").alias("key"), hour, F.timestamp_add("HOUR", hour.cast("int"), start).alias("ts"))
+    for h in range(HOURS):
+        timed.where(F.col("hour") == h).coalesce(1).write.mode("append").parquet(path)
     stream = t.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    keyed = stream.select("ts", F.md5("text").alias("key"))
-    return drain(new_candidates(keyed, "ts", "3650 days"), t, "stream-dedup").select("key")
+    return drain(new_candidates(stream, "ts", "1 hour"), t, "stream-dedup").select("key", "hour")
 
 
 @query(

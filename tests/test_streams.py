@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trovekit.streaming import metric_windows, new_candidates, search_stream
+from trovekit.streaming import metric_windows, new_candidates, search_stream, stream_code_join
 
 
 def run(stream, tmp_path, name):
@@ -48,3 +48,34 @@ def test_search_stream_batches(spark, tmp_path):
     got = {r.qid: (r.did, r.batch_id) for r in spark.read.parquet(out).collect()}
     assert {k: v[0] for k, v in got.items()} == {"q0": "x", "q1": "x", "q2": "y"}
     assert len({v[1] for v in got.values()}) == 3
+
+
+def test_a_key_is_new_again_when_its_state_has_expired(spark, tmp_path):
+    hours = [0, 1, 2, 3, 4, 5, 9]
+    rows = [(h, f"2024-01-01 0{h}:00:00", "often") for h in hours] + [(0, "2024-01-01 00:00:00", "late"), (9, "2024-01-01 09:00:00", "late")]
+    df = spark.createDataFrame(rows, "part int, t string, key string").withColumn("t", F.to_timestamp("t"))
+    stream = new_candidates(source(spark, df, tmp_path, "in"), "t", "1 hour")
+    got = run(stream, tmp_path, "out")
+    # the key of hour 4 is held until 5; when hour 9 comes the watermark has seen hour 4 only
+    assert sorted((r.key, r.part) for r in got.collect()) == [("late", 0), ("late", 9), ("often", 0), ("often", 4)]
+
+
+def test_a_hot_code_is_spread(spark, tmp_path):
+    """A third of all candidates share one code: the join deals them over tasks and finds the same pairs."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 200 + 100).cast("int")
+    codes = spark.range(9_000).select(F.array(F.lit(0), hot).alias("code"), F.concat(F.lit("d"), F.col("id")).alias("did"))
+    beams = spark.createDataFrame([(i % 2, f"q{i}", [0, c]) for i, c in enumerate([7, 7, 7, 101, 150, 999])], "part int, qid string, code array<int>")
+    plain = beams.join(codes, "code").select("qid", "did")
+    for salt_rows in (100, 10**9):
+        joined = stream_code_join(source(spark, beams, tmp_path, f"in{salt_rows}"), codes, salt_rows)
+        got = run(joined, tmp_path, f"out{salt_rows}").select("qid", "did")
+        assert sorted(got.collect()) == sorted(plain.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    tasks = stream_code_join(beams, codes, 100).groupBy(F.spark_partition_id()).count().collect()
+    for name in ("autoBroadcastJoinThreshold", "adaptive.enabled"):
+        spark.conf.unset(f"spark.sql.{name}")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = sorted(r["count"] for r in tasks)
+    assert sum(sizes) == plain.count() and sizes[-1] <= 3 * sizes[len(sizes) // 2]

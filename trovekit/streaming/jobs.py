@@ -8,6 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trovekit.operators.blocks import pack_pool
 from trovekit.operators.search import top_k
+from trovekit.session import materialize
+
+#: stored rows of a code that one task joins
+SALT_ROWS = 500_000
 
 
 def search_stream(
@@ -30,13 +34,32 @@ def search_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_code_join(beams: DataFrame, codes: DataFrame) -> DataFrame:
-    """Stream of generated codes joined with the stored code table."""
-    return beams.join(codes, "code")
+def stream_code_join(beams: DataFrame, codes: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Stream of generated codes joined with the stored code table (code, did and more).
+
+    A stored code of more than ``salt_rows`` rows is dealt over salts by the hash of
+    its rows, as many as its count asks for, and a beam is sent to every salt of its
+    code; so a code that holds much of the pool is spread in every micro-batch.  The
+    table of such codes has fewer than one row for each ``salt_rows`` stored rows.
+    """
+    counted = codes.groupBy("code").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > salt_rows)
+    hot = materialize(counted.select("code", F.ceil(F.col("__n") / salt_rows).cast("int").alias("__salts")), "hot-codes")
+    if hot.isEmpty():
+        return beams.join(codes, "code")
+    hot = F.broadcast(hot)
+    one = F.coalesce("__salts", F.lit(1))
+    rest = [c for c in codes.columns if c != "code"]
+    stored = codes.join(hot, "code", "left").withColumn("__salt", F.pmod(F.xxhash64(*rest), one).cast("int")).drop("__salts")
+    sent = beams.join(hot, "code", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__salts")
+    return sent.join(stored, ["code", "__salt"]).drop("__salt")
 
 
 def new_candidates(candidates: DataFrame, event_time: str, delay: str, key: str = "key") -> DataFrame:
-    """First occurrence of each candidate key; state older than ``delay`` goes."""
+    """First occurrence of each candidate key.
+
+    A key is held until the watermark, the latest event time less ``delay``, passes
+    its first event time plus ``delay``; a key that comes again after that is new.
+    """
     return candidates.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
