@@ -108,6 +108,114 @@ def _score_by_join(expanded: DataFrame, book: DataFrame) -> DataFrame:
     )
 
 
+class _Tree:
+    """Prefix index as arrays: per level the children of its prefixes, in the order of the prefixes."""
+
+    def __init__(self, rows: list[tuple[tuple[int, ...], list[int]]], levels: int):
+        #: per level: first child of each open prefix (and the end), the children's tokens, their place among the open prefixes of the next level or -1
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        by_level: list[dict[tuple[int, ...], list[int]]] = [{} for _ in range(levels + 1)]
+        for prefix, nexts in rows:
+            if len(prefix) < levels:
+                by_level[len(prefix)][prefix] = nexts
+        for level in range(levels):
+            open_, below = sorted(by_level[level]), {p: i for i, p in enumerate(sorted(by_level[level + 1]))}
+            sizes = [len(by_level[level][p]) for p in open_]
+            tokens = [t for p in open_ for t in by_level[level][p]]
+            place = [below.get((*p, t), -1) for p in open_ for t in by_level[level][p]]
+            self.levels.append((np.cumsum([0, *sizes]), np.array(tokens, np.int64), np.array(place, np.int64)))
+
+
+#: scores of one block of a search in the tasks
+BLOCK_SCORES = 1 << 22
+
+
+def _search_block(unit: np.ndarray, tree: _Tree, books: list[tuple[np.ndarray, np.ndarray]], beams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, score) of the best ``beams`` codes of each query, best first."""
+    query, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+    score, rest, codes = np.zeros(len(unit)), unit.copy(), np.zeros((len(unit), 0), np.int64)
+    for level, (first, tokens, place) in enumerate(tree.levels):
+        names, book = books[level]
+        live = node >= 0
+        query, node, score, rest, codes = query[live], node[live], score[live], rest[live], codes[live]
+        if not len(first) - 1:
+            query, node, score, rest, codes = (x[:0] for x in (query, node, score, rest, codes))
+        row = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+        known = names[row] == tokens  # a token without a centroid cannot be chosen
+        take, kid, total, distance = [], [], [], []
+        sizes = first[node + 1] - first[node] if len(node) else np.zeros(0, np.int64)
+        # beams are worked on in runs that have a bounded number of options
+        run = np.cumsum(sizes) // max(1, BLOCK_SCORES // max(1, unit.shape[1]))
+        for part in np.split(np.arange(len(node)), np.flatnonzero(np.diff(run)) + 1) if len(node) else []:
+            beam = np.repeat(part, sizes[part])
+            child = np.arange(len(beam)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part]) + np.repeat(first[node[part]], sizes[part])
+            keep = known[child]
+            beam, child = beam[keep], child[keep]
+            if len(book) * len(part) < len(beam) * 8:  # many options each: one product for all
+                options = book[row[child]]
+                r = rest[part]
+                rough = (r * r).sum(1)[:, None] - 2 * (r @ book.T) + (book * book).sum(1)[None, :]
+                near = score[beam] - rough[np.searchsorted(part, beam), row[child]]
+                keep = _among_best(query[beam], near, beams, 10.0**-DIGITS)
+                beam, child = beam[keep], child[keep]
+            options = book[row[child]]
+            take.append(beam)
+            kid.append(child)
+            total.append(score[beam] - ((rest[beam] - options) ** 2).sum(1))
+        if not take or not sum(map(len, take)):
+            return np.zeros(0, np.int64), np.zeros((0, len(tree.levels)), np.int64), np.zeros(0)
+        take, kid, total = np.concatenate(take), np.concatenate(kid), np.concatenate(total)
+        # children are numbered in the order of their prefixes
+        order = np.lexsort((kid, -np.round(total, DIGITS), query[take]))
+        q = query[take][order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < beams]
+        take, kid, score = take[order], kid[order], total[order]
+        query, node = query[take], place[kid] if level + 1 < len(tree.levels) else kid
+        codes = np.column_stack([codes[take], tokens[kid]])
+        rest = rest[take] - book[row[kid]]
+    return query, codes, score
+
+
+def _among_best(query: np.ndarray, score: np.ndarray, beams: int, margin: float) -> np.ndarray:
+    """Rows that can be among the best ``beams`` of their query, scores being off by less than ``margin``."""
+    order = np.lexsort((-score, query))
+    q = query[order]
+    start = np.searchsorted(q, q, side="left")
+    last = np.minimum(start + beams - 1, np.searchsorted(q, q, side="right") - 1)
+    out = np.empty(len(score), bool)
+    out[order] = score[order] >= score[order][last] - 2 * margin
+    return out
+
+
+def _search_in_tasks(queries: DataFrame, vector: str, tree: _Tree, books: list[tuple[np.ndarray, np.ndarray]], beams: int, levels: int) -> DataFrame:
+    """The whole search of a query in one task, with the index and the codebooks sent to it."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, books))
+    rows = queries.select(F.col("qid").cast("string").alias("qid"), normalize(vector).alias("unit"))
+
+    def run(batches):
+        tree, books = shared.value
+        for batch in batches:
+            step = max(1, BLOCK_SCORES // max(1, beams * len(books[0][1][0]) if len(books[0][1]) else 1))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                query, codes, score = _search_block(_matrix(part.column("unit"), "<f8"), tree, books, beams)
+                if not len(query):
+                    continue
+                rank = np.arange(len(query)) - np.searchsorted(query, query, side="left") + 1
+                offsets = pa.array(np.arange(0, codes.size + 1, levels, dtype="i4"))
+                code = pa.ListArray.from_arrays(offsets, pa.array(codes.astype("i4").ravel()))
+                columns = [part.column("qid").take(pa.array(query)), pa.array(rank.astype("i4")), code, pa.array(np.round(score, DIGITS) + 0.0)]
+                yield pa.record_batch(columns, names=["qid", "beam_rank", "code", "score"])
+
+    return rows.mapInArrow(run, "qid string, beam_rank int, code array<int>, score double")
+
+
+def index_bytes(index: DataFrame) -> int:
+    """Size of a prefix index as the arrays a search in the tasks needs."""
+    row = index.agg(F.sum(F.size("nexts").cast("long") * 16 + 8)).first()
+    return int(row[0] or 0)
+
+
 def beam_search(
     queries: DataFrame,
     index: DataFrame,
@@ -123,9 +231,14 @@ def beam_search(
     A step scores the next token by the negative squared distance between the
     residual and its centroid.  Only prefixes of the index are followed; a
     query gets fewer codes when fewer exist.  Scores tie on six digits and go
-    to the smaller prefix.  The index is written once and each level reads its
-    own part of it; codebooks are fetched once.
+    to the smaller prefix.  Where the index and the codebooks are each within
+    ``limit`` bytes they travel with the tasks and nothing is shuffled.  Beyond that
+    the index is written once and each level reads its own part of it.
     """
+    if 0 < levels and index_bytes(index) <= limit and (sent := codebook_levels(codebooks, limit)):
+        found = index.where(F.size("prefix") < levels).select("prefix", "nexts").toArrow()
+        rows = [(tuple(p), n) for p, n in zip(found.column("prefix").to_pylist(), found.column("nexts").to_pylist())]
+        return _search_in_tasks(queries, vector, _Tree(rows, levels), sent, beams, levels)
     units = queries.select(F.col("qid").cast("string").alias("qid"), normalize(vector).alias("unit"))
     books = codebook_levels(codebooks, limit)
     by_level = materialize(index.select("prefix", "nexts", F.size("prefix").alias("__level")), "index")

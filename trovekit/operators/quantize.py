@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trovekit import constants as K
 from trovekit.functions.codes import same_levels
+from trovekit.functions.stable import SEED
 from trovekit.functions.vectors import mean_squared_error, normalize
 from trovekit.operators.blocks import _matrix, _unit, blocked_top_k
+from trovekit.operators.numbering import number_by_hash
 from trovekit.operators.skew import chunked_changes, chunked_running_sum, lookup_join
 from trovekit.session import materialize, release
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+#: vectors of a group and centroids of a slice that meet in a task
+GROUP_ROWS = 16_384
+SLICE_ROWS = 1_024
 
 
 def codebook_bytes(codebooks: DataFrame) -> int:
@@ -76,16 +81,18 @@ def encode_codes(
     key: str = "did",
     vector: str = "embedding",
     limit: int = BROADCAST_BYTES,
+    group_rows: int = GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(key, code, quant): nearest centroid per level on the residual.
 
     Vectors are normalised first; ``quant`` is the normalised sum of the chosen
     centroids.  Codebooks within ``limit`` bytes travel with the tasks and the
-    whole pass is one scan; larger ones are joined level by level.
+    whole pass is one scan; the slices of larger ones stream past groups of vectors.
     """
     books = codebook_levels(codebooks, limit)
     if books is None:
-        return _encode_by_search(vectors, codebooks, key, vector)
+        return _encode_streamed(vectors, codebooks, key, vector, group_rows, slice_rows)
     shared = vectors.sparkSession.sparkContext.broadcast(books)
     key_type = vectors.schema[key].dataType
 
@@ -116,8 +123,117 @@ def encode_codes(
     return vectors.select(key, vector).mapInArrow(run, schema)
 
 
+# -- codebooks too large to send -------------------------------------------------
+
+
+def stream_slices(codebooks: DataFrame, groups: int, rows: int = SLICE_ROWS) -> DataFrame:
+    """Slices of up to ``rows`` centroids, each sent to every group: grp, side 1, level, slice, codes, flat.
+
+    A slice is a range of codes, so within a level slices rise with the codes.
+    """
+    numbered = codebooks.select("level", "code", "centroid", F.floor(F.col("code") / rows).cast("int").alias("slice"))
+    held = numbered.groupBy("level", "slice").agg(F.array_sort(F.collect_list(F.struct("code", "centroid"))).alias("c"))
+    return held.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
+        F.lit(1).alias("side"),
+        "level",
+        "slice",
+        F.transform("c", lambda x: x["code"]).alias("codes"),
+        F.flatten(F.transform("c", lambda x: x["centroid"])).alias("flat"),
+    )
+
+
+def met_by_group(rows: DataFrame, slices: DataFrame, groups: int, columns: list[str]) -> DataFrame:
+    """Rows of each group, then the slices in order, in one partition per group."""
+    names = ["grp", "side", "level", "slice", *columns, "codes", "flat"]
+    one = rows.select("grp", F.lit(0).alias("side"), F.lit(-1).alias("level"), F.lit(-1).alias("slice"), *columns)
+    both = one.unionByName(slices, allowMissingColumns=True).select(*names)
+    return both.repartitionById(groups, "grp").sortWithinPartitions("grp", "side", "level", "slice")
+
+
+def slices_of(batches, new):
+    """Drive a stream of ``met_by_group``: ``new()`` makes the state of a group, which gets the
+    group's rows by ``add``, then each slice by ``slice``, and yields its output at its ``end``."""
+    current, state = None, None
+    for batch in batches:
+        grp, side, level = (batch.column(c).to_numpy() for c in ("grp", "side", "level"))
+        edges = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi == lo:
+                continue
+            if grp[lo] != current:
+                if state is not None:
+                    yield from state.end()
+                current, state = grp[lo], new()
+            if side[lo] == 0:
+                state.add(batch.slice(lo, hi - lo))
+                continue
+            for i in range(lo, hi):
+                codes = batch.column("codes").slice(i, 1).flatten().to_numpy()
+                flat = batch.column("flat").slice(i, 1).flatten().to_numpy()
+                state.slice(int(level[i]), codes, flat.reshape(len(codes), -1))
+    if state is not None:
+        yield from state.end()
+
+
+def _groups(rows: DataFrame, group_rows: int) -> int:
+    return max(1, -(-rows.count() // group_rows))
+
+
+class _Encoding:
+    """Vectors of a group; centroids pass by level after level, with a running nearest one."""
+
+    def __init__(self, key: str):
+        self.key, self.parts, self.level = key, [], None
+        self.codes: list[np.ndarray] = []
+
+    def add(self, batch):
+        self.parts.append((batch.column(self.key), _unit(_matrix(batch.column("vector"), "<f8"))))
+
+    def slice(self, level, codes, centroids):
+        if not self.parts:
+            return  # no vector fell into the group
+        if level != self.level:
+            self._settle()
+            if self.level is None:
+                self.rest = np.concatenate([m for _, m in self.parts])
+                self.total = np.zeros_like(self.rest)
+            self.level = level
+            self.best, self.choice, self.near = np.full(len(self.rest), np.inf), np.zeros(len(self.rest), "i8"), np.zeros_like(self.rest)
+        row = _nearest(self.rest, centroids)
+        away = np.round(((self.rest - centroids[row]) ** 2).sum(1), DISTANCE_DIGITS)
+        nearer = away < self.best  # codes rise, so a tie stays with the smaller one
+        self.best[nearer], self.choice[nearer], self.near[nearer] = away[nearer], codes[row[nearer]], centroids[row[nearer]]
+
+    def _settle(self):
+        if self.level is not None:
+            self.codes.append(self.choice)
+            self.total += self.near
+            self.rest = self.rest - self.near
+
+    def end(self):
+        self._settle()
+        if self.parts and self.codes:
+            keys = pa.chunked_array([k for k, _ in self.parts]).combine_chunks()
+            yield pa.record_batch([keys, _list_array(np.stack(self.codes, 1), pa.int32()), _list_array(_unit(self.total), pa.float64())], names=[self.key, "code", "quant"])
+
+
+def _encode_streamed(vectors: DataFrame, codebooks: DataFrame, key: str, vector: str, group_rows: int, slice_rows: int) -> DataFrame:
+    """The same result for codebooks too large to send to every task: one shuffle for all levels.
+
+    Vectors lie in groups; the slices of all levels pass each group once, and what a
+    level leaves of a vector stays in the task.
+    """
+    rows = materialize(vectors.select(key, F.col(vector).alias("vector")), "encode")
+    groups = _groups(rows, group_rows)
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    met = met_by_group(dealt, stream_slices(codebooks, groups, slice_rows), groups, [key, "vector"])
+    schema = f"{key} {vectors.schema[key].dataType.simpleString()}, code array<int>, quant array<double>"
+    return met.mapInArrow(lambda batches: slices_of(batches, lambda: _Encoding(key)), schema)
+
+
 def _encode_by_search(vectors: DataFrame, codebooks: DataFrame, key: str, vector: str) -> DataFrame:
-    """The same result for codebooks too large to send to every task."""
+    """The same by one search per level; the streamed form is tested against it."""
     levels = [r[0] for r in codebooks.select("level").distinct().orderBy("level").collect()]
     state = vectors.select(
         key,
@@ -193,6 +309,109 @@ def train_codebooks(
     return spark.createDataFrame(pa.concat_tables(books), schemas.CODEBOOK)
 
 
+# -- upkeep ----------------------------------------------------------------------
+
+
+def codebook_state(codebooks: DataFrame, size: float = 1.0) -> DataFrame:
+    """(level, code, size, total): running averages that begin at given centroids, each as if it had ``size`` vectors."""
+    total = F.transform("centroid", lambda x: x * F.lit(float(size)))
+    return codebooks.select("level", "code", F.lit(float(size)).alias("size"), total.alias("total"))
+
+
+def state_codebooks(state: DataFrame) -> DataFrame:
+    """(level, code, centroid) of running averages."""
+    return state.select("level", "code", F.transform("total", lambda x: x / F.col("size")).alias("centroid"))
+
+
+def update_codebooks(
+    state: DataFrame,
+    vectors: DataFrame,
+    key: str = "did",
+    vector: str = "embedding",
+    decay: float = 0.8,
+    least: float = 2.0,
+    seed: int | str = SEED,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """One mini-batch of upkeep: running averages of every code, and codes that have died begin anew.
+
+    Each vector of the batch goes to its nearest centroid level by level, on what the
+    levels before left.  ``size`` and ``total`` of a code decay and take in the number
+    and the sum of what came to it.  A code whose size falls under ``least`` takes the
+    place of a vector of the batch at its level, with that size; the vectors are the
+    first in hash order of their ids, one for each dead code of a level in the order of
+    codes.  Codes for which the batch has no vector stay.  The codebooks of a state
+    must be within ``limit`` bytes.
+    """
+    books = codebook_levels(state_codebooks(state), limit)
+    if books is None:
+        raise ValueError("the codebooks are larger than the limit")
+    shared = vectors.sparkSession.sparkContext.broadcast(books)
+
+    def levels_of(m):
+        """(level, rows of the book, what was left before it) of unit vectors."""
+        rest = m
+        for level, (names, book) in enumerate(shared.value):
+            row = _nearest(rest, book)
+            yield level, names, row, rest
+            rest = rest - book[row]
+
+    def sums(batches):
+        held = [(np.zeros(len(names), "i8"), np.zeros(book.shape)) for names, book in shared.value]
+        for batch in batches:
+            if batch.num_rows:
+                for level, _, row, rest in levels_of(_unit(_matrix(batch.column(0), "<f8"))):
+                    n, total = held[level]
+                    n += np.bincount(row, minlength=len(n))
+                    np.add.at(total, row, rest)
+        for level, (n, total) in enumerate(held):
+            used = np.flatnonzero(n)
+            if len(used):
+                names = shared.value[level][0]
+                yield pa.record_batch(
+                    [pa.array(np.full(len(used), level, "i4")), pa.array(names[used].astype("i4")), pa.array(n[used]), _list_array(total[used], pa.float64())],
+                    names=["level", "code", "n", "part"],
+                )
+
+    parts = vectors.select(vector).mapInArrow(sums, "level int, code int, n long, part array<double>")
+    # a handful of parts for each code, one per task
+    zero = F.transform(F.get("parts", F.lit(0)), lambda x: F.lit(0.0))
+    came = parts.groupBy("level", "code").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+    came = came.select("level", "code", "n", F.aggregate("parts", zero, lambda a, p: F.zip_with(a, p, lambda x, y: x + y)).alias("sum"))
+    taken = lambda old, new: old * F.lit(decay) + new * F.lit(1 - decay)
+    joined = state.join(came, ["level", "code"], "left")
+    nothing = F.transform("total", lambda x: F.lit(0.0))
+    moved = joined.select(
+        "level",
+        "code",
+        taken(F.col("size"), F.coalesce("n", F.lit(0))).alias("size"),
+        F.zip_with("total", F.coalesce("sum", nothing), taken).alias("total"),
+    )
+    moved = materialize(moved, "upkeep")
+    dead = moved.where(F.col("size") < least).withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("code")))
+    most = dead.agg(F.max("place")).first()[0]
+    if most is None:
+        return moved
+
+    def rests(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for level, _, _, rest in levels_of(_unit(_matrix(batch.column(1), "<f8"))):
+                    yield pa.record_batch([pa.array(np.full(len(rest), level, "i4")), batch.column(0), _list_array(rest, pa.float64())], names=["level", "place", "rest"])
+
+    # at most as many vectors as a level has codes
+    first = number_by_hash(vectors.select(F.col(key).alias("__key"), F.col(vector).alias("__vector")), "__key", seed, "place", limit=most)
+    fresh = first.select(F.col("place").cast("long").alias("place"), "__vector").mapInArrow(rests, "level int, place long, rest array<double>")
+    begun = dead.select("level", "code", "place").join(fresh, ["level", "place"]).select("level", "code", "rest")
+    joined = moved.join(begun, ["level", "code"], "left")
+    return joined.select(
+        "level",
+        "code",
+        F.when(F.col("rest").isNull(), F.col("size")).otherwise(F.lit(float(least))).alias("size"),
+        F.when(F.col("rest").isNull(), F.col("total")).otherwise(F.transform("rest", lambda x: x * F.lit(float(least)))).alias("total"),
+    )
+
+
 def _subtract_nearest(residual: DataFrame, centers: np.ndarray) -> DataFrame:
     shared = residual.sparkSession.sparkContext.broadcast(centers)
 
@@ -205,21 +424,54 @@ def _subtract_nearest(residual: DataFrame, centers: np.ndarray) -> DataFrame:
     return residual.mapInArrow(run, residual.schema)
 
 
-def reconstruct(codes: DataFrame, codebooks: DataFrame, key: str = "did", limit: int = BROADCAST_BYTES) -> DataFrame:
+def reconstruct(
+    codes: DataFrame,
+    codebooks: DataFrame,
+    key: str = "did",
+    limit: int = BROADCAST_BYTES,
+    group_rows: int = GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """(key, quant) from codes: normalised sum of the chosen centroids.
 
-    Codebooks within ``limit`` bytes travel with the tasks; larger ones are
-    joined by level and code.  A code without a centroid adds nothing.
+    Codebooks within ``limit`` bytes travel with the tasks; the slices of larger
+    ones stream past groups of codes.  A code without a centroid adds nothing.
     """
     books = codebook_levels(codebooks, limit)
     if books:
         return _reconstruct_with(codes, books, key)
-    chosen = codes.select(key, F.posexplode("code").alias("level", "code"))
-    found = lookup_join(chosen, codebooks, ["level", "code"])
-    entries = found.select(key, F.posexplode("centroid").alias("i", "x"))
-    sums = entries.groupBy(key, "i").agg(F.sum("x").alias("x"))
-    total = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return sums.groupBy(key).agg(normalize(total).alias("quant"))
+    rows = materialize(codes.select(key, F.col("code").alias("chosen")), "reconstruct")
+    groups = _groups(rows, group_rows)
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    met = met_by_group(dealt, stream_slices(codebooks, groups, slice_rows), groups, [key, "chosen"])
+    schema = T.StructType([T.StructField(key, codes.schema[key].dataType), T.StructField("quant", T.ArrayType(T.DoubleType()))])
+    return met.mapInArrow(lambda batches: slices_of(batches, lambda: _Adding(key)), schema)
+
+
+class _Adding:
+    """Codes of a group; each takes its centroids as they pass."""
+
+    def __init__(self, key: str):
+        self.key, self.parts, self.total = key, [], None
+
+    def add(self, batch):
+        self.parts.append((batch.column(self.key), _matrix(batch.column("chosen"), "i8")))
+
+    def slice(self, level, codes, centroids):
+        if not self.parts:
+            return
+        if self.total is None:
+            self.code = np.concatenate([c for _, c in self.parts])
+            self.total = np.zeros((len(self.code), centroids.shape[1]))
+        if level < self.code.shape[1]:
+            row = np.minimum(np.searchsorted(codes, self.code[:, level]), len(codes) - 1)
+            known = codes[row] == self.code[:, level]
+            self.total[known] += centroids[row[known]]
+
+    def end(self):
+        if self.total is not None:
+            keys = pa.chunked_array([k for k, _ in self.parts]).combine_chunks()
+            yield pa.record_batch([keys, _list_array(_unit(self.total), pa.float64())], names=[self.key, "quant"])
 
 
 def _reconstruct_with(codes: DataFrame, books: list[tuple[np.ndarray, np.ndarray]], key: str) -> DataFrame:

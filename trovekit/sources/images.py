@@ -36,14 +36,15 @@ SIGNATURE = b"\xff\xd8\xff"
 
 
 def image_manifest(spark: SparkSession, folder: str, opened: dict[str, str] | None = None) -> DataFrame:
-    """(img_path, valid) for every file below a folder, path relative to it.
+    """(img_path, valid) for every file below a folder that holds any bytes, path relative to it.
 
     ``opened`` names the schemes of paths whose files the tasks open (default:
     ``OPENED``); files of others come whole through Spark.  The listing is Spark's.
     """
     opened = OPENED if opened is None else opened
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    marker = folder.rstrip("/") + "/"
+    # the scan may spell the scheme in another way
+    marker = "/" + folder.split("://")[-1].removeprefix("file:").strip("/") + "/"
     relative = F.substring_index(F.col("path"), marker, -1).alias("img_path")
     # the scheme the store's own listing gives its paths
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
