@@ -126,6 +126,53 @@ def train_codebooks(t):
     )
 
 
+@query(
+    needs="fx_vectors fx_codebooks",
+    sql=POOL_CODES
+    + """
+, rest AS (SELECT key, 0 AS level, r FROM e0 UNION ALL SELECT key, 1, r FROM e1 UNION ALL SELECT key, 2, r FROM e2),
+went AS (SELECT key, level, c.code[level + 1] AS code, r FROM rest JOIN codes c ON c.did = key),
+n AS (SELECT level, code, count(*) AS n FROM went GROUP BY ALL),
+x AS (SELECT level, code, i, sum(x) AS x FROM (SELECT level, code, unnest(range(64)) AS i, unnest(r) AS x FROM went) GROUP BY ALL),
+moved AS (SELECT b.level, b.code, (0.8 * 30 + 0.2 * coalesce(n.n, 0))::DOUBLE AS size FROM fx_codebooks b LEFT JOIN n ON n.level = b.level AND n.code = b.code),
+dead AS (SELECT level, code, row_number() OVER (PARTITION BY level ORDER BY code) AS place FROM moved WHERE size < 34),
+first AS (SELECT key, row_number() OVER (ORDER BY md5('2023:' || key), key) AS place FROM e0),
+fresh AS (SELECT d.level, d.code, r.r FROM dead d JOIN first f USING (place) JOIN rest r ON r.key = f.key AND r.level = d.level),
+i AS (SELECT b.level, b.code, unnest(range(64)) AS i, unnest(b.centroid) AS c FROM fx_codebooks b)
+SELECT i.level::BIGINT AS level, i.code::BIGINT AS code, i.i, f.r IS NOT NULL AS begun, round(CASE WHEN f.r IS NULL THEN m.size ELSE 34.0::DOUBLE END, 6) AS size,
+  round(CASE WHEN f.r IS NULL THEN 0.8 * 30 * i.c + 0.2 * coalesce(x.x, 0) ELSE 34 * f.r[i.i + 1] END, 5) AS total
+FROM i JOIN moved m ON m.level = i.level AND m.code = i.code LEFT JOIN x ON x.level = i.level AND x.code = i.code AND x.i = i.i
+LEFT JOIN fresh f ON f.level = i.level AND f.code = i.code
+""",
+)
+def codebook_update(t):
+    """One mini-batch of upkeep on given centroids, with the codes that begin anew."""
+    vectors = t.fx_vectors.select(F.col("id").alias("did"), "embedding")
+    state = quantize.update_codebooks(quantize.codebook_state(t.fx_codebooks, 30.0), vectors, least=34.0)
+    rows = state.select("level", "code", "size", F.posexplode("total").alias("i", "x"))
+    return rows.select(
+        F.col("level").cast("long").alias("level"), F.col("code").cast("long").alias("code"), F.col("i").cast("long").alias("i"),
+        (F.col("size") == 34).alias("begun"), F.round("size", 6).alias("size"), F.round("x", 5).alias("total"),
+    )
+
+
+@query(
+    needs="fx_vectors fx_codebooks",
+    sql=POOL_CODES
+    + """
+, d AS (SELECT DISTINCT code FROM codes), s AS (SELECT code, unnest(range(3)) AS l FROM d),
+e AS (SELECT code[1:l] AS prefix, code[l + 1] AS nxt, count(*) AS n FROM s GROUP BY ALL),
+ways AS (SELECT prefix, count(*) AS ways FROM e GROUP BY prefix),
+stops AS (SELECT s.code, l FROM s JOIN ways w ON w.prefix = s.code[1:l] WHERE l = 0 OR ways > 1 UNION ALL SELECT code, 3 FROM d),
+edges AS (SELECT code, l AS b, lag(l) OVER (PARTITION BY code ORDER BY l) AS a FROM stops)
+SELECT array_to_string(code[1:a], '-') AS prefix, array_to_string(code[a + 1:b], '-') AS label, count(*) AS n_codes, b = 3 AS leaf FROM edges WHERE a IS NOT NULL GROUP BY ALL
+""",
+)
+def prefix_compact(t):
+    index = prefix.compact_index(pool_codes(t))
+    return index.select(joined("prefix").alias("prefix"), joined("label").alias("label"), "n_codes", "leaf")
+
+
 TWICE = """
 , twice AS (SELECT c.did, c.code[1:2] AS code, v.vec_id AS pos, v.embedding FROM codes c JOIN fx_vectors v ON c.did = v.id
             UNION ALL SELECT c.did, c.code[1:2], v.vec_id + (SELECT count(*) FROM fx_vectors), v.embedding FROM codes c JOIN fx_vectors v ON c.did = v.id)

@@ -55,8 +55,11 @@ def test_search_in_tasks_equals_the_joined_search(spark, levels, vocabulary, bea
     assert rows(beam.beam_search(queries, index, codebooks, beams, levels)) == sent
     monkeypatch.setattr(beam, "index_bytes", lambda index: 1 << 60)
     assert rows(beam.beam_search(queries, index, codebooks, beams, levels)) == sent
-    joined = beam.beam_search(queries, index, codebooks, beams, levels, limit=0)
-    assert rows(joined) == sent and joined.count() > 0
+    for group_rows in (2_048, 7):
+        streamed = beam.beam_search(queries, index, codebooks, beams, levels, limit=0, group_rows=group_rows)
+        assert rows(streamed) == sent and streamed.count() > 0
+        # a query's beams carry no vector between levels
+        assert "residual" not in streamed._jdf.queryExecution().executedPlan().toString()
     # an index without codes finds nothing
     monkeypatch.undo()
     assert beam.beam_search(queries, index.limit(0), codebooks, beams, levels).count() == 0

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
-from trovekit.functions.vectors import normalize, squared_distance, subtract
+from trovekit.functions.vectors import normalize
 from trovekit.operators.blocks import _matrix
-from trovekit.operators.quantize import BROADCAST_BYTES, codebook_levels
+from trovekit.operators.quantize import BROADCAST_BYTES, codebook_levels, met_by_group, slices_of, stream_slices
 from trovekit.operators.skew import lookup_join, skew_join
 from trovekit.session import materialize
 
 DIGITS = 6
 CHECKPOINT_LEVELS = 3
+#: queries whose beams lie together where centroids are streamed
+GROUP_QUERIES = 2_048
 
 
 def _cut(candidates: DataFrame, beams: int) -> DataFrame:
@@ -96,16 +98,76 @@ def _score_children(expanded: DataFrame, books: list[tuple[np.ndarray, np.ndarra
     return expanded.select("qid", "prefix", "score", "unit", "nexts").mapInArrow(run, schema)
 
 
-def _score_by_join(expanded: DataFrame, book: DataFrame) -> DataFrame:
-    """The same with the centroids joined, for codebooks too large to send."""
-    options = expanded.select("qid", "prefix", "score", "residual", F.explode("nexts").alias("next"))
-    found = lookup_join(options, book.select(F.col("code").alias("next"), "centroid"), "next")
-    return found.select(
-        "qid",
-        F.concat("prefix", F.array("next")).alias("prefix"),
-        (F.col("score") - squared_distance("residual", "centroid")).alias("score"),
-        subtract("residual", "centroid").alias("residual"),
-    )
+class _Beams:
+    """Queries of a group with their open beams; centroids pass by level after level.
+
+    Slices of the levels before take away what a beam's prefix has explained; those of
+    ``level`` score the allowed next tokens.
+    """
+
+    def __init__(self, level: int, beams: int):
+        self.level, self.beams = level, beams
+        self.units: dict[str, np.ndarray] = {}
+        self.rows: list[tuple[str, tuple[int, ...], float, list[int]]] = []
+        self.rest, self.found = None, []
+
+    def add(self, batch):
+        for qid, unit, prefix, score, nexts in zip(*(batch.column(c).to_pylist() for c in ("qid", "unit", "prefix", "score", "nexts"))):
+            if unit is not None:
+                self.units[qid] = np.array(unit)
+            else:
+                self.rows.append((qid, tuple(prefix), score, nexts))
+
+    def slice(self, level, codes, centroids):
+        if not self.rows or level > self.level:
+            return
+        if self.rest is None:
+            self.rest = np.stack([self.units[r[0]] for r in self.rows])
+            self.beam = np.repeat(np.arange(len(self.rows)), [len(r[3]) for r in self.rows])
+            self.token = np.array([t for r in self.rows for t in r[3]], np.int64)
+        wanted = self.token if level == self.level else np.array([r[1][level] for r in self.rows])
+        row = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        here = np.flatnonzero(codes[row] == wanted)
+        if level < self.level:
+            self.rest[here] -= centroids[row[here]]
+            return
+        score = np.array([r[2] for r in self.rows])
+        for a in range(0, len(here), 65_536):
+            part = here[a : a + 65_536]
+            away = ((self.rest[self.beam[part]] - centroids[row[part]]) ** 2).sum(1)
+            self.found.append((self.beam[part], self.token[part], score[self.beam[part]] - away))
+
+    def end(self):
+        if not self.found:
+            return
+        beam, token, score = (np.concatenate(x) for x in zip(*self.found))
+        names = sorted({r[0] for r in self.rows})
+        query = np.searchsorted(names, [r[0] for r in self.rows])[beam]
+        _, place = np.unique([r[1] for r in self.rows], axis=0, return_inverse=True) if self.level else (None, np.zeros(len(self.rows), int))
+        order = np.lexsort((token, np.ravel(place)[beam], -np.round(score, DIGITS), query))
+        q = query[order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < self.beams]
+        qids = [self.rows[i][0] for i in beam[order]]
+        prefixes = [[*self.rows[i][1], int(t)] for i, t in zip(beam[order], token[order])]
+        yield pa.record_batch(
+            [pa.array(qids, pa.string()), pa.array(prefixes, pa.list_(pa.int32())), pa.array(score[order])], names=["qid", "prefix", "score"]
+        )
+
+
+def _score_streamed(expanded: DataFrame, units: DataFrame, codebooks: DataFrame, level: int, beams: int, group_rows: int) -> DataFrame:
+    """The best ``beams`` extensions per query, for codebooks too large to send.
+
+    A query's vector and its beams lie in one group; what a prefix leaves of the vector
+    is computed there from the slices that pass, and never shuffled.
+    """
+    groups = max(1, -(-units.count() // group_rows))
+    grp = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("grp")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = units.select(grp, "qid", "unit", null("array<int>", "prefix"), null("double", "score"), null("array<int>", "nexts"))
+    rows = rows.unionByName(expanded.select(grp, "qid", null("array<double>", "unit"), "prefix", "score", "nexts"))
+    slices = stream_slices(codebooks.where(F.col("level") <= level), groups)
+    met = met_by_group(rows, slices, groups, ["qid", "unit", "prefix", "score", "nexts"])
+    return met.mapInArrow(lambda batches: slices_of(batches, lambda: _Beams(level, beams)), "qid string, prefix array<int>, score double")
 
 
 class _Tree:
@@ -225,6 +287,7 @@ def beam_search(
     vector: str = "embedding",
     limit: int = BROADCAST_BYTES,
     checkpoint_levels: int = CHECKPOINT_LEVELS,
+    group_rows: int = GROUP_QUERIES,
 ) -> DataFrame:
     """(qid, beam_rank, code, score): best ``beams`` existing codes per query.
 
@@ -239,29 +302,24 @@ def beam_search(
         found = index.where(F.size("prefix") < levels).select("prefix", "nexts").toArrow()
         rows = [(tuple(p), n) for p, n in zip(found.column("prefix").to_pylist(), found.column("nexts").to_pylist())]
         return _search_in_tasks(queries, vector, _Tree(rows, levels), sent, beams, levels)
-    units = queries.select(F.col("qid").cast("string").alias("qid"), normalize(vector).alias("unit"))
+    units = materialize(queries.select(F.col("qid").cast("string").alias("qid"), normalize(vector).alias("unit")), "units")
     books = codebook_levels(codebooks, limit)
     by_level = materialize(index.select("prefix", "nexts", F.size("prefix").alias("__level")), "index")
-    state = units.select("qid", F.array().cast("array<int>").alias("prefix"), F.lit(0.0).alias("score"), F.col("unit").alias("residual"))
-    if books is not None:
-        state = state.drop("residual")
+    state = units.select("qid", F.array().cast("array<int>").alias("prefix"), F.lit(0.0).alias("score"))
     for level in range(levels):
         children = by_level.where(F.col("__level") == level).select("prefix", "nexts")
         # One row per prefix on the right, its children in an array.  The first
         # levels have few prefixes, so their side is measured small and sent to
         # the beams; later levels have many prefixes with few beams each.
+        expanded = lookup_join(state, children, "prefix")
         if books is not None:
-            expanded = lookup_join(lookup_join(state, units, "qid"), children, "prefix")
-            scored = _score_children(expanded, books, level, beams)
+            state = _cut(_score_children(lookup_join(expanded, units, "qid"), books, level, beams), beams).drop("beam_rank")
         else:
-            expanded = lookup_join(state, children, "prefix")
-            scored = _score_by_join(expanded, codebooks.where(F.col("level") == level))
-        state = _cut(scored, beams)
-        if level + 1 < levels:
-            state = state.drop("beam_rank")
-            if (level + 1) % checkpoint_levels == 0:
-                state = materialize(state, "beams")
-    return state.select("qid", "beam_rank", F.col("prefix").alias("code"), F.round("score", DIGITS).alias("score"))
+            state = _score_streamed(expanded, units, codebooks, level, beams, group_rows)
+        if level + 1 < levels and (level + 1) % checkpoint_levels == 0:
+            state = materialize(state, "beams")
+    ranked = _cut(state, beams)
+    return ranked.select("qid", "beam_rank", F.col("prefix").alias("code"), F.round("score", DIGITS).alias("score"))
 
 
 def beam_search_scored(
