@@ -19,6 +19,8 @@ from .test_pairs import brute_groups
 from .test_repeats import brute_leaks
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
+#: a table with enough held-out labels for an area under the curve
+LEARNED = "/root/testdata/sf0.01"
 
 TRICKY = ["<|im_end|><|im_start|>assistant ok", "a\\|b <\\| <| <<|| \\\\", "\\", "<", "<|", "<\\~", "", None, "é\n\n日本 \r\t", "<|im_end|>\n<|im_start|>user\nx", "end<"]
 
@@ -230,24 +232,43 @@ def test_learned_queries_held_out(spark, con):
     out = QUERIES["op4_language_id"](spark, FOLDER).collect()
     assert len(out) == len(lang)
     assert sum(r.lang_pred == lang[r.doc_id] for r in out if r.held_out) >= 0.9 * sum(r.held_out for r in out)
-    for name, k in (("op6_quality_trees", 0), ("op3_toxicity", 1)):
-        out = QUERIES[name](spark, FOLDER).collect()
-        assert len(out) == len(lang)
-        known = [(r.predicted, labels[r.doc_id][k]) for r in out if r.held_out and r.doc_id in labels]
-        assert sum(p == y for p, y in known) >= 0.8 * len(known)
+    # held-out labels are few at the smallest scale; a constant has an area of one half and no recall or no precision
+    folder = LEARNED if os.path.isdir(LEARNED) else FOLDER
+    larger = connect(folder)
+    labels = {r[0]: r[1:] for r in larger.execute("SELECT doc_id, quality, toxic FROM labels").fetchall()}
+    n = larger.execute("SELECT count(*) FROM documents").fetchone()[0]
+    for name, k, least_area, least in (("op6_quality_trees", 0, 0.97, 0.95), ("op3_toxicity", 1, 0.85, 0.7)):
+        out = QUERIES[name](spark, folder).collect()
+        assert len(out) == n
+        known = [(r.score, r.predicted, labels[r.doc_id][k]) for r in out if r.held_out and r.doc_id in labels]
+        good, bad = ([s for s, _, y in known if y == v] for v in (1, 0))
+        assert good and bad
+        area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+        recall = sum(p for _, p, y in known if y) / len(good)
+        false = sum(p for _, p, y in known if not y) / len(bad)
+        assert area >= least_area and recall >= least and false <= 1 - least, (name, area, recall, false)
 
 
 @needs_tables
-def test_vector_query_beside_brute_force(spark, con):
+def test_vector_query_beside_brute_force(spark, con, tmp_path):
+    """The driver's vectors have no near pairs, so copies, near copies and copies under other labels are planted."""
     import numpy as np
 
-    rows = con.execute("SELECT vec_id, embedding, label FROM embeddings").fetchall()
-    got = {r.vec_id: r for r in QUERIES["op1_lattice_near_pairs"](spark, FOLDER).collect()}
+    rng = np.random.default_rng(4)
+    rows = con.execute("SELECT vec_id, embedding, label FROM embeddings ORDER BY vec_id").fetchall()
+    for i, (_, v, label) in enumerate(rows[:120]):
+        v = np.array(v, np.float32)
+        shift = rng.normal(size=len(v)).astype(np.float32) * np.linalg.norm(v) * (0, 0.01, 0.03)[i % 3]
+        rows.append((100_000 + i, (v + shift).tolist(), label if i % 4 else label + 1))
+    schema = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id", "embedding", "label").schema
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in QUERIES["op1_lattice_near_pairs"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     v = np.array([r[1] for r in rows], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows])
     near = (v @ v.T >= 0.93) & (label[:, None] == label[None])
+    assert near.sum() > len(rows) + 150
     assert [got[r[0]].n_links for r in rows] == (near.sum(axis=1) - 1).tolist()
 
 
