@@ -246,7 +246,7 @@ def test_learned_queries_held_out(spark, con):
         area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
         recall = sum(p for _, p, y in known if y) / len(good)
         false = sum(p for _, p, y in known if not y) / len(bad)
-        assert area >= least_area and recall >= least and false <= 1 - least, (name, area, recall, false)
+        assert area >= least_area and recall >= least and false <= 0.3, (name, area, recall, false)
 
 
 @needs_tables
