@@ -20,7 +20,7 @@ from .test_repeats import brute_leaks
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 #: a table with enough held-out labels for an area under the curve
-LEARNED = "/root/testdata/sf0.01"
+LEARNED = "/root/testdata/sf0.1"
 
 TRICKY = ["<|im_end|><|im_start|>assistant ok", "a\\|b <\\| <| <<|| \\\\", "\\", "<", "<|", "<\\~", "", None, "é\n\n日本 \r\t", "<|im_end|>\n<|im_start|>user\nx", "end<"]
 
@@ -237,7 +237,7 @@ def test_learned_queries_held_out(spark, con):
     larger = connect(folder)
     labels = {r[0]: r[1:] for r in larger.execute("SELECT doc_id, quality, toxic FROM labels").fetchall()}
     n = larger.execute("SELECT count(*) FROM documents").fetchone()[0]
-    for name, k, least_area, least in (("op6_quality_trees", 0, 0.97, 0.95), ("op3_toxicity", 1, 0.85, 0.7)):
+    for name, k, least_area, least in (("op6_quality_trees", 0, 0.97, 0.95), ("op3_toxicity", 1, 0.93, 0.8)):
         out = QUERIES[name](spark, folder).collect()
         assert len(out) == n
         known = [(r.score, r.predicted, labels[r.doc_id][k]) for r in out if r.held_out and r.doc_id in labels]
