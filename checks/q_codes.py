@@ -8,7 +8,8 @@ from trovekit.functions import codes as C
 from trovekit.functions.vectors import normalize
 from trovekit.operators import beam, code_search, evaluate, prefix, quantize
 from trovekit.plans import retrieval
-from trovekit.session import materialize
+from trovekit.session import materialize, scratch_path
+from trovekit.sources import stores
 
 LEVELS, BEAMS = 3, 5
 
@@ -396,6 +397,16 @@ def code_rerank(t):
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(needs=NEED, sql=RETRIEVED + "SELECT qid, did, rank, score FROM reranked")
+def code_rerank_stored(t):
+    # over vectors that lie by their codes, frequent codes in several slices
+    codes, beams = _stages(t)
+    path = scratch_path(t.spark, "by-code")
+    stores.write_vectors_by_code(codes.select("code", "did"), codes.select("did", "embedding"), path, slice_rows=3)
+    rows = code_search.rerank_stored(beams, stores.read_vectors_by_code(t.spark, path), query_vectors(t), 10)
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     needs=NEED,
     sql=RETRIEVED

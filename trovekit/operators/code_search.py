@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trovekit.functions.codes import code_to_tokens
-from trovekit.operators.blocks import _Group, _matrix
+from trovekit.operators.blocks import DIGITS, _Group, _matrix, _unit
 from trovekit.operators.numbering import position_bucket
 from trovekit.operators.skew import MAX_HOT_KEYS, skew_join
 from trovekit.operators.stats import number_within
+from trovekit.sources.stores import code_slice
 
 POOL_SLICE = 500_000
 QUERY_SLICE = 4_096
@@ -139,6 +140,44 @@ def rerank(
     return ranked.select("qid", "did", "rank", "score")
 
 
+def rerank_stored(beams: DataFrame, stored: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """``rerank`` over vectors that lie by their codes (``read_vectors_by_code``).
+
+    Queries are sent to the buckets of their codes; the pool is read where it lies.  A
+    task scores the pairs of a bucket as they stream by and passes on k rows per query
+    and batch.
+    """
+    many = F.broadcast(stored.where("slices > 1").select("code", "slices").distinct())
+    wanted = beams.select("qid", "code").distinct().join(query_vectors.select("qid", F.col("embedding").alias("q")), "qid")
+    sent = wanted.join(many, "code", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
+    sent = sent.select(F.col("qid").cast("string").alias("qid"), "q", code_slice("code", "slice").alias("key"))
+    met = sent.join(stored.select("key", F.col("did").cast("string").alias("did"), F.col("embedding").alias("p")).hint("merge"), "key")
+
+    def score(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, p = (_unit(_matrix(batch.column(c), "<f8")) for c in ("q", "p"))
+            scores = np.round(np.einsum("ij,ij->i", q, p), DIGITS) + 0.0
+            qid, did = (np.array(batch.column(c).to_pylist(), object) for c in ("qid", "did"))
+            _, at = np.unique(qid, return_inverse=True)
+            _, name = np.unique(did, return_inverse=True)
+            # a candidate of several beams of a query counts once
+            order = np.lexsort((name, -scores, at))
+            again = np.zeros(len(order), bool)
+            again[1:] = (at[order][1:] == at[order][:-1]) & (name[order][1:] == name[order][:-1])
+            order = order[~again]
+            place = np.arange(len(order)) - np.searchsorted(at[order], at[order], side="left")
+            keep = order[place < k]
+            yield pa.record_batch({"qid": pa.array(list(qid[keep]), pa.string()), "did": pa.array(list(did[keep]), pa.string()), "score": pa.array(scores[keep])})
+
+    scored = met.select("qid", "did", "q", "p").mapInArrow(score, "qid string, did string, score double")
+    unique = scored.groupBy("qid", "did").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
+    ranked = unique.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("qid", "did", "rank", "score")
+
+
 def _slices(wanted: DataFrame, members: DataFrame, pool_slice: int, query_slice: int) -> DataFrame:
     """Cuts of hot codes: (code, np, nq).
 

@@ -1,11 +1,16 @@
-"""Parquet stores of vectors: embeddings, features, keyed unions and pairs."""
+"""Parquet stores of vectors: embeddings, features, by code, keyed unions and pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trovekit import schemas
+from trovekit.functions.codes import code_to_tokens
 
 
 def write_embeddings(df: DataFrame, path: str, pool: str) -> None:
@@ -34,6 +39,48 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FEATURE).parquet(path)
 
 
+def write_vectors_by_code(codes: DataFrame, vectors: DataFrame, path: str, buckets: int | None = None, slice_rows: int = 500_000) -> None:
+    """Store the vectors of a pool by their codes, in hash buckets of the code.
+
+    ``codes`` has code and did, ``vectors`` did and embedding.  A code of more than
+    ``slice_rows`` candidates is cut into slices, each with a key of its own, so it lies
+    in several buckets.  Re-ranking reads the buckets without moving the pool.
+    """
+    spark = codes.sparkSession
+    rows = codes.select("code", "did").join(vectors.select("did", "embedding"), "did")
+    many = codes.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices")).where("slices > 1")
+    # fewer than one row for each slice_rows candidates
+    rows = rows.join(F.broadcast(many), "code", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    cut = F.pmod(F.xxhash64("did"), F.col("slices")).cast("int").alias("slice")
+    rows = rows.select("code", cut, "slices", "did", "embedding").withColumn("key", code_slice("code", "slice"))
+    name = f"trovekit_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one file for each bucket
+    rows = rows.repartition(n, "key")
+    rows.write.mode("overwrite").bucketBy(n, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    spark.createDataFrame([(n, rows.schema.json())], "buckets int, schema string").coalesce(1).write.mode("overwrite").json(f"{path}.buckets")
+
+
+def read_vectors_by_code(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors stored by ``write_vectors_by_code``: key, code, slice, slices, did, embedding."""
+    stored = spark.read.schema("buckets int, schema string").json(f"{path}.buckets").first()
+    schema = T.StructType.fromJson(json.loads(stored.schema))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    name = f"trovekit_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {stored.buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(name)
+    out.schema  # the plan knows the files and the buckets from here on
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def code_slice(code, slice_number) -> Column:
+    """Key of a slice of a code."""
+    c, s = (F.col(x) if isinstance(x, str) else x for x in (code, slice_number))
+    return F.concat_ws("/", code_to_tokens(c), s.cast("string"))
+
+
 def keyed_vectors(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """Query and pool vectors in one table, keys prefixed ``q_`` and ``p_``."""
     q = queries.withColumn("key", F.concat(F.lit("q_"), F.col("id").cast("string")))
