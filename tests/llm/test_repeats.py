@@ -69,6 +69,25 @@ def test_repeats_in_several_shards(spark, passage, monkeypatch):
     check(spark, repeat_rows(passage))
 
 
+def test_planted_passages_of_fifty_to_eighty_words(spark, passage):
+    """Passages shared by two documents: all of 400 bytes or more go, shorter ones stay, as brute force has it."""
+    rng = random.Random(12)
+    short = [" ".join(w[:6] for w in passage(3000 + i, rng.randint(50, 80)).split()) for i in range(40)]
+    planted = short + [passage(3100 + i, rng.randint(50, 80)) for i in range(40)]
+    rows = []
+    for i, p in enumerate(planted):
+        for copy in range(2):
+            rows.append((2 * i + copy, f"{passage(4000 + 2 * i + copy, 30)} {p} {passage(5000 + 2 * i + copy, 30)}"))
+    # with the blanks around it a passage is two bytes longer
+    sizes = [len(p.encode()) + 2 for p in planted]
+    assert min(sizes) < 390 and max(sizes) > 410
+    got = {r.doc_id: r.n_removed for r in bwt_dedup.remove_repeats(make_docs(spark, rows)).collect()}
+    for i, n in enumerate(sizes):
+        if abs(n - 400) > 3:  # a letter beside the passage may be shared by chance
+            assert all((got[2 * i + copy] >= n) == (n >= 400) for copy in range(2)), n
+    check(spark, rows)
+
+
 def test_repeats_odd_tables(spark, passage):
     text = passage(1, 120)
     check(spark, [(1, text), (1, text), (None, text + "!"), (None, None), (2, passage(2, 100)), (2, passage(3, 100) + text)])
