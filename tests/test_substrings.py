@@ -35,11 +35,10 @@ def case(seed, entities, n_chunks, n_questions, alphabet):
     return questions, chunks
 
 
-@pytest.mark.parametrize("limits", [{}, {"FEW_PAIRS": 0}, {"FEW_PAIRS": 0, "SLICE_CHUNKS": 3, "PART_ANSWERS": 5}])
+@pytest.mark.parametrize("limits", [{}, {"FEW_ANSWERS": 0}, {"FEW_ANSWERS": 2, "FEW_PAIRS": 0}, {"FEW_ANSWERS": 3, "FEW_PAIRS": 0, "SLICE_CHUNKS": 3, "PART_ANSWERS": 5}])
 def test_labels_equal_plain_containment(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(substrings, name, value)
-    monkeypatch.setattr(substrings.answer_hits, "__defaults__", ("entity_id", substrings.SLICE_CHUNKS, substrings.PART_ANSWERS))
     questions, chunks = case(1, 12, 20, 30, "abé日 .")
     chunks += [("E0", 900, None, "6:null"), ("E0", 901, "", "6:empty"), (None, 0, "lost", "6:lost"), ("only", 0, "ab", "6:only")]
     questions += [

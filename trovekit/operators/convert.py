@@ -16,7 +16,7 @@ from trovekit.operators.links import NEG, POS, keep_with_positive
 from trovekit.operators.numbering import BUCKET_ROWS, assign_ids
 from trovekit.operators.pools import first_seen
 from trovekit.operators.skew import lookup_join, skew_join
-from trovekit.operators.substrings import answer_hits, places_of, whole_slices
+from trovekit.operators.substrings import answer_hits, found_slices, merged_parts
 from trovekit.session import materialize
 from trovekit.sources.images import with_valid_image
 
@@ -230,17 +230,19 @@ def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     options = F.concat("answer", "answer_eval")
     answers = questions.select("entity_id", F.explode(options).alias("answer"))
-    hits = materialize(answer_hits(chunks, answers), "answer-hits")
-    met = lookup_join(questions.select("qid", "entity_id", options.alias("options")), whole_slices(hits), "entity_id")
-    met = met.select("qid", "slices", "chunks", places_of(F.col("options")).alias("places"))
-    found = F.size("places") > 0
+    hits = materialize(merged_parts(answer_hits(chunks, answers)), "answer-hits")
+    met = lookup_join(questions.select("qid", "entity_id", options.alias("options")), found_slices(hits), "entity_id")
+    # NULL options, and NULL among them, are found nowhere
+    hit = lambda c: F.coalesce(F.arrays_overlap(c["found"], F.col("options")), F.lit(False))
+    labelled = F.transform("chunks", lambda c: F.struct(hit(c).alias("hit"), c["ord"].alias("ord"), c["did"].alias("did")))
+    met = met.select("qid", "slices", labelled.alias("chunks"))
+    found = F.exists("chunks", lambda c: c["hit"])
     one = met.where((F.col("slices") == 1) & found)
     # an entity of several slices: a question stays if any of them has a positive
     anywhere = F.max(found).over(Window.partitionBy("qid"))
     many = met.where("slices > 1").withColumn("found", anywhere).where("found").drop("found")
-    links = one.unionByName(many).select("qid", "places", F.posexplode("chunks").alias("at", "c"))
-    label = F.when(F.array_contains("places", F.col("at")), F.lit(POS)).otherwise(F.lit(NEG))
-    return links.select("qid", label.alias("label"), F.col("c.ord").alias("ord"), F.col("c.did").alias("did"))
+    links = one.unionByName(many).select("qid", F.inline("chunks"))
+    return links.select("qid", F.when(F.col("hit"), F.lit(POS)).otherwise(F.lit(NEG)).alias("label"), "ord", "did")
 
 
 def number_queries(queries: DataFrame, dataset, position: str = "pos", width: int = BUCKET_ROWS) -> DataFrame:

@@ -1,10 +1,11 @@
 """Which answers occur in which chunks of their entity, by a posting table of q-grams.
 
-Chunks of an entity lie in slices, its different answers in parts; a slice meets the
-parts of its entity once, however many questions share an answer.  In the task the
-slice's hashed byte q-grams become a posting table; an answer looks up its rarest gram
-and only the chunks listed there are searched for the whole answer.  Answers shorter
-than a gram are searched for in every chunk.
+Answers are told apart per entity, so each is searched for once, however many questions
+share it.  An entity with few answers has its chunks searched one by one where they are
+read.  With many, its chunks lie in slices and its answers in parts, and a slice meets
+every part once: in the task the slice's hashed byte q-grams become a posting table; an
+answer looks up its rarest gram and only the chunks listed there are searched for the
+whole answer.  Answers shorter than a gram are searched for in every chunk.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trovekit.session import materialize
+
 GRAM = 3
 #: chunks of a slice, answers of a part
 SLICE_CHUNKS = 64
 PART_ANSWERS = 4096
+#: different answers of a key that are searched for in each chunk by itself
+FEW_ANSWERS = 32
 #: below so many (answer, chunk) pairs they are searched without a posting table
 FEW_PAIRS = 1024
 
@@ -82,56 +87,62 @@ def _answer_parts(answers: DataFrame, key: str, part_answers: int) -> DataFrame:
 
 
 def answer_hits(
-    chunks: DataFrame, answers: DataFrame, key: str = "entity_id", slice_chunks: int = SLICE_CHUNKS, part_answers: int = PART_ANSWERS
+    chunks: DataFrame,
+    answers: DataFrame,
+    key: str = "entity_id",
+    slice_chunks: int | None = None,
+    part_answers: int | None = None,
+    few_answers: int | None = None,
 ) -> DataFrame:
-    """Slices with the answers found in them: key, slice, parts, chunks (ord, did), hits.
+    """Chunks with the answers they contain: key, slice, ord, did, found.
 
     ``chunks`` has key, ``ord`` (a place in the key), ``did`` and ``txt``; ``answers`` key and
-    ``answer``.  ``hits`` maps an answer to the places in ``chunks`` that contain it.  A
-    slice comes once for each part of its key's answers.
+    ``answer``.  A key of up to ``few_answers`` different answers is searched chunk by
+    chunk; else the slices of its chunks meet the parts of its answers.  A chunk comes
+    once for each part.
     """
-    at = F.floor(F.col("ord") / slice_chunks).alias("slice")
-    slices = chunks.where(F.col(key).isNotNull()).groupBy(key, at).agg(F.array_sort(F.collect_list(F.struct("ord", "did", "txt"))).alias("held"))
-    met = slices.join(_answer_parts(answers, key, part_answers), key)
+    slice_chunks, part_answers = slice_chunks or SLICE_CHUNKS, part_answers or PART_ANSWERS
+    few_answers = FEW_ANSWERS if few_answers is None else few_answers
+    parts = materialize(_answer_parts(answers, key, part_answers), "answer-parts")
+    rows = chunks.where(F.col(key).isNotNull()).withColumn("slice", F.floor(F.col("ord") / slice_chunks))
+    few = parts.where((F.col("parts") == 1) & (F.size("answers") <= few_answers)).select(key, "answers")
+    each = F.coalesce(F.filter("answers", lambda a: F.contains("txt", a)), F.array().cast("array<string>"))
+    out = rows.join(few, key).select(key, "slice", "ord", "did", each.alias("found"))
+    more = parts.where((F.col("parts") > 1) | (F.size("answers") > few_answers)).select(key, "answers")
+    if more.isEmpty():
+        return out
+    slices = rows.join(more.select(key).distinct(), key, "left_semi").groupBy(key, "slice").agg(F.collect_list(F.struct("ord", "did", "txt")).alias("held"))
+    met = slices.join(more, key)
+    part = lambda c: F.transform("held", lambda h: h[c]).alias(c)
+    met = met.select(key, "slice", part("ord"), part("did"), part("txt"), "answers")
     kind = lambda c: met.schema[c].dataType.simpleString()
-    entry = chunks.schema
-    held = f"array<struct<ord: {entry['ord'].dataType.simpleString()}, did: {entry['did'].dataType.simpleString()}>>"
-    schema = f"{key} {kind(key)}, slice long, parts int, chunks {held}, hits map<string, array<int>>"
-    met = met.select(
-        key,
-        "slice",
-        "parts",
-        F.transform("held", lambda h: F.struct(h["ord"].alias("ord"), h["did"].alias("did"))).alias("chunks"),
-        F.transform("held", lambda h: h["txt"]).alias("texts"),
-        "answers",
-    )
+    schema = f"{key} {kind(key)}, slice long, ord {kind('ord')}, did {kind('did')}, found array<array<string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits_type = pa.map_(pa.string(), pa.list_(pa.int32()))
         for batch in batches:
             out = []
-            for texts, wanted in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                # a NULL text holds nothing: no answer is as long as this
+            for texts, wanted in zip(batch.column("txt").to_pylist(), batch.column("answers").to_pylist()):
+                found: list[list[str]] = [[] for _ in texts]
                 raw = [b"" if t is None else t.encode() for t in texts]
-                found = occurrences(raw, [a.encode() for a in wanted])
-                hits = {wanted[i]: [c for c in at if texts[c] is not None] for i, at in found.items()}
-                out.append([(a, at) for a, at in hits.items() if at])
+                for i, at in occurrences(raw, [a.encode() for a in wanted]).items():
+                    for c in at:
+                        if texts[c] is not None:  # a NULL text holds nothing
+                            found[c].append(wanted[i])
+                out.append(found)
             columns = [batch.column(i) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, hits_type)], [*batch.schema.names[:4], "hits"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.list_(pa.string())))], [*batch.schema.names[:4], "found"])
 
-    return met.mapInArrow(run, schema)
+    wide = met.mapInArrow(run, schema)
+    one = F.inline(F.arrays_zip("ord", "did", "found"))
+    return out.unionByName(wide.select(key, "slice", one))
 
 
-def whole_slices(hits: DataFrame, key: str = "entity_id") -> DataFrame:
-    """One row per slice of ``answer_hits`` (a written table): key, slice, slices (of the key), chunks, hits."""
-    merged = F.map_from_entries(F.flatten(F.collect_list(F.map_entries("hits"))))
-    many = hits.where("parts > 1").groupBy(key, "slice").agg(F.first("chunks").alias("chunks"), merged.alias("hits"))
-    columns = [key, "slice", "chunks", "hits"]
-    one = hits.where("parts = 1").select(columns).unionByName(many.select(columns))
-    return one.withColumn("slices", F.count(F.lit(1)).over(Window.partitionBy(key)))
+def found_slices(hits: DataFrame, key: str = "entity_id") -> DataFrame:
+    """One row per slice of ``answer_hits``: key, slice, slices (of the key), chunks (ord, did, found)."""
+    held = hits.groupBy(key, "slice").agg(F.collect_list(F.struct("ord", "did", "found")).alias("chunks"))
+    return held.withColumn("slices", F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def places_of(options: Column, hits: str = "hits") -> Column:
-    """Places in the slice that contain any of ``options``; empty for NULL options."""
-    each = F.transform(options, lambda a: F.coalesce(F.try_element_at(F.col(hits), a), F.array().cast("array<int>")))
-    return F.coalesce(F.array_distinct(F.flatten(each)), F.array().cast("array<int>"))
+def merged_parts(hits: DataFrame, key: str = "entity_id") -> DataFrame:
+    """``answer_hits`` with one row per chunk, whatever the number of parts."""
+    return hits.groupBy(key, "slice", "ord", "did").agg(F.flatten(F.collect_list("found")).alias("found"))
