@@ -11,7 +11,7 @@ from trovekit.session import materialize as written
 from trovekit.session import release as drop
 from trovekit.session import ship_package
 
-__all__ = ["drop", "each_time", "fold", "null_safe", "running_total", "split_buckets", "table", "word_count", "written"]
+__all__ = ["drop", "each_time", "fold", "running_total", "split_buckets", "table", "word_count", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,13 +61,6 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a NULL id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
