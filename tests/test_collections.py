@@ -140,6 +140,13 @@ def test_thirds_of_half(spark):
     assert all(r.key < 6 for r in got)
 
 
+def test_thirds_of_half_beyond_one_bucket(spark):
+    df = spark.range(240_000).select(F.col("id").alias("key"), F.col("id").alias("pos"))
+    got = sampling.split_thirds_of_half(df, "key").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("k")).collect()
+    assert {r.split: r.n for r in got} == {"val": 40_000, "test": 40_000}
+    assert all(r.k < 120_000 for r in got)
+
+
 def test_missing_prompt_fails(spark):
     q = spark.createDataFrame([("0:1", "0", "text", "image")], "qid string, dataset_id string, query_modality string, cand_modality string")
     prompts = spark.createDataFrame([("1", "text", "image", ["p"])], "dataset_id string, query_modality string, cand_modality string, prompts array<string>")

@@ -20,8 +20,8 @@ from trovekit.session import materialize
 # Small enough that a bucket whose rows are exploded a hundredfold still fits a
 # task, large enough that the table of bucket sizes stays small.
 BUCKET_ROWS = 100_000
-#: the number a stored row is known by
-ROW = "__row"
+#: the number a stored row is known by; no caller's column has this name
+ROW = "__stored_row"
 
 
 def position_bucket(position, width: int = BUCKET_ROWS) -> Column:

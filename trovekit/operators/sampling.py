@@ -83,7 +83,7 @@ def split_thirds_of_half(df: DataFrame, key: str, position: str = "pos", seed=SE
     val, everything from twice a third on is test, the middle is left out."""
     total = df.agg(F.count(F.lit(1))).scalar()
     head_size = F.floor(total / half)
-    head = number_by_position(df, position, "__row").where(F.col("__row") <= head_size).drop("__row")
+    head = number_by_position(df, position, "__n").where(F.col("__n") <= head_size).drop("__n")
     ranked = number_by_hash(head, key, seed, "__n")
     third = F.floor(head_size / parts)
     split = F.when(F.col("__n") <= third, "val").when(F.col("__n") > third * 2, "test")
