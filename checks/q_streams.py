@@ -9,8 +9,8 @@ from trovekit.streaming import metric_windows, new_candidates, search_stream, st
 
 
 def table_stream(t, name):
-    schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    # the table may be one file or a folder of part files; a plain path would have to be a folder, a pattern may be either
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def drain(stream, t, label, mode="append"):

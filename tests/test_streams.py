@@ -79,3 +79,19 @@ def test_a_hot_code_is_spread(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     sizes = sorted(r["count"] for r in tasks)
     assert sum(sizes) == plain.count() and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_table_stream_reads_files_and_folders(spark, tmp_path):
+    import checks.all_queries  # noqa: F401
+    from checks.base import Tables
+    from checks.q_streams import drain, table_stream
+
+    rows = spark.range(60).selectExpr("id AS event_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "single"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "single").glob("*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for kind in ("folder", "file"):
+        t = Tables(spark, str(tmp_path / kind))
+        got = drain(table_stream(t, "events"), t, f"table-stream-{kind}")
+        assert sorted(r.event_id for r in got.collect()) == list(range(60))
