@@ -36,6 +36,9 @@ def test_ids(spark):
     assert one(spark, ids.hash_did(F.lit("5:42"))) == 50000042
     assert one(spark, ids.unhash_qid(F.lit(2500042))) == "5:42"
     assert one(spark, ids.unhash_did(F.lit(50000042))) == "5:42"
+    assert one(spark, ids.unhash_qid(ids.hash_qid(F.lit("9:510201")), F.lit("9"))) == "9:510201"
+    assert one(spark, ids.unhash_did(ids.hash_did(F.lit("9:10000001")), F.lit("9"))) == "9:10000001"
+    assert one(spark, ids.unhash_qid(ids.hash_qid(F.lit("9:42")), F.lit("9"))) == "9:42"
     assert one(spark, ids.qid_overflows(F.lit("1:500000"))) is True
     assert one(spark, ids.did_overflows(F.lit("1:9999999"))) is False
     assert one(spark, ids.dataset_name(F.lit("9:1"))) == "MSCOCO"

@@ -37,8 +37,11 @@ def _pack(c, bound: int) -> Column:
     return id_dataset(c).cast("long") * F.lit(bound) + id_number(c)
 
 
-def _unpack(c, bound: int) -> Column:
+def _unpack(c, bound: int, dataset=None) -> Column:
     c = _col(c).cast("long")
+    if dataset is not None:
+        part = _col(dataset).cast("long")
+        return make_id(part, c - part * F.lit(bound))
     number = F.pmod(c, F.lit(bound).cast("long"))
     return F.concat_ws(":", ((c - number) / bound).cast("long").cast("string"), number.cast("string"))
 
@@ -47,16 +50,22 @@ def hash_qid(c) -> Column:
     return _pack(c, K.QUERY_ID_BOUND)
 
 
-def unhash_qid(c) -> Column:
-    return _unpack(c, K.QUERY_ID_BOUND)
+def unhash_qid(c, dataset=None) -> Column:
+    """Query id of a packed one.
+
+    An id that overflows packs to the same integer as one of a later dataset; only
+    with its ``dataset`` it is told from that.
+    """
+    return _unpack(c, K.QUERY_ID_BOUND, dataset)
 
 
 def hash_did(c) -> Column:
     return _pack(c, K.CANDIDATE_ID_BOUND)
 
 
-def unhash_did(c) -> Column:
-    return _unpack(c, K.CANDIDATE_ID_BOUND)
+def unhash_did(c, dataset=None) -> Column:
+    """Candidate id of a packed one; ``dataset`` as in ``unhash_qid``."""
+    return _unpack(c, K.CANDIDATE_ID_BOUND, dataset)
 
 
 def qid_overflows(c) -> Column:
