@@ -307,8 +307,7 @@ def extend_by_key(t):
         F.col("pos").alias("ord"),
         F.concat(F.lit("9:"), (F.col("pos") + 1).cast("string")).alias("did"),
     )
-    links = convert.extend_by_entity(t.fx_links, pool, other)
-    lists = L.collect_links(links.where("label = 'pos'"))
+    lists = convert.extended_lists(t.fx_links, pool, other)
     return lists.select(
         "qid", F.size("pos_cand_list").cast("long").alias("n"), F.md5(F.array_join("pos_cand_list", "|")).alias("dids")
     )

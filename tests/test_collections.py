@@ -196,3 +196,21 @@ def test_evaluation_samples_keep_own_dataset(spark):
 def test_caption_counts_and_mixed(spark):
     df = spark.createDataFrame([("train", "i", ["a"]), ("train", "i", ["b"]), ("val", "j", ["a", "b"])], "split string, image string, captions array<string>")
     assert rows(stats.caption_counts(df), "split", "images", "captions") == [("train", 1, 2), ("val", 1, 2)]
+
+
+def test_extended_lists_equal_the_links(spark):
+    import random
+
+    draw = random.Random(5)
+    links = [(f"q{q}", "pos", o // (1 + q % 2), f"d{draw.randrange(30)}") for q in range(80) for o in range(draw.randrange(1, 5))]
+    links += [("q0", "neg", 0, "d1"), ("q1", "pos", 9, "unknown"), ("alone", "pos", 0, "unknown")]
+    links = spark.createDataFrame(links, "qid string, label string, ord long, did string")
+    pool = spark.createDataFrame([(f"d{i}", None if i == 7 else f"e{i % 6}") for i in range(30)], "did string, entity_id string")
+    # candidates of several entities, twice in one, of an entity without positives; entity e5 has none
+    other = [(f"e{draw.randrange(5)}", o, f"o{draw.randrange(40)}") for o in range(90)] + [("e9", 1, "o1"), (None, 2, "o2")]
+    other = spark.createDataFrame(other, "entity_id string, ord long, did string")
+    joined = L.collect_links(convert.extend_by_entity(links, pool, other).where("label = 'pos'"))
+    want = {r.qid: r.pos_cand_list for r in joined.collect()}
+    got = convert.extended_lists(links, pool, other)
+    assert {r.qid: r.pos_cand_list for r in got.select("qid", "pos_cand_list").collect()} == want
+    assert len(want) == 81 and got.count() == 81

@@ -266,6 +266,38 @@ def extend_by_entity(links: DataFrame, pool: DataFrame, other: DataFrame) -> Dat
     return _appended(links, new)
 
 
+#: queries of one combination of entities that a task joins with its list
+LIST_QUERIES = 1000
+
+
+def extended_lists(links: DataFrame, pool: DataFrame, other: DataFrame) -> DataFrame:
+    """(qid, pos_cand_list): the positives that ``extend_by_entity`` gives, as lists.
+
+    An entity's candidates are listed once, and once more for each combination of
+    entities that queries have; a query meets its list where it is used.  So what
+    is shuffled follows the combinations, not the pairs of query and candidate.
+    """
+    positives = links.where(F.col("label") == POS)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "did"))), lambda s: s["did"])
+    own = positives.groupBy("qid").agg(listed.alias("__own"))
+    entity = lookup_join(positives, pool.select("did", "entity_id"), "did").where(F.col("entity_id").isNotNull())
+    bases = entity.groupBy("qid", "entity_id").agg(F.min("ord").alias("__base"))
+    places = F.dense_rank().over(Window.partitionBy("qid").orderBy("__base"))
+    combos = bases.select("qid", "entity_id", places.alias("place")).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("place", "entity_id"))).alias("__combo")
+    )
+    queries = materialize(own.join(combos, "qid", "left"), "extended")
+    lists = other.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("ord", "did"))).alias("__list"))
+    parts = queries.select("__combo").distinct().select("__combo", F.inline("__combo")).join(lists, "entity_id")
+    rows = F.flatten(F.collect_list(F.transform("__list", lambda x: F.struct("place", x["ord"].alias("ord"), x["did"].alias("did")))))
+    # the first place of a candidate that several entities have counts
+    new = parts.groupBy("__combo").agg(rows.alias("__rows")).select(
+        "__combo", F.array_distinct(F.transform(F.array_sort("__rows"), lambda s: s["did"])).alias("__new")
+    )
+    met = skew_join(queries, new, "__combo", "left", LIST_QUERIES, ["qid"], sample=1)
+    return met.select("qid", F.concat("__own", F.coalesce("__new", F.array().cast("array<string>"))).alias("pos_cand_list"))
+
+
 def extend_by_content(links: DataFrame, pool: DataFrame, other: DataFrame) -> DataFrame:
     """Add, per positive, the other pool's candidate with the same content."""
     positives = links.where(F.col("label") == POS)
