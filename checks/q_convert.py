@@ -6,6 +6,7 @@ from checks.base import clean, query
 from checks.q_pools import CHUNKS, PAIRS, TEXT_IMAGE, pair_pool
 from trovekit.operators import convert, links as L, merge, pools, samples
 from trovekit.functions import ids
+from trovekit.session import materialize
 
 @query(
     needs="fx_raw_pairs",
@@ -251,6 +252,7 @@ def convert_kb_answer(t):
         t.fx_kb,
         first.select("data_id", "question_type"),
     )
+    kept = materialize(kept, "kept")  # numbered and counted
     numbered = convert.number_queries(kept, 6, width=8 * 10**12)
     n = kept.agg(F.count(F.lit(1)).alias("n_kept"), F.lit(1).alias("one"))
     return numbered.withColumn("one", F.lit(1)).join(n, "one").select("row_id", "question_type", "qid", "n_kept")

@@ -1,5 +1,7 @@
 """Pools, converters, merging and sampling on hand-written rows."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -214,3 +216,39 @@ def test_extended_lists_equal_the_links(spark):
     got = convert.extended_lists(links, pool, other)
     assert {r.qid: r.pos_cand_list for r in got.select("qid", "pos_cand_list").collect()} == want
     assert len(want) == 81 and got.count() == 81
+
+
+def test_answerable_questions_never_broadcast_contents(spark, monkeypatch, tmp_path):
+    from trovekit.operators import substrings
+
+    n = 60
+    questions = [(i, f"q{i}", "what?", [f"a{i}", "none"] if i % 3 else [None], [""] if i == 5 else []) for i in range(n)]
+    questions.append((n, "q1", "again?", ["none"], []))
+    questions = spark.createDataFrame(questions, "pos long, data_id string, question string, answer array<string>, answer_eval array<string>")
+    entity_of = spark.createDataFrame([(f"q{i}", i % 2) for i in range(n)], "data_id string, entity_id long")
+    articles = spark.createDataFrame([(0, "-".join(f"a{i}" for i in range(0, n, 4))), (1, "a1x a55"), (2, None)], "entity_id long, content string")
+    articles.write.parquet(str(tmp_path / "articles"))
+    articles = spark.read.parquet(str(tmp_path / "articles"))  # small by its files
+    text = {0: "-".join(f"a{i}" for i in range(0, n, 4)), 1: "a1x a55"}
+    want = sorted(f"q{i}" for i in range(n) if i == 5 or (i % 3 and f"a{i}" in text[i % 2]))
+    kept = convert.answerable_questions(questions, entity_of, articles)
+    assert sorted(r.data_id for r in kept.collect()) == want
+    # entities of more answers than one part
+    real = substrings.answer_parts
+    monkeypatch.setattr(convert, "answer_parts", lambda answers, key: real(answers, key, 4))
+    seen = []
+    real_store = convert.materialize
+    monkeypatch.setattr(convert, "materialize", lambda df, label: (seen.append(df), real_store(df, label))[1])
+    kept = convert.answerable_questions(questions, entity_of, articles)
+    assert sorted(r.data_id for r in kept.collect()) == want
+    plan = seen[1]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\w+Join", plan).group() == "SortMergeJoin"  # the outermost one meets the contents
+
+
+def test_numbering_ranges_stay_bounded(spark, monkeypatch):
+    from trovekit.operators import numbering
+
+    monkeypatch.setattr(numbering, "BUCKET_ROWS", 50)
+    numbered = numbering.number_by_position(spark.range(500).select((F.col("id") * 7).alias("pos")), "pos", width=8 * 10**12)
+    assert "Exchange SinglePartition" not in numbered.select("pos", "n")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert [(r.pos, r.n) for r in numbered.orderBy("pos").collect()] == [(7 * i, i + 1) for i in range(500)]

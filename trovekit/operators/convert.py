@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovekit import constants as K
-from trovekit.functions.text import clean_text, contains_answer, doc_key, folder_key, merge_captions
+from trovekit.functions.text import clean_text, doc_key, folder_key, merge_captions
 from trovekit.operators.links import NEG, POS, keep_with_positive
 from trovekit.operators.numbering import BUCKET_ROWS, assign_ids
 from trovekit.operators.pools import first_seen
 from trovekit.operators.skew import lookup_join, skew_join
-from trovekit.operators.substrings import answer_hits, places_of, whole_slices
+from trovekit.operators.substrings import answer_hits, answer_parts, places_of, whole_slices
 from trovekit.session import materialize
 from trovekit.sources.images import with_valid_image
 
@@ -205,13 +205,28 @@ def answerable_questions(
     ``answer_eval`` (arrays of strings); ``entity_of``: data_id -> entity_id;
     ``articles``: ``entity_id``, ``content``; ``question_types``: data_id ->
     question_type.  Keeps the first row per ``data_id``.
+
+    The different answers of an entity are searched for once; contents meet lists of
+    answers by a shuffle, whatever size Spark expects them to have, and no question.
     """
     rows = first_seen(questions, "data_id", "pos").where(clean_text("question") != "")
     linked = rows.join(entity_of, "data_id")
     if question_types is not None:
         linked = linked.join(question_types, "data_id", "left")
-    found = lookup_join(linked, articles.select("entity_id", "content"), "entity_id")
-    return found.where(contains_answer("content", "answer", "answer_eval")).drop("content")
+    linked = materialize(linked, "linked")
+    options = F.concat("answer", "answer_eval")
+    lists = answer_parts(linked.select("entity_id", F.explode(options).alias("answer")), "entity_id")
+    # computed contents are larger than their files, so they are never broadcast
+    met = lists.join(articles.select("entity_id", "content").hint("merge"), "entity_id")
+    held = F.filter("answers", lambda a: F.contains("content", a)).alias("held")
+    met = materialize(met.select("entity_id", "parts", held).where(F.size("held") > 0), "answers-held")
+    few = linked.join(met.where("parts = 1").drop("parts").hint("merge"), "entity_id").where(F.arrays_overlap(options, "held")).drop("held")
+    # an entity of very many answers: question and answer meet as rows
+    many = met.where("parts > 1").select("entity_id", F.explode("held").alias("answer"))
+    asked = linked.join(many.select("entity_id").distinct(), "entity_id", "left_semi")
+    pairs = asked.select("data_id", "entity_id", F.explode(options).alias("answer"))
+    answered = pairs.join(many.hint("merge"), ["entity_id", "answer"], "left_semi").select("data_id", "entity_id").distinct()
+    return few.unionByName(asked.join(answered, ["data_id", "entity_id"], "left_semi").select(few.columns))
 
 
 def matched_articles(kept: DataFrame, articles: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def number_rows(df: DataFrame, order, out: str = "n", start: int = 1, bucket_row
 def number_by_position(
     df: DataFrame, position: str = "pos", out: str = "n", start: int = 1, width: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Number rows by a position of any orderable type, in ranges of about ``width`` rows."""
-    return number_rows(df, position, out, start, width)
+    """Number rows by a position of any orderable type, in ranges of about ``width`` rows, at most ``BUCKET_ROWS``."""
+    return number_rows(df, position, out, start, min(width, BUCKET_ROWS))
 
 
 def number_by_hash(

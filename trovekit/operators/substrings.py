@@ -72,7 +72,7 @@ def occurrences(texts: list[bytes], answers: list[bytes]) -> dict[int, list[int]
     return found
 
 
-def _answer_parts(answers: DataFrame, key: str, part_answers: int) -> DataFrame:
+def answer_parts(answers: DataFrame, key: str, part_answers: int = PART_ANSWERS) -> DataFrame:
     """(key, answers, parts): the different answers of a key, cut into parts by their hash where they are many."""
     rows = answers.where(F.col("answer").isNotNull() & F.col(key).isNotNull()).distinct()
     many = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_answers).cast("int").alias("parts")).where("parts > 1")
@@ -92,7 +92,7 @@ def answer_hits(
     """
     at = F.floor(F.col("ord") / slice_chunks).alias("slice")
     slices = chunks.where(F.col(key).isNotNull()).groupBy(key, at).agg(F.array_sort(F.collect_list(F.struct("ord", "did", "txt"))).alias("held"))
-    met = slices.join(_answer_parts(answers, key, part_answers), key)
+    met = slices.join(answer_parts(answers, key, part_answers), key)
     kind = lambda c: met.schema[c].dataType.simpleString()
     entry = chunks.schema
     held = f"array<struct<ord: {entry['ord'].dataType.simpleString()}, did: {entry['did'].dataType.simpleString()}>>"
