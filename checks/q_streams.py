@@ -1,10 +1,12 @@
 """Structured Streaming jobs, run to the end of their input."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from checks.base import query, unit
 from checks.q_codes import DECODED, NEED, _stages, joined
-from trovekit.session import scratch_path
+from trovekit.session import materialize, scratch_path
 from trovekit.streaming import metric_windows, new_candidates, search_stream, stream_code_join
 
 
@@ -13,14 +15,31 @@ def table_stream(t, name):
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
+def run_into(stream, out, log, mode="append"):
+    """Run a stream over the input there is and it has not seen, into files."""
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
+    writer.option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream, t, label, mode="append"):
     """Run a stream over all input into files and read them."""
     out = scratch_path(t.spark, label)
-    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-    writer.option("checkpointLocation", scratch_path(t.spark, f"{label}-log")).trigger(availableNow=True).start().awaitTermination()
+    run_into(stream, out, scratch_path(t.spark, f"{label}-log"), mode)
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
+@contextmanager
+def one_batch_a_run(spark):
+    """Runs end with their last batch of rows; the watermark moves on with the next run's batch."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query(
     f"""
 WITH u AS (SELECT vec_id, {unit('embedding')} AS u FROM embeddings),
@@ -66,14 +85,18 @@ SELECT key, hour FROM admitted
 )
 def stream_dedup(t):
     # one slice of the documents an hour; a key is held for an hour beyond the watermark and is new again after that
-    path = scratch_path(t.spark, "intake")
+    path, out, log = (scratch_path(t.spark, label) for label in ("intake", "stream-dedup", "stream-dedup-log"))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     hour = (F.col("doc_id") % HOURS).alias("hour")
     timed = t.documents.select(F.md5("text").alias("key"), hour, F.timestamp_add("HOUR", hour.cast("int"), start).alias("ts"))
-    for h in range(HOURS):
-        timed.where(F.col("hour") == h).coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return drain(new_candidates(stream, "ts", "1 hour"), t, "stream-dedup").select("key", "hour")
+    timed = materialize(timed, "timed")  # the texts are read once
+    # each hour's files, however many, are one batch: the stream goes on where it stopped before them
+    with one_batch_a_run(t.spark):
+        for h in range(HOURS):
+            timed.where(F.col("hour") == h).write.mode("append").parquet(path)
+            found = new_candidates(t.spark.readStream.schema(timed.schema).parquet(path), "ts", "1 hour")
+            run_into(found, out, log)
+    return t.spark.read.schema(found.schema).parquet(out).select("key", "hour")
 
 
 @query(

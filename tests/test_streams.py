@@ -95,3 +95,29 @@ def test_table_stream_reads_files_and_folders(spark, tmp_path):
         t = Tables(spark, str(tmp_path / kind))
         got = drain(table_stream(t, "events"), t, f"table-stream-{kind}")
         assert sorted(r.event_id for r in got.collect()) == list(range(60))
+
+
+def test_dedup_hours_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    import checks.all_queries  # noqa: F401
+    from checks import q_streams
+    from checks.base import Tables
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 900) AS text")
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    intake = []
+    real = q_streams.scratch_path
+    monkeypatch.setattr(q_streams, "scratch_path", lambda s, label: (intake.append((label, real(s, label))), intake[-1][1])[1])
+    rows = q_streams.stream_dedup(Tables(spark, str(tmp_path))).collect()
+    files = spark.read.parquet(dict(intake)["intake"]).select(F.input_file_name()).distinct().count()
+    assert files > q_streams.HOURS
+    # hours 0 to 7 of a key: held until a batch whose watermark, two hours before its own, has passed its hour + 1
+    want = set()
+    for k in range(900):
+        hours = sorted({d % 8 for d in range(k, 4000, 900)})
+        last = None
+        for h in hours:
+            if last is None or h - 3 >= last + 1:
+                want.add((k, h))
+                last = h
+    assert len(rows) == len(want)
+    assert sorted(r.hour for r in rows) == sorted(h for _, h in want)
