@@ -219,7 +219,10 @@ def image_listing(t):
     # a folder tree written from the documents, up to three files to a folder, listed by extension
     path = scratch_path(t.spark, "images")
     rows = t.documents.select("source", "lang", "text", (F.col("doc_id") % 3).cast("int").alias("part"))
-    rows.repartitionById(3, "part").drop("part").write.partitionBy("source", "lang").text(path, lineSep="\0")
+    # a task writes a folder's files of one part, and folders are dealt over many tasks
+    spread = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    target = (F.pmod(F.xxhash64("source", "lang"), F.lit(spread)) * 3 + F.col("part")).cast("int")
+    rows.repartitionById(3 * spread, target).drop("part").write.partitionBy("source", "lang").text(path, lineSep="\0")
     found = images.list_images(t.spark, path, extensions=("txt",))
     assert images.list_images(t.spark, path, extensions=("jpg",)).isEmpty()
     folder = F.array_join(F.slice(F.split("path", "/"), -3, 2), "/").alias("folder")
