@@ -126,3 +126,22 @@ def test_metric_spec(spark):
 
 def test_lower_by_character(spark):
     assert one(spark, text.lower(F.lit("ΟΔΟΣ İX"))) == "οδοσ ix"
+
+
+def test_hashed_words_hold_few_texts_at_once(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from trovekit import encoders
+
+    texts = [f"w{i} w{i % 3} {'long ' * (i % 40)}" for i in range(200)] + [None, "", "x" * 5000]
+    batch = pd.DataFrame({"id": [str(i) for i in range(len(texts))], "txt": texts})
+    encode = encoders.get("hashed_words", dim=16)
+    whole = pd.concat(encode(iter([batch])))
+    monkeypatch.setattr(encoders, "SLICE_CHARS", 500)
+    monkeypatch.setattr(encoders, "KNOWN_WORDS", 20)
+    parts = list(encode(iter([batch, batch.iloc[:0]])))
+    assert len(parts) > 20 and max(len(p) for p in parts) < 100
+    again = pd.concat(parts)
+    assert list(again["id"]) == list(batch["id"]) == list(whole["id"])
+    assert np.array_equal(np.stack(again["embedding"]), np.stack(whole["embedding"]))
