@@ -292,3 +292,34 @@ def test_large_batch_scores(spark):
     loss = (top + np.log(np.exp(logits - top[:, None]).sum(1)) - np.diag(logits)).mean()
     assert got.n == 5000 and abs(got.loss - loss) < 1e-9
     assert got.accuracy == (np.round(logits, 6).argmax(1) == np.arange(5000)).mean()
+
+
+def test_zero_queries_keep_the_smallest_ids_and_score_few_pairs(monkeypatch):
+    import numpy as np
+
+    from trovekit.operators import blocks
+
+    rng = np.random.default_rng(3)
+    pool = rng.normal(size=(4000, 8))
+    pool[::50] = 0
+    names = np.array([f"d{i}" for i in rng.permutation(4000)], object)
+    queries = rng.normal(size=(40, 8))
+    queries[::4] = 0
+    merged = []
+    real = blocks._Group._merge
+    monkeypatch.setattr(blocks._Group, "_merge", lambda self, qi, s, d: (merged.append(len(qi)), real(self, qi, s, d)))
+    scored = []
+    plain = np.einsum
+    monkeypatch.setattr(blocks.np, "einsum", lambda spec, *a: (scored.append(len(a[0])), plain(spec, *a))[1])
+    group = blocks._Group(5, "cosine")
+    group.add_queries(np.arange(40), queries)
+    for a in range(0, 4000, 500):
+        group.add_pool(names[a : a + 500], pool[a : a + 500])
+    q, d, s = group.result()
+    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, 1, n)
+    exact = np.round(unit(queries) @ unit(pool).T, 6) + 0.0
+    for i in range(40):
+        want = sorted(zip(-exact[i], names))[:5]
+        assert [(-x, y) for x, y in zip(s[q == i], d[q == i])] == want
+    # the ten zero queries alone would have had 40 000 pairs
+    assert sum(scored) < 20_000
