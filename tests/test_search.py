@@ -323,3 +323,22 @@ def test_zero_queries_keep_the_smallest_ids_and_score_few_pairs(monkeypatch):
         assert [(-x, y) for x, y in zip(s[q == i], d[q == i])] == want
     # the ten zero queries alone would have had 40 000 pairs
     assert sum(scored) < 20_000
+
+
+def test_products_of_a_group_are_held_in_strips():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    queries, pool = rng.normal(size=(16_384, 8)), rng.normal(size=(1024, 8))
+    group = blocks._Group(3, "cosine")
+    group.add_queries(np.arange(16_384), queries)
+    names = np.arange(1024).astype(str).astype(object)
+    tracemalloc.start()
+    group.add_pool(names, pool)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all products at once are 64 MB in single precision, and were held several times
+    assert peak < 64 * 2**20
+    _, d, s = group.result()
+    exact = np.round(blocks._unit(queries) @ blocks._unit(pool).T, 6) + 0.0
+    assert np.allclose(s.reshape(-1, 3), -np.sort(-exact, axis=1)[:, :3])
