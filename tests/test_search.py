@@ -342,3 +342,38 @@ def test_products_of_a_group_are_held_in_strips():
     _, d, s = group.result()
     exact = np.round(blocks._unit(queries) @ blocks._unit(pool).T, 6) + 0.0
     assert np.allclose(s.reshape(-1, 3), -np.sort(-exact, axis=1)[:, :3])
+
+
+def test_slices_of_a_pool_do_not_grow_with_the_groups(spark):
+    pool, cells = spark.range(400_000), blocks._cells(spark)
+    found = [blocks._pool_slices(pool, 200, groups) for groups in (1, 7, 38, 1000)]
+    # every slice adds k rows per query; with as many cells as keep the cores busy that sum is bounded
+    assert all(groups * n < cells + groups for groups, n in zip((7, 38, 1000), found[1:]))
+    assert found[0] == min(cells, 49) and found[-1] == 1
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_single_precision_decides_nothing(monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    queries, pool = rng.normal(size=(60, 12)) + 300, rng.normal(size=(3000, 12)) * 1e-4 + 300
+    pool[100:140] = pool[7]  # ties
+    pool[11, 3], pool[12, 0] = np.nan, np.inf
+    names = np.array([f"d{i}" for i in rng.permutation(3000)], object)
+    kinds = []
+    real = blocks._Group._add_strip
+    monkeypatch.setattr(blocks._Group, "_add_strip", lambda self, strip, rough, *a: (kinds.append(rough.dtype.char), real(self, strip, rough, *a)))
+    group = blocks._Group(9, metric)
+    group.add_queries(np.arange(60), queries)
+    for a in range(0, 3000, 250):
+        group.add_pool(names[a : a + 250], pool[a : a + 250])
+    q, d, s = group.result()
+    sound = np.isfinite(pool).all(1)
+    for i in range(60):
+        p = pool[sound]
+        exact = np.einsum("j,ij->i", queries[i], p) if metric == "ip" else -((queries[i] - p) ** 2).sum(1)
+        want = sorted(zip(-(np.round(exact, 6) + 0.0), names[sound]))[:9]
+        if metric == "l2":
+            assert [y for _, y in want] == list(d[q == i])
+        np.testing.assert_allclose(s[q == i], [-x for x, _ in want], rtol=1e-11, atol=2e-6)
+    # the block with components that are no numbers is multiplied in double precision
+    assert kinds.count("d") == 1 and kinds.count("f") == 11

@@ -21,7 +21,9 @@ from trovekit.session import materialize
 BLOCK_ROWS = 1024
 GROUP_ROWS = 16_384
 #: queries whose products with a pool block are held at once
-STRIP_ROWS = 2048
+STRIP_ROWS = 1024
+#: cells of a search at least, where the pool has the rows
+LEAST_CELLS = 48
 SENT_BYTES = 64 * 1024 * 1024
 DIGITS = 6
 
@@ -130,13 +132,21 @@ class _Group:
         self.parts = []
         if self.metric == "cosine":
             self.q64 = _unit(self.q64)
-            self.q32 = self.q64.astype("f4")
+        self.squares = np.einsum("ij,ij->i", self.q64, self.q64)
+        # doubles beyond the range of single precision are multiplied as they are
+        self.narrow = self.metric == "cosine" or _fits(self.squares)
+        if self.narrow:
+            self.q32 = self._factors(self.q64).astype("f4")
         self.zero = ~self.q64.any(1)
         n = len(self.q64)
         self.scores = np.full((n, self.k), -np.inf)
         self.ids = np.empty((n, self.k), object)
         self.floor = np.full(n, -np.inf)
 
+    def _factors(self, queries):
+        """Left factor of the product that orders a pool block; for l2 one more column takes up the pool's squares."""
+        return np.hstack([queries, np.ones((len(queries), 1))]) if self.metric == "l2" else queries
+
     def add_pool(self, ids, mat):
         if self.q64 is None:
             if not self.parts:
@@ -146,39 +156,48 @@ class _Group:
         p64 = mat.astype("f8")
         if self.metric == "cosine":
             p64 = _unit(p64)
+        squares = np.einsum("ij,ij->i", p64, p64)
+        right = np.hstack([p64, -squares[:, None] / 2]) if self.metric == "l2" else p64
+        # A single-precision product finds the candidates; the margin covers its
+        # rounding error and the final rounding, then exact scores decide.
+        narrow = self.narrow and (self.metric == "cosine" or _fits(squares))
+        margin = max(1e-5, 10.0**-self.digits)
+        if narrow:
+            longest = np.sqrt(np.nanmax(squares, initial=0.0))
+            size = np.sqrt(self.squares) * longest + (longest**2 / 2 if self.metric == "l2" else 0)
+            margin = margin + 2.0**-21 * (p64.shape[1] + 4) * size
+            right = right.astype("f4")
+        margin = np.broadcast_to(margin, len(self.q64))
+        _, rank = np.unique(ids, return_inverse=True)
         for start in range(0, len(self.q64), STRIP_ROWS):
-            self._add_strip(slice(start, start + STRIP_ROWS), ids, p64)
+            strip = slice(start, start + STRIP_ROWS)
+            left = self.q32[strip] if narrow else self._factors(self.q64[strip])
+            self._add_strip(strip, left @ right.T, margin[strip], ids, rank, p64)
 
-    def _add_strip(self, strip: slice, ids, p64):
-        """Meet the queries of ``strip`` with a pool block; only their products are held at once."""
-        q64, floor = self.q64[strip], self.floor[strip]
-        if self.metric == "cosine":
-            # A single-precision product finds the candidates; the margin covers
-            # its rounding error and the final rounding, then exact scores decide.
-            rough = self.q32[strip] @ p64.astype("f4").T
-            margin = 1e-5 + 2.0**-22 * p64.shape[1]
-        elif self.metric == "ip":
-            rough, margin = q64 @ p64.T, 1e-5
-        else:  # negative squared distance
-            rough = 2 * (q64 @ p64.T) - (p64 * p64).sum(1)[None, :] - (q64 * q64).sum(1)[:, None]
-            margin = 1e-5
-        cut = floor - margin
-        hits = rough >= cut[:, None]
+    def _add_strip(self, strip: slice, rough, margin, ids, rank, p64):
+        """Meet the queries of ``strip`` with a pool block; only their products ``rough`` are held at once."""
+        n = rough.shape[1]
+        if not n:
+            return
+        floor = self.floor[strip]
+        if self.metric == "l2":  # rough is half the score, without the query's own square
+            floor = (floor + self.squares[strip]) / 2
+        lower = lambda cut: np.nextafter(cut.astype(rough.dtype), rough.dtype.type(-np.inf))[:, None]
+        hits = rough >= lower(floor - margin)
         if self.metric != "l2" and self.zero[strip].any():
             # a zero query ties with everything, so only the smallest ids count
             sound = np.flatnonzero(np.isfinite(p64).all(1))
-            _, rank = np.unique(ids[sound], return_inverse=True)
             smallest = np.zeros(len(ids), bool)
-            smallest[sound[np.argsort(rank, kind="stable")[: self.k]]] = True
+            smallest[sound[np.argsort(rank[sound], kind="stable")[: self.k]]] = True
             hits[np.ix_(self.zero[strip], ~smallest)] = False
         # Rows that still pass many candidates (the first blocks) get a tighter
         # cut: the k-th best of this block alone.
-        n = rough.shape[1]
-        wide = np.flatnonzero(hits.sum(1) > 2 * self.k)
-        if len(wide) and n > self.k:
-            kth = np.partition(rough[wide], n - self.k, axis=1)[:, n - self.k]
-            hits[wide] = rough[wide] >= np.maximum(cut[wide], kth - margin)[:, None]
-        qi, pi = np.nonzero(hits)
+        if n > self.k and np.count_nonzero(hits) > 2 * self.k:
+            wide = np.flatnonzero(np.count_nonzero(hits, axis=1) > 2 * self.k)
+            if len(wide):
+                kth = np.partition(rough[wide], n - self.k, axis=1)[:, n - self.k]
+                hits[wide] &= rough[wide] >= lower(np.fmax(floor[wide], kth) - margin[wide])
+        qi, pi = np.divmod(np.flatnonzero(hits), n)
         if not len(qi):
             return
         qi = qi + strip.start
@@ -191,19 +210,19 @@ class _Group:
             else:
                 exact[a : a + step] = np.einsum("ij,ij->i", q, p)
         exact = np.round(exact, self.digits) + 0.0
-        # The block's own top k per query first, on integer id ranks.
-        _, rank = np.unique(ids, return_inverse=True)
-        order = np.lexsort((rank[pi], -exact, qi))
-        qi, pi, exact = qi[order], pi[order], exact[order]
-        best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < self.k
-        qi, pi, exact = qi[best], pi[best], exact[best]
-        # Ties with the current last place only count for a smaller id.
+        # What cannot enter the lists goes first; ties with the current last
+        # place only count for a smaller id.
         useful = exact > self.floor[qi]
-        tied = np.flatnonzero(exact == self.floor[qi])
+        tied = np.flatnonzero((exact == self.floor[qi]) & np.isfinite(exact))
         if len(tied):
             useful[tied] = (ids[pi[tied]].astype(object) < self.ids[qi[tied], self.k - 1]).astype(bool)
-        if useful.any():
-            self._merge(qi[useful], exact[useful], ids[pi[useful]])
+        qi, pi, exact = qi[useful], pi[useful], exact[useful]
+        # The block's own top k per query, on integer id ranks.
+        order = np.lexsort((rank[pi], -exact, qi))
+        qi, pi, exact = qi[order], pi[order], exact[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < self.k
+        if best.any():
+            self._merge(qi[best], exact[best], ids[pi[best]])
 
     def _without_spare_copies(self, ids, mat):
         """Of equal vectors only the k smallest ids can be among the best k.
@@ -229,9 +248,14 @@ class _Group:
         q = np.concatenate([rows[old_r], qi])
         s = np.concatenate([self.scores[rows[old_r], old_c], scores])
         d = np.concatenate([self.ids[rows[old_r], old_c], ids.astype(object)])
-        _, rank = np.unique(d, return_inverse=True)
-        order = np.lexsort((rank, -s, q))
+        order = np.lexsort((-s, q))
         q, s, d = q[order], s[order], d[order]
+        # only ids of equal scores are compared
+        same = np.flatnonzero((q[1:] == q[:-1]) & (s[1:] == s[:-1]))
+        if len(same):
+            tied = np.union1d(same, same + 1)
+            _, rank = np.unique(d[tied], return_inverse=True)
+            d[tied] = d[tied][np.lexsort((rank, -s[tied], q[tied]))]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
         q, s, d, place = q[keep], s[keep], d[keep], place[keep]
@@ -247,6 +271,11 @@ class _Group:
         return (self.names[q], self.ids[q, place], self.scores[q, place]) if len(q) else None
 
 
+def _fits(squares: np.ndarray) -> bool:
+    """Whether vectors of these squared lengths can be multiplied in single precision."""
+    return bool((squares < 1e30).all())
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     norm[norm == 0] = 1.0
@@ -329,7 +358,7 @@ def blocked_top_k(
     the smaller id.  Up to ``group_rows`` queries of measured size are sent to
     the pool's own tasks and the pool is not shuffled.  More are cut into groups
     and the pool into ``slices`` (default: by its size, at most the session's
-    shuffle partitions); a group has fewer than ``group_rows`` rows and one block.
+    shuffle partitions and what keeps all cores busy); a group has fewer than ``group_rows`` rows and one block.
     ``n_queries`` is kept for callers that know it; the packed blocks are counted.
     ``packed_pool`` holds the pool's blocks where ``pack_pool`` has stored them.
     """
@@ -353,7 +382,7 @@ def blocked_top_k(
         partial = p.select("ids", "mat", "dim", "n").mapInArrow(_search_sent(k, metric, width, digits, *types, shared), schema)
     else:
         groups, placed = _query_groups(packed, group_rows, blocks or 0)
-        slices = slices or _pool_slices(pool, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        slices = slices or _pool_slices(pool, int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
         q = placed.select(
             F.lit(0).alias("side"),
             "grp",
@@ -489,7 +518,9 @@ def top_k_of_pools(
         sizes = sizes.select("pool", F.least(F.lit(parts), F.ceil(F.col("rows") / slice_rows)).cast("int").alias("slices"))
         sets = grouped.groupBy(F.col("key").alias("qset")).agg((F.max("grp") + 1).alias("groups"))
         # one row per search
-        cells = searches.join(sets, "qset").join(sizes, "pool").withColumn("cells", F.col("groups") * F.col("slices"))
+        enough = F.ceil(F.lit(_cells(spark)) / F.col("groups")).cast("int")
+        cells = searches.join(sets, "qset").join(sizes, "pool").withColumn("slices", F.least("slices", enough))
+        cells = cells.withColumn("cells", F.col("groups") * F.col("slices"))
         upto = F.sum("cells").over(Window.orderBy("search"))
         cells = materialize(cells.withColumn("first", upto - F.col("cells")), "cells")
         n_cells = cells.agg(F.sum("cells")).first()[0] or 1
@@ -530,9 +561,18 @@ def _query_groups(packed: DataFrame, group_rows: int, blocks: int) -> tuple[int,
     return groups, packed.join(grouped, "tag")
 
 
-def _pool_slices(pool: DataFrame, most: int) -> int:
-    """Slices of a pool: one for a few blocks, at most ``most``."""
-    return max(1, min(most, -(-pool.count() // (8 * BLOCK_ROWS))))
+def _cells(spark) -> int:
+    """Cells of (query group, pool slice) that keep all cores busy."""
+    return max(LEAST_CELLS, 4 * spark.sparkContext.defaultParallelism)
+
+
+def _pool_slices(pool: DataFrame, most: int, groups: int) -> int:
+    """Slices of a pool: one for a few blocks, at most ``most``, and no more than keep all cores busy.
+
+    Every slice adds k rows per query to the shuffle after the kernel, and every cell
+    starts without a list.  The more groups there are, the fewer slices it takes.
+    """
+    return max(1, min(most, -(-pool.count() // (8 * BLOCK_ROWS)), -(-_cells(pool.sparkSession) // groups)))
 
 
 def row_dot(a: str, b: str):
