@@ -252,3 +252,33 @@ def test_numbering_ranges_stay_bounded(spark, monkeypatch):
     numbered = numbering.number_by_position(spark.range(500).select((F.col("id") * 7).alias("pos")), "pos", width=8 * 10**12)
     assert "Exchange SinglePartition" not in numbered.select("pos", "n")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     assert [(r.pos, r.n) for r in numbered.orderBy("pos").collect()] == [(7 * i, i + 1) for i in range(500)]
+
+
+def test_chunks_are_cut_from_text_cleaned_once(spark, manifest):
+    articles = spark.createDataFrame([(1, "Q1", "t", "a b", None)], "pos long, entity_id string, title string, content string, img_path string")
+    for rows_ in (pools.chunked_kb_rows(articles, manifest), pools.chunked_kb_keys(articles)):
+        plan = rows_._jdf.queryExecution().optimizedPlan().toString()
+        cut = next(line for line in plan.splitlines() if "Generate" in line)
+        # cleaning stands below the generator, whose expressions Spark does not share
+        assert "split(content" in cut and "trim" not in cut
+
+
+def test_augment_makes_texts_of_drawn_entities_only(spark, manifest, monkeypatch):
+    from trovekit.operators import sampling
+    from trovekit.operators.numbering import number_by_hash
+
+    long = lambda i, n: " ".join(f"w{i}" for _ in range(n))
+    data = [(i, None if i == 7 else f"Q{i}", f"t{i}", long(i, (i * 37) % 420), None) for i in range(120)]
+    articles = spark.createDataFrame(data, "pos long, entity_id string, title string, content string, img_path string")
+    have = spark.createDataFrame([("Q3",), ("Q4",)], "entity_id string")
+    made = []
+    real = sampling.chunked_kb_rows
+    monkeypatch.setattr(sampling, "chunked_kb_rows", lambda a, *more, **k: (made.append(a.count()), real(a, *more, **k))[1])
+    got = rows(sampling.augment_pool(have, articles, manifest, 6, 12), "did", "entity_id", "chunk", "txt")
+    chunks = real(articles, manifest, skip=have)
+    key = F.concat_ws(":", F.col("entity_id").cast("string"), F.col("chunk").cast("string"))
+    want = number_by_hash(chunks.withColumn("key", key), "key", out="n", limit=12)
+    assert got == rows(want.withColumn("did", F.concat(F.lit("6:"), (F.col("n") + 2).cast("string"))), "did", "entity_id", "chunk", "txt")
+    assert len(got) == 12 and made and max(made) < 30
+    everything = sampling.augment_pool(have, articles, manifest, 6, 10_000)
+    assert everything.count() == chunks.count() and everything.where("entity_id IS NULL").count() == chunks.where("entity_id IS NULL").count() > 0

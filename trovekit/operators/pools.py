@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from trovekit import constants as K
 from trovekit.functions.ids import id_number, make_id
-from trovekit.functions.text import chunk_words, clean_text, doc_key, title_body, truncate_words
+from trovekit.functions.text import chunk_words, clean_text, doc_key, title_body, truncate_words, word_count
 from trovekit.operators.numbering import ROW, number_rows, number_stored, stored_rows
 from trovekit.session import materialize
 from trovekit.sources.images import demote_invalid_image, with_valid_image
@@ -233,20 +233,33 @@ def kb_pool(articles: DataFrame, manifest: DataFrame, dataset) -> DataFrame:
     )
 
 
+def _without_entities(articles: DataFrame, skip: DataFrame | None) -> DataFrame:
+    return articles if skip is None else articles.join(skip.select("entity_id"), "entity_id", "left_anti")
+
+
+def chunked_kb_keys(articles: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """(entity_id, chunk): the keys of the rows of ``chunked_kb_rows``, counted without making the texts."""
+    cleaned = _without_entities(articles, skip).select("entity_id", clean_text("content").alias("content"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / K.CHUNK_WORDS).cast("int") - 1))
+    # the words are counted once, by way of a one-element array
+    return cleaned.select("entity_id", F.explode(F.get(F.transform(F.array(word_count("content")), numbers), F.lit(0))).alias("chunk"))
+
+
 def chunked_kb_rows(articles: DataFrame, manifest: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """One row per 100-word piece of every article with text, title repeated.
 
     ``skip`` lists entity ids to leave out.
     """
-    rows = articles if skip is None else articles.join(skip.select("entity_id"), "entity_id", "left_anti")
-    rows = _articles(rows, manifest)
+    rows = _articles(_without_entities(articles, skip), manifest)
+    # a column of its own below the generator: compiled, and cleaned once per row
+    rows = rows.withColumn("content", clean_text("content"))
     pieces = rows.select(
         "pos",
         "entity_id",
         "title",
         "img_path",
         "modality",
-        F.posexplode(chunk_words(clean_text("content"))).alias("chunk", "piece"),
+        F.posexplode(chunk_words("content")).alias("chunk", "piece"),
     )
     return pieces.withColumn("txt", title_body("title", "piece")).withColumn("src_content", _entity_content())
 

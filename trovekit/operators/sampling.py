@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trovekit.functions.stable import SEED, cycled, hash_int, hash_order, pick, shuffled
 from trovekit.functions.text import clean_text
 from trovekit.operators.numbering import append_ids, number_by_hash, number_by_position, number_rows
-from trovekit.operators.pools import chunked_kb_rows, referenced_ids
+from trovekit.operators.pools import chunked_kb_rows, chunked_kb_keys, referenced_ids
 from trovekit.operators.skew import null_safe_join
 from trovekit.session import materialize, release
 
@@ -121,11 +121,17 @@ def augment_pool(
 ) -> DataFrame:
     """``n`` sampled chunks of entities the pool does not have, with new ids.
 
-    ``pool`` has ``entity_id``; ids continue after the pool's rows.
+    ``pool`` has ``entity_id``; ids continue after the pool's rows.  The chunks of all
+    articles are only counted; texts are made for entities with a sampled chunk.
     """
     present = pool.select("entity_id").distinct()
-    chunks = chunked_kb_rows(articles, manifest, skip=present)
-    chunks = chunks.withColumn("chunk_key", F.concat_ws(":", F.col("entity_id").cast("string"), F.col("chunk").cast("string")))
+    key = F.concat_ws(":", F.col("entity_id").cast("string"), F.col("chunk").cast("string")).alias("chunk_key")
+    keys = materialize(chunked_kb_keys(articles, skip=present), "chunk-keys").select("entity_id", key)
+    drawn = number_by_hash(keys, "chunk_key", seed, "__pos", limit=n).select("entity_id").distinct()
+    drawn = materialize(drawn, "drawn")
+    # every chunk among the first n in hash order is one of these entities'
+    chunks = chunked_kb_rows(null_safe_join(articles, drawn, ["entity_id"], "left_semi"), manifest)
+    chunks = chunks.withColumn("chunk_key", key)
     sampled = number_by_hash(chunks, "chunk_key", seed, "__pos", limit=n)
     return append_ids(pool, sampled, dataset, "__pos", "did").drop("__pos")
 
