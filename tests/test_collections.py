@@ -282,3 +282,25 @@ def test_augment_makes_texts_of_drawn_entities_only(spark, manifest, monkeypatch
     assert len(got) == 12 and made and max(made) < 30
     everything = sampling.augment_pool(have, articles, manifest, 6, 10_000)
     assert everything.count() == chunks.count() and everything.where("entity_id IS NULL").count() == chunks.where("entity_id IS NULL").count() > 0
+
+
+def test_kb_pool_stores_no_whole_contents(spark, manifest, monkeypatch):
+    from trovekit.operators import numbering
+
+    articles = spark.createDataFrame(
+        [(i, f"Q{i % 6}", "t", " ".join(f"w{i}" for _ in range(40 * i)), "a.jpg") for i in range(9)],
+        "pos long, entity_id string, title string, content string, img_path string",
+    )
+    longest = []
+    real = numbering.materialize
+
+    def spy(df, label="stage"):
+        out = real(df, label)
+        texts = [F.coalesce(F.max(F.size(F.split(c, " "))), F.lit(0)) for c, kind in out.dtypes if kind == "string"]
+        longest.append(max(out.agg(*texts).first(), default=0) if texts else 0)
+        return out
+
+    monkeypatch.setattr(numbering, "materialize", spy)
+    got = pools.kb_pool(articles, manifest, 5).orderBy("pos").collect()
+    assert [(r.entity_id, len(r.txt.split())) for r in got] == [(f"Q{i}", 1 + min(100, 40 * i)) for i in range(6)]
+    assert 100 < max(longest) <= 101

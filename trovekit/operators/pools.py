@@ -225,9 +225,10 @@ def kb_pool(articles: DataFrame, manifest: DataFrame, dataset) -> DataFrame:
     ``articles`` has ``pos``, ``entity_id``, ``title``, ``content``,
     ``img_path`` (NULL without image).
     """
-    rows = first_seen(articles, "entity_id", "pos")
-    rows = _articles(rows, manifest)
-    rows = rows.withColumn("txt", title_body("title", truncate_words("content"))).where(F.col("txt") != "")
+    # whole contents are neither written nor moved
+    articles = articles.select("pos", "entity_id", "title", truncate_words("content").alias("content"), "img_path")
+    rows = _articles(first_seen(articles, "entity_id", "pos"), manifest)
+    rows = rows.withColumn("txt", title_body("title", "content")).where(F.col("txt") != "").drop("content")
     return number_candidates(rows.withColumn("src_content", _entity_content()), dataset, []).select(
         "pos", "entity_id", "did", "txt", "img_path", "modality", "src_content"
     )

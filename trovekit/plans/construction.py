@@ -31,6 +31,7 @@ from trovekit.operators.merge import merge_queries, merge_soft_targets
 from trovekit.operators.numbering import number_rows
 from trovekit.operators.pools import chunked_kb_pool, fact_pool, kb_pool, pair_pool, renumber_pool, rewrite_links, text_image_pool
 from trovekit.operators.sampling import cap_per_entity, trim_pool
+from trovekit.session import materialize, release
 from trovekit.sources.images import with_valid_image
 
 RECORD = ["qid", "query_txt", "query_img_path", "query_modality", "query_src_content", "pos_cand_list", "neg_cand_list"]
@@ -207,13 +208,15 @@ def entity_collection(
     ``kb_pool`` takes them; ``chunks`` (``entity_id``, ``ord``, ``did``) is a second
     pool whose candidates of the same entity become positives too.
     """
-    entities = kb_pool(articles, manifest, dataset)
-    linked = questions.join(entities.select("entity_id", "modality"), "entity_id")
+    # each of these is read several times
+    entities = materialize(kb_pool(articles, manifest, dataset), "entities")
+    linked = materialize(questions.join(entities.select("entity_id", "modality"), "entity_id"), "linked")
     capped = cap_per_entity(linked, "entity_id", "data_id", text_limit, image_text_limit).drop("modality")
-    found = entity_questions(capped, entities)
+    found = materialize(entity_questions(capped, entities), "found")
+    release(linked)
     links = found.select(F.col("data_id").cast("string").alias("qid"), F.lit(POS).alias("label"), F.lit(0).alias("ord"), "did")
     trimmed = trim_pool(entities, links, others)
-    pool = renumber_pool(trimmed, dataset, ["rank"])
+    pool = materialize(renumber_pool(trimmed, dataset, ["rank"]), "renumbered")
     moved = extend_by_entity(rewrite_links(links, pool), pool, chunks)
     rows = found.select(
         "pos",
