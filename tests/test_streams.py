@@ -121,3 +121,14 @@ def test_dedup_hours_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
                 last = h
     assert len(rows) == len(want)
     assert sorted(r.hour for r in rows) == sorted(h for _, h in want)
+
+
+def test_code_join_keeps_its_partitions(spark):
+    from trovekit.streaming import jobs
+
+    codes = spark.createDataFrame([([i % 3], f"d{i}") for i in range(300)], "code array<int>, did string")
+    beams = spark.createDataFrame([(f"q{i}", [i % 3]) for i in range(60)], "qid string, code array<int>")
+    joined = jobs.stream_code_join(beams, codes.hint("merge"), salt_rows=10)
+    assert joined.count() == joined.distinct().count() == 60 * 100
+    # few bytes go in, many rows come out: every core has a part of the join
+    assert joined.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

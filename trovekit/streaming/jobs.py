@@ -51,6 +51,9 @@ def stream_code_join(beams: DataFrame, codes: DataFrame, salt_rows: int = SALT_R
     rest = [c for c in codes.columns if c != "code"]
     stored = codes.join(hot, "code", "left").withColumn("__salt", F.pmod(F.xxhash64(*rest), one).cast("int")).drop("__salts")
     sent = beams.join(hot, "code", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__salts")
+    # the join makes many more rows than it reads, so its partitions are not merged by their bytes
+    parts = int(beams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent, stored = (side.repartition(parts, "code", "__salt") for side in (sent, stored))
     return sent.join(stored, ["code", "__salt"]).drop("__salt")
 
 
