@@ -59,13 +59,16 @@ class Dialect:
 SPARK, DUCK = Dialect(True), Dialect(False)
 
 FIXTURES: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {}
+#: fixture -> {table: key}: small tables whose rows become large ones, dealt over all tasks by the key
+SPREAD: dict[str, dict[str, str]] = {}
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def fixture(*needs: str):
+def fixture(*needs: str, spread: dict[str, str] | None = None):
     def add(fn):
         FIXTURES[fn.__name__] = (needs, fn)
+        SPREAD[fn.__name__] = spread or {}
         return fn
 
     return add
@@ -121,9 +124,13 @@ class Tables:
 
     def fx(self, name: str) -> DataFrame:
         text = ctes(SPARK, name)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         for t in TABLES:
             if t in text:
-                self.spark.read.parquet(f"{self.folder}/{t}.parquet").createOrReplaceTempView(t)
+                rows = self.spark.read.parquet(f"{self.folder}/{t}.parquet")
+                if t in SPREAD[name]:
+                    rows = rows.repartition(parts, SPREAD[name][t])
+                rows.createOrReplaceTempView(t)
         return self.spark.sql(f"{text}\nSELECT * FROM {name}")
 
 

@@ -92,8 +92,9 @@ FROM orders
 """
 
 
-@fixture()
+@fixture(spread={"part": "p_partkey"})
 def fx_kb(d):
+    # a row of a hundred bytes becomes an article of up to ten thousand
     return f"""
 SELECT p_partkey AS pos, p_partkey AS entity_id, p_name AS title,
        CASE WHEN p_size % 7 = 0 THEN '' ELSE concat({d.repeat("concat(p_type, ' ', p_brand, ' ')", 'p_size * 5')}, p_name) END AS content,

@@ -287,9 +287,10 @@ def label_chunks(t):
     pool = pools.chunked_kb_pool(t.fx_kb, t.fx_kb_manifest, 6)
     chunks = pool.select("entity_id", F.col("chunk").alias("ord"), "txt", "did")
     questions = t.fx_questions.select(F.col("row_id").alias("qid"), "entity_id", "answer", "answer_eval")
-    links = convert.label_chunks(questions, chunks)
-    dids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "did"))), lambda s: s["did"]), "|")
-    return links.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("n"), dids.alias("dids"))
+    lists = convert.label_lists(questions, chunks)
+    side = lambda label, c: F.struct(F.lit(label).alias("label"), F.size(c).cast("long").alias("n"), F.array_join(c, "|").alias("dids"))
+    sides = F.array(side("pos", "pos_cand_list"), side("neg", "neg_cand_list"))
+    return lists.select("qid", F.inline(F.filter(sides, lambda x: x["n"] > 0)))
 
 
 @query(

@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+import checks.fixtures  # noqa: F401
+from checks.base import Tables
 from trovekit.operators import convert, substrings
+from trovekit.operators import links as L
 
 CHUNKS = "entity_id string, ord int, txt string, did string"
 QUESTIONS = "qid string, entity_id string, answer array<string>, answer_eval array<string>"
@@ -72,3 +75,22 @@ def test_rarest_gram_lists_few_candidates():
     texts = [b"common words here"] * 50 + [b"common words and zebra"]
     found = list(substrings.Postings(texts).candidates([b"words and z", b"common", b"qqq"]))
     assert [f.tolist() for f in found] == [[50], list(range(51)), []]
+
+
+@pytest.mark.parametrize("slice_chunks", [64, 3])
+def test_lists_equal_the_links(spark, monkeypatch, slice_chunks):
+    monkeypatch.setattr(substrings.answer_hits, "__defaults__", ("entity_id", slice_chunks, substrings.PART_ANSWERS))
+    questions, chunks = case(4, 9, 20, 30, "abé ")
+    q, c = spark.createDataFrame(questions, QUESTIONS), spark.createDataFrame(chunks, CHUNKS)
+    got = {r.qid: (r.pos_cand_list, r.neg_cand_list) for r in convert.label_lists(q, c).collect()}
+    want = {r.qid: (r.pos_cand_list, r.neg_cand_list) for r in L.collect_links(convert.label_chunks(q, c)).collect()}
+    assert got == want and any(n for _, n in got.values())
+    numbers = {did: o for _, o, _, did in chunks}
+    assert all([numbers[d] for d in side] == sorted(numbers[d] for d in side) for sides in got.values() for side in sides)
+
+
+def test_articles_are_built_by_many_tasks(spark):
+    """The small part table lies in one file; its long articles are not one task's work."""
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert tables.part.rdd.getNumPartitions() == 1
+    assert tables.fx_kb.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1

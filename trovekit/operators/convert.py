@@ -243,11 +243,7 @@ def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     searched for once per entity; questions meet slices of chunk ids and the places
     found, never texts.
     """
-    options = F.concat("answer", "answer_eval")
-    answers = questions.select("entity_id", F.explode(options).alias("answer"))
-    hits = materialize(answer_hits(chunks, answers), "answer-hits")
-    met = lookup_join(questions.select("qid", "entity_id", options.alias("options")), whole_slices(hits), "entity_id")
-    met = met.select("qid", "slices", "chunks", places_of(F.col("options")).alias("places"))
+    met = _places(questions, chunks)
     found = F.size("places") > 0
     one = met.where((F.col("slices") == 1) & found)
     # an entity of several slices: a question stays if any of them has a positive
@@ -258,6 +254,32 @@ def label_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return links.select("qid", label.alias("label"), F.col("c.ord").alias("ord"), F.col("c.did").alias("did"))
 
 
+def label_lists(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, pos_cand_list, neg_cand_list): the links of ``label_chunks`` as lists in the order of ``ord``.
+
+    An entity of one slice gives its questions their lists at once; only questions of
+    several slices are grouped, a row for each slice.
+    """
+    met = _places(questions, chunks)
+    side = lambda wanted: F.transform(F.filter("chunks", lambda c, at: F.array_contains("places", at) == wanted), lambda c: c["did"])
+    lists = [side(F.lit(True)).alias("pos_cand_list"), side(F.lit(False)).alias("neg_cand_list")]
+    one = met.where((F.col("slices") == 1) & (F.size("places") > 0)).select("qid", *lists)
+    parts = met.where("slices > 1").select("qid", F.struct("slice", *lists).alias("part"))
+    many = parts.groupBy("qid").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = lambda c: F.flatten(F.transform("parts", lambda p: p[c])).alias(c)
+    many = many.select("qid", whole("pos_cand_list"), whole("neg_cand_list")).where(F.size("pos_cand_list") > 0)
+    return one.unionByName(many)
+
+
+def _places(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, slice, slices, chunks, places): questions with the slices of their entity and the places of their answers in each."""
+    options = F.concat("answer", "answer_eval")
+    answers = questions.select("entity_id", F.explode(options).alias("answer"))
+    hits = materialize(answer_hits(chunks, answers), "answer-hits")
+    met = lookup_join(questions.select("qid", "entity_id", options.alias("options")), whole_slices(hits), "entity_id")
+    return met.select("qid", "slice", "slices", "chunks", places_of(F.col("options")).alias("places"))
+
+
 def number_queries(queries: DataFrame, dataset, position: str = "pos", width: int = BUCKET_ROWS) -> DataFrame:
     """Sequential query ids in source order."""
     return assign_ids(queries, dataset, position, "qid", width=width)

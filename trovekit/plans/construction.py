@@ -20,7 +20,7 @@ from trovekit.operators.convert import (
     extend_by_entity,
     fact_lists,
     graded_candidates,
-    label_chunks,
+    label_lists,
     matched_articles,
     number_queries,
     soft_targets,
@@ -242,8 +242,8 @@ def kb_collection(
     pool = chunked_kb_pool(matched_articles(kept, articles), manifest, dataset)
     chunks = pool.select("entity_id", F.col("chunk").alias("ord"), "txt", "did")
     keyed = kept.withColumn("qid", F.col("data_id").cast("string"))
-    links = label_chunks(keyed.select("qid", "entity_id", "answer", "answer_eval"), chunks)
+    lists = label_lists(keyed.select("qid", "entity_id", "answer", "answer_eval"), chunks)
     content = _json(data_id=F.col("data_id").cast("string"), answer=F.col("answer"), answer_eval=F.col("answer_eval"), entity_id=F.col("entity_id").cast("string"))
-    queries = attach_lists(keyed.withColumn("query_src_content", content), links, require_positive=True)
+    queries = keyed.drop("pos_cand_list", "neg_cand_list").withColumn("query_src_content", content).join(lists, "qid")
     numbered = number_rows(queries.drop("qid"), "pos", "__n")
     return numbered.withColumn("qid", make_id(dataset, "__n")).drop("__n"), pool
