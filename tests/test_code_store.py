@@ -33,3 +33,26 @@ def test_stored_form_equals_the_plain_one(spark, tmp_path, slice_rows):
     below = plan[plan.index("SortMergeJoin") :]
     right = below[below.rindex("FileScan parquet spark_catalog") - 400 : below.rindex("FileScan parquet spark_catalog")]
     assert "Exchange" not in right and "Bucketed: true" in below
+
+
+def test_queries_go_to_places_not_to_slices(spark, tmp_path, monkeypatch):
+    """A code has as many places as its share of the pool fills buckets; blocks of a few rows give what whole ones give."""
+    monkeypatch.setattr(stores, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(code_search, "BLOCK_ROWS", 5)
+    rng = random.Random(5)
+    vector = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    pool = [(f"d{i}", [0] if i % 2 == 0 else [1 + i % 13], vector()) for i in range(520)]
+    held = spark.createDataFrame(pool, "did string, code array<int>, embedding array<float>")
+    beams = spark.createDataFrame([(f"q{i}", [c]) for i in range(40) for c in {0, i % 14, 99}], "qid string, code array<int>")
+    queries = spark.createDataFrame([(f"q{i}", vector()) for i in range(40)], "qid string, embedding array<double>")
+    codes, vectors = held.select("code", "did"), held.select("did", "embedding")
+    again = codes.where("did < 'd2'")  # candidates stored twice must not fill a list twice
+    path = str(tmp_path / "places")
+    stores.write_vectors_by_code(codes.unionByName(again), vectors, path, buckets=8, slice_rows=3)
+    stored = stores.read_vectors_by_code(spark, path)
+    counted = {tuple(r.code): r for r in stored.groupBy("code").agg(F.count_distinct("slice").alias("slices"), F.count_distinct("key").alias("keys")).collect()}
+    assert all(r.slices > 4 for r in counted.values())
+    assert 4 <= counted[(0,)].keys <= 5 and all(r.keys == 1 for code, r in counted.items() if code != (0,))
+    got = code_search.rerank_stored(beams, stored, queries, 9)
+    want = code_search.rerank(beams, codes, queries, vectors, 9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 360

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trovekit.functions.codes import code_to_tokens
-from trovekit.operators.blocks import DIGITS, _Group, _matrix, _unit
+from trovekit.operators.blocks import BLOCK_ROWS, _found_rows, _Group, _matrix
 from trovekit.operators.numbering import position_bucket
 from trovekit.operators.skew import MAX_HOT_KEYS, skew_join
 from trovekit.operators.stats import number_within
-from trovekit.sources.stores import code_slice
+from trovekit.sources.stores import code_place
 
 POOL_SLICE = 500_000
 QUERY_SLICE = 4_096
@@ -143,41 +143,65 @@ def rerank(
 def rerank_stored(beams: DataFrame, stored: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
     """``rerank`` over vectors that lie by their codes (``read_vectors_by_code``).
 
-    Queries are sent to the buckets of their codes; the pool is read where it lies.  A
-    task scores the pairs of a bucket as they stream by and passes on k rows per query
-    and batch.
+    The queries of a code are packed into blocks, which are sent to the places of the
+    code; the pool is read where it lies and packed there.  Blocks meet blocks, so no
+    pair is a row; a task passes on k rows per query and place.
     """
-    many = F.broadcast(stored.where("slices > 1").select("code", "slices").distinct())
-    wanted = beams.select("qid", "code").distinct().join(query_vectors.select("qid", F.col("embedding").alias("q")), "qid")
-    sent = wanted.join(many, "code", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    sent = sent.select(F.col("qid").cast("string").alias("qid"), "q", code_slice("code", "slice").alias("key"))
-    met = sent.join(stored.select("key", F.col("did").cast("string").alias("did"), F.col("embedding").alias("p")).hint("merge"), "key")
-
-    def score(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, p = (_unit(_matrix(batch.column(c), "<f8")) for c in ("q", "p"))
-            scores = np.round(np.einsum("ij,ij->i", q, p), DIGITS) + 0.0
-            qid, did = (np.array(batch.column(c).to_pylist(), object) for c in ("qid", "did"))
-            _, at = np.unique(qid, return_inverse=True)
-            _, name = np.unique(did, return_inverse=True)
-            # a candidate of several beams of a query counts once
-            order = np.lexsort((name, -scores, at))
-            again = np.zeros(len(order), bool)
-            again[1:] = (at[order][1:] == at[order][:-1]) & (name[order][1:] == name[order][:-1])
-            order = order[~again]
-            place = np.arange(len(order)) - np.searchsorted(at[order], at[order], side="left")
-            keep = order[place < k]
-            yield pa.record_batch({"qid": pa.array(list(qid[keep]), pa.string()), "did": pa.array(list(did[keep]), pa.string()), "score": pa.array(scores[keep])})
-
-    scored = met.select("qid", "did", "q", "p").mapInArrow(score, "qid string, did string, score double")
+    many = F.broadcast(stored.where("places > 1").select("code", "places").distinct())
+    wanted = beams.select("qid", "code").distinct()
+    # fewer than one row for each BLOCK_ROWS queries
+    crowded = wanted.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+    asked = wanted.join(query_vectors.select("qid", "embedding"), "qid").join(F.broadcast(crowded), "code", "left")
+    part = F.pmod(F.xxhash64("qid"), F.coalesce("blocks", F.lit(1))).alias("part")
+    block = F.collect_list(F.struct(F.col("qid").cast("string").alias("id"), F.col("embedding").alias("vec")))
+    sent = asked.groupBy("code", part).agg(block.alias("q")).join(many, "code", "left")
+    sent = sent.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)))
+    sent = sent.select(code_place("code", "place").alias("key"), "part", "q")
+    held = F.collect_list(F.struct(F.col("did").cast("string").alias("id"), F.col("embedding").alias("vec")))
+    met = sent.join(stored.groupBy("key", "block").agg(held.alias("p")).hint("merge"), "key")
+    scored = met.select("key", "part", "q", "p").mapInArrow(_met_blocks(k), "qid string, did string, score double")
     unique = scored.groupBy("qid", "did").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
     ranked = unique.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", "did", "rank", "score")
 
 
+def _met_blocks(k: int):
+    """Rows (key, part, block of queries, block of the pool); rows of one block of queries follow each other."""
+
+    def unpack(block):
+        ids, vectors = block.values.flatten()
+        return np.array(ids.to_pylist(), object), _matrix(vectors, "<f8")
+
+    def run(batches):
+        current, queries, groups = None, None, []
+        for batch in batches:
+            names, parts = batch.column("key").to_pylist(), batch.column("part").to_pylist()
+            for i, at in enumerate(zip(names, parts)):
+                if at != current:
+                    for group in groups:
+                        yield from _found_rows(group, pa.string(), pa.string())
+                    current, queries, groups = at, unpack(batch.column("q")[i]), []
+                ids, mat = unpack(batch.column("p")[i])
+                for turn, rows in enumerate(_turns(ids)):
+                    if turn == len(groups):
+                        groups.append(_Group(k, "cosine"))
+                        groups[turn].add_queries(*queries)
+                    groups[turn].add_pool(ids[rows], mat[rows])
+        for group in groups:
+            yield from _found_rows(group, pa.string(), pa.string())
+
+    return run
+
+
+def _turns(ids: np.ndarray) -> list[np.ndarray]:
+    """Rows in turns that hold an id once; a candidate stored several times must not fill a list alone."""
+    _, same = np.unique(ids, return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(same[order], same[order], side="left")
+    return [np.sort(order[place == turn]) for turn in range(place.max(initial=-1) + 1)]
+
+
 def _slices(wanted: DataFrame, members: DataFrame, pool_slice: int, query_slice: int) -> DataFrame:
     """Cuts of hot codes: (code, np, nq).
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from trovekit import schemas
 from trovekit.functions.codes import code_to_tokens
+from trovekit.operators.blocks import BLOCK_ROWS
 
 
 def write_embeddings(df: DataFrame, path: str, pool: str) -> None:
@@ -43,18 +44,30 @@ def write_vectors_by_code(codes: DataFrame, vectors: DataFrame, path: str, bucke
     """Store the vectors of a pool by their codes, in hash buckets of the code.
 
     ``codes`` has code and did, ``vectors`` did and embedding.  A code of more than
-    ``slice_rows`` candidates is cut into slices, each with a key of its own, so it lies
-    in several buckets.  Re-ranking reads the buckets without moving the pool.
+    ``slice_rows`` candidates is cut into slices.  Its slices lie at as many places, each
+    with a key of its own and so in several buckets, as the code's share of the pool
+    fills buckets; a code that fits one has one place, however many slices it has.
+    ``block`` cuts a place into parts of about ``BLOCK_ROWS`` rows.  Re-ranking reads the
+    buckets without moving the pool.
     """
     spark = codes.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = codes.select("code", "did").join(vectors.select("did", "embedding"), "did")
-    many = codes.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices")).where("slices > 1")
-    # fewer than one row for each slice_rows candidates
-    rows = rows.join(F.broadcast(many), "code", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    held = codes.groupBy("code").agg(F.count(F.lit(1)).alias("held"))
+    total = F.coalesce(codes.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    slices = F.ceil(F.col("held") / slice_rows).cast("int")
+    many = held.withColumn("slices", slices).withColumn("places", F.least("slices", F.ceil(F.col("held") * n / total).cast("int")))
+    many = many.withColumn("blocks", F.ceil(F.col("held") / F.col("places") / BLOCK_ROWS).cast("int"))
+    # fewer than one row for each slice_rows or BLOCK_ROWS candidates
+    many = many.where("slices > 1 OR blocks > 1").drop("held")
+    rows = rows.join(F.broadcast(many), "code", "left")
+    for c in ("slices", "places", "blocks"):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(1)))
     cut = F.pmod(F.xxhash64("did"), F.col("slices")).cast("int").alias("slice")
-    rows = rows.select("code", cut, "slices", "did", "embedding").withColumn("key", code_slice("code", "slice"))
+    block = F.pmod(F.hash("did"), F.col("blocks")).alias("block")
+    rows = rows.select("code", cut, "slices", "places", block, "did", "embedding")
+    rows = rows.withColumn("key", code_place("code", F.pmod("slice", "places")))
     name = f"trovekit_{uuid.uuid4().hex}"
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one file for each bucket
     rows = rows.repartition(n, "key")
     rows.write.mode("overwrite").bucketBy(n, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
@@ -63,7 +76,7 @@ def write_vectors_by_code(codes: DataFrame, vectors: DataFrame, path: str, bucke
 
 
 def read_vectors_by_code(spark: SparkSession, path: str) -> DataFrame:
-    """The vectors stored by ``write_vectors_by_code``: key, code, slice, slices, did, embedding."""
+    """The vectors stored by ``write_vectors_by_code``: key, code, slice, slices, places, block, did, embedding."""
     stored = spark.read.schema("buckets int, schema string").json(f"{path}.buckets").first()
     schema = T.StructType.fromJson(json.loads(stored.schema))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -75,9 +88,9 @@ def read_vectors_by_code(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def code_slice(code, slice_number) -> Column:
-    """Key of a slice of a code."""
-    c, s = (F.col(x) if isinstance(x, str) else x for x in (code, slice_number))
+def code_place(code, place) -> Column:
+    """Key of a place of a code."""
+    c, s = (F.col(x) if isinstance(x, str) else x for x in (code, place))
     return F.concat_ws("/", code_to_tokens(c), s.cast("string"))
 
 
