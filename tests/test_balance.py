@@ -182,3 +182,22 @@ def test_first_seen_moves_no_text_in_its_aggregate(spark):
     found = composite.orderBy("__n").collect()
     assert [r["__n"] for r in found] == list(range(1, len(want) + 1))
     assert [(r.k, r.pos is not None, r.pos or 0) for r in found] == sorted((r.k, r.pos is not None, r.pos or 0) for r in found)
+
+
+def test_later_duplicates_move_no_key(spark):
+    values = [(i, f"text {i % 7} " * 20 if i % 5 else "", None, "en" if i % 2 else "de") for i in range(1, 200)]
+    values = [r for r in values if r[1]] + [(3, "text 3 " * 20, None, "en"), (500, "-", None, "en"), (501, "-", None, None)]
+    pool = spark.createDataFrame(values, "pos long, txt string, img_path string, modality string")
+    found = pools.duplicate_candidates(pool)
+    assert found.columns == ["key", "pos", "txt", "img_path", "modality"]
+    first = {}
+    for pos, txt, _, kind in sorted(values, key=lambda r: r[0]):
+        first.setdefault((txt, kind), pos)
+    want = sorted((pos, txt, kind) for pos, txt, _, kind in values if pos > first[txt, kind])
+    assert sorted((r.pos, r.txt, r.modality) for r in found.collect()) == want
+    assert all(r.key == f"{r.txt}-{r.modality}" for r in found.collect())
+    plan = found.select("pos", "modality")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("key#" in line for line in dealt)
+    # the text is hashed before the shuffle and goes no further
+    assert all("txt" not in line for line in plan.splitlines() if "SortMergeJoin" in line or "Sort [" in line or "partial_min" in line)

@@ -49,11 +49,9 @@ def _first_rows(df: DataFrame, keys, order) -> tuple[DataFrame, DataFrame]:
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     rows = stored_rows(df, "seen")
-    # Equal keys have equal hashes; 128 bits tell different ones apart.
-    hashed = [F.xxhash64(*_marked(keys)).alias("__h"), F.xxhash64(F.lit("second"), *_marked(keys)).alias("__g")]
     place = order[0] if len(order) == 1 else F.struct(*order)
     place = F.col(place) if isinstance(place, str) else place
-    narrow = rows.select(*hashed, place.alias("__place"), ROW)
+    narrow = rows.select(*_hashes(keys), place.alias("__place"), ROW)
     kind = narrow.schema["__place"].dataType
     fixed = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) and not isinstance(kind, T.DecimalType)
     if not fixed:
@@ -65,6 +63,11 @@ def _first_rows(df: DataFrame, keys, order) -> tuple[DataFrame, DataFrame]:
     return rows, best.select(ROW)
 
 
+def _hashes(keys: list[str]) -> list[Column]:
+    """128 bits of the key columns: equal keys have equal ones, different keys are told apart."""
+    return [F.xxhash64(*_marked(keys)).alias("__h"), F.xxhash64(F.lit("second"), *_marked(keys)).alias("__g")]
+
+
 def _marked(keys: list[str]) -> list[Column]:
     """Key columns each with a flag, so a NULL and a shifted value hash differently."""
     return [c for k in keys for c in (F.col(k), F.col(k).isNull())]
@@ -92,10 +95,15 @@ def uniqueness(df: DataFrame, key: str) -> DataFrame:
 
 
 def later_duplicates(df: DataFrame, key: Column, order: str = "pos") -> DataFrame:
-    """Rows after the first one of their key, with the key; NULL and "" skipped."""
+    """Rows after the first one of their key, with the key; NULL and "" skipped.
+
+    The first row is found by a 128-bit hash of the key, so a key that is a whole text
+    moves only where the caller reads it.
+    """
     keyed = df.withColumn("key", key).where(F.col("key").isNotNull() & (F.col("key") != ""))
-    first = keyed.groupBy("key").agg(F.min(order).alias("__first"))
-    return keyed.join(first, "key").where(F.col(order) > F.col("__first")).drop("__first")
+    keyed = keyed.select("key", *[c for c in keyed.columns if c != "key"], *_hashes(["key"]))
+    first = keyed.groupBy("__h", "__g").agg(F.min(order).alias("__first"))
+    return keyed.join(first, ["__h", "__g"]).where(F.col(order) > F.col("__first")).drop("__h", "__g", "__first")
 
 
 def duplicate_candidates(pool: DataFrame, order: str = "pos") -> DataFrame:
