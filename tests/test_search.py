@@ -377,3 +377,56 @@ def test_single_precision_decides_nothing(monkeypatch, metric):
         np.testing.assert_allclose(s[q == i], [-x for x, _ in want], rtol=1e-11, atol=2e-6)
     # the block with components that are no numbers is multiplied in double precision
     assert kinds.count("d") == 1 and kinds.count("f") == 11
+
+
+def test_zero_queries_are_not_multiplied(monkeypatch):
+    rng = np.random.default_rng(6)
+    queries, pool = np.zeros((3000, 8)), rng.normal(size=(2048, 8))
+    queries[::100] = rng.normal(size=(30, 8))
+    pool[5, 2] = np.nan
+    names = np.array([f"d{i % 1500}" for i in rng.permutation(2048)], object)  # ids may repeat
+    multiplied = []
+    real = blocks._Group._add_strip
+    monkeypatch.setattr(blocks._Group, "_add_strip", lambda self, strip, rough, *a: (multiplied.append(len(rough)), real(self, strip, rough, *a)))
+    group = blocks._Group(4, "ip")
+    group.add_queries(np.arange(3000), queries)
+    for a in range(0, 2048, 1024):
+        group.add_pool(names[a : a + 1024], pool[a : a + 1024])
+    q, d, s = group.result()
+    assert multiplied == [30, 30]
+    sound = np.isfinite(pool).all(1)
+    smallest = sorted(names[sound])[:4]
+    assert len(q) == 3000 * 4 and (s[np.isin(q, np.arange(0, 3000, 100), invert=True)] == 0).all()
+    exact = np.round(queries @ pool[sound].T, 6) + 0.0
+    for i in (0, 1, 99, 100, 2999):
+        want = sorted(zip(-exact[i], names[sound]))[:4] if i % 100 == 0 else [(0.0, n) for n in smallest]
+        assert [(-x, y) for x, y in zip(s[q == i], d[q == i])] == want
+
+
+def test_interactive_encodes_the_pool_once(spark, monkeypatch):
+    from trovekit import encoders
+    from trovekit.plans.retrieval import interactive
+
+    monkeypatch.setattr(blocks, "SENT_BYTES", 0)  # the form of many queries
+    encoded = spark.sparkContext.accumulator(0)
+    plain = encoders.get("hashed_words", dim=16)
+
+    def counted(batches):
+        for pdf in plain(batches):
+            encoded.add(len(pdf))
+            yield pdf
+
+    texts = spark.range(300).select(F.concat(F.lit("3:"), "id").alias("did"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("txt"))
+    users = spark.range(40).select(
+        F.col("id").alias("pos"), F.lit("text").alias("query_modality"), F.concat(F.lit("w"), F.col("id") % 5).alias("query_txt"),
+        F.lit(None).cast("string").alias("query_img_path"), F.lit("text").alias("candidate_modality"),
+    )
+    pool = texts.select(F.col("did").alias("id"), "txt").mapInPandas(counted, encoders.SCHEMA).withColumnRenamed("id", "did")
+    queries = lambda q: search.encode(q.select(F.col("qid").alias("id"), F.col("query_txt").alias("txt")), plain, encoders.SCHEMA).withColumnRenamed("id", "qid")
+    found = interactive(users, 4, queries, pool, texts.select("did"), 3).select("pos", "candidates").collect()
+    assert encoded.value == 300
+    vectors = {r.did: np.array(r.embedding) for r in pool.collect()}
+    mine = {r.pos: np.array(r.embedding) for r in users.select(F.col("pos").cast("string").alias("id"), F.col("query_txt").alias("txt")).mapInPandas(plain, encoders.SCHEMA).select(F.col("id").cast("long").alias("pos"), "embedding").collect()}
+    for r in found:
+        want = sorted((-round(float(mine[r.pos] @ v), 6), did) for did, v in vectors.items())[:3]
+        assert [(-c.score, c.did) for c in r.candidates] == want
