@@ -132,3 +132,41 @@ def test_code_join_keeps_its_partitions(spark):
     assert joined.count() == joined.distinct().count() == 60 * 100
     # few bytes go in, many rows come out: every core has a part of the join
     assert joined.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_beams_meet_lists_of_stored_rows(spark, tmp_path):
+    stored = [([i % 3], f"d{i % 90}" if i % 17 else None) for i in range(100)] + [(None, "x"), ([7], "y")]
+    codes = spark.createDataFrame(stored, "code array<int>, did string")
+    beams = spark.createDataFrame([(f"q{i}", [i % 4], 0) for i in range(40)] + [("q0", [0], 0), (None, None, 0)], "qid string, code array<int>, part int")
+    plain = sorted((r.qid, str(r.did)) for r in beams.join(codes, "code").collect())
+    for salt_rows in (10, 10**9):
+        joined = stream_code_join(source(spark, beams, tmp_path, f"list-in{salt_rows}"), codes, salt_rows, members="stored")
+        files = run(joined, tmp_path, f"list-out{salt_rows}")
+        got = files.select("qid", F.inline("stored"))
+        assert got.columns == ["qid", "did"] and sorted((r.qid, str(r.did)) for r in got.collect()) == plain
+        assert files.count() <= 31 * (4 if salt_rows == 10 else 1)
+
+
+def test_code_join_query_writes_no_row_per_pair(spark, tmp_path, monkeypatch):
+    import random
+
+    import checks.all_queries  # noqa: F401
+    from checks import q_streams
+    from checks.base import Tables
+
+    random.seed(4)
+    # most vectors are near one of two, so two codes hold much of the pool
+    vectors = [(i, [float((i % 2) * 2 - 1) + random.random() / 50 for _ in range(64)] if i % 8 else [random.random() - 0.5 for _ in range(64)], i % 10) for i in range(600)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    written = []
+    real = q_streams.drain
+    monkeypatch.setattr(q_streams, "drain", lambda *a, **k: (written.append(real(*a, **k)), written[-1])[1])
+    kept = []
+    stages = q_streams._stages
+    monkeypatch.setattr(q_streams, "_stages", lambda t: (kept.append(stages(t)), kept[-1])[1])
+    rows = q_streams.stream_code_join_query(Tables(spark, str(tmp_path)))
+    (codes, beams), found = kept[0], sorted(map(tuple, rows.collect()))
+    pairs = beams.join(codes.select("code", "did"), "code").collect()
+    assert found == sorted((r.qid, r.beam_rank, r.did, "-".join(map(str, r.code))) for r in pairs)
+    assert rows.dtypes == [("qid", "string"), ("beam_rank", "bigint"), ("did", "string"), ("code", "string")]
+    assert 5 * written[0].count() < len(found)

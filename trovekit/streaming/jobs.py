@@ -34,26 +34,33 @@ def search_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_code_join(beams: DataFrame, codes: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+def stream_code_join(beams: DataFrame, codes: DataFrame, salt_rows: int = SALT_ROWS, members: str | None = None) -> DataFrame:
     """Stream of generated codes joined with the stored code table (code, did and more).
 
     A stored code of more than ``salt_rows`` rows is dealt over salts by the hash of
     its rows, as many as its count asks for, and a beam is sent to every salt of its
     code; so a code that holds much of the pool is spread in every micro-batch.  The
     table of such codes has fewer than one row for each ``salt_rows`` stored rows.
+
+    A beam and a stored row of its code are a row of the result.  With ``members`` a beam
+    and a salt are one, and all stored rows met there a list of structs of that name:
+    files of a stream hold the pairs, which grow with the square of a code, but no row for each.
     """
+    rest = [c for c in codes.columns if c != "code"]
+    listed = F.collect_list(F.struct(*rest)).alias(members or "members")
     counted = codes.groupBy("code").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > salt_rows)
     hot = materialize(counted.select("code", F.ceil(F.col("__n") / salt_rows).cast("int").alias("__salts")), "hot-codes")
     if hot.isEmpty():
-        return beams.join(codes, "code")
+        return beams.join(codes.groupBy("code").agg(listed) if members else codes, "code")
     hot = F.broadcast(hot)
     one = F.coalesce("__salts", F.lit(1))
-    rest = [c for c in codes.columns if c != "code"]
     stored = codes.join(hot, "code", "left").withColumn("__salt", F.pmod(F.xxhash64(*rest), one).cast("int")).drop("__salts")
     sent = beams.join(hot, "code", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__salts")
     # the join makes many more rows than it reads, so its partitions are not merged by their bytes
     parts = int(beams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent, stored = (side.repartition(parts, "code", "__salt") for side in (sent, stored))
+    if members:
+        stored = stored.groupBy("code", "__salt").agg(listed)
     return sent.join(stored, ["code", "__salt"]).drop("__salt")
 
 
