@@ -245,14 +245,14 @@ FROM uq JOIN fx_kb k ON uq.entity_id = k.entity_id WHERE {ANSWER.format(c='k.con
 )
 def convert_kb_answer(t):
     q = t.fx_questions
-    first = pools.first_seen(q.select("data_id", "entity_id", "question_type", "pos"), "data_id", "pos")
+    first = pools.first_seen(q.select("data_id", "entity_id", "question_type", "pos"), "data_id", "pos", stored=False)
     kept = convert.answerable_questions(
         q.select("pos", "row_id", "data_id", "question", "answer", "answer_eval"),
         first.select("data_id", "entity_id"),
         t.fx_kb,
         first.select("data_id", "question_type"),
     )
-    kept = materialize(kept, "kept")  # numbered and counted
+    kept = materialize(kept.select("pos", "row_id", "question_type"), "kept")  # numbered and counted
     numbered = convert.number_queries(kept, 6, width=8 * 10**12)
     n = kept.agg(F.count(F.lit(1)).alias("n_kept"), F.lit(1).alias("one"))
     return numbered.withColumn("one", F.lit(1)).join(n, "one").select("row_id", "question_type", "qid", "n_kept")
@@ -267,7 +267,7 @@ SELECT entity_id, title FROM fx_kb WHERE entity_id IN (SELECT uq.entity_id FROM
 )
 def matched_articles(t):
     q = t.fx_questions
-    entity = pools.first_seen(q.select("data_id", "entity_id", "pos"), "data_id", "pos").select("data_id", "entity_id")
+    entity = pools.first_seen(q.select("data_id", "entity_id", "pos"), "data_id", "pos", stored=False).select("data_id", "entity_id")
     kept = convert.answerable_questions(q.select("pos", "data_id", "question", "answer", "answer_eval"), entity, t.fx_kb)
     return convert.matched_articles(kept, t.fx_kb).select("entity_id", "title")
 

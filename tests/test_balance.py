@@ -201,3 +201,56 @@ def test_later_duplicates_move_no_key(spark):
     assert dealt and not any("key#" in line for line in dealt)
     # the text is hashed before the shuffle and goes no further
     assert all("txt" not in line for line in plan.splitlines() if "SortMergeJoin" in line or "Sort [" in line or "partial_min" in line)
+
+
+def test_first_seen_in_place(spark, monkeypatch):
+    from trovekit.operators import numbering
+
+    stored = []
+    real = numbering.materialize
+    monkeypatch.setattr(numbering, "materialize", lambda df, label: (stored.append(label), real(df, label))[1])
+    values = [(None if i % 11 == 0 else i % 40, None if i % 9 == 0 else 100 - i % 90, f"rest {i}") for i in range(800)]
+    values += [(7, 100 + i, "of a key that holds much") for i in range(5000)] + [(7, 12, "tie"), (7, 12, "tie")] + [(None, 50 + i, "no key") for i in range(4000)]
+    df = spark.createDataFrame(values, "k long, pos long, other string").repartition(6)
+    want = {}
+    for k, pos, _ in sorted(values, key=lambda r: (r[1] is not None, r[1] or 0)):
+        want.setdefault(k, pos)
+    known = {(k, pos, other) for k, pos, other in values}
+    plain = pools.first_seen(df, "k", "pos", stored=False)
+    thinned = pools._first_in_place(df, "k", "pos", 500)  # with keys that count as hot
+    plan = thinned._jdf.queryExecution().optimizedPlan().toString()
+    assert "__least" in plan and "__least" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    for got in (plain, thinned):
+        assert got.columns == df.columns
+        rows_ = got.collect()
+        assert {r.k: r.pos for r in rows_} == want and len(rows_) == len(want)
+        assert all(tuple(r) in known for r in rows_)
+    assert not stored
+
+
+def test_linked_questions_move_once(spark, monkeypatch):
+    from trovekit.operators import convert, numbering
+
+    labels, frames = [], []
+    real = numbering.materialize
+    keep = lambda df, label: (labels.append(label), frames.append(df), real(df, label))[2]
+    monkeypatch.setattr(numbering, "materialize", keep)
+    monkeypatch.setattr(convert, "materialize", keep)
+    monkeypatch.setattr(pools, "materialize", keep)
+    asked = [(i, f"q{i % 150}", "what?" if i % 7 else "", [f"a{i % 5}"], [f"b{i % 3}"]) for i in range(300)]
+    questions = spark.createDataFrame(asked, "pos long, data_id string, question string, answer array<string>, answer_eval array<string>")
+    entity = spark.createDataFrame([(f"q{i}", f"e{i % 10}") for i in range(150)], "data_id string, entity_id string")
+    kinds = spark.createDataFrame([(f"q{i}", f"t{i % 4}") for i in range(0, 150, 2)], "data_id string, question_type string")
+    articles = spark.createDataFrame([(f"e{i}", f"holds a{i % 5}" if i % 2 else "b0 too") for i in range(10)], "entity_id string, content string")
+    kept = convert.answerable_questions(questions, entity, articles, kinds)
+    text = {f"e{i}": f"holds a{i % 5}" if i % 2 else "b0 too" for i in range(10)}
+    want = []
+    for pos, key, question, answer, more in asked[:150]:
+        i = int(key[1:])
+        if question and any(a in text[f"e{i % 10}"] for a in answer + more):
+            want.append((pos, key, f"e{i % 10}", f"t{i % 4}" if i % 2 == 0 else None))
+    assert sorted((r.pos, r.data_id, r.entity_id, r.question_type) for r in kept.collect()) == sorted(want, key=lambda r: r[0])
+    # questions are not written before they are linked, and are dealt once, by the key of both joins
+    assert labels == ["linked", "answers-held"]
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") <= 3

@@ -209,7 +209,8 @@ def answerable_questions(
     The different answers of an entity are searched for once; contents meet lists of
     answers by a shuffle, whatever size Spark expects them to have, and no question.
     """
-    rows = first_seen(questions, "data_id", "pos").where(clean_text("question") != "")
+    # dealt by data_id, where the other two are met as well
+    rows = first_seen(questions, "data_id", "pos", stored=False).where(clean_text("question") != "")
     linked = rows.join(entity_of, "data_id")
     if question_types is not None:
         linked = linked.join(question_types, "data_id", "left")

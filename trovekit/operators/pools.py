@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from trovekit import constants as K
 from trovekit.functions.ids import id_number, make_id
 from trovekit.functions.text import chunk_words, clean_text, doc_key, title_body, truncate_words, word_count
 from trovekit.operators.numbering import ROW, number_rows, number_stored, stored_rows
+from trovekit.operators.skew import SLICE_ROWS, hot_keys, null_safe_join
 from trovekit.session import materialize
 from trovekit.sources.images import demote_invalid_image, with_valid_image
 
@@ -23,18 +24,42 @@ from trovekit.sources.images import demote_invalid_image, with_valid_image
 # -- uniqueness and duplicates -------------------------------------------------
 
 
-def first_seen(df: DataFrame, keys, order) -> DataFrame:
+def first_seen(df: DataFrame, keys, order, stored: bool = True) -> DataFrame:
     """First row per key in the given order.
 
     Rows are written once.  Only a 128-bit hash of the key, the order and the row's
     number are aggregated, every task reducing its rows before the shuffle, so a key
     that holds most of the data costs one narrow row per task; the first rows are
     fetched by their numbers.  Of rows that tie one stays.
+
+    ``stored=False`` is for rows that are short and cheap to read (``order`` then names
+    columns): nothing is written, and whole rows move once, to the place of their key,
+    where joins on the key find them without a further shuffle.
     """
+    if not stored:
+        return _first_in_place(df, keys, order)
     rows, first = _first_rows(df, keys, order)
     return rows.join(first, ROW).select(*df.columns)
 
 
+def _first_in_place(df: DataFrame, keys, order, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df
+    hot = hot_keys(df.select(*keys, *order), keys, slice_rows, order).select(*keys)
+    if not hot.isEmpty():
+        # of a key that holds much of the table only the rows at its first place move
+        place = F.struct(*order)
+        of_hot = null_safe_join(df.select(*keys, *order), F.broadcast(hot), keys)
+        least = of_hot.groupBy(*keys).agg(F.min(place).alias("__least"))
+        rows = null_safe_join(df, F.broadcast(least), keys, "left")
+        rows = rows.where(F.col("__least").isNull() | place.eqNullSafe(F.col("__least")))
+    # dealt before the window, so that tasks do not sort their rows both before and after it
+    rows = rows.select(*df.columns).repartition(*keys)
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__at", at).where(F.col("__at") == 1).drop("__at")
+
+
 def first_seen_numbered(df: DataFrame, keys, order, by, out: str = "__n") -> DataFrame:
     """``first_seen`` with a number ``out`` from 1 in the order ``by``; whole rows move once."""
     rows, first = _first_rows(df, keys, order)
