@@ -430,3 +430,9 @@ def test_interactive_encodes_the_pool_once(spark, monkeypatch):
     for r in found:
         want = sorted((-round(float(mine[r.pos] @ v), 6), did) for did, v in vectors.items())[:3]
         assert [(-c.score, c.did) for c in r.candidates] == want
+
+
+def test_cells_hold_a_bounded_part_of_the_pool(spark):
+    pool = spark.range(10)  # not counted where the caller knows its rows
+    assert [blocks._pool_slices(pool, 200, groups, 3_000_000) for groups in (1000, 51, 1)] == [6, 6, blocks._cells(spark)]
+    assert blocks._pool_slices(pool, 4, 1000, 3_000_000) == 4 and blocks._pool_slices(pool, 200, 1000, 0) == 1
